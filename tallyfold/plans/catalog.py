@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.operators import fold, validate
+from tallyfold.operators import fold, routing, validate
 from tallyfold.plans import sqlparts as S
-from tallyfold.sources import tables
+from tallyfold.sinks import report
+from tallyfold.sources import requests, tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -58,3 +59,156 @@ SELECT id, arg_max(value, seq) AS value FROM items
 WHERE type = 'gauge' AND {S.VALID} GROUP BY id""")
 def gauge_latest(spark, sf_dir):
     return fold.gauge_latest(tables.event_items(_t(spark, sf_dir, "events"), framing="single"))
+
+
+@register("state_list", f"""
+WITH items AS ({S.event_items_sql('single')}),
+st AS ({S.FOLD_SELECT} FROM items WHERE {S.VALID} GROUP BY id, type)
+SELECT 'gauge' AS section, name, printf('%f', value) AS value_text FROM st WHERE type = 'gauge'
+UNION ALL
+SELECT 'counter' AS section, name, CAST(delta AS VARCHAR) AS value_text FROM st WHERE type = 'counter'""")
+def state_list(spark, sf_dir):
+    return report.state_list(state_fold(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Step 3: sources over request logs
+# --------------------------------------------------------------------------
+
+_PATH_LOG_SQL = """
+    SELECT event_id AS request_id,
+           CASE WHEN event_id % 31 = 0 THEN 'PUT' ELSE 'POST' END AS method,
+           CASE WHEN event_id % 19 = 0 THEN 'unknown'
+                WHEN event_id % 2 = 0 THEN 'counter' ELSE 'gauge' END AS seg_type,
+           CASE WHEN event_id % 2 = 0 THEN event_type
+                ELSE 'user_' || CAST(user_id AS VARCHAR) END AS seg_name,
+           CASE WHEN event_id % 17 = 0 THEN 'none' WHEN event_id % 23 = 0 THEN 'NaN'
+                WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')
+                ELSE printf('%.2f', value) END AS seg_text,
+           event_id % 29 = 0 AS cut
+    FROM events"""
+
+_PATH_PARSED_SQL = f"""
+    SELECT request_id, method, cut, seg_type AS type, seg_name AS id, seg_text,
+           NOT cut AND regexp_matches(seg_text, '^-?[a-z0-9.]+$') AS is_path_route,
+           CASE WHEN seg_type = 'counter' AND regexp_matches(seg_text, '^[+-]?[0-9]+$')
+                THEN TRY_CAST(seg_text AS BIGINT) END AS delta,
+           CASE WHEN seg_type = 'gauge'
+                 AND regexp_matches(seg_text, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')
+                THEN TRY_CAST(seg_text AS DOUBLE) END AS value
+    FROM ({_PATH_LOG_SQL})"""
+
+
+@register("path_updates", f"""
+SELECT request_id, CAST(0 AS INTEGER) AS pos, id, type, delta, value,
+       CASE WHEN type NOT IN ('counter', 'gauge') THEN 400
+            WHEN type = 'counter' AND delta IS NULL THEN 400
+            WHEN type = 'gauge' AND value IS NULL THEN 400 END AS parse_status
+FROM ({_PATH_PARSED_SQL}) WHERE is_path_route""")
+def path_updates(spark, sf_dir):
+    reqs = requests.event_path_requests(_t(spark, sf_dir, "events"))
+    return requests.path_updates(reqs).select(
+        "request_id", "pos", "id", "type", "delta", "value", "parse_status")
+
+
+@register("route_status", f"""
+SELECT request_id,
+       CASE WHEN is_path_route THEN 'path_update' ELSE 'json_update' END AS route,
+       CASE WHEN NOT is_path_route
+                 AND NOT regexp_matches('/update/' || type || '/' || id || '/' || seg_text,
+                                        '^/update/[a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+/-?[a-zA-Z0-9.]+$')
+                 THEN 404
+            WHEN NOT is_path_route AND cut THEN 404
+            WHEN method <> 'POST' THEN 405
+            ELSE 200 END AS status
+FROM ({_PATH_PARSED_SQL})""")
+def route_status(spark, sf_dir):
+    reqs = requests.event_path_requests(_t(spark, sf_dir, "events"))
+    kind = routing.route_kind("path")
+    status = F.coalesce(routing.route_check_status("path", kind),
+                        routing.method_status("method", kind), F.lit(200))
+    return reqs.select("request_id", kind.alias("route"), status.alias("status"))
+
+
+@register("json_updates", f"""
+SELECT request_id, id, type, delta, value, FALSE AS bad
+FROM ({S.event_items_sql('single')})""")
+def json_updates(spark, sf_dir):
+    reqs = requests.event_json_requests(_t(spark, sf_dir, "events"))
+    return requests.json_updates(reqs).select("request_id", "id", "type", "delta", "value", "bad")
+
+
+@register("json_batches", f"""
+WITH items AS ({S.event_items_sql('batch')}),
+reqs AS (SELECT DISTINCT request_id FROM items)
+SELECT request_id, pos, id, type, delta, value, FALSE AS bad FROM items
+WHERE request_id % 13 <> 0 AND request_id % 11 <> 0
+UNION ALL
+SELECT request_id, CAST(NULL AS INTEGER), NULL, NULL, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE),
+       request_id % 13 = 0
+FROM reqs WHERE request_id % 13 = 0 OR request_id % 11 = 0""")
+def json_batches(spark, sf_dir):
+    reqs = requests.event_batch_requests(_t(spark, sf_dir, "events"))
+    return requests.json_batches(reqs).select(
+        "request_id", "pos", "id", "type", "delta", "value", "bad")
+
+
+@register("proto_updates", f"""
+SELECT request_id, pos, id, type, COALESCE(delta, 0) AS delta, COALESCE(value, 0.0) AS value
+FROM ({S.event_items_sql('batch')})""")
+def proto_updates(spark, sf_dir):
+    reqs = requests.event_proto_requests(_t(spark, sf_dir, "events"))
+    return requests.proto_updates(reqs).select("request_id", "pos", "id", "type", "delta", "value")
+
+
+# --------------------------------------------------------------------------
+# Step 4: batch prefix, outcomes, running state, quarantine
+# --------------------------------------------------------------------------
+
+@register("batch_valid_prefix", f"""
+WITH items AS ({S.event_items_sql('batch')}),
+f AS (SELECT *, min(CASE WHEN {S.INVALID} THEN pos END) OVER (PARTITION BY request_id) AS first_bad
+      FROM items)
+SELECT request_id, pos, id, type, delta, value FROM f
+WHERE first_bad IS NULL OR pos < first_bad""")
+def batch_valid_prefix(spark, sf_dir):
+    items = tables.event_items(_t(spark, sf_dir, "events"), framing="batch")
+    return validate.accepted_prefix(items).select("request_id", "pos", "id", "type", "delta", "value")
+
+
+@register("batch_outcomes", f"""
+WITH items AS ({S.event_items_sql('batch')}),
+g AS (SELECT request_id, count(pos) AS n_items,
+             min(CASE WHEN {S.INVALID} THEN pos END) AS first_bad
+      FROM items GROUP BY request_id)
+SELECT request_id, n_items, CAST(COALESCE(first_bad, n_items) AS BIGINT) AS n_accepted,
+       n_items - CAST(COALESCE(first_bad, n_items) AS BIGINT) AS n_dropped, first_bad,
+       CASE WHEN first_bad IS NULL THEN 200 ELSE 500 END AS status
+FROM g""")
+def batch_outcomes(spark, sf_dir):
+    items = tables.event_items(_t(spark, sf_dir, "events"), framing="batch")
+    return validate.batch_outcomes(items)
+
+
+@register("running_state", f"""
+WITH items AS ({S.event_items_sql('single')}),
+v AS (SELECT * FROM items WHERE {S.VALID})
+SELECT seq, type, id, delta,
+       CAST(sum(delta) OVER (PARTITION BY type, id ORDER BY seq
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total,
+       CAST(NULL AS DOUBLE) AS value
+FROM v WHERE type = 'counter'
+UNION ALL
+SELECT seq, type, id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), value FROM v WHERE type = 'gauge'""")
+def running_state(spark, sf_dir):
+    items = tables.event_items(_t(spark, sf_dir, "events"), framing="single")
+    return fold.running_state(items)
+
+
+@register("update_quarantine", f"""
+SELECT seq, id, type, {S.REASON} AS reason
+FROM ({S.event_items_sql('single')}) WHERE {S.INVALID}""")
+def update_quarantine(spark, sf_dir):
+    items = tables.event_items(_t(spark, sf_dir, "events"), framing="single")
+    _, bad = validate.split_valid(items)
+    return bad.select("seq", "id", "type", "reason")

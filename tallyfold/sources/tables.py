@@ -27,7 +27,8 @@ def props_k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-def event_items(events: DataFrame, framing: str = "batch", inject_invalid: bool = True) -> DataFrame:
+def event_items(events: DataFrame, framing: str = "batch", inject_invalid: bool = True,
+                keep: tuple[str, ...] = ()) -> DataFrame:
     """One update per event, UPDATE_SCHEMA.
 
     Even event ids are counters (id = event_type, delta = props.k), odd
@@ -60,6 +61,7 @@ def event_items(events: DataFrame, framing: str = "batch", inject_invalid: bool
         F.when(is_counter & has_operand, props_k()).alias("delta"),
         F.when(~is_counter & has_operand, F.col("value")).alias("value"),
         F.lit(None).cast("string").alias("hash"),
+        *keep,
     )
 
 
