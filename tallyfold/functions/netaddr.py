@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+import pandas as pd
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Decimal octet grammar (no leading zeros) and IPv4-mapped prefix.
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_TEXT = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 MAPPED_PREFIX = "00000000000000000000ffff"
-HEX_GROUP = r"^[0-9a-f]{1,4}$"
 
 
 def _col(c) -> Column:
@@ -29,9 +31,9 @@ def _col(c) -> Column:
 def ipv4_hex(text) -> Column:
     """Dotted IPv4 -> 8 hex digits, NULL if not a valid address."""
     t = _col(text)
-    octets = F.split(t, r"\.")
-    hexed = F.array_join(
-        F.transform(octets, lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
+    hexed = F.concat(*[
+        F.lpad(F.lower(F.hex(F.regexp_extract(t, IPV4_TEXT, i).cast("int"))), 2, "0")
+        for i in (1, 2, 3, 4)])
     return F.when(t.rlike(IPV4_TEXT), hexed)
 
 
@@ -40,60 +42,62 @@ def ipv4_number(text) -> Column:
     return F.conv(ipv4_hex(text), 16, 10).cast("bigint")
 
 
-def ipv6_hex(text) -> Column:
-    """IPv6 text (optional dotted tail, no zone) -> 32 hex digits or NULL."""
-    core = F.lower(_col(text))
-    dotted = F.regexp_extract(core, r"^(.*:)([0-9.]+)$", 2)
-    tail4 = ipv4_hex(dotted)
-    core = F.when(
-        dotted.contains("."),
-        F.concat(F.regexp_extract(core, r"^(.*:)[0-9.]+$", 1),
-                 F.substring(tail4, 1, 4), F.lit(":"), F.substring(tail4, 5, 4)),
-    ).otherwise(core)
-    parts = F.split(core, "::", -1)
-    gap = F.size(parts) == 2
-    head = parts.getItem(0)
-    tail = F.when(gap, parts.getItem(1))
-    empty = F.array().cast("array<string>")
-    hg = F.when(head == "", empty).otherwise(F.split(head, ":", -1))
-    tg = F.when(tail.isNull() | (tail == ""), empty).otherwise(F.split(tail, ":", -1))
-    n = F.size(hg) + F.size(tg)
-    ok = (
-        (F.size(parts) <= 2)
-        & F.forall(F.concat(hg, tg), lambda g: g.rlike(HEX_GROUP))
-        & F.when(gap, n <= 7).otherwise(n == 8)
-    )
-
-    def pad(arr):
-        return F.array_join(F.transform(arr, lambda g: F.lpad(g, 4, "0")), "")
-
-    filled = F.concat(pad(hg), F.repeat(F.lit("0000"), F.when(gap, 8 - n).otherwise(0)), pad(tg))
-    return F.when(core.contains(":") & ok, filled)
-
-
-def parse_ip(text, unmap: bool = True) -> Column:
-    """Address text -> struct(family, hex, zoned), NULL if it does not parse."""
-    t = _col(text)
-    has_zone = t.contains("%")
-    addr = F.when(has_zone, F.substring_index(t, "%", 1)).otherwise(t)
-    zone = F.when(has_zone, F.substring_index(t, "%", -1))
-    v4 = ipv4_hex(addr)
-    v6 = ipv6_hex(addr)
-    mapped = v6.startswith(MAPPED_PREFIX) & ~has_zone if unmap else F.lit(False)
-    family = (
-        F.when(~has_zone & v4.isNotNull(), 4)
-        .when(mapped, 4)
-        .when(v6.isNotNull() & (~has_zone | (zone != "")), 6)
-    )
-    hexed = (
-        F.when(~has_zone & v4.isNotNull(), v4)
-        .when(mapped, F.substring(v6, 25, 8))
-        .when(family == 6, v6)
-    )
-    return F.when(
-        family.isNotNull(),
-        F.struct(family.alias("family"), hexed.alias("hex"), has_zone.alias("zoned")),
-    )
+_IP_STRUCT = T.StructType([
+    T.StructField("family", T.IntegerType()),
+    T.StructField("hex", T.StringType()),
+    T.StructField("zoned", T.BooleanType()),
+])
+
+
+def _parse_v6_text(x) -> tuple | None:
+    if x is None or not isinstance(x, str):
+        return None
+    try:
+        a = ipaddress.ip_address(x)
+    except ValueError:
+        return None
+    if a.version == 4:          # only reached for texts with ':' -> never
+        return None
+    zoned = a.scope_id is not None
+    if a.ipv4_mapped is not None and not zoned:
+        return (4, f"{int(a.ipv4_mapped):08x}", False)
+    return (6, f"{int(a):032x}", zoned)
+
+
+@F.pandas_udf(_IP_STRUCT)
+def _ipv6_udf(s: pd.Series) -> pd.DataFrame:
+    parsed = [_parse_v6_text(x) for x in s]
+    return pd.DataFrame({
+        "family": pd.array([p[0] if p else None for p in parsed], dtype="Int32"),
+        "hex": [p[1] if p else None for p in parsed],
+        "zoned": pd.array([p[2] if p else None for p in parsed], dtype="boolean"),
+    })
+
+
+def with_ip(df: DataFrame, text_col: str, out: str, unmap: bool = True) -> DataFrame:
+    """Adds `out` = struct(family, hex, zoned) parsed from `text_col`
+    (NULL if it does not parse).
+
+    IPv4 text is parsed natively in one regex expression; only texts with
+    ':' (IPv6, with optional zone or dotted tail) are handed to an
+    Arrow-batched pandas UDF (the UDF sees NULL for all other rows).
+    """
+    t = F.col(text_col)
+    v6_in = F.when(t.contains(":"), t)
+    d = df.withColumn("_ip6", _ipv6_udf(v6_in))
+    v4 = ipv4_hex(t)
+    six = F.col("_ip6")
+    if not unmap:
+        # keep mapped addresses as IPv6 (prefix parsing)
+        six = F.when(six["family"] == 4, F.struct(
+            F.lit(6).alias("family"),
+            F.concat(F.lit(MAPPED_PREFIX), six["hex"]).alias("hex"),
+            F.lit(False).alias("zoned"))).otherwise(six)
+    parsed = F.when(~t.contains(":") & v4.isNotNull(),
+                    F.struct(F.lit(4).alias("family"), v4.alias("hex"),
+                             F.lit(False).alias("zoned"))) \
+        .when(t.contains(":"), six)
+    return d.withColumn(out, parsed).drop("_ip6")
 
 
 def _mask_hex(hexed: Column, bits: Column, width: Column, fill_ones: bool) -> Column:
@@ -114,29 +118,28 @@ def _mask_hex(hexed: Column, bits: Column, width: Column, fill_ones: bool) -> Co
     return F.concat(head, mid, F.repeat(F.lit(rest), width - used))
 
 
-def parse_cidr(text) -> Column:
-    """CIDR text -> struct(family, lo, hi) with hex bounds; NULL if invalid.
-
-    The address part is kept as written (no unmapping, no zone), the host
-    bits need not be zero, as for a Go `netip.Prefix`.
-    """
-    t = F.trim(_col(text))
-    addr_txt = F.substring_index(t, "/", 1)
-    bits_txt = F.when(t.contains("/"), F.substring_index(t, "/", -1))
-    a = parse_ip(addr_txt, unmap=False)
-    bits = F.when(bits_txt.rlike(r"^(0|[1-9][0-9]{0,2})$"), bits_txt.cast("int"))
+def with_cidr(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Adds `out` = struct(family, lo, hi, bits) from CIDR text; NULL if
+    invalid. The address part is kept as written (no unmapping, no zone);
+    host bits need not be zero, as for a Go `netip.Prefix`."""
+    d = df.withColumn("_cidr_t", F.trim(F.col(text_col))) \
+        .withColumn("_cidr_addr", F.substring_index(F.col("_cidr_t"), "/", 1)) \
+        .withColumn("_cidr_bits_t", F.when(F.col("_cidr_t").contains("/"),
+                                            F.substring_index(F.col("_cidr_t"), "/", -1)))
+    d = with_ip(d, "_cidr_addr", "_cidr_a", unmap=False)
+    a = F.col("_cidr_a")
+    bt = F.col("_cidr_bits_t")
+    bits = F.when(bt.rlike(r"^(0|[1-9][0-9]{0,2})$"), bt.cast("int"))
     width = F.when(a["family"] == 4, 8).otherwise(32)
-    maxbits = width * 4
-    ok = a.isNotNull() & ~a["zoned"] & bits.isNotNull() & (bits <= maxbits)
-    return F.when(
-        ok,
-        F.struct(
-            a["family"].alias("family"),
-            _mask_hex(a["hex"], bits, width, False).alias("lo"),
-            _mask_hex(a["hex"], bits, width, True).alias("hi"),
-            bits.alias("bits"),
-        ),
-    )
+    d = d.withColumn("_cidr_bits", bits).withColumn("_cidr_w", width)
+    b, w = F.col("_cidr_bits"), F.col("_cidr_w")
+    ok = a.isNotNull() & ~a["zoned"] & b.isNotNull() & (b <= w * 4)
+    d = d.withColumn(out, F.when(ok, F.struct(
+        a["family"].alias("family"),
+        _mask_hex(a["hex"], b, w, False).alias("lo"),
+        _mask_hex(a["hex"], b, w, True).alias("hi"),
+        b.alias("bits"))))
+    return d.drop("_cidr_t", "_cidr_addr", "_cidr_bits_t", "_cidr_a", "_cidr_bits", "_cidr_w")
 
 
 def cidr_bounds(cidr: str) -> tuple[int, str, str, int]:

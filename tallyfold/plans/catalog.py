@@ -10,9 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.operators import fold, routing, validate
+from tallyfold.functions import hmac as hmac_fn
+from tallyfold.functions import netaddr
+from tallyfold.operators import envelope, fold, lookup, routing, security, validate
 from tallyfold.plans import sqlparts as S
+from tallyfold.schemas import KEY_TABLE_SCHEMA, UPDATE_SCHEMA
+from tallyfold.session import scratch_path
 from tallyfold.sinks import report
+from tallyfold.sinks import snapshot as snapshot_sink
+from tallyfold.sources import snapshot as snapshot_src
 from tallyfold.sources import requests, tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -212,3 +218,266 @@ def update_quarantine(spark, sf_dir):
     items = tables.event_items(_t(spark, sf_dir, "events"), framing="single")
     _, bad = validate.split_valid(items)
     return bad.select("seq", "id", "type", "reason")
+
+
+# --------------------------------------------------------------------------
+# Step 5: lookups, snapshots, upsert, restore
+# --------------------------------------------------------------------------
+
+SPLIT_TS = "2024-01-16 00:00:00"   # snapshot part: events before this time
+
+
+def _split_items(spark, sf_dir):
+    items = tables.event_items(_t(spark, sf_dir, "events"), framing="single")
+    cut = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    return items.where(cut), items.where(~cut)
+
+
+def _lookups(events):
+    eid = F.col("event_id")
+    is_counter = (eid % 2) == 0
+    name = F.when(is_counter, F.col("event_type")).otherwise(
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")))
+    name = F.when((eid % 7) == 0, F.concat(name, F.lit("_missing"))).otherwise(name)
+    return events.select(
+        eid.alias("request_id"),
+        F.when(is_counter, F.lit("counter")).otherwise(F.lit("gauge")).alias("type"),
+        name.alias("id"))
+
+
+_LOOKUPS_SQL = """
+    SELECT event_id AS request_id,
+           CASE WHEN event_id % 2 = 0 THEN 'counter' ELSE 'gauge' END AS type,
+           CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'user_' || CAST(user_id AS VARCHAR) END
+           || CASE WHEN event_id % 7 = 0 THEN '_missing' ELSE '' END AS id
+    FROM events"""
+
+_STATE_SQL = f"""
+    {S.FOLD_SELECT} FROM ({S.event_items_sql('single')}) WHERE {S.VALID} GROUP BY id, type"""
+
+
+def _half_state_sql(first: bool) -> str:
+    op = "<" if first else ">="
+    return f"""
+    {S.FOLD_SELECT} FROM ({S.event_items_sql('single')})
+    WHERE {S.VALID} AND ts {op} TIMESTAMP '{SPLIT_TS}' GROUP BY id, type"""
+
+
+@register("metric_lookup", f"""
+WITH l AS ({_LOOKUPS_SQL}), st AS ({_STATE_SQL})
+SELECT l.request_id, l.type, l.id,
+       CASE WHEN l.type = 'counter' THEN st.delta END AS delta,
+       CASE WHEN l.type = 'gauge' THEN st.value END AS value
+FROM l JOIN st ON l.type = st.type AND l.id = st.name""")
+def metric_lookup(spark, sf_dir):
+    return lookup.read_found(_lookups(_t(spark, sf_dir, "events")), state_fold(spark, sf_dir))
+
+
+@register("metric_not_found", f"""
+WITH l AS ({_LOOKUPS_SQL}), st AS ({_STATE_SQL})
+SELECT l.request_id, l.type, l.id, 404 AS status
+FROM l WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.type = l.type AND st.name = l.id)""")
+def metric_not_found(spark, sf_dir):
+    return lookup.read_missing(_lookups(_t(spark, sf_dir, "events")), state_fold(spark, sf_dir))
+
+
+@register("apply_updates", _STATE_SQL)
+def apply_updates(spark, sf_dir):
+    first, rest = _split_items(spark, sf_dir)
+    return fold.apply_updates(fold.fold_state(first), rest.where(validate.reject_reason().isNull()))
+
+
+@register("snapshot_roundtrip", _STATE_SQL)
+def snapshot_roundtrip(spark, sf_dir):
+    table = scratch_path(spark, "snapshot")
+    path = snapshot_sink.write_snapshot(state_fold(spark, sf_dir), table, fmt="json")
+    return snapshot_src.read_snapshot_json(spark, path)
+
+
+@register("upsert_snapshot", f"""
+WITH a AS ({_half_state_sql(True)}), b AS ({_half_state_sql(False)})
+SELECT * FROM b
+UNION ALL
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.name = a.name AND b.type = a.type)""")
+def upsert_snapshot(spark, sf_dir):
+    first, rest = _split_items(spark, sf_dir)
+    table = scratch_path(spark, "state")
+    snapshot_sink.write_snapshot(fold.fold_state(first), table)
+    snapshot_sink.upsert_snapshot(fold.fold_state(rest), table)
+    return snapshot_src.read_state_table(spark, table)
+
+
+@register("restore_state", _STATE_SQL)
+def restore_state(spark, sf_dir):
+    first, rest = _split_items(spark, sf_dir)
+    table = scratch_path(spark, "state")
+    snapshot_sink.write_snapshot(fold.fold_state(first), table)
+    restored = snapshot_src.read_state_table(spark, table)
+    return fold.apply_updates(restored, rest.where(validate.reject_reason().isNull()))
+
+
+# --------------------------------------------------------------------------
+# Step 6: signatures
+# --------------------------------------------------------------------------
+
+# The demo signing key of the registered queries.
+SIGN_KEY = "tallyfold-signing-key"
+_IPAD, _OPAD = hmac_fn.key_pads(SIGN_KEY)
+
+
+def _hmac_sql(msg_blob: str) -> str:
+    return (f"sha256(unhex('{_OPAD.hex()}') || "
+            f"unhex(sha256(unhex('{_IPAD.hex()}') || {msg_blob})))")
+
+
+def _signed_docs(documents):
+    did = F.col("doc_id")
+    good = hmac_fn.hmac_sha256_hex("text", SIGN_KEY)
+    wrong = hmac_fn.hmac_sha256_hex(F.concat(F.col("text"), F.lit("x")), SIGN_KEY)
+    h = (F.when((did % 13) == 0, F.lit(None))
+         .when((did % 10) == 0, wrong)
+         .when((did % 7) == 0, F.upper(good))
+         .otherwise(good))
+    return documents.select("doc_id", "text", h.alias("hash"))
+
+
+@register("hmac_sign", f"""
+SELECT doc_id, {_hmac_sql('encode(text)')} AS hash FROM documents""")
+def hmac_sign(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", hmac_fn.hmac_sha256_hex("text", SIGN_KEY).alias("hash"))
+
+
+@register("signature_filter", f"""
+WITH d AS (
+  SELECT doc_id, {_hmac_sql('encode(text)')} AS good,
+         CASE WHEN doc_id % 13 = 0 THEN NULL
+              WHEN doc_id % 10 = 0 THEN {_hmac_sql("encode(text || 'x')")}
+              WHEN doc_id % 7 = 0 THEN upper({_hmac_sql('encode(text)')})
+              ELSE {_hmac_sql('encode(text)')} END AS hash
+  FROM documents)
+SELECT doc_id, CASE WHEN hash IS NULL OR hash = '' THEN 200
+                    WHEN lower(hash) = good THEN 200 ELSE 400 END AS status
+FROM d""")
+def signature_filter(spark, sf_dir):
+    docs = _signed_docs(_t(spark, sf_dir, "documents"))
+    st = security.signature_status("hash", "text", SIGN_KEY)
+    return docs.select("doc_id", F.coalesce(st, F.lit(200)).alias("status"))
+
+
+# --------------------------------------------------------------------------
+# Step 7: trusted subnet and subnet range join
+# --------------------------------------------------------------------------
+
+# Configured subnets of the registered queries.
+TRUSTED_CIDR = "10.0.0.0/15"
+SUBNETS = ["10.0.0.0/16", "10.1.128.0/17", "10.2.0.0/24", "10.3.7.0/24", "10.0.0.0/8", "fd00::/8"]
+
+
+def _client_addresses(events):
+    eid = F.col("event_id")
+    ip = F.concat_ws(".", F.lit("10"), (F.col("user_id") % 4).cast("string"),
+                     (eid % 256).cast("string"), (eid % 251).cast("string"))
+    ip = (F.when((eid % 43) == 0, F.lit(""))
+          .when((eid % 47) == 0, F.lit("not-an-ip"))
+          .when((eid % 53) == 0, F.concat(F.lit("::ffff:"), ip))
+          .when((eid % 59) == 0, F.concat(F.lit(" "), ip, F.lit(" ")))
+          .otherwise(ip))
+    return events.select("event_id", ip.alias("ip"))
+
+
+_ADDR_SQL = """
+    SELECT event_id, '10.' || CAST(user_id % 4 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR)
+           || '.' || CAST(event_id % 251 AS VARCHAR) AS ip
+    FROM events"""
+
+
+def _v4_num_sql(col: str) -> str:
+    parts = [f"CAST(string_split({col}, '.')[{i}] AS BIGINT)" for i in range(1, 5)]
+    return f"({parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 + {parts[3]})"
+
+
+def _cidr_values_sql(cidrs) -> str:
+    rows = []
+    for c in cidrs:
+        fam, lo, hi, _ = netaddr.cidr_bounds(c)
+        if fam == 4:
+            rows.append(f"('{c}', {int(lo, 16)}, {int(hi, 16)})")
+    return "VALUES " + ", ".join(rows)
+
+
+_TF, _TLO, _THI, _ = netaddr.cidr_bounds(TRUSTED_CIDR)
+
+
+@register("trusted_subnet", f"""
+WITH a AS (
+  SELECT event_id,
+         CASE WHEN event_id % 43 = 0 THEN '' WHEN event_id % 47 = 0 THEN 'not-an-ip'
+              WHEN event_id % 53 = 0 THEN '::ffff:' || ip
+              WHEN event_id % 59 = 0 THEN ' ' || ip || ' ' ELSE ip END AS ip,
+         ip AS v4
+  FROM ({_ADDR_SQL}))
+SELECT event_id, ip,
+       CASE WHEN event_id % 43 = 0 OR event_id % 47 = 0 THEN 400
+            WHEN {_v4_num_sql('v4')} BETWEEN {int(_TLO, 16)} AND {int(_THI, 16)} THEN 200
+            ELSE 403 END AS status
+FROM a""")
+def trusted_subnet(spark, sf_dir):
+    addrs = _client_addresses(_t(spark, sf_dir, "events"))
+    checked = security.with_subnet_status(addrs, "ip", TRUSTED_CIDR, "st")
+    return checked.select("event_id", "ip", F.coalesce("st", F.lit(200)).alias("status"))
+
+
+@register("subnet_range_join", f"""
+WITH a AS ({_ADDR_SQL}), s(cidr, lo, hi) AS ({_cidr_values_sql(SUBNETS)})
+SELECT a.event_id, a.ip, s.cidr FROM a JOIN s ON {_v4_num_sql('a.ip')} BETWEEN s.lo AND s.hi""")
+def subnet_range_join(spark, sf_dir):
+    addrs = tables.event_addresses(_t(spark, sf_dir, "events"))
+    subnets = security.subnet_table(spark, SUBNETS)
+    return security.addresses_in_subnets(addrs, subnets, "ip").select("event_id", "ip", "cidr")
+
+
+# --------------------------------------------------------------------------
+# Step 8: encrypted and gzip round trips
+# --------------------------------------------------------------------------
+
+TAMPER_EVERY = 59   # every 59th envelope has a damaged ciphertext -> 400
+
+
+def data_keys(spark):
+    """Configuration: two 32-byte data keys, derived from fixed labels."""
+    import hashlib
+    rows = [(f"k{i}", bytearray(hashlib.sha256(f"tallyfold-data-key-{i}".encode()).digest()))
+            for i in range(2)]
+    return spark.createDataFrame(rows, KEY_TABLE_SCHEMA)
+
+
+@register("encrypted_roundtrip", f"""
+{S.FOLD_SELECT} FROM ({S.event_items_sql('single')})
+WHERE {S.VALID} AND seq % {TAMPER_EVERY} <> 0 GROUP BY id, type""")
+def encrypted_roundtrip(spark, sf_dir):
+    keys = data_keys(spark)
+    reqs = requests.event_json_requests(_t(spark, sf_dir, "events"))
+    kid = F.concat(F.lit("k"), (F.col("seq") % 2).cast("string"))
+    kb, _ = lookup.bounded_broadcast(keys)
+    sealed = reqs.withColumn("key_id", kid).join(kb, "key_id", "left") \
+        .withColumn("body", envelope.seal("body", "data_key", "key_id")) \
+        .withColumn("x_encrypted", F.lit(envelope.HEADER_VALUE)).drop("data_key", "key_id")
+    d = F.get_json_object("body", "$.d")
+    bad_d = F.concat(F.when(F.substring(d, 1, 1) == "A", "B").otherwise("A"), F.substring(d, 2, 1 << 30))
+    tampered = F.when((F.col("seq") % TAMPER_EVERY) == 0, F.to_json(F.struct(
+        F.get_json_object("body", "$.alg").alias("alg"), F.get_json_object("body", "$.k").alias("k"),
+        F.get_json_object("body", "$.n").alias("n"), bad_d.alias("d"),
+        F.get_json_object("body", "$.v").cast("int").alias("v")))).otherwise(F.col("body"))
+    opened = envelope.open_envelopes(sealed.withColumn("body", tampered), keys)
+    ok = opened.where(F.col("decrypt_status").isNull()).withColumn("body", F.col("plain"))
+    return fold.fold_state(requests.json_updates(ok).where(~F.col("bad")))
+
+
+@register("gzip_roundtrip", _STATE_SQL)
+def gzip_roundtrip(spark, sf_dir):
+    items = tables.event_items(_t(spark, sf_dir, "events"), framing="single")
+    path = scratch_path(spark, "gzip-updates")
+    items.write.mode("errorifexists").option("compression", "gzip").json(path)
+    back = spark.read.schema(UPDATE_SCHEMA).json(path)
+    return fold.fold_state(back)
