@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions import hmac as hmac_fn
 from tallyfold.functions import netaddr
 from tallyfold.operators import envelope, fold, lookup, routing, security, validate
+from tallyfold.plans import pipeline
 from tallyfold.plans import sqlparts as S
 from tallyfold.schemas import KEY_TABLE_SCHEMA, UPDATE_SCHEMA
 from tallyfold.session import scratch_path
@@ -82,7 +83,7 @@ def state_list(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 _PATH_LOG_SQL = """
-    SELECT event_id AS request_id,
+    SELECT event_id AS request_id, user_id AS uid,
            CASE WHEN event_id % 31 = 0 THEN 'PUT' ELSE 'POST' END AS method,
            CASE WHEN event_id % 19 = 0 THEN 'unknown'
                 WHEN event_id % 2 = 0 THEN 'counter' ELSE 'gauge' END AS seg_type,
@@ -95,7 +96,7 @@ _PATH_LOG_SQL = """
     FROM events"""
 
 _PATH_PARSED_SQL = f"""
-    SELECT request_id, method, cut, seg_type AS type, seg_name AS id, seg_text,
+    SELECT request_id, uid, method, cut, seg_type AS type, seg_name AS id, seg_text,
            NOT cut AND regexp_matches(seg_text, '^-?[a-z0-9.]+$') AS is_path_route,
            CASE WHEN seg_type = 'counter' AND regexp_matches(seg_text, '^[+-]?[0-9]+$')
                 THEN TRY_CAST(seg_text AS BIGINT) END AS delta,
@@ -481,3 +482,79 @@ def gzip_roundtrip(spark, sf_dir):
     items.write.mode("errorifexists").option("compression", "gzip").json(path)
     back = spark.read.schema(UPDATE_SCHEMA).json(path)
     return fold.fold_state(back)
+
+
+# --------------------------------------------------------------------------
+# Step 9: request decisions and the ingest pipeline (L1)
+# --------------------------------------------------------------------------
+
+EDGE_CIDR = TRUSTED_CIDR
+
+
+def _edge(spark) -> pipeline.EdgeConfig:
+    return pipeline.EdgeConfig(trusted_cidr=EDGE_CIDR, sign_key=SIGN_KEY)
+
+
+def _request_log(spark, sf_dir):
+    return requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY)
+
+
+_DECISIONS_SQL = f"""
+WITH p AS ({_PATH_PARSED_SQL}),
+j AS ({S.event_items_sql('single')}),
+ju AS (SELECT event_id, user_id FROM events),
+b AS (SELECT request_id AS bid, min(seq) AS seq0,
+             min(CASE WHEN {S.INVALID} THEN pos END) AS first_bad
+      FROM ({S.event_items_sql('batch')}) GROUP BY request_id),
+dec AS (
+  SELECT request_id * 3 AS request_id,
+         CASE WHEN is_path_route THEN 'path_update' ELSE 'json_update' END AS route,
+         CASE WHEN uid % 4 NOT IN (0, 1) THEN 403
+              WHEN NOT is_path_route AND cut THEN 404
+              WHEN NOT is_path_route THEN 400
+              WHEN type NOT IN ('counter', 'gauge') OR (type = 'counter' AND delta IS NULL)
+                   OR (type = 'gauge' AND value IS NULL) THEN 400
+              WHEN method <> 'POST' THEN 405
+              ELSE 200 END AS status,
+         request_id AS seq, id, type, delta, value, CAST(0 AS INTEGER) AS pos, 'p' AS kind
+  FROM p
+  UNION ALL
+  SELECT j.request_id * 3 + 1, 'json_update',
+         CASE WHEN ju.user_id % 4 NOT IN (0, 1) THEN 403
+              WHEN j.request_id % 9 <> 0 AND j.request_id % 10 = 0 THEN 400
+              WHEN NOT {S.VALID} THEN 500 ELSE 200 END,
+         j.seq, j.id, j.type, j.delta, j.value, CAST(0 AS INTEGER), 'j'
+  FROM j JOIN ju ON ju.event_id = j.seq
+  UNION ALL
+  SELECT bid * 3 + 2, 'json_batch',
+         CASE WHEN bid % 4 NOT IN (0, 1) THEN 403
+              WHEN bid % 9 <> 0 AND bid % 10 = 0 THEN 400
+              WHEN bid % 13 = 0 THEN 400
+              WHEN bid % 11 = 0 THEN 200
+              WHEN first_bad IS NOT NULL THEN 500 ELSE 200 END,
+         seq0, NULL, NULL, NULL, NULL, first_bad, 'b'
+  FROM b)"""
+
+
+@register("request_decisions", _DECISIONS_SQL + """
+SELECT request_id, route, status FROM dec""")
+def request_decisions(spark, sf_dir):
+    d = pipeline.decide_requests(_request_log(spark, sf_dir), _edge(spark))
+    return d.select("request_id", "route", "status")
+
+
+@register("ingest_pipeline", _DECISIONS_SQL + f""",
+acc AS (
+  SELECT id, type, delta, value, seq * 1048576 AS k FROM dec
+  WHERE kind IN ('p', 'j') AND status = 200
+  UNION ALL
+  SELECT i.id, i.type, i.delta, i.value, d.seq * 1048576 + i.pos
+  FROM dec d JOIN ({S.event_items_sql('batch')}) i ON i.request_id * 3 + 2 = d.request_id
+  WHERE d.kind = 'b' AND d.status IN (200, 500) AND i.request_id % 11 <> 0
+    AND (d.pos IS NULL OR i.pos < d.pos))
+SELECT id AS name, type,
+       CAST(sum(CASE WHEN type = 'counter' THEN delta END) AS BIGINT) AS delta,
+       arg_max(CASE WHEN type = 'gauge' THEN value END, CASE WHEN type = 'gauge' THEN k END) AS value
+FROM acc GROUP BY id, type""")
+def ingest_pipeline(spark, sf_dir):
+    return pipeline.ingest(_request_log(spark, sf_dir), _edge(spark))

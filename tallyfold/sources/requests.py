@@ -181,3 +181,32 @@ def proto_updates(proto_requests: DataFrame) -> DataFrame:
         F.coalesce(F.col("m.delta"), F.lit(0).cast("bigint")).alias("delta"),
         F.coalesce(F.col("m.value"), F.lit(0.0)).alias("value"),
     )
+
+
+# Signature injection rules of the mixed log.
+SIG_ABSENT_EVERY = 9       # no HashSHA256 header
+SIG_WRONG_EVERY = 10       # signature of a different body -> 400
+
+
+def _signed(df: DataFrame, key: str, unit: F.Column) -> DataFrame:
+    """Adds a HashSHA256 header over the body as sent."""
+    from tallyfold.functions.hmac import hmac_sha256_hex
+    good = hmac_sha256_hex("body", key)
+    wrong = hmac_sha256_hex(F.concat(F.col("body"), F.lit("x")), key)
+    h = (F.when((unit % SIG_ABSENT_EVERY) == 0, F.lit(None))
+         .when((unit % SIG_WRONG_EVERY) == 0, wrong).otherwise(good))
+    hdrs = F.when(h.isNull(), F.col("headers")).otherwise(
+        F.map_concat(F.col("headers"), F.create_map(F.lit("HashSHA256"), h)))
+    return df.withColumn("headers", hdrs)
+
+
+def event_request_log(events: DataFrame, sign_key: str) -> DataFrame:
+    """Mixed request log: per event one path update (id 3e) and one JSON
+    update (id 3e+1), per 20 events one JSON batch (id 3b+2). JSON bodies
+    carry a HashSHA256 header by the injection rules above."""
+    p = event_path_requests(events).withColumn("request_id", F.col("request_id") * 3)
+    j = event_json_requests(events)
+    j = _signed(j, sign_key, F.col("request_id")).withColumn("request_id", F.col("request_id") * 3 + 1)
+    b = event_batch_requests(events)
+    b = _signed(b, sign_key, F.col("request_id")).withColumn("request_id", F.col("request_id") * 3 + 2)
+    return p.unionByName(j).unionByName(b)
