@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import hmac as hmac_fn
 from tallyfold.functions import netaddr
-from tallyfold.operators import envelope, fold, lookup, routing, security, validate
+from tallyfold.operators import agent, envelope, fold, lookup, routing, security, validate
 from tallyfold.plans import pipeline
 from tallyfold.plans import sqlparts as S
 from tallyfold.schemas import KEY_TABLE_SCHEMA, UPDATE_SCHEMA
@@ -558,3 +558,121 @@ SELECT id AS name, type,
 FROM acc GROUP BY id, type""")
 def ingest_pipeline(spark, sf_dir):
     return pipeline.ingest(_request_log(spark, sf_dir), _edge(spark))
+
+
+# --------------------------------------------------------------------------
+# Step 10: agent samples, polls, reports
+# --------------------------------------------------------------------------
+
+POLL_EVERY = "1 hour"     # events span 30 days: hourly polls, daily reports
+REPORT_EVERY = "1 day"
+LINEITEM_FIELDS = {"Quantity": "l_quantity", "ExtendedPrice": "l_extendedprice",
+                   "Discount": "l_discount", "Tax": "l_tax"}
+
+
+def _host_samples(events):
+    """Host samples: host = user, gauge id = event type, seq = event id."""
+    return events.select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("seq"),
+                         F.col("event_type").alias("id"), "value")
+
+
+@register("host_unpivot", """
+UNPIVOT (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS Quantity,
+                CAST(l_extendedprice AS DOUBLE) AS ExtendedPrice,
+                CAST(l_discount AS DOUBLE) AS Discount, CAST(l_tax AS DOUBLE) AS Tax
+         FROM lineitem)
+ON Quantity, ExtendedPrice, Discount, Tax INTO NAME id VALUE value""")
+def host_unpivot(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    ext = {name: F.col(col) for name, col in LINEITEM_FIELDS.items()}
+    return agent.unpivot_gauges(li, ["l_orderkey", "l_linenumber"], ext).drop("type")
+
+
+@register("cpu_explode", """
+SELECT vec_id AS sample_id, 'TotalMemory' AS id, CAST(1024 * len(embedding) AS DOUBLE) AS value
+FROM embeddings
+UNION ALL
+SELECT vec_id, 'FreeMemory', CAST(label AS DOUBLE) FROM embeddings
+UNION ALL
+SELECT sample_id, 'CPUutilization' || CAST(i AS VARCHAR), CAST(u AS DOUBLE) FROM (
+  SELECT vec_id AS sample_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS u
+  FROM embeddings)""")
+def cpu_explode(spark, sf_dir):
+    emb = _t(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("sample_id"),
+        (F.lit(1024) * F.size("embedding")).alias("TotalMemory"),
+        F.col("label").alias("FreeMemory"), F.col("embedding").alias("cpu"))
+    return agent.system_gauges(emb, ["sample_id"]).drop("type")
+
+
+@register("agent_buffer", """
+SELECT host, id, type, delta, value FROM (
+  SELECT user_id AS host, event_type AS id,
+         CASE WHEN event_id % 2 = 0 THEN 'counter' ELSE 'gauge' END AS type,
+         CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS delta,
+         CASE WHEN event_id % 2 = 1 THEN value END AS value,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn
+  FROM events) WHERE rn = 1""")
+def agent_buffer(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    even = (F.col("event_id") % 2) == 0
+    s = ev.select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"),
+                  F.col("event_type").alias("id"),
+                  F.when(even, F.lit("counter")).otherwise(F.lit("gauge")).alias("type"),
+                  F.when(even, tables.props_k()).alias("delta"),
+                  F.when(~even, F.col("value")).alias("value"))
+    return agent.agent_buffer(s)
+
+
+@register("poll_sampling", """
+SELECT user_id AS host, date_trunc('hour', ts) AS window_start, event_type AS id,
+       arg_max(value, event_id) AS value
+FROM events GROUP BY ALL""")
+def poll_sampling(spark, sf_dir):
+    return agent.poll_sampling(_host_samples(_t(spark, sf_dir, "events")), POLL_EVERY)
+
+
+_REPORT_SQL = """
+SELECT user_id AS host, date_trunc('day', ts) AS window_start, event_type AS id, 'gauge' AS type,
+       CAST(NULL AS BIGINT) AS delta, arg_max(value, event_id) AS value
+FROM events GROUP BY ALL
+UNION ALL
+SELECT user_id, date_trunc('day', ts), 'PollCount', 'counter', count(*), CAST(NULL AS DOUBLE)
+FROM events GROUP BY ALL"""
+
+
+@register("report_windows", _REPORT_SQL)
+def report_windows(spark, sf_dir):
+    return agent.report_windows(_host_samples(_t(spark, sf_dir, "events")), REPORT_EVERY)
+
+
+@register("report_carry_forward", """
+WITH d AS (SELECT user_id AS host, event_type AS id, date_trunc('day', ts) AS day,
+                  arg_max(value, event_id) AS value FROM events GROUP BY ALL),
+f AS (SELECT host, id, min(day) AS first_day FROM d GROUP BY ALL),
+m AS (SELECT max(day) AS last_day FROM d),
+g AS (SELECT f.host, f.id, unnest(generate_series(f.first_day, m.last_day, INTERVAL 1 DAY)) AS day
+      FROM f, m)
+SELECT g.host, g.id, g.day + INTERVAL 1 DAY AS tick,
+       last_value(d.value IGNORE NULLS) OVER (PARTITION BY g.host, g.id ORDER BY g.day
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+FROM g LEFT JOIN d ON d.host = g.host AND d.id = g.id AND d.day = g.day""")
+def report_carry_forward(spark, sf_dir):
+    return agent.carry_forward(_host_samples(_t(spark, sf_dir, "events")), REPORT_EVERY)
+
+
+@register("report_envelopes", f"""
+SELECT host, window_start, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids,
+       round(sum(COALESCE(value, 0)), 4) AS total, sum(COALESCE(delta, 0)) AS polls
+FROM ({_REPORT_SQL}) GROUP BY host, window_start""")
+def report_envelopes(spark, sf_dir):
+    rep = agent.report_windows(_host_samples(_t(spark, sf_dir, "events")), REPORT_EVERY)
+    env = agent.report_envelopes(rep, ["host", "window_start"])
+    parsed = F.from_json("body", "array<struct<id:string,type:string,delta:bigint,value:double>>")
+    return env.select(
+        "host", "window_start", "n_items",
+        F.array_join(F.transform(parsed, lambda x: x["id"]), ",").alias("ids"),
+        F.round(F.aggregate(parsed, F.lit(0.0), lambda a, x: a + F.coalesce(x["value"], F.lit(0.0))),
+                4).alias("total"),
+        F.aggregate(parsed, F.lit(0).cast("bigint"),
+                    lambda a, x: a + F.coalesce(x["delta"], F.lit(0).cast("bigint"))).alias("polls"))
