@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import hmac as hmac_fn
 from tallyfold.functions import netaddr
-from tallyfold.operators import agent, envelope, fold, lookup, routing, security, validate
+from tallyfold.operators import (agent, envelope, fold, journal, lookup, retry, routing,
+                                 security, validate)
 from tallyfold.plans import pipeline
 from tallyfold.plans import sqlparts as S
 from tallyfold.schemas import KEY_TABLE_SCHEMA, UPDATE_SCHEMA
@@ -516,14 +517,16 @@ dec AS (
                    OR (type = 'gauge' AND value IS NULL) THEN 400
               WHEN method <> 'POST' THEN 405
               ELSE 200 END AS status,
-         request_id AS seq, id, type, delta, value, CAST(0 AS INTEGER) AS pos, 'p' AS kind
+         request_id AS seq, id, type, delta, value, CAST(0 AS INTEGER) AS pos, 'p' AS kind,
+         method, CASE WHEN cut THEN '/update/' || type || '/'
+                      ELSE '/update/' || type || '/' || id || '/' || seg_text END AS uri
   FROM p
   UNION ALL
   SELECT j.request_id * 3 + 1, 'json_update',
          CASE WHEN ju.user_id % 4 NOT IN (0, 1) THEN 403
               WHEN j.request_id % 9 <> 0 AND j.request_id % 10 = 0 THEN 400
               WHEN NOT {S.VALID} THEN 500 ELSE 200 END,
-         j.seq, j.id, j.type, j.delta, j.value, CAST(0 AS INTEGER), 'j'
+         j.seq, j.id, j.type, j.delta, j.value, CAST(0 AS INTEGER), 'j', 'POST', '/update'
   FROM j JOIN ju ON ju.event_id = j.seq
   UNION ALL
   SELECT bid * 3 + 2, 'json_batch',
@@ -532,7 +535,7 @@ dec AS (
               WHEN bid % 13 = 0 THEN 400
               WHEN bid % 11 = 0 THEN 200
               WHEN first_bad IS NOT NULL THEN 500 ELSE 200 END,
-         seq0, NULL, NULL, NULL, NULL, first_bad, 'b'
+         seq0, NULL, NULL, NULL, NULL, first_bad, 'b', 'POST', '/updates'
   FROM b)"""
 
 
@@ -676,3 +679,145 @@ def report_envelopes(spark, sf_dir):
                 4).alias("total"),
         F.aggregate(parsed, F.lit(0).cast("bigint"),
                     lambda a, x: a + F.coalesce(x["delta"], F.lit(0).cast("bigint"))).alias("polls"))
+
+
+# --------------------------------------------------------------------------
+# Step 11: audit journal, fan-out, access log
+# --------------------------------------------------------------------------
+
+_JOURNAL_SQL = f"""
+WITH p AS ({_PATH_PARSED_SQL}),
+e AS (SELECT event_id, user_id, ts FROM events),
+j AS ({S.event_items_sql('single')}),
+bi AS ({S.event_items_sql('batch')}),
+b AS (SELECT request_id AS bid, min(ts) AS ts0,
+             min(CASE WHEN {S.INVALID} THEN pos END) AS first_bad,
+             list(id ORDER BY pos) AS names
+      FROM bi GROUP BY request_id)
+SELECT p.request_id * 3 AS request_id, CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS ts,
+       [p.id] AS metrics, '192.168.0.' || CAST(e.user_id % 250 AS VARCHAR) AS ip_address
+FROM p JOIN e ON e.event_id = p.request_id
+WHERE p.uid % 4 IN (0, 1) AND p.is_path_route AND p.method = 'POST'
+  AND ((p.type = 'counter' AND p.delta IS NOT NULL) OR (p.type = 'gauge' AND p.value IS NOT NULL))
+UNION ALL
+SELECT j.request_id * 3 + 1, CAST(epoch_us(e.ts) // 1000000 AS BIGINT), [j.id],
+       '192.168.0.' || CAST(e.user_id % 250 AS VARCHAR)
+FROM j JOIN e ON e.event_id = j.seq
+WHERE e.user_id % 4 IN (0, 1) AND NOT (j.request_id % 9 <> 0 AND j.request_id % 10 = 0)
+UNION ALL
+SELECT bid * 3 + 2, CAST(epoch_us(ts0) // 1000000 AS BIGINT),
+       CASE WHEN bid % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE names END,
+       '192.168.0.' || CAST(bid % 250 AS VARCHAR)
+FROM b
+WHERE bid % 4 IN (0, 1) AND NOT (bid % 9 <> 0 AND bid % 10 = 0) AND bid % 13 <> 0
+  AND (bid % 11 = 0 OR first_bad IS NULL)"""
+
+
+def _decided(spark, sf_dir):
+    return pipeline.decide_requests(_request_log(spark, sf_dir), _edge(spark))
+
+
+@register("audit_journal", _JOURNAL_SQL)
+def audit_journal(spark, sf_dir):
+    return journal.journal_items(_decided(spark, sf_dir))
+
+
+@register("audit_fanout", f"""
+SELECT s.sink, j.ts, j.metrics, j.ip_address
+FROM ({_JOURNAL_SQL}) j, (VALUES (0), (1)) s(sink)""")
+def audit_fanout(spark, sf_dir):
+    items = journal.journal_items(_decided(spark, sf_dir))
+    sinks = [scratch_path(spark, "journal-a"), scratch_path(spark, "journal-b"), None]
+    out = journal.fan_out(items, sinks)
+    if not out.select("delivered").first()[0]:
+        raise RuntimeError("journal was not delivered to any sink")
+    out.unpersist()
+    parts = [snapshot_src.read_journal(spark, p).withColumn("sink", F.lit(i))
+             for i, p in enumerate(sinks[:2])]
+    return parts[0].unionByName(parts[1]).select("sink", "ts", "metrics", "ip_address")
+
+
+@register("access_log", _DECISIONS_SQL + """
+SELECT request_id, method, uri, status FROM dec""")
+def access_log(spark, sf_dir):
+    return journal.access_log(_decided(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Step 12: retry classification and plan
+# --------------------------------------------------------------------------
+
+_ATTEMPTS_SQL = f"""
+    SELECT event_id // 4 AS delivery_id, CAST(event_id % 4 + 1 AS INTEGER) AS attempt,
+           event_type = 'purchase' AS ok,
+           CASE WHEN k < 20 THEN 503 WHEN k < 40 THEN 429 WHEN k < 60 THEN 400 ELSE 0 END AS code,
+           CASE WHEN event_type = 'error' THEN 'connection refused' END AS message,
+           ['08000', '08003', '08006', '40000', '40001', '40P01', '57P03', '23505'][k % 8 + 1] AS sqlstate
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+_RETRIABLE_SQL = """CASE WHEN ok THEN FALSE
+         ELSE (COALESCE(message, '') LIKE '%connection refused%' OR COALESCE(message, '') LIKE '%no such host%'
+               OR COALESCE(message, '') LIKE '%timeout%' OR COALESCE(message, '') LIKE '%connection reset%'
+               OR COALESCE(message, '') LIKE '%network is unreachable%' OR COALESCE(message, '') LIKE '%EOF%'
+               OR COALESCE(code BETWEEN 500 AND 599 OR code IN (408, 429), FALSE)) END"""
+
+
+@register("retry_classification", f"""
+SELECT delivery_id, attempt, {_RETRIABLE_SQL} AS retriable,
+       COALESCE(sqlstate IN ('08000', '08003', '08006', '40000', '40001', '40P01', '57P03'), FALSE)
+         AS db_retriable
+FROM ({_ATTEMPTS_SQL})""")
+def retry_classification(spark, sf_dir):
+    a = tables.event_attempts(_t(spark, sf_dir, "events"))
+    return a.select("delivery_id", "attempt", retry.sender_retriable().alias("retriable"),
+                    retry.db_retriable().alias("db_retriable"))
+
+
+@register("retry_plan", f"""
+WITH a AS (SELECT delivery_id, attempt, ok, {_RETRIABLE_SQL} AS rt FROM ({_ATTEMPTS_SQL})),
+g AS (SELECT delivery_id,
+        bool_or(ok) FILTER (WHERE attempt = 1) AS ok1, bool_or(rt) FILTER (WHERE attempt = 1) AS rt1,
+        bool_or(ok) FILTER (WHERE attempt = 2) AS ok2, bool_or(rt) FILTER (WHERE attempt = 2) AS rt2,
+        bool_or(ok) FILTER (WHERE attempt = 3) AS ok3, bool_or(rt) FILTER (WHERE attempt = 3) AS rt3
+      FROM a GROUP BY delivery_id),
+m AS (SELECT *, CASE WHEN COALESCE(ok1, FALSE) OR NOT COALESCE(rt1, TRUE) THEN 1
+                     WHEN COALESCE(ok2, FALSE) OR NOT COALESCE(rt2, TRUE) THEN 2 ELSE 3 END AS attempts
+      FROM g)
+SELECT delivery_id, CAST(attempts AS INTEGER) AS attempts,
+       CASE attempts WHEN 1 THEN COALESCE(ok1, FALSE) WHEN 2 THEN COALESCE(ok2, FALSE)
+                     ELSE COALESCE(ok3, FALSE) END AS delivered,
+       CAST((CASE WHEN NOT COALESCE(ok1, FALSE) AND COALESCE(rt1, FALSE) THEN 1 ELSE 0 END)
+          + (CASE WHEN attempts >= 2 AND NOT COALESCE(ok2, FALSE) AND COALESCE(rt2, FALSE) THEN 3 ELSE 0 END)
+          + (CASE WHEN attempts >= 3 AND NOT COALESCE(ok3, FALSE) AND COALESCE(rt3, FALSE) THEN 5 ELSE 0 END)
+          AS INTEGER) AS wait_s
+FROM m""")
+def retry_plan(spark, sf_dir):
+    return retry.retry_plan(tables.event_attempts(_t(spark, sf_dir, "events")))
+
+
+# --------------------------------------------------------------------------
+# Step 14: rendering of reads
+# --------------------------------------------------------------------------
+
+@register("render_plain", f"""
+SELECT name, type, CASE WHEN type = 'counter' THEN CAST(delta AS VARCHAR)
+                        ELSE regexp_replace(CAST(value AS VARCHAR), '\.0$', '') END AS text
+FROM ({_STATE_SQL})""")
+def render_plain(spark, sf_dir):
+    st = state_fold(spark, sf_dir)
+    return st.select("name", "type", report.plain_value().alias("text"))
+
+
+_JSON_BODY_SQL = """'{"id":"' || name || '","type":"' || type || '",'
+    || CASE WHEN type = 'counter' THEN '"delta":' || CAST(delta AS VARCHAR)
+            ELSE '"value":' || CAST(value AS VARCHAR) END || '}'"""
+
+
+@register("render_json", f"""
+SELECT name, body, {_hmac_sql('encode(body)')} AS sig FROM (
+  SELECT name, {_JSON_BODY_SQL} AS body FROM ({_STATE_SQL}))""")
+def render_json(spark, sf_dir):
+    st = state_fold(spark, sf_dir)
+    body = report.json_value("name", "type", "delta", "value")
+    out = st.select("name", body.alias("body"))
+    return out.withColumn("sig", hmac_fn.sign_response("body", SIGN_KEY))

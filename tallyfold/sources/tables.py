@@ -17,6 +17,8 @@ BATCH_SIZE = 20          # request_id = event_id div 20, pos = event_id % 20
 BAD_DELTA_EVERY = 37     # event_id % 37 = 0 -> operand missing
 BAD_TYPE_EVERY = 41      # event_id % 41 = 0 -> type 'unknown'
 UNKNOWN_TYPE = "unknown"
+# SQLSTATEs given to delivery attempts by props.k % 8.
+SQLSTATES = ("08000", "08003", "08006", "40000", "40001", "40P01", "57P03", "23505")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +108,8 @@ def event_attempts(events: DataFrame) -> DataFrame:
         (F.col("event_type") == "purchase").alias("ok"),
         code.cast("int").alias("code"),
         F.when(F.col("event_type") == "error", F.lit("connection refused")).alias("message"),
-        F.lit(None).cast("string").alias("sqlstate"),
+        F.element_at(F.array(*[F.lit(x) for x in SQLSTATES]), (k % len(SQLSTATES) + 1).cast("int"))
+        .alias("sqlstate"),
     )
 
 
