@@ -21,6 +21,7 @@ from tallyfold.session import scratch_path
 from tallyfold.sinks import report
 from tallyfold.sinks import snapshot as snapshot_sink
 from tallyfold.sources import snapshot as snapshot_src
+from tallyfold.streaming import streams
 from tallyfold.sources import requests, tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -821,3 +822,65 @@ def render_json(spark, sf_dir):
     body = report.json_value("name", "type", "delta", "value")
     out = st.select("name", body.alias("body"))
     return out.withColumn("sig", hmac_fn.sign_response("body", SIGN_KEY))
+
+
+# --------------------------------------------------------------------------
+# Step 13: streaming forms (availableNow, several micro-batches)
+# --------------------------------------------------------------------------
+
+STREAM_FILES = 4
+
+
+def _event_stream(spark, sf_dir, name, where=None, order_by="event_id"):
+    ev = _t(spark, sf_dir, "events")
+    if where is not None:
+        ev = ev.where(where)
+    path = streams.staged_copy(ev, name, STREAM_FILES, order_by)
+    return streams.file_stream(spark, path, ev.schema, max_files=1)
+
+
+@register("stream_state_fold", _STATE_SQL)
+def stream_state_fold(spark, sf_dir):
+    src = _event_stream(spark, sf_dir, "stream-events")
+    table, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "ckpt")
+    streams.run_to_end(streams.stream_fold(tables.event_items(src, framing="single"), table, ckpt))
+    return snapshot_src.read_state_table(spark, table)
+
+
+@register("stream_snapshot", _STATE_SQL)
+def stream_snapshot(spark, sf_dir):
+    first, _ = _split_items(spark, sf_dir)
+    base_dir = scratch_path(spark, "restored")
+    snapshot_sink.write_snapshot(fold.fold_state(first), base_dir)
+    base = snapshot_src.read_state_table(spark, base_dir)
+    src = _event_stream(spark, sf_dir, "stream-rest",
+                        where=F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    table, ckpt = scratch_path(spark, "stream-snap"), scratch_path(spark, "ckpt")
+    q = streams.stream_fold(tables.event_items(src, framing="single"), table, ckpt,
+                            base=base, fmt="json")
+    streams.run_to_end(q)
+    return snapshot_src.read_snapshot_json(spark, snapshot_sink.latest_path(spark, table))
+
+
+STREAM_LATENESS = "2 days"
+
+
+@register("stream_report_windows", _REPORT_SQL)
+def stream_report_windows(spark, sf_dir):
+    src = _event_stream(spark, sf_dir, "stream-samples", order_by="ts")
+    table, ckpt = scratch_path(spark, "stream-reports"), scratch_path(spark, "ckpt")
+    q = streams.stream_report_windows(_host_samples(src), REPORT_EVERY, STREAM_LATENESS, table, ckpt)
+    streams.run_to_end(q)
+    out = spark.read.parquet(snapshot_sink.latest_path(spark, table))
+    return out.select("host", "window_start", "id", "type", "delta", "value")
+
+
+@register("stream_journal", f"""
+SELECT ts, metrics, ip_address FROM ({_JOURNAL_SQL}) WHERE request_id % 3 <> 2""")
+def stream_journal(spark, sf_dir):
+    src = _event_stream(spark, sf_dir, "stream-requests")
+    log = requests.event_request_log(src, SIGN_KEY, with_batches=False)
+    items = journal.journal_items(pipeline.decide_requests(log, _edge(spark)))
+    out, ckpt = scratch_path(spark, "stream-journal"), scratch_path(spark, "ckpt")
+    streams.run_to_end(streams.stream_journal(items, out, ckpt))
+    return snapshot_src.read_journal(spark, out)

@@ -200,13 +200,15 @@ def _signed(df: DataFrame, key: str, unit: F.Column) -> DataFrame:
     return df.withColumn("headers", hdrs)
 
 
-def event_request_log(events: DataFrame, sign_key: str) -> DataFrame:
+def event_request_log(events: DataFrame, sign_key: str, with_batches: bool = True) -> DataFrame:
     """Mixed request log: per event one path update (id 3e) and one JSON
     update (id 3e+1), per 20 events one JSON batch (id 3b+2). JSON bodies
     carry a HashSHA256 header by the injection rules above."""
     p = event_path_requests(events).withColumn("request_id", F.col("request_id") * 3)
     j = event_json_requests(events)
     j = _signed(j, sign_key, F.col("request_id")).withColumn("request_id", F.col("request_id") * 3 + 1)
+    if not with_batches:   # stateless form (for streams)
+        return p.unionByName(j)
     b = event_batch_requests(events)
     b = _signed(b, sign_key, F.col("request_id")).withColumn("request_id", F.col("request_id") * 3 + 2)
     return p.unionByName(j).unionByName(b)

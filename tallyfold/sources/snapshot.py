@@ -35,7 +35,7 @@ def read_snapshot_json(spark: SparkSession, path: str, multiline: bool = False)
 def read_state_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """One state version (parquet or JSON lines) with the typed hydrate."""
     if fmt == "json":
-        df = spark.read.schema(NULLABLE_STATE).json(path)
+        df = spark.read.schema(SNAPSHOT_RECORD).json(path).withColumnRenamed("id", "name")
     else:
         df = spark.read.schema(NULLABLE_STATE).parquet(path)
     return hydrate(df)
