@@ -12,11 +12,8 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Decimal octet grammar (no leading zeros) and IPv4-mapped prefix.
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -32,7 +29,7 @@ def ipv4_hex(text) -> Column:
     """Dotted IPv4 -> 8 hex digits, NULL if not a valid address."""
     t = _col(text)
     hexed = F.concat(*[
-        F.lpad(F.lower(F.hex(F.regexp_extract(t, IPV4_TEXT, i).cast("int"))), 2, "0")
+        F.lpad(F.lower(F.hex(F.regexp_extract(t, IPV4_TEXT, i).try_cast("int"))), 2, "0")
         for i in (1, 2, 3, 4)])
     return F.when(t.rlike(IPV4_TEXT), hexed)
 
@@ -42,64 +39,93 @@ def ipv4_number(text) -> Column:
     return F.conv(ipv4_hex(text), 16, 10).cast("bigint")
 
 
-_IP_STRUCT = T.StructType([
-    T.StructField("family", T.IntegerType()),
-    T.StructField("hex", T.StringType()),
-    T.StructField("zoned", T.BooleanType()),
-])
+def ipv6_hex(text) -> Column:
+    """IPv6 text (lower-case, no zone; optional dotted IPv4 tail) -> 32 hex
+    digits, NULL if invalid. One flat expression of regex functions (no
+    lambdas), so it stays in generated code and stays small when inlined.
+    """
+    a = _col(text)
+    tail_re = rf":{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+    has_dot = a.contains(".")
+    tail_hex = F.concat(*[
+        F.lpad(F.lower(F.hex(F.regexp_extract(a, tail_re, i).try_cast("int"))), 2, "0")
+        for i in (1, 2, 3, 4)])
+    b = F.when(has_dot, F.concat(
+        F.regexp_replace(a, r"[0-9.]+$", ""),
+        F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4))).otherwise(a)
+    n = F.size(F.regexp_extract_all(b, F.lit("[0-9a-f]+"), 0))
+    gap = a.contains("::")
+    ok = (
+        a.rlike(r"^[0-9a-f:.]+$") & ~a.rlike("::.*::") & ~a.rlike(":::")
+        & ~a.rlike(r"^:[^:]") & ~a.rlike(r"[^:]:$") & ~b.rlike("[0-9a-f]{5}")
+        & (~has_dot | a.rlike(tail_re))
+        & F.when(gap, n <= 7).otherwise(n == 8)
+    )
+    expanded = F.regexp_replace(
+        F.regexp_replace(b, "::", F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - n))), "^:|:$", "")
+    padded = F.regexp_replace(F.concat(F.lit(":"), expanded), ":", ":000")
+    return F.when(ok, F.regexp_replace(padded, r":0*([0-9a-f]{4})", "$1"))
+
+
+def ip_key(text, unmap: bool = True) -> Column:
+    """Address text -> one key string: '4' + 8 hex digits, '6' + 32 hex
+    digits, 'z' + 32 hex digits for a zoned IPv6 address; NULL if it does
+    not parse. Each parser appears once in the expression.
+    """
+    t = _col(text)
+    has_zone = t.contains("%")
+    zone_ok = ~has_zone | (F.substring_index(t, "%", -1) != "")
+    v6 = F.concat(F.when(has_zone, F.lit("z")).otherwise(F.lit("6")),
+                  ipv6_hex(F.lower(F.substring_index(t, "%", 1))))
+    if unmap:
+        v6 = F.regexp_replace(v6, f"^6{MAPPED_PREFIX}", "4")
+    return (F.when(~t.contains(":"), F.when(~has_zone, F.concat(F.lit("4"), ipv4_hex(t))))
+            .when(zone_ok, v6))
+
+
+def key_struct(key) -> Column:
+    """struct(family, hex, zoned) from an `ip_key`."""
+    k = _col(key)
+    return F.when(k.isNotNull(), F.struct(
+        F.when(k.startswith("4"), F.lit(4)).otherwise(F.lit(6)).alias("family"),
+        F.substring(k, 2, 32).alias("hex"),
+        k.startswith("z").alias("zoned")))
+
+
+def parse_ip(text, unmap: bool = True) -> Column:
+    """Address text -> struct(family, hex, zoned), NULL if it does not parse.
+
+    IPv4: dotted decimal, no leading zeros. IPv6: with optional zone
+    (`%name`, parses but is never inside a prefix); IPv4-mapped IPv6 is
+    unmapped to IPv4 when `unmap`. Prefer `with_ip` on DataFrames: it
+    computes the key once and the struct from it.
+    """
+    return key_struct(ip_key(text, unmap))
+
+
+def with_ip(df: DataFrame, text_col: str, out: str, unmap: bool = True) -> DataFrame:
+    """Adds `out` = parse_ip(text_col), computing the parse once."""
+    tmp = f"_{out}_key"
+    return df.withColumn(tmp, ip_key(F.col(text_col), unmap)) \
+        .withColumn(out, key_struct(tmp)).drop(tmp)
 
 
-def _parse_v6_text(x) -> tuple | None:
-    if x is None or not isinstance(x, str):
+def parse_ip_text(x: str | None) -> tuple | None:
+    """Reference parse in Python (tests): (family, hex, zoned) or None."""
+    if x is None:
         return None
     try:
         a = ipaddress.ip_address(x)
     except ValueError:
         return None
-    if a.version == 4:          # only reached for texts with ':' -> never
-        return None
+    if a.version == 4:
+        return (4, f"{int(a):08x}", False)
     zoned = a.scope_id is not None
     if a.ipv4_mapped is not None and not zoned:
         return (4, f"{int(a.ipv4_mapped):08x}", False)
     return (6, f"{int(a):032x}", zoned)
 
 
-@F.pandas_udf(_IP_STRUCT)
-def _ipv6_udf(s: pd.Series) -> pd.DataFrame:
-    parsed = [_parse_v6_text(x) for x in s]
-    return pd.DataFrame({
-        "family": pd.array([p[0] if p else None for p in parsed], dtype="Int32"),
-        "hex": [p[1] if p else None for p in parsed],
-        "zoned": pd.array([p[2] if p else None for p in parsed], dtype="boolean"),
-    })
-
-
-def with_ip(df: DataFrame, text_col: str, out: str, unmap: bool = True) -> DataFrame:
-    """Adds `out` = struct(family, hex, zoned) parsed from `text_col`
-    (NULL if it does not parse).
-
-    IPv4 text is parsed natively in one regex expression; only texts with
-    ':' (IPv6, with optional zone or dotted tail) are handed to an
-    Arrow-batched pandas UDF (the UDF sees NULL for all other rows).
-    """
-    t = F.col(text_col)
-    v6_in = F.when(t.contains(":"), t)
-    d = df.withColumn("_ip6", _ipv6_udf(v6_in))
-    v4 = ipv4_hex(t)
-    six = F.col("_ip6")
-    if not unmap:
-        # keep mapped addresses as IPv6 (prefix parsing)
-        six = F.when(six["family"] == 4, F.struct(
-            F.lit(6).alias("family"),
-            F.concat(F.lit(MAPPED_PREFIX), six["hex"]).alias("hex"),
-            F.lit(False).alias("zoned"))).otherwise(six)
-    parsed = F.when(~t.contains(":") & v4.isNotNull(),
-                    F.struct(F.lit(4).alias("family"), v4.alias("hex"),
-                             F.lit(False).alias("zoned"))) \
-        .when(t.contains(":"), six)
-    return d.withColumn(out, parsed).drop("_ip6")
-
-
 def _mask_hex(hexed: Column, bits: Column, width: Column, fill_ones: bool) -> Column:
     """Keep the first `bits` bits of a hex address; set (or clear) the rest."""
     full = (bits / 4).cast("int")
