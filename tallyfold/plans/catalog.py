@@ -802,7 +802,7 @@ def retry_plan(spark, sf_dir):
 
 @register("render_plain", f"""
 SELECT name, type, CASE WHEN type = 'counter' THEN CAST(delta AS VARCHAR)
-                        ELSE regexp_replace(CAST(value AS VARCHAR), '\.0$', '') END AS text
+                        ELSE regexp_replace(CAST(value AS VARCHAR), '[.]0$', '') END AS text
 FROM ({_STATE_SQL})""")
 def render_plain(spark, sf_dir):
     st = state_fold(spark, sf_dir)
