@@ -17,7 +17,7 @@ from tallyfold.operators import (agent, envelope, fold, journal, lookup, retry,
 from tallyfold.plans import pipeline
 from tallyfold.plans import sqlparts as S
 from tallyfold.schemas import KEY_TABLE_SCHEMA, UPDATE_SCHEMA
-from tallyfold.session import scratch_path
+from tallyfold.session import materialize, scratch_path
 from tallyfold.sinks import report
 from tallyfold.sinks import snapshot as snapshot_sink
 from tallyfold.sources import snapshot as snapshot_src
@@ -472,7 +472,8 @@ def encrypted_roundtrip(spark, sf_dir):
         F.get_json_object("body", "$.alg").alias("alg"), F.get_json_object("body", "$.k").alias("k"),
         F.get_json_object("body", "$.n").alias("n"), bad_d.alias("d"),
         F.get_json_object("body", "$.v").cast("int").alias("v")))).otherwise(F.col("body"))
-    opened = envelope.open_envelopes(sealed.withColumn("body", tampered), keys)
+    wire = materialize(sealed.withColumn("body", tampered), "wire")   # what was sent, stored once
+    opened = envelope.open_envelopes(wire, keys)
     ok = opened.where(F.col("decrypt_status").isNull()).withColumn("body", F.col("plain"))
     return fold.fold_state(requests.json_updates(ok).where(~F.col("bad")))
 
@@ -498,7 +499,12 @@ def _edge(spark) -> pipeline.EdgeConfig:
 
 
 def _request_log(spark, sf_dir):
-    return requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY)
+    """The derived request log, written once as a table in the shared
+    folder: it plays the part of a stored log, and the cut keeps Catalyst
+    from merging the log's own JSON/HMAC generation into every decision
+    that reads it."""
+    return materialize(requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY),
+                       "request-log")
 
 
 _DECISIONS_SQL = f"""

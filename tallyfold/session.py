@@ -81,3 +81,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def local_or_uri(path: str) -> str:
     return path if "://" in path else os.path.abspath(path)
+
+
+def materialize(df, name: str):
+    """Write `df` once as a Parquet table under the shared folder and read
+    it back: cuts the lineage (a lost executor recomputes from the table,
+    not from the sources) and stops Catalyst from re-deriving its columns
+    inside later projections. Costs one write, unlike an eager
+    `checkpoint()`, which computes the plan twice when it is not cached."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    par = spark.sparkContext.defaultParallelism
+    out = df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    out.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -22,7 +22,19 @@ SQLSTATES = ("08000", "08003", "08006", "40000", "40001", "40P01", "57P03", "235
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan one table. A table that comes in fewer splits than the cluster
+    has cores (a small file is one split) is spread over all cores with a
+    round-robin repartition, so per-row work (JSON, HMAC, regex) is not
+    left to one task; large tables already have many splits and are read
+    as they are (no shuffle)."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def props_k() -> F.Column:
