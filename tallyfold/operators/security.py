@@ -66,8 +66,12 @@ def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str =
     filter, so nothing is replicated. `how` is 'inner' (pairs) or
     'left_semi' (addresses inside any subnet).
     """
-    a = netaddr.with_ip(addresses.withColumn("_a_t", F.trim(F.col(ip_col))), "_a_t", "_a") \
-        .drop("_a_t")
+    # the parsed address is generator output: the join's inferred
+    # `_a IS NOT NULL` filters then stay above the parse instead of being
+    # pushed into the scan with the whole parse inlined (see barrier.py)
+    keyed = addresses.withColumn("_a_key", netaddr.ip_key(F.trim(F.col(ip_col))))
+    a = keyed.select("*", F.explode_outer(F.array(netaddr.key_struct("_a_key"))).alias("_a")) \
+        .drop("_a_key")
     s = subnets.select(F.col("cidr"), F.col("family").alias("_fam"),
                        F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     cond = netaddr.in_prefix(F.col("_a"), F.col("_fam"), F.col("_lo"), F.col("_hi"))

@@ -17,7 +17,7 @@ from tallyfold.operators import (agent, envelope, fold, journal, lookup, retry,
 from tallyfold.plans import pipeline
 from tallyfold.plans import sqlparts as S
 from tallyfold.schemas import KEY_TABLE_SCHEMA, UPDATE_SCHEMA
-from tallyfold.session import materialize, scratch_path
+from tallyfold.session import materialize, path_exists, scratch_path, write_table
 from tallyfold.sinks import report
 from tallyfold.sinks import snapshot as snapshot_sink
 from tallyfold.sources import snapshot as snapshot_src
@@ -503,8 +503,17 @@ def _request_log(spark, sf_dir):
     folder: it plays the part of a stored log, and the cut keeps Catalyst
     from merging the log's own JSON/HMAC generation into every decision
     that reads it."""
-    return materialize(requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY),
-                       "request-log")
+    key = (spark.sparkContext.applicationId, sf_dir, "request-log")
+    path = _STORED.get(key)
+    if path is None or not path_exists(spark, path):
+        path = scratch_path(spark, "request-log")
+        write_table(requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY), path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
+# Derived inputs stored once per session and input folder (like stored tables).
+_STORED: dict[tuple, str] = {}
 
 
 _DECISIONS_SQL = f"""

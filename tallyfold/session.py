@@ -89,9 +89,13 @@ def materialize(df, name: str):
     not from the sources) and stops Catalyst from re-deriving its columns
     inside later projections. Costs one write, unlike an eager
     `checkpoint()`, which computes the plan twice when it is not cached."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    par = spark.sparkContext.defaultParallelism
+    path = scratch_path(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_table(df, path: str) -> None:
+    """Write a Parquet table, spread over at least all cores."""
+    par = df.sparkSession.sparkContext.defaultParallelism
     out = df.repartition(par) if df.rdd.getNumPartitions() < par else df
     out.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
