@@ -121,3 +121,24 @@ def test_retry_plan_cases(spark):
 def test_db_retriable(spark):
     df = spark.createDataFrame([("40001",), ("23505",), (None,)], "sqlstate string")
     assert [r[0] for r in df.select(retry.db_retriable()).collect()] == [True, False, False]
+
+
+def test_outgoing_checks_and_path_record(spark):
+    from tallyfold.operators.validate import outgoing_reason
+    from tallyfold.sinks.report import path_record
+    df = spark.createDataFrame([("", "counter", 5, None), ("g", "gauge", None, 1.5), ("c", "counter", None, None),
+                                ("x", "other", 1, None), ("h", "gauge", None, 5e-7)],
+                               "id string, type string, delta long, value double")
+    out = df.select("id", outgoing_reason().alias("r"), path_record().alias("p")).collect()
+    got = {r.id: (r.r, r.p) for r in out}
+    assert got[""] == (None, "/update/counter//5")          # the id is not checked on send
+    assert got["g"] == (None, "/update/gauge/g/1.500000")
+    assert got["c"][0] == "missing required field: delta"
+    assert got["x"][0] == "unsupported metric type: other"
+    assert got["h"][1] == "/update/gauge/h/0.000000"       # exact %f rounding
+
+
+def test_reader_union(spark):
+    s = spark.createDataFrame([(1, 100, 40, [1.0])], "sample_id long, TotalMemory long, FreeMemory long, cpu array<double>")
+    u = agent.all_readers(agent.system_gauges(s, ["sample_id"]), agent.self_metrics(s, ["sample_id"], seed=3))
+    assert sorted(r.id for r in u.collect()) == ["CPUutilization1", "FreeMemory", "PollCount", "RandomValue", "TotalMemory"]
