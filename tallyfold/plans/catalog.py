@@ -859,7 +859,7 @@ def stream_state_fold(spark, sf_dir):
     src = _event_stream(spark, sf_dir, "stream-events")
     table, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "ckpt")
     streams.run_to_end(streams.stream_fold(tables.event_items(src, framing="single"), table, ckpt))
-    return snapshot_src.read_state_table(spark, table)
+    return streams.read_change_log(spark, table, ["name", "type"])
 
 
 @register("stream_snapshot", _STATE_SQL)
@@ -872,7 +872,7 @@ def stream_snapshot(spark, sf_dir):
                         where=F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
     table, ckpt = scratch_path(spark, "stream-snap"), scratch_path(spark, "ckpt")
     q = streams.stream_fold(tables.event_items(src, framing="single"), table, ckpt,
-                            base=base, fmt="json")
+                            base=base, fmt="json", snapshots=True)
     streams.run_to_end(q)
     return snapshot_src.read_snapshot_json(spark, snapshot_sink.latest_path(spark, table))
 
@@ -886,7 +886,7 @@ def stream_report_windows(spark, sf_dir):
     table, ckpt = scratch_path(spark, "stream-reports"), scratch_path(spark, "ckpt")
     q = streams.stream_report_windows(_host_samples(src), REPORT_EVERY, STREAM_LATENESS, table, ckpt)
     streams.run_to_end(q)
-    out = spark.read.parquet(snapshot_sink.latest_path(spark, table))
+    out = streams.read_change_log(spark, table, ["host", "window_start", "id"])
     return out.select("host", "window_start", "id", "type", "delta", "value")
 
 

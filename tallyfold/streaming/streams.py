@@ -4,14 +4,17 @@
   fold, as a streaming aggregate in update mode; no watermark is needed
   because the state is one row per key (as the service keeps it), kept in
   the RocksDB state store.
-* J4/J5 snapshots: every micro-batch upserts the changed keys into the
-  state table as a new version named by the batch id. A replayed batch
-  finds its version already committed and does nothing, so the sink is
-  idempotent; `availableNow` is the final flush.
+* J1 sink: every micro-batch appends only its changed keys to a change
+  log (`batch_id=N`); readers take the latest row per key (merge-on-read),
+  so a batch costs O(changed keys), never a rewrite of the state.
+* J4/J5 snapshots: with `snapshots=True` each trigger (a long interval)
+  publishes upsert(latest, changed) as a version named by the batch id.
+  A replayed batch finds its folder committed and does nothing, so both
+  sinks are idempotent; `availableNow` is the final flush.
 * J6 restore: a restored base state enters the batch function: counters
   add the stream totals to the base, gauges take the stream value.
-* J3 report windows: `withWatermark` + `window`, update mode, upserted by
-  (host, window, id); rows later than the watermark are dropped.
+* J3 report windows: `withWatermark` + `window`, update mode, change log
+  keyed by (host, window, id); rows later than the watermark are dropped.
 * J7 bounded work: `maxFilesPerTrigger` on the file source.
 * J8 journal: a stateless projection of the request stream, appended to
   a JSON file sink.
@@ -83,37 +86,82 @@ def upsert_batch_writer(table_dir: str, fmt: str = "parquet", base: DataFrame |
     return write
 
 
+CHANGE_PREFIX = "batch_id="
+
+
+def committed_changes(spark: SparkSession, table_dir: str) -> list[str]:
+    """Committed change folders (`batch_id=N` with `_SUCCESS`)."""
+    fs, p = snap._fs(spark, table_dir)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(CHANGE_PREFIX) \
+                and fs.exists(st.getPath().suffix("/_SUCCESS")):
+            out.append(f"{table_dir}/{name}")
+    return sorted(out)
+
+
+def change_log_writer(table_dir: str, base: DataFrame | None = None):
+    """foreachBatch function for update-mode aggregates: append the changed
+    rows of batch N under `batch_id=N` (O(changed keys) per batch, never a
+    rewrite); a replayed batch whose folder is committed is skipped."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        path = f"{table_dir}/{CHANGE_PREFIX}{batch_id}"
+        if path in committed_changes(batch.sparkSession, table_dir):
+            return
+        _combine_with_base(batch, base).write.mode("errorifexists").parquet(path)
+    return write
+
+
+def read_change_log(spark: SparkSession, table_dir: str, keys: list[str],
+                    base: DataFrame | None = None) -> DataFrame:
+    """Merge-on-read: the latest row of each key over all committed batches
+    (and a base table before them). One partial + final aggregate."""
+    paths = committed_changes(spark, table_dir)
+    parts = []
+    if paths:
+        parts.append(spark.read.option("basePath", table_dir).parquet(*paths))
+    if base is not None:
+        parts.append(base.withColumn("batch_id", F.lit(-1)))
+    if not parts:
+        raise ValueError(f"no committed changes under {table_dir}")
+    allrows = parts[0]
+    for p in parts[1:]:
+        allrows = allrows.unionByName(p, allowMissingColumns=True)
+    cols = [c for c in allrows.columns if c not in keys and c != "batch_id"]
+    last = F.max_by(F.struct(*cols), F.col("batch_id").cast("bigint"))
+    return allrows.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in cols])
+
+
 def stream_fold(updates: DataFrame, table_dir: str, checkpoint: str, base: DataFrame | None = None,
-                trigger: str | None = None, fmt: str = "parquet"):
-    """J1 (+J4/J6): fold an update stream into a versioned state table.
-    Returns the started query (`availableNow` when `trigger` is None)."""
+                trigger: str | None = None, fmt: str = "parquet", snapshots: bool = False):
+    """J1 (+J4/J6): fold an update stream into a state table.
+
+    Default: a change log (merge-on-read, `read_change_log`); with
+    `snapshots=True` every trigger publishes a full snapshot version (J4:
+    meant for a long `trigger` interval such as '300 seconds').
+    Returns the started query (`availableNow` when `trigger` is None).
+    """
     state = fold.fold_state(updates)
+    writer = upsert_batch_writer(table_dir, fmt, base) if snapshots \
+        else change_log_writer(table_dir, base)
     w = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
-        .foreachBatch(upsert_batch_writer(table_dir, fmt, base))
+        .foreachBatch(writer)
     return _trigger(w, trigger).start()
 
 
 def stream_report_windows(samples: DataFrame, every: str, lateness: str, table_dir: str,
                           checkpoint: str, trigger: str | None = None):
-    """Report windows per host over a sample stream with a watermark."""
+    """Report windows per host over a sample stream with a watermark;
+    changed windows are appended to a change log keyed by
+    (host, window_start, id); rows later than the watermark are dropped."""
     s = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    rep = agent.report_windows(s, every)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id in snap.committed_versions(spark, table_dir):
-            return
-        b = batch.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-        keys = ["host", "window_start", "id"]
-        if snap.committed_versions(spark, table_dir):
-            current = _read_latest(spark, table_dir)
-            merged = current.join(b.select(*keys), keys, "left_anti").unionByName(b)
-        else:
-            merged = b
-        merged.write.mode("errorifexists").parquet(f"{table_dir}/{snap.VERSION_PREFIX}{batch_id}")
-
+    rep = agent.report_windows(s, every) \
+        .withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     w = rep.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
-        .foreachBatch(write)
+        .foreachBatch(change_log_writer(table_dir))
     return _trigger(w, trigger).start()
 
 
