@@ -96,5 +96,23 @@ def int_text(x) -> Column:
 
 
 def unix_seconds(ts) -> Column:
-    """Unix seconds of a TIMESTAMP_NTZ event time (no wall clock)."""
-    return F.unix_timestamp(_col(ts).cast("timestamp"))
+    """Unix seconds (floor) of a TIMESTAMP_NTZ event time: independent of
+    the session time zone, never the wall clock."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", epoch, _col(ts).cast("timestamp_ntz"))
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_as_utc(ts) -> Column:
+    """TIMESTAMP_NTZ wall time read as UTC -> TIMESTAMP (for watermarks),
+    whatever the session time zone."""
+    epoch = F.lit(_EPOCH_NTZ).cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, _col(ts)))
+
+
+def utc_as_ntz(ts) -> Column:
+    """Inverse of `ntz_as_utc`."""
+    epoch = F.lit(_EPOCH_NTZ).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), epoch)

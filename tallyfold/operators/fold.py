@@ -125,7 +125,7 @@ def running_state(updates: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
         F.when(F.col("type") == GAUGE, F.col("value")).alias("value"),
     )
     c = u.where(F.col("type") == COUNTER).withColumn(
-        "chunk", F.floor(F.col("seq") / F.lit(chunk_rows)).cast("bigint"))
+        "chunk", F.expr(f"seq DIV {int(chunk_rows)}"))
     w_local = Window.partitionBy("type", "id", "chunk").orderBy("seq").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = c.withColumn("local_sum", F.sum("delta").over(w_local))

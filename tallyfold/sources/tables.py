@@ -59,7 +59,7 @@ def event_items(events: DataFrame, framing: str = "batch", inject_invalid: bool
         typ = F.when((eid % BAD_TYPE_EVERY) == 0, F.lit(UNKNOWN_TYPE)).otherwise(typ)
         has_operand = (eid % BAD_DELTA_EVERY) != 0
     if framing == "batch":
-        rid, pos = F.floor(eid / BATCH_SIZE).cast("bigint"), (eid % BATCH_SIZE).cast("int")
+        rid, pos = F.expr(f"event_id DIV {BATCH_SIZE}"), (eid % BATCH_SIZE).cast("int")
     elif framing == "single":
         rid, pos = eid, F.lit(0)
     else:
@@ -115,7 +115,7 @@ def event_attempts(events: DataFrame) -> DataFrame:
     k = props_k()
     code = F.when(k < 20, 503).when(k < 40, 429).when(k < 60, 400).otherwise(0)
     return events.select(
-        F.floor(F.col("event_id") / 4).cast("bigint").alias("delivery_id"),
+        F.expr("event_id DIV 4").alias("delivery_id"),
         ((F.col("event_id") % 4) + 1).cast("int").alias("attempt"),
         (F.col("event_type") == "purchase").alias("ok"),
         code.cast("int").alias("code"),

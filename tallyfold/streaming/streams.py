@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.functions.render import ntz_as_utc, utc_as_ntz
 from tallyfold.operators import agent, fold
 from tallyfold.schemas import COUNTER, GAUGE
 from tallyfold.session import path_exists, scratch_path
@@ -157,9 +158,9 @@ def stream_report_windows(samples: DataFrame, every: str, lateness: str, table_d
     """Report windows per host over a sample stream with a watermark;
     changed windows are appended to a change log keyed by
     (host, window_start, id); rows later than the watermark are dropped."""
-    s = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    rep = agent.report_windows(s, every) \
-        .withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    # watermarks need TIMESTAMP: the NTZ event time is read as UTC both ways
+    s = samples.withColumn("ts", ntz_as_utc("ts")).withWatermark("ts", lateness)
+    rep = agent.report_windows(s, every).withColumn("window_start", utc_as_ntz("window_start"))
     w = rep.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
         .foreachBatch(change_log_writer(table_dir))
     return _trigger(w, trigger).start()
