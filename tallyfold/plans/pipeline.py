@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions import jsonwire
-from tallyfold.operators import envelope, fold, lookup, routing, security, validate
+from tallyfold.operators import envelope, fold, routing, security, validate
 from tallyfold.operators.routing import (R_JSON_BATCH, R_JSON_UPDATE, R_JSON_VALUE, R_LIST,
                                          R_PATH_UPDATE, R_PATH_VALUE, R_PING)
 from tallyfold.schemas import COUNTER, GAUGE
@@ -100,10 +100,18 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
     d = d.withColumn("s_validate", F.coalesce(
         F.col("s_validate"), F.when((r == R_JSON_BATCH) & F.col("first_bad").isNotNull(), F.lit(500))))
     if state is not None:
-        look = d.where(r.isin(R_JSON_VALUE, R_PATH_VALUE)).select("request_id", "type", "id")
-        found = lookup.read_all(look, state).select("request_id", F.col("status").alias("s_lookup"))
-        d = d.join(found, "request_id", "left")
-        d = d.withColumn("s_lookup", F.when(F.col("s_lookup") == 404, F.lit(404)))
+        # one left join on the key, limited to read routes in the ON clause
+        # (the state has one row per key: Spark broadcasts it when small)
+        s = state.select(F.col("type").alias("_st"), F.col("name").alias("_sn"),
+                         F.col("delta").alias("_sd"), F.col("value").alias("_sv"))
+        on = r.isin(R_JSON_VALUE, R_PATH_VALUE) & (F.col("type") == F.col("_st")) \
+            & (F.col("id") == F.col("_sn"))
+        d = d.join(s, on, "left")
+        d = d.withColumn("s_lookup", F.when(r.isin(R_JSON_VALUE, R_PATH_VALUE)
+                                            & F.col("_sn").isNull(), F.lit(404))) \
+             .withColumn("found_delta", F.when(F.col("_st") == COUNTER, F.col("_sd"))) \
+             .withColumn("found_value", F.when(F.col("_st") == GAUGE, F.col("_sv"))) \
+             .drop("_st", "_sn", "_sd", "_sv")
     else:
         d = d.withColumn("s_lookup", F.when(r.isin(R_JSON_VALUE, R_PATH_VALUE), F.lit(404)))
     early = F.coalesce("s_subnet", "s_route", "s_sig", "decrypt_status", "s_parse",
