@@ -899,3 +899,38 @@ def stream_journal(spark, sf_dir):
     out, ckpt = scratch_path(spark, "stream-journal"), scratch_path(spark, "ckpt")
     streams.run_to_end(streams.stream_journal(items, out, ckpt))
     return snapshot_src.read_journal(spark, out)
+
+
+# --------------------------------------------------------------------------
+# L2: reads through the decision chain (JSON and path routes)
+# --------------------------------------------------------------------------
+
+def _read_requests(events):
+    """One read per event: JSON `POST /value` for even ids, `GET /value/..`
+    for odd ids; every 7th asks for a key that does not exist."""
+    lk = _lookups(events)
+    even = (F.col("request_id") % 2) == 0
+    return lk.select(
+        "request_id", F.col("request_id").alias("seq"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.when(even, F.lit("POST")).otherwise(F.lit("GET")).alias("method"),
+        F.when(even, F.lit("/value")).otherwise(
+            F.concat_ws("/", F.lit("/value"), "type", "id")).alias("path"),
+        F.create_map().cast("map<string,string>").alias("headers"),
+        F.when(even, F.to_json(F.struct("id", "type"))).alias("body"),
+        F.lit("127.0.0.1:5000").alias("remote_addr"))
+
+
+@register("read_requests", f"""
+WITH l AS ({_LOOKUPS_SQL}), st AS ({_STATE_SQL})
+SELECT l.request_id,
+       CASE WHEN l.request_id % 2 = 0 THEN 'json_value' ELSE 'path_value' END AS route,
+       CASE WHEN st.name IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN st.name IS NULL THEN NULL
+            WHEN l.type = 'counter' THEN CAST(st.delta AS VARCHAR)
+            ELSE regexp_replace(CAST(st.value AS VARCHAR), '[.]0$', '') END AS text
+FROM l LEFT JOIN st ON st.type = l.type AND st.name = l.id""")
+def read_requests(spark, sf_dir):
+    reads = _read_requests(_t(spark, sf_dir, "events"))
+    d = pipeline.decide_requests(reads, pipeline.EdgeConfig(), state=state_fold(spark, sf_dir))
+    text = F.when(F.col("status") == 200, report.plain_value("type", "found_delta", "found_value"))
+    return d.select("request_id", "route", "status", text.alias("text"))
