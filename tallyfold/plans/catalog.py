@@ -934,3 +934,13 @@ def read_requests(spark, sf_dir):
     d = pipeline.decide_requests(reads, pipeline.EdgeConfig(), state=state_fold(spark, sf_dir))
     text = F.when(F.col("status") == 200, report.plain_value("type", "found_delta", "found_value"))
     return d.select("request_id", "route", "status", text.alias("text"))
+
+
+@register("stream_carry_forward", """
+SELECT user_id AS host, event_type AS id, arg_max(value, event_id) AS value
+FROM events GROUP BY ALL""")
+def stream_carry_forward(spark, sf_dir):
+    src = _event_stream(spark, sf_dir, "stream-buffer")
+    out, ckpt = scratch_path(spark, "stream-ticks"), scratch_path(spark, "ckpt")
+    streams.run_to_end(streams.stream_carry_forward(_host_samples(src), out, ckpt))
+    return streams.read_tick(spark, out).select("host", "id", "value")

@@ -166,6 +166,34 @@ def stream_report_windows(samples: DataFrame, every: str, lateness: str, table_d
     return _trigger(w, trigger).start()
 
 
+def stream_carry_forward(samples: DataFrame, out_dir: str, checkpoint: str,
+                         trigger: str | None = None, host: str = "host"):
+    """J3/D5 in streaming: at every trigger (a report tick) every id the
+    host has ever sent, with its latest value. A complete-mode aggregate
+    is exactly that buffer (state = one row per host and id, never
+    cleared); each tick is written as its own folder `batch_id=N`."""
+    buf = samples.groupBy(host, "id").agg(F.max_by("value", "seq").alias("value"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        path = f"{out_dir}/{CHANGE_PREFIX}{batch_id}"
+        if path in committed_changes(batch.sparkSession, out_dir):
+            return
+        batch.write.mode("errorifexists").parquet(path)
+
+    w = buf.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
+        .foreachBatch(write)
+    return _trigger(w, trigger).start()
+
+
+def read_tick(spark: SparkSession, out_dir: str, tick: int | None = None) -> DataFrame:
+    """One report tick written by `stream_carry_forward` (default: last)."""
+    paths = committed_changes(spark, out_dir)
+    if not paths:
+        raise ValueError(f"no committed ticks under {out_dir}")
+    by_id = {int(p.rsplit("=", 1)[1]): p for p in paths}
+    return spark.read.parquet(by_id[max(by_id) if tick is None else tick])
+
+
 def stream_journal(items: DataFrame, out_dir: str, checkpoint: str, trigger: str | None = None):
     """Append journal items of a request stream to a JSON file sink."""
     w = items.select("ts", "metrics", "ip_address").writeStream.format("json") \
