@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.render import unix_seconds
 from tallyfold.operators.barrier import late_filter
+from tallyfold.schemas import JOURNAL_SCHEMA
 from tallyfold.operators.routing import R_JSON_BATCH, R_JSON_UPDATE, R_PATH_UPDATE, client_ip
 
 
@@ -47,17 +48,24 @@ def write_journal(items: DataFrame, path: str | None) -> bool:
 
 
 def fan_out(items: DataFrame, sinks: list[str | None]) -> DataFrame:
-    """B4 + E7: write the items to every sink; per item `delivered` is the
-    any-of over sink outcomes (False when no sink is registered). The
-    items are persisted once so every sink writes the same rows."""
-    cached = items.persist()
+    """B4 + E7: write the items to every sink; `delivered` is the any-of
+    over sink outcomes (False when no sink is registered).
+
+    The items are computed once: the first sink that takes them becomes
+    the source for the others (a read of written files, which survives a
+    lost executor, instead of a cache in executor memory)."""
+    spark = items.sparkSession
+    source = items
     outcomes = []
     for s in sinks:
         try:
-            outcomes.append(write_journal(cached, s))
+            ok = write_journal(source, s)
         except Exception:  # a failing sink does not stop the others
-            outcomes.append(False)
-    return cached.withColumn("delivered", F.lit(any(outcomes))) \
+            ok = False
+        if ok and source is items:
+            source = spark.read.schema(JOURNAL_SCHEMA).json(s)
+        outcomes.append(ok)
+    return source.withColumn("delivered", F.lit(any(outcomes))) \
         .withColumn("n_sinks_ok", F.lit(sum(outcomes)))
 
 

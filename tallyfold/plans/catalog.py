@@ -747,7 +747,6 @@ def audit_fanout(spark, sf_dir):
     out = journal.fan_out(items, sinks)
     if not out.select("delivered").first()[0]:
         raise RuntimeError("journal was not delivered to any sink")
-    out.unpersist()
     parts = [snapshot_src.read_journal(spark, p).withColumn("sink", F.lit(i))
              for i, p in enumerate(sinks[:2])]
     return parts[0].unionByName(parts[1]).select("sink", "ts", "metrics", "ip_address")
