@@ -130,3 +130,26 @@ def test_subnet_and_signature_in_chain(spark):
     ])
     d = pipeline.decide_requests(log, pipeline.EdgeConfig(trusted_cidr="127.0.0.0/8", sign_key="k"))
     assert dict(d.select("request_id", "status").collect()) == {0: 200, 1: 400, 2: 403, 3: 400, 4: 200}
+
+
+def test_encrypted_requests_in_chain(spark):
+    import hashlib
+    from tallyfold.operators import envelope
+    keys = spark.createDataFrame([("k0", bytearray(hashlib.sha256(b"key").digest()))],
+                                 "key_id string, data_key binary")
+    body = '{"id":"g2","type":"gauge","value":2.34}'
+    sealed = spark.createDataFrame([(body,)], "b string").crossJoin(keys) \
+        .select(envelope.seal("b", "data_key", "key_id").alias("e")).first().e
+    import json as _json
+    env = _json.loads(sealed)
+    bad = _json.dumps({**env, "d": ("B" if env["d"][0] == "A" else "A") + env["d"][1:]})
+    hdr = {"X-Encrypted": envelope.HEADER_VALUE}
+    log = _log(spark, [("POST", "/update", sealed, hdr), ("POST", "/update", bad, hdr),
+                       ("POST", "/update", body, None)])
+    cfg = pipeline.EdgeConfig(keys=keys)
+    d = pipeline.decide_requests(log, cfg)
+    assert dict(d.select("request_id", "status").collect()) == {0: 200, 1: 400, 2: 200}
+    st = {(r.name, r.type): r.value for r in pipeline.ingest(log, cfg).collect()}
+    assert st == {("g2", "gauge"): 2.34}
+    nokey = pipeline.decide_requests(log, pipeline.EdgeConfig())
+    assert dict(nokey.select("request_id", "status").collect()) == {0: 500, 1: 500, 2: 200}
