@@ -701,7 +701,7 @@ def report_envelopes(spark, sf_dir):
 # Step 11: audit journal, fan-out, access log
 # --------------------------------------------------------------------------
 
-_JOURNAL_SQL = f"""
+_JOURNAL_WITH = f"""
 WITH p AS ({_PATH_PARSED_SQL}),
 e AS (SELECT event_id, user_id, ts FROM events),
 j AS ({S.event_items_sql('single')}),
@@ -709,25 +709,31 @@ bi AS ({S.event_items_sql('batch')}),
 b AS (SELECT request_id AS bid, min(ts) AS ts0,
              min(CASE WHEN {S.INVALID} THEN pos END) AS first_bad,
              list(id ORDER BY pos) AS names
-      FROM bi GROUP BY request_id)
+      FROM bi GROUP BY request_id)"""
+
+_JOURNAL_PATH = """
 SELECT p.request_id * 3 AS request_id, CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS ts,
        [p.id] AS metrics, '192.168.0.' || CAST(e.user_id % 250 AS VARCHAR) AS ip_address
 FROM p JOIN e ON e.event_id = p.request_id
 WHERE p.uid % 4 IN (0, 1) AND p.is_path_route AND p.method = 'POST'
-  AND ((p.type = 'counter' AND p.delta IS NOT NULL) OR (p.type = 'gauge' AND p.value IS NOT NULL))
-UNION ALL
-SELECT j.request_id * 3 + 1, CAST(epoch_us(e.ts) // 1000000 AS BIGINT), [j.id],
-       '192.168.0.' || CAST(e.user_id % 250 AS VARCHAR)
+  AND ((p.type = 'counter' AND p.delta IS NOT NULL) OR (p.type = 'gauge' AND p.value IS NOT NULL))"""
+
+_JOURNAL_JSON = """
+SELECT j.request_id * 3 + 1 AS request_id, CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS ts,
+       [j.id] AS metrics, '192.168.0.' || CAST(e.user_id % 250 AS VARCHAR) AS ip_address
 FROM j JOIN e ON e.event_id = j.seq
-WHERE e.user_id % 4 IN (0, 1) AND NOT (j.request_id % 9 <> 0 AND j.request_id % 10 = 0)
-UNION ALL
-SELECT bid * 3 + 2, CAST(epoch_us(ts0) // 1000000 AS BIGINT),
-       CASE WHEN bid % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE names END,
-       '192.168.0.' || CAST(bid % 250 AS VARCHAR)
+WHERE e.user_id % 4 IN (0, 1) AND NOT (j.request_id % 9 <> 0 AND j.request_id % 10 = 0)"""
+
+_JOURNAL_BATCH = """
+SELECT bid * 3 + 2 AS request_id, CAST(epoch_us(ts0) // 1000000 AS BIGINT) AS ts,
+       CASE WHEN bid % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE names END AS metrics,
+       '192.168.0.' || CAST(bid % 250 AS VARCHAR) AS ip_address
 FROM b
 WHERE bid % 4 IN (0, 1) AND NOT (bid % 9 <> 0 AND bid % 10 = 0) AND bid % 13 <> 0
   AND (bid % 11 = 0 OR first_bad IS NULL)"""
 
+_JOURNAL_SQL = _JOURNAL_WITH + _JOURNAL_PATH + "\nUNION ALL" + _JOURNAL_JSON + "\nUNION ALL" + _JOURNAL_BATCH
+
 
 def _decided(spark, sf_dir):
     return pipeline.decide_requests(_request_log(spark, sf_dir), _edge(spark))
@@ -889,8 +895,8 @@ def stream_report_windows(spark, sf_dir):
     return out.select("host", "window_start", "id", "type", "delta", "value")
 
 
-@register("stream_journal", f"""
-SELECT ts, metrics, ip_address FROM ({_JOURNAL_SQL}) WHERE request_id % 3 <> 2""")
+@register("stream_journal", _JOURNAL_WITH + """
+SELECT ts, metrics, ip_address FROM (""" + _JOURNAL_PATH + "\nUNION ALL" + _JOURNAL_JSON + ")")
 def stream_journal(spark, sf_dir):
     src = _event_stream(spark, sf_dir, "stream-requests")
     log = requests.event_request_log(src, SIGN_KEY, with_batches=False)
