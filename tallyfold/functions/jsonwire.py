@@ -13,7 +13,7 @@ merged item schema from `schema_of_variant` (one JVM expression).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.schemas import WIRE_ITEM_DDL
@@ -87,3 +87,43 @@ def encode_update(id_col, type_col, delta_col, value_col) -> Column:
             _col(value_col).alias("value"),
         )
     )
+
+
+# ------------------------------------------------------------------ staged
+# DataFrame forms: the body is parsed once into its own column and the
+# fields are read from it in a later projection. `from_json` runs without
+# generated code, so a struct built from several references to one
+# `from_json` (as the Column forms above do) would parse the body once per
+# field; a separate column is referenced by name and parsed once.
+
+def with_single(df: DataFrame, body_col: str, out: str, strict: bool = True,
+                only_when: Column | None = None) -> DataFrame:
+    """Adds `out` = struct(id, type, delta, value, hash, bad) (see
+    `decode_single`), parsing each body once; NULL where `only_when` is false."""
+    cond = only_when if only_when is not None else F.lit(True)
+    b = F.col(body_col)
+    j, t = f"_{out}_j", f"_{out}_t"
+    d = df.withColumn(j, F.when(cond, F.from_json(b, _SINGLE_DDL, _OPTS)))
+    d = d.withColumn(t, F.when(cond, wrong_json_types(b)) if strict else F.lit(False))
+    p = F.col(j)
+    bad = b.isNull() | (F.trim(b) == "") | p.isNull() | p["_c"].isNotNull() | F.coalesce(F.col(t), F.lit(False))
+    d = d.withColumn(out, F.when(cond, F.struct(
+        p["id"].alias("id"), p["type"].alias("type"), p["delta"].alias("delta"),
+        p["value"].alias("value"), p["hash"].alias("hash"), bad.alias("bad"))))
+    return d.drop(j, t)
+
+
+def with_batch(df: DataFrame, body_col: str, out: str, strict: bool = True,
+               only_when: Column | None = None) -> DataFrame:
+    """Adds `out` = struct(items, bad) (see `decode_batch`), parsing each
+    body once; NULL where `only_when` is false."""
+    cond = only_when if only_when is not None else F.lit(True)
+    b = F.col(body_col)
+    j, t = f"_{out}_j", f"_{out}_t"
+    wrapped = F.concat(F.lit('{"items":'), b, F.lit("}"))
+    d = df.withColumn(j, F.when(cond, F.from_json(wrapped, _BATCH_DDL, _OPTS)))
+    d = d.withColumn(t, F.when(cond, wrong_json_types(b)) if strict else F.lit(False))
+    p = F.col(j)
+    bad = (b.isNotNull() & p["_c"].isNotNull()) | F.coalesce(F.col(t), F.lit(False))
+    d = d.withColumn(out, F.when(cond, F.struct(p["items"].alias("items"), bad.alias("bad"))))
+    return d.drop(j, t)

@@ -25,12 +25,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _octet(t: Column, i: int) -> Column:
+    """i-th (1-based) dot-separated field, by plain string splitting."""
+    return F.substring_index(F.substring_index(t, ".", i), ".", -1)
+
+
 def ipv4_hex(text) -> Column:
-    """Dotted IPv4 -> 8 hex digits, NULL if not a valid address."""
+    """Dotted IPv4 -> 8 hex digits, NULL if not a valid address: one
+    validating regex, then plain string splitting."""
     t = _col(text)
-    hexed = F.concat(*[
-        F.lpad(F.lower(F.hex(F.regexp_extract(t, IPV4_TEXT, i).try_cast("int"))), 2, "0")
-        for i in (1, 2, 3, 4)])
+    hexed = F.concat(*[F.lpad(F.lower(F.hex(_octet(t, i).try_cast("int"))), 2, "0")
+                       for i in (1, 2, 3, 4)])
     return F.when(t.rlike(IPV4_TEXT), hexed)
 
 
@@ -47,9 +52,7 @@ def ipv6_hex(text) -> Column:
     a = _col(text)
     tail_re = rf":{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
     has_dot = a.contains(".")
-    tail_hex = F.concat(*[
-        F.lpad(F.lower(F.hex(F.regexp_extract(a, tail_re, i).try_cast("int"))), 2, "0")
-        for i in (1, 2, 3, 4)])
+    tail_hex = ipv4_hex(F.substring_index(a, ":", -1))
     b = F.when(has_dot, F.concat(
         F.regexp_replace(a, r"[0-9.]+$", ""),
         F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4))).otherwise(a)

@@ -65,12 +65,12 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
             "decrypt_status", F.when(F.col("x_encrypted").isNotNull() & (F.col("x_encrypted") != ""),
                                      F.lit(500)).cast("int")) \
         .withColumn("plain", F.col("body"))
-    single = jsonwire.decode_single("plain", strict=cfg.strict_json)
-    batch = jsonwire.decode_batch("plain", strict=cfg.strict_json)
     pathu = routing.parse_path_update("path")
     pv = F.regexp_extract("path", routing.PATH_VALUE, 1)
-    d = d.withColumn("_single", F.when(r.isin(R_JSON_UPDATE, R_JSON_VALUE), single)) \
-         .withColumn("_batch_bad", F.when(r == R_JSON_BATCH, batch["bad"])) \
+    d = jsonwire.with_single(d, "plain", "_single", cfg.strict_json,
+                             only_when=r.isin(R_JSON_UPDATE, R_JSON_VALUE))
+    d = jsonwire.with_batch(d, "plain", "_batch", cfg.strict_json, only_when=r == R_JSON_BATCH)
+    d = d.withColumn("_batch_bad", F.col("_batch.bad")) \
          .withColumn("_path", F.when(r == R_PATH_UPDATE, pathu))
     s_parse = (F.when(r == R_PATH_UPDATE, F.col("_path.status"))
                .when(r.isin(R_JSON_UPDATE, R_JSON_VALUE) & F.col("_single.bad"), F.lit(400))
@@ -92,11 +92,12 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
     d = d.withColumn("s_validate", F.when(r.isin(R_PATH_UPDATE, R_JSON_UPDATE) & invalid, F.lit(500)))
     # batches: the body is one row, so its first invalid item is found in
     # the row (no explode, no shuffle, no join back)
-    d = d.withColumn("_items", F.when((r == R_JSON_BATCH) & ~batch["bad"], batch["items"]))
+    d = d.withColumn("_items", F.when((r == R_JSON_BATCH) & ~F.col("_batch.bad"), F.col("_batch.items")))
     bad_flags = F.transform("_items", lambda x: F.coalesce(
         validate.reject_reason(x["id"], x["type"], x["delta"], x["value"]).isNotNull(), F.lit(True)))
-    first = F.array_position(bad_flags, True)
-    d = d.withColumn("first_bad", F.when(first > 0, (first - 1).cast("int")))
+    d = d.withColumn("_first", F.array_position(bad_flags, True))   # 1-based, 0 = none
+    first = F.col("_first")
+    d = d.withColumn("first_bad", F.when(first > 0, (first - 1).cast("int"))).drop("_first")
     d = d.withColumn("s_validate", F.coalesce(
         F.col("s_validate"), F.when((r == R_JSON_BATCH) & F.col("first_bad").isNotNull(), F.lit(500))))
     if state is not None:
@@ -128,7 +129,7 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
         x["delta"].alias("delta"), x["value"].alias("value")))
     applied = (F.when(r.isin(R_PATH_UPDATE, R_JSON_UPDATE) & (F.col("status") == 200), one)
                .when((r == R_JSON_BATCH) & early.isNull() & (n_acc > 0), prefix))
-    return d.withColumn("applied", applied).drop("_single", "_batch_bad", "_path", "_items")
+    return d.withColumn("applied", applied).drop("_single", "_batch", "_batch_bad", "_path", "_items")
 
 
 def batch_items(decided: DataFrame) -> DataFrame:

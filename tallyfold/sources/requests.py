@@ -135,11 +135,12 @@ def path_updates(requests: DataFrame) -> DataFrame:
 
 def json_updates(requests: DataFrame, strict: bool = True) -> DataFrame:
     """A2: single JSON bodies -> update rows; `bad` marks a 400 body."""
-    d = jsonwire.decode_single("body", strict=strict)
-    return requests.select(
+    r = jsonwire.with_single(requests, "body", "_d", strict)
+    return r.select(
         "request_id", F.lit(0).alias("pos"), "seq", "ts",
-        d["id"].alias("id"), d["type"].alias("type"), d["delta"].alias("delta"),
-        d["value"].alias("value"), d["bad"].alias("bad"),
+        F.col("_d.id").alias("id"), F.col("_d.type").alias("type"),
+        F.col("_d.delta").alias("delta"), F.col("_d.value").alias("value"),
+        F.col("_d.bad").alias("bad"),
     )
 
 
@@ -149,8 +150,7 @@ def json_batches(requests: DataFrame, strict: bool = True) -> DataFrame:
     `posexplode_outer` keeps requests with no items (NULL `pos`); a
     malformed body gives one row with `bad` true and no fields.
     """
-    d = jsonwire.decode_batch("body", strict=strict)
-    decoded = requests.select("request_id", "seq", "ts", d.alias("d"))
+    decoded = jsonwire.with_batch(requests, "body", "d", strict).select("request_id", "seq", "ts", "d")
     items = F.when(~F.col("d.bad"), F.col("d.items"))
     out = decoded.select(
         "request_id", "seq", "ts", F.col("d.bad").alias("bad"),
