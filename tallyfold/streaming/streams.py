@@ -116,15 +116,37 @@ def change_log_writer(table_dir: str, base: DataFrame | None = None):
     return write
 
 
+COMPACT_PREFIX = "compacted="
+
+
+def _batch_no(path: str) -> int:
+    return int(path.rsplit("=", 1)[1])
+
+
+def committed_compactions(spark: SparkSession, table_dir: str) -> list[int]:
+    fs, p = snap._fs(spark, table_dir)
+    if not fs.exists(p):
+        return []
+    return sorted(int(st.getPath().getName()[len(COMPACT_PREFIX):]) for st in fs.listStatus(p)
+                  if st.isDirectory() and st.getPath().getName().startswith(COMPACT_PREFIX)
+                  and fs.exists(st.getPath().suffix("/_SUCCESS")))
+
+
 def read_change_log(spark: SparkSession, table_dir: str, keys: list[str],
                     base: DataFrame | None = None) -> DataFrame:
-    """Merge-on-read: the latest row of each key over all committed batches
-    (and a base table before them). One partial + final aggregate."""
-    paths = committed_changes(spark, table_dir)
+    """Merge-on-read: the latest row of each key over the latest compaction
+    (or the base table) and the committed batches after it. One partial +
+    final aggregate."""
+    done = committed_compactions(spark, table_dir)
+    upto = done[-1] if done else -1
+    paths = [p for p in committed_changes(spark, table_dir) if _batch_no(p) > upto]
     parts = []
     if paths:
         parts.append(spark.read.option("basePath", table_dir).parquet(*paths))
-    if base is not None:
+    if done:
+        parts.append(spark.read.parquet(f"{table_dir}/{COMPACT_PREFIX}{upto}")
+                     .withColumn("batch_id", F.lit(upto)))
+    elif base is not None:
         parts.append(base.withColumn("batch_id", F.lit(-1)))
     if not parts:
         raise ValueError(f"no committed changes under {table_dir}")
@@ -136,6 +158,21 @@ def read_change_log(spark: SparkSession, table_dir: str, keys: list[str],
     return allrows.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in cols])
 
 
+def compact_change_log(spark: SparkSession, table_dir: str, keys: list[str],
+                       base: DataFrame | None = None) -> int | None:
+    """Fold all committed batches into `compacted=N` (N = last batch id), so
+    later reads touch one compacted table plus the newer batches. Folders
+    are never rewritten; returns N (None when there is nothing new)."""
+    paths = committed_changes(spark, table_dir)
+    done = committed_compactions(spark, table_dir)
+    if not paths or (done and _batch_no(paths[-1]) <= done[-1]):
+        return None
+    n = max(_batch_no(p) for p in paths)
+    merged = read_change_log(spark, table_dir, keys, base)
+    merged.write.mode("errorifexists").parquet(f"{table_dir}/{COMPACT_PREFIX}{n}")
+    return n
+
+
 def stream_fold(updates: DataFrame, table_dir: str, checkpoint: str, base: DataFrame | None = None,
                 trigger: str | None = None, fmt: str = "parquet", snapshots: bool = False):
     """J1 (+J4/J6): fold an update stream into a state table.

@@ -36,3 +36,16 @@ def test_snapshot_writer_replay(spark):
     w(b, 0)
     w(b, 0)                # replay: committed version 0 is kept
     assert snap.committed_versions(spark, table) == [0]
+
+
+def test_change_log_compaction(spark):
+    table = scratch_path(spark, "changes-compact")
+    w = streams.change_log_writer(table)
+    w(spark.createDataFrame([("c", "counter", 1, None), ("g", "gauge", None, 1.0)], STATE_SCHEMA), 0)
+    w(spark.createDataFrame([("c", "counter", 4, None)], STATE_SCHEMA), 1)
+    assert streams.compact_change_log(spark, table, ["name", "type"]) == 1
+    assert streams.compact_change_log(spark, table, ["name", "type"]) is None   # nothing new
+    w(spark.createDataFrame([("g", "gauge", None, 9.0)], STATE_SCHEMA), 2)
+    got = {(r.name, r.type): (r.delta, r.value)
+           for r in streams.read_change_log(spark, table, ["name", "type"]).collect()}
+    assert got == {("c", "counter"): (4, None), ("g", "gauge"): (None, 9.0)}
