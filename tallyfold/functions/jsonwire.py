@@ -41,42 +41,6 @@ def wrong_json_types(body) -> Column:
     return F.coalesce(schema.rlike(_WRONG_TYPE), F.lit(False))
 
 
-def decode_single(body, strict: bool = True) -> Column:
-    """One JSON object -> struct(id, type, delta, value, hash, bad).
-
-    An empty body is malformed (400), as is any non-object text.
-    """
-    b = _col(body)
-    parsed = F.from_json(b, _SINGLE_DDL, _OPTS)
-    bad = b.isNull() | (F.trim(b) == "") | parsed.isNull() | parsed["_c"].isNotNull()
-    if strict:
-        bad = bad | wrong_json_types(b)
-    return F.struct(
-        parsed["id"].alias("id"),
-        parsed["type"].alias("type"),
-        parsed["delta"].alias("delta"),
-        parsed["value"].alias("value"),
-        parsed["hash"].alias("hash"),
-        bad.alias("bad"),
-    )
-
-
-def decode_batch(body, strict: bool = True) -> Column:
-    """JSON array -> struct(items array<struct>, bad).
-
-    The body is wrapped as `{"items": body}` first: without the wrapper
-    Spark takes a lone object for a one-item array and hides bad items.
-    A NULL body and JSON `null` give no items.
-    """
-    b = _col(body)
-    wrapped = F.concat(F.lit('{"items":'), b, F.lit("}"))
-    parsed = F.from_json(wrapped, _BATCH_DDL, _OPTS)
-    bad = b.isNotNull() & parsed["_c"].isNotNull()
-    if strict:
-        bad = bad | wrong_json_types(b)
-    return F.struct(parsed["items"].alias("items"), bad.alias("bad"))
-
-
 def encode_update(id_col, type_col, delta_col, value_col) -> Column:
     """Wire JSON of one update; NULL fields are omitted."""
     return F.to_json(
@@ -89,17 +53,16 @@ def encode_update(id_col, type_col, delta_col, value_col) -> Column:
     )
 
 
-# ------------------------------------------------------------------ staged
-# DataFrame forms: the body is parsed once into its own column and the
-# fields are read from it in a later projection. `from_json` runs without
-# generated code, so a struct built from several references to one
-# `from_json` (as the Column forms above do) would parse the body once per
-# field; a separate column is referenced by name and parsed once.
+# The decoders are DataFrame-level: the body is parsed once into its own
+# column and the fields are read from it in a later projection.
+# `from_json` runs without generated code, so a struct built from several
+# references to one `from_json` Column would parse the body once per field.
 
 def with_single(df: DataFrame, body_col: str, out: str, strict: bool = True,
                 only_when: Column | None = None) -> DataFrame:
-    """Adds `out` = struct(id, type, delta, value, hash, bad) (see
-    `decode_single`), parsing each body once; NULL where `only_when` is false."""
+    """Adds `out` = struct(id, type, delta, value, hash, bad) for one JSON
+    object per body, parsing each body once; NULL where `only_when` is
+    false. An empty body or any non-object text is malformed (bad)."""
     cond = only_when if only_when is not None else F.lit(True)
     b = F.col(body_col)
     j, t = f"_{out}_j", f"_{out}_t"
@@ -115,8 +78,13 @@ def with_single(df: DataFrame, body_col: str, out: str, strict: bool = True,
 
 def with_batch(df: DataFrame, body_col: str, out: str, strict: bool = True,
                only_when: Column | None = None) -> DataFrame:
-    """Adds `out` = struct(items, bad) (see `decode_batch`), parsing each
-    body once; NULL where `only_when` is false."""
+    """Adds `out` = struct(items, bad) for a JSON array per body, parsing
+    each body once; NULL where `only_when` is false.
+
+    The body is wrapped as `{"items": body}` first: without the wrapper
+    Spark takes a lone object for a one-item array and hides bad items.
+    A NULL body and JSON `null` give no items.
+    """
     cond = only_when if only_when is not None else F.lit(True)
     b = F.col(body_col)
     j, t = f"_{out}_j", f"_{out}_t"

@@ -1,4 +1,4 @@
-"""The state fold: counters add up, gauges keep the last value.
+"""The state fold: counters add up, gauges keep the last value.
 
 All folds are one `groupBy(type, id)` with a partial (map-side) and a
 final hash aggregate, so a key that holds a third of the rows costs one
@@ -27,13 +27,6 @@ def _sum(c: Column, on_overflow: str) -> Column:
     raise ValueError(f"on_overflow must be 'error' or 'null', not {on_overflow!r}")
 
 
-def typed_operands(df: DataFrame) -> DataFrame:
-    """Keep only the operand that matches the type (the other is ignored)."""
-    return df.withColumn("delta", F.when(F.col("type") == COUNTER, F.col("delta"))).withColumn(
-        "value", F.when(F.col("type") == GAUGE, F.col("value"))
-    )
-
-
 def fold_state(updates: DataFrame, on_overflow: str = "error", validate: bool = True) -> DataFrame:
     """Updates (id, type, delta, value, seq) -> state (name, type, delta, value).
 
@@ -74,15 +67,6 @@ def gauge_latest(updates: DataFrame) -> DataFrame:
     )
 
 
-def agent_buffer(samples: DataFrame) -> DataFrame:
-    """The agent's buffer is keyed by id only; the last row of any type
-    replaces the whole record (counters are not added here)."""
-    last = F.max_by(F.struct("type", "delta", "value"), "seq")
-    return samples.groupBy("id").agg(last.alias("m")).select(
-        "id", F.col("m.type").alias("type"), F.col("m.delta").alias("delta"),
-        F.col("m.value").alias("value"))
-
-
 def state_as_updates(state: DataFrame, seq: int = STATE_SEQ) -> DataFrame:
     """State rows -> update rows, only the column that matches the type."""
     return state.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.hmac import sign_response
 from tallyfold.functions.render import float_fixed6, float_shortest, int_text
+from tallyfold.operators.fold import by_type
 from tallyfold.schemas import COUNTER, GAUGE
 
 
@@ -20,9 +21,9 @@ def state_list(state: DataFrame, html: bool = False) -> DataFrame:
     Gauges print with `%f`, counters with `%d`. Ordered for determinism
     (the service iterates a hash map). `html` adds the `<tr>` line.
     """
-    gauges = state.where(F.col("type") == GAUGE).select(
+    gauges = by_type(state, GAUGE).select(
         F.lit(GAUGE).alias("section"), "name", float_fixed6("value").alias("value_text"))
-    counters = state.where(F.col("type") == COUNTER).select(
+    counters = by_type(state, COUNTER).select(
         F.lit(COUNTER).alias("section"), "name", int_text("delta").alias("value_text"))
     out = gauges.unionByName(counters)
     if html:
