@@ -134,9 +134,10 @@ def _mask_hex(hexed: Column, bits: Column, width: Column, fill_ones: bool) -> Co
     full = (bits / 4).cast("int")
     rem = bits % 4
     nib = F.conv(F.substring(hexed, full + 1, 1), 16, 10).cast("int")
-    keep = F.lit(0xF).bitwiseXOR(F.shiftleft(F.lit(1), 4 - rem) - 1)
+    # bits of the partial nibble that belong to the prefix (rem = 1, 2, 3)
+    keep = F.when(rem == 1, 8).when(rem == 2, 12).when(rem == 3, 14).otherwise(15)
     if fill_ones:
-        nib_out = nib.bitwiseAND(keep).bitwiseOR(F.shiftleft(F.lit(1), 4 - rem) - 1)
+        nib_out = nib.bitwiseAND(keep).bitwiseOR(F.lit(15) - keep)
         rest = "f"
     else:
         nib_out = nib.bitwiseAND(keep)

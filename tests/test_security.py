@@ -95,3 +95,16 @@ def test_range_join_fallback_equals_broadcast(spark):
     b = security.addresses_in_subnets(addrs, subnets, "ip", max_broadcast_rows=1)
     key = lambda df: sorted((r.event_id, r.cidr) for r in df.collect())
     assert key(a) == key(b) and len(key(a)) > 0
+
+
+def test_with_cidr_matches_python(spark):
+    cidrs = ["127.0.0.0/8", "10.1.128.0/17", "10.1.130.7/17", "0.0.0.0/0", "1.2.3.4/32",
+             "fd00::/8", "2001:db8::/33", "::/0", "::1/128", "fe80::1/10",
+             "not-a-cidr", "1.2.3.4/33", "1.2.3.4", "1.2.3.4/08", "::1/129"]
+    df = spark.createDataFrame([(c,) for c in cidrs], "c string")
+    got = {r.c: (None if r.p is None else (r.p.family, r.p.lo, r.p.hi, r.p.bits))
+           for r in netaddr.with_cidr(df, "c", "p").collect()}
+    invalid = {"not-a-cidr", "1.2.3.4/33", "1.2.3.4", "1.2.3.4/08", "::1/129"}
+    for c in cidrs:
+        want = None if c in invalid else netaddr.cidr_bounds(c)
+        assert got[c] == want, c
