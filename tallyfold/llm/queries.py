@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, packing, sharding, simhash
+from tallyfold.llm import decontam, packing, rules, sharding, simhash, warc
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -23,6 +23,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_stop_words", "n_lines")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
@@ -38,10 +44,49 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(ids, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op7_sharding, op9_decontamination)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op5_rules, op7_sharding, op9_decontamination, op10_warc)}
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
 # words, their windows, and which words an occurrence covers
 ORACLE = {
+    "op5_rules": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+f AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+c AS (SELECT r, count(DISTINCT k) AS n FROM f, unnest([i, i + 1, i + 2]) AS u(k) GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop_words, CAST(len(l) AS BIGINT) AS n_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis,
+         len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-•*]\s'))) AS n_bullet
+  FROM d LEFT JOIN c USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words AND 100 * n_symbols <= 30 * n_words
+       AND 100 * n_stop_words >= 2 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND 100 * n_ellipsis <= 30 * n_lines
+       AND 100 * n_bullet <= 90 * n_lines AS kept, n_stop_words, n_lines
+FROM v
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS lowest FROM q)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > lowest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > lowest THEN lowest END AS refers_to
+FROM f
+""",
     "op9_decontamination": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
