@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, packing, rules, sharding, simhash, warc
+from tallyfold.llm import decontam, packing, pii, rules, sharding, simhash, warc
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -18,6 +18,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.span_column(pii.fit(docs)).alias("s"))
+    base = F.filter("s", lambda s: s["base"])
+    counts = (F.size(F.filter("s", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS[:pii.BASE_KINDS]))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
+                        pii.listed(F.col("s")).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -49,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op5_rules, op7_sharding, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_pii, op4_packing, op5_rules, op7_sharding, op9_decontamination, op10_warc)}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
