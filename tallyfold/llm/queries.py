@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, packing, pii, rules, sharding, simhash, warc
+from tallyfold.llm import decontam, packing, pii, quality, rules, sharding, simhash, warc
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -39,6 +39,13 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_stop_words", "n_lines")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (quality.fold_of("doc_id") == 0).alias("held_out"), quality.score_column(docs, model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
@@ -59,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_pii, op4_packing, op5_rules, op7_sharding, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op9_decontamination, op10_warc)}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
