@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, packing, pii, quality, rules, sharding, simhash, warc
+from tallyfold.llm import decontam, lm, packing, pii, quality, rules, sharding, simhash, warc
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -54,6 +54,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decontam.add_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "hits")
     ids = F.array_join(F.array_sort(F.transform("hits.items", lambda i: i.cast("string"))), ",")
@@ -66,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op8_lm, op9_decontamination, op10_warc)}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
