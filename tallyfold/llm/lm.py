@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import map_lists, stored, utf8, words_of
 from tallyfold.llm.tokens import load_encoder
 
-WINDOW, STRIDE, WIDTH, INNER = 32, 24, 16, 32
+WINDOW, STRIDE, WIDTH, INNER = 32, 24, 24, 24
 CLASSES, MEMBERS = 31, 32
 HEAD = CLASSES * MEMBERS
 START = HEAD + 1  # input number of the start of a text; HEAD stands for all rarer ids
@@ -84,6 +84,7 @@ class Attention:
                   "cls": normal(WIDTH, CLASSES + 1), "cls_b": np.zeros(CLASSES + 1, np.float32),
                   "mem": normal(CLASSES, WIDTH, MEMBERS), "mem_b": np.zeros((CLASSES, MEMBERS), np.float32)}
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def hidden(self, numbers: np.ndarray, keep: dict | None = None) -> np.ndarray:
         p = self.p
@@ -98,22 +99,57 @@ class Attention:
             keep.update(x=x, q=q, k=k, v=v, a=a, mixed=mixed, h=h, u=u)
         return h + u @ p["down"]
 
+    def _log_share(self, z: np.ndarray, picked: np.ndarray) -> np.ndarray:
+        """log softmax of the picked column of each row (z is overwritten)."""
+        out = z[np.arange(len(z)), picked]
+        top = max(0.0, float(z.max(initial=0.0)) - 60)  # far from float32 overflow; 0 in practice
+        if top:
+            z -= top
+        np.exp(z, out=z)
+        return out - top - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+    def last_layer(self, numbers: np.ndarray) -> np.ndarray:
+        """`hidden` for scoring: the weights of attention are normalised after mixing."""
+        p = self.p
+        x = p["embed"][numbers]
+        x += p["place"]
+        count = len(numbers)
+        qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(count, WINDOW, 3 * WIDTH)
+        q = qkv[..., :WIDTH] * np.float32(1 / math.sqrt(WIDTH))
+        a = q @ qkv[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
+        if float(a.max(initial=0.0)) > 60:
+            a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)
+        a *= self.seen
+        v = np.concatenate([qkv[..., 2 * WIDTH:], np.ones((count, WINDOW, 1), np.float32)], axis=-1)
+        mixed = a @ v
+        mixed = mixed[..., :WIDTH] / mixed[..., WIDTH:]
+        h = x.reshape(-1, WIDTH)
+        h += mixed.reshape(-1, WIDTH) @ p["out"]
+        u = h @ p["up"]
+        u += p["up_b"]
+        np.maximum(u, 0, out=u)
+        h += u @ p["down"]
+        return h.reshape(x.shape)
+
     def log10_scores(self, numbers: np.ndarray, scored: np.ndarray, targets: np.ndarray, ids: np.ndarray, words: Vocabulary) -> np.ndarray:
         """log10 probability of the targets (numbers; `ids` for the rare ones) at the scored places."""
-        h = self.hidden(numbers)[scored]
-        z = h @ self.p["cls"] + self.p["cls_b"]
         group = np.minimum(targets // MEMBERS, CLASSES)
-        top = z.max(axis=1)
-        out = z[np.arange(len(z)), group] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        order = np.argsort(group.astype(np.int8), kind="stable")
+        h = self.last_layer(numbers)[scored][order]
+        targets, group = targets[order], group[order]
+        z = h @ self.p["cls"]
+        z += self.p["cls_b"]
+        got = self._log_share(z, group)
+        bounds = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            at = order[bounds[c]:bounds[c + 1]]
-            if len(at):
-                z = h[at] @ self.p["mem"][c] + self.p["mem_b"][c]
-                top = z.max(axis=1)
-                out[at] += z[np.arange(len(at)), targets[at] % MEMBERS] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-        out *= np.float32(1 / math.log(10))
+            at = slice(bounds[c], bounds[c + 1])
+            if at.stop > at.start:
+                z = h[at] @ self.p["mem"][c]
+                z += self.p["mem_b"][c]
+                got[at] += self._log_share(z, targets[at] % MEMBERS)
+        out = np.empty_like(got)
+        out[order] = got * np.float32(1 / math.log(10))
         return out + words.tail[ids]
 
     def gradients(self, numbers: np.ndarray, targets: np.ndarray) -> dict:
@@ -160,7 +196,7 @@ class Attention:
         np.add.at(g["embed"], numbers.reshape(-1), flat(dx))
         return g
 
-    def train(self, numbers: np.ndarray, targets: np.ndarray, rounds: int = 3, batch: int = 48, rate: float = 0.01, seed: int = 23) -> Attention:
+    def train(self, numbers: np.ndarray, targets: np.ndarray, rounds: int = 2, batch: int = 32, rate: float = 0.015, seed: int = 23) -> Attention:
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         spread = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -193,7 +229,7 @@ class Scorer:
     def __init__(self, model: Attention, words: Vocabulary):
         self.model, self.words = model, words
 
-    def __call__(self, texts: list[list[int]], at_once: int = 1024) -> np.ndarray:
+    def __call__(self, texts: list[list[int]], at_once: int = 256) -> np.ndarray:
         """log10 probability of each text with its end token."""
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         ids = np.concatenate([np.array([*t, self.words.end], np.int64) for t in texts])
@@ -274,7 +310,7 @@ def id_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50_256,
-                    sample_rows: int = 160, longest: int = 20_000) -> DataFrame:
+                    sample_rows: int = 480, longest: int = 20_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per document."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
