@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, lm, packing, pii, quality, rules, sharding, simhash, warc
+from tallyfold.llm import decontam, lm, packing, pii, quality, rules, sharding, simhash, substring, warc
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -13,6 +13,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -70,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op8_lm, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op8_lm, op9_decontamination, op10_warc)}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
