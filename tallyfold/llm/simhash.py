@@ -26,6 +26,7 @@ repeated rows are all returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -124,7 +125,14 @@ class VantageTree:
         return np.concatenate(leaves or [none]), np.concatenate(rows or [none])
 
 
-def leaf_forest(prints: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def leaf_capacity(population: int) -> int:
+    """Members a leaf may have. Copies at the boundaries grow with the depth
+    of the tree and comparisons with the size of its leaves; leaves that
+    grow as the square root of the population balance the two."""
+    return max(4096, int(32 * math.sqrt(population)))
+
+
+def leaf_forest(prints: np.ndarray, radius: int, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (a, b) of the pairs within `radius` among distinct
     fingerprints, as stars around the smallest member of each component.
 
@@ -136,6 +144,7 @@ def leaf_forest(prints: np.ndarray, radius: int, block: int = 256) -> tuple[np.n
     order = np.argsort(far, kind="stable")
     prints, far = prints[order], far[order]
     labels = np.arange(len(prints))
+    block = max(1, cells // max(1, len(prints)))  # rows compared at once, for bounded memory
     for i in range(0, len(prints), block):
         end = int(np.searchsorted(far, far[min(i + block, len(far)) - 1] + radius, "right"))
         near = np.bitwise_count(prints[i:i + block, None] ^ prints[None, i:end]) <= radius
@@ -153,14 +162,15 @@ def leaf_forest(prints: np.ndarray, radius: int, block: int = 256) -> tuple[np.n
     return signed[linked], lowest[group][linked]
 
 
-def near_links(distinct: DataFrame, radius: int = 3, capacity: int = 4096, sample_rows: int = 16384) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 3, capacity: int | None = None, sample_rows: int = 16384) -> DataFrame:
     """Links (a, b) that span the pairs of distinct fingerprints (column
     `fp`) within `radius` bits. `sample_rows` bounds the sample the tree is
     built from (a uniform one: the lowest hashes of the fingerprints)."""
     population = distinct.count()
     rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
     sample = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
-    tree = distinct.sparkSession.sparkContext.broadcast(VantageTree(sample, population, radius, capacity))
+    tree = distinct.sparkSession.sparkContext.broadcast(
+        VantageTree(sample, population, radius, capacity or leaf_capacity(population)))
 
     def start():
         def step(fp):
