@@ -1,14 +1,16 @@
-"""JSON wire decoding and encoding of update records (Column -> Column).
+"""JSON wire decoding and encoding of update records.
 
 Decoding keeps three outcomes apart, as the wire contract needs:
-  * malformed or wrongly typed JSON  -> `bad` is true (status 400);
+  * malformed or wrongly typed JSON, more than one value, or a missing
+    body -> `bad` is true (status 400);
   * a well-formed record with missing fields -> fields NULL, `bad` false
-    (validation decides, status 500);
-  * JSON `null` / an empty array -> no items (status 200).
+    (validation decides, status 500); JSON `null` is an empty record;
+  * JSON `null` or an empty array as a batch -> no items (status 200).
 
-Spark's PERMISSIVE parser coerces `"id": 5` to `'5'` and `"value": "NaN"`
-to NaN, which the contract rejects, so a strict type guard reads the
-merged item schema from `schema_of_variant` (one JVM expression).
+Every body is parsed once, to a variant. Only the four known top-level
+fields and `hash` are looked at: their names match in any letter case (the
+exact name wins), their JSON types must be those of the wire, numbers must
+be finite, and whatever else a record holds is ignored.
 """
 
 from __future__ import annotations
@@ -16,31 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.schemas import WIRE_ITEM_DDL
-
-_ITEM_STRUCT = "struct<id:string,type:string,delta:bigint,value:double,hash:string>"
-_BATCH_DDL = f"items array<{_ITEM_STRUCT}>, _c string"
-_SINGLE_DDL = f"{WIRE_ITEM_DDL}, _c string"
-_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_c"}
-
-# Allowed JSON value types per wire field.
-_WRONG_TYPE = (
-    r"(^|[<,] ?)(id|type|hash): (?!(STRING|VOID)\b)"
-    r"|(^|[<,] ?)delta: (?!(BIGINT|VOID)\b)"
-    r"|(^|[<,] ?)value: (?!(BIGINT|DOUBLE|DECIMAL|VOID)\b)"
-)
+# Wire fields and the JSON types they accept besides null.
+FIELD_TYPES = {"id": "^STRING$", "type": "^STRING$", "delta": "^BIGINT$",
+               "value": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$", "hash": "^STRING$"}
+SQL_TYPES = {"id": "string", "type": "string", "delta": "bigint", "value": "double", "hash": "string"}
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def wrong_json_types(body) -> Column:
-    """True when a field of the record(s) has a JSON type the wire rejects."""
-    schema = F.schema_of_variant(F.try_parse_json(_col(body)))
-    return F.coalesce(schema.rlike(_WRONG_TYPE), F.lit(False))
-
-
 def encode_update(id_col, type_col, delta_col, value_col) -> Column:
     """Wire JSON of one update; NULL fields are omitted."""
     return F.to_json(
@@ -53,45 +40,88 @@ def encode_update(id_col, type_col, delta_col, value_col) -> Column:
     )
 
 
-# The decoders are DataFrame-level: the body is parsed once into its own
-# column and the fields are read from it in a later projection.
-# `from_json` runs without generated code, so a struct built from several
-# references to one `from_json` Column would parse the body once per field.
+def _field(entries: Column, name: str) -> Column:
+    """A top-level field of an object: the exact name, else any letter case."""
+    other = F.map_values(F.map_filter(entries, lambda k, _: F.lower(k) == name))
+    return F.coalesce(F.try_element_at(entries, F.lit(name)), F.get(other, 0))
+
+
+def _entries(record: Column) -> Column:
+    return F.struct(
+        F.try_variant_get(record, "$", "map<string,variant>").alias("m"),
+        F.is_variant_null(record).alias("empty"))
+
+
+def _picked(e: Column) -> Column:
+    """Variants of the known fields; `other` marks a value that is no object."""
+    return F.struct(*(_field(e["m"], n).alias(n) for n in FIELD_TYPES),
+                    (e["m"].isNull() & ~e["empty"]).alias("other"))
+
+
+def _typed(f: Column) -> Column:
+    return F.struct(*(F.struct(f[n].alias("v"), F.schema_of_variant(f[n]).alias("t")).alias(n) for n in FIELD_TYPES),
+                    f["other"].alias("other"))
+
+
+def _record(f: Column) -> Column:
+    """struct(id, type, delta, value, hash, wrong)."""
+    wrong, fields = f["other"], []
+    for name, accepted in FIELD_TYPES.items():
+        kind = f[name]["t"]
+        fits = F.coalesce(kind.rlike(accepted), F.lit(False))
+        wrong = wrong | ~(fits | F.coalesce(kind == "VOID", F.lit(True)))
+        fields.append(F.when(fits, F.try_variant_get(f[name]["v"], "$", SQL_TYPES[name])).alias(name))
+    return F.struct(*fields, wrong.alias("wrong"))
+
+
+def _finite(r: Column) -> Column:
+    """`wrong` also for a number beyond the double range."""
+    value = r["value"]
+    return r.withField("wrong", r["wrong"] | F.coalesce(F.abs(value) == F.lit(float("inf")), F.lit(False)))
+
+
+def _with_value(df: DataFrame, body_col: str, value: str, cond: Column) -> DataFrame:
+    """Adds `value`: the variant of the body, NULL unless the body's whole
+    text is one JSON value. The body is parsed as the first element of an
+    array whose second is a digest of the body, which no body can hold, so
+    bytes after the value are noticed."""
+    body = F.col(body_col).cast("string")
+    digest = F.md5(F.col(body_col).cast("binary"))
+    parsed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), digest, F.lit('"]')))
+    d = df.withColumn(f"{value}_p", F.when(cond, parsed))
+    whole = F.try_variant_get(f"{value}_p", "$[1]", "string") == digest
+    return d.withColumn(value, F.when(whole, F.try_variant_get(f"{value}_p", "$[0]", "variant"))).drop(f"{value}_p")
+
+
+def _decoded(items: Column) -> Column:
+    for stage in (_entries, _picked, _typed, _record, _finite):
+        items = F.transform(items, stage)
+    return items
+
 
-def with_single(df: DataFrame, body_col: str, out: str, strict: bool = True,
-                only_when: Column | None = None) -> DataFrame:
+def with_single(df: DataFrame, body_col: str, out: str, only_when: Column | None = None) -> DataFrame:
     """Adds `out` = struct(id, type, delta, value, hash, bad) for one JSON
-    object per body, parsing each body once; NULL where `only_when` is
-    false. An empty body or any non-object text is malformed (bad)."""
+    object per body; NULL where `only_when` is false. Fields are NULL when
+    the body is bad."""
     cond = only_when if only_when is not None else F.lit(True)
-    b = F.col(body_col)
-    j, t = f"_{out}_j", f"_{out}_t"
-    d = df.withColumn(j, F.when(cond, F.from_json(b, _SINGLE_DDL, _OPTS)))
-    d = d.withColumn(t, F.when(cond, wrong_json_types(b)) if strict else F.lit(False))
-    p = F.col(j)
-    bad = b.isNull() | (F.trim(b) == "") | p.isNull() | p["_c"].isNotNull() | F.coalesce(F.col(t), F.lit(False))
-    d = d.withColumn(out, F.when(cond, F.struct(
-        p["id"].alias("id"), p["type"].alias("type"), p["delta"].alias("delta"),
-        p["value"].alias("value"), p["hash"].alias("hash"), bad.alias("bad"))))
-    return d.drop(j, t)
-
-
-def with_batch(df: DataFrame, body_col: str, out: str, strict: bool = True,
-               only_when: Column | None = None) -> DataFrame:
-    """Adds `out` = struct(items, bad) for a JSON array per body, parsing
-    each body once; NULL where `only_when` is false.
-
-    The body is wrapped as `{"items": body}` first: without the wrapper
-    Spark takes a lone object for a one-item array and hides bad items.
-    A NULL body and JSON `null` give no items.
-    """
+    v, r = f"_{out}_v", f"_{out}_r"
+    d = _with_value(df, body_col, v, cond)
+    d = d.withColumn(r, F.get(_decoded(F.when(F.col(v).isNotNull(), F.array(F.col(v)))), 0))
+    bad = F.col(v).isNull() | F.coalesce(F.col(r)["wrong"], F.lit(True))
+    fields = [F.when(~bad, F.col(r)[n]).alias(n) for n in FIELD_TYPES]
+    return d.withColumn(out, F.when(cond, F.struct(*fields, bad.alias("bad")))).drop(v, r)
+
+
+def with_batch(df: DataFrame, body_col: str, out: str, only_when: Column | None = None) -> DataFrame:
+    """Adds `out` = struct(items, bad) for a JSON array per body; NULL where
+    `only_when` is false. JSON `null` has no items; a missing body, any
+    other value, or an item of a wrong type is bad."""
     cond = only_when if only_when is not None else F.lit(True)
-    b = F.col(body_col)
-    j, t = f"_{out}_j", f"_{out}_t"
-    wrapped = F.concat(F.lit('{"items":'), b, F.lit("}"))
-    d = df.withColumn(j, F.when(cond, F.from_json(wrapped, _BATCH_DDL, _OPTS)))
-    d = d.withColumn(t, F.when(cond, wrong_json_types(b)) if strict else F.lit(False))
-    p = F.col(j)
-    bad = (b.isNotNull() & p["_c"].isNotNull()) | F.coalesce(F.col(t), F.lit(False))
-    d = d.withColumn(out, F.when(cond, F.struct(p["items"].alias("items"), bad.alias("bad"))))
-    return d.drop(j, t)
+    v, r = f"_{out}_v", f"_{out}_r"
+    d = _with_value(df, body_col, v, cond)
+    items = F.when(F.is_variant_null(v), F.array().cast("array<variant>")).otherwise(
+        F.try_variant_get(v, "$", "array<variant>"))
+    d = d.withColumn(r, _decoded(items))
+    bad = F.col(r).isNull() | F.exists(r, lambda x: x["wrong"])
+    kept = F.transform(r, lambda x: x.dropFields("wrong"))
+    return d.withColumn(out, F.when(cond, F.struct(F.when(~bad, kept).alias("items"), bad.alias("bad")))).drop(v, r)

@@ -39,11 +39,6 @@ def ipv4_hex(text) -> Column:
     return F.when(t.rlike(IPV4_TEXT), hexed)
 
 
-def ipv4_number(text) -> Column:
-    """Dotted IPv4 -> BIGINT in [0, 2^32), NULL if invalid."""
-    return F.conv(ipv4_hex(text), 16, 10).cast("bigint")
-
-
 def ipv6_hex(text) -> Column:
     """IPv6 text (lower-case, no zone; optional dotted IPv4 tail) -> 32 hex
     digits, NULL if invalid. One flat expression of regex functions (no
@@ -148,6 +143,11 @@ def _mask_hex(hexed: Column, bits: Column, width: Column, fill_ones: bool) -> Co
     return F.concat(head, mid, F.repeat(F.lit(rest), width - used))
 
 
+def network_hex(hexed: Column, family: int, bits: int) -> Column:
+    """The network of an address for a prefix length known when the plan is built."""
+    return _mask_hex(hexed, F.lit(bits), F.lit(8 if family == 4 else 32), False)
+
+
 def with_cidr(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Adds `out` = struct(family, lo, hi, bits) from CIDR text; NULL if
     invalid. The address part is kept as written (no unmapping, no zone);

@@ -40,11 +40,3 @@ def parse_float64(text) -> Column:
         .when(t.rlike(INF_TEXT), F.lit(float("inf")))
         .when(t.rlike(NAN_TEXT), F.lit(float("nan")))
     )
-
-
-def parses_int64(text) -> Column:
-    return parse_int64(text).isNotNull()
-
-
-def parses_float64(text) -> Column:
-    return parse_float64(text).isNotNull()

@@ -90,41 +90,54 @@ def poll_sampling(samples: DataFrame, every: str, host: str = "host") -> DataFra
         host, F.col("w.start").alias("window_start"), "id", "value")
 
 
+def window_values(samples: DataFrame, every: str, host: str = "host") -> DataFrame:
+    """Per host, report window and gauge id: the last value and the number
+    of samples. The one aggregate over the samples; batch or streaming."""
+    return samples.groupBy(host, F.window("ts", every).alias("w"), "id").agg(
+        F.max_by("value", "seq").alias("value"), F.count(F.lit(1)).alias("polls")).select(
+        host, F.col("w.start").alias("window_start"), "id", "value", "polls")
+
+
+def report_rows(values: DataFrame, host: str = "host") -> DataFrame:
+    """J3 + E8: the report of each host and window from its values: the
+    gauges, and a `PollCount` counter = number of polls (samples). The
+    counter goes out with the first gauge, so the values are read once; a
+    window holds one host's ids."""
+    report = Window.partitionBy(host, "window_start")
+    v = values.withColumn("n", F.sum("polls").over(report)) \
+        .withColumn("first", F.row_number().over(report.orderBy("id")) == 1)
+    gauge = F.struct(F.col("id").alias("id"), F.lit(GAUGE).alias("type"), F.lit(None).cast("bigint").alias("delta"),
+                     F.col("value").alias("value"))
+    polls = F.struct(F.lit(POLL_COUNT).alias("id"), F.lit(COUNTER).alias("type"), F.col("n").alias("delta"),
+                     F.lit(None).cast("double").alias("value"))
+    rows = F.explode(F.when(F.col("first"), F.array(gauge, polls)).otherwise(F.array(gauge)))
+    return v.select(host, "window_start", rows.alias("r")).select(host, "window_start", "r.id", "r.type", "r.delta", "r.value")
+
+
 def report_windows(samples: DataFrame, every: str, host: str = "host") -> DataFrame:
-    """J3 + E8: per host and report window, the last value of each gauge id
-    and a `PollCount` counter = number of polls (samples) in the window."""
-    w = F.window("ts", every).alias("w")
-    gauges = samples.groupBy(host, w, "id").agg(F.max_by("value", "seq").alias("value")).select(
-        host, F.col("w.start").alias("window_start"), "id", F.lit(GAUGE).alias("type"),
-        F.lit(None).cast("bigint").alias("delta"), "value")
-    polls = samples.groupBy(host, F.window("ts", every).alias("w")).agg(
-        F.count(F.lit(1)).alias("delta")).select(
-        host, F.col("w.start").alias("window_start"), F.lit(POLL_COUNT).alias("id"),
-        F.lit(COUNTER).alias("type"), "delta", F.lit(None).cast("double").alias("value"))
-    return gauges.unionByName(polls)
+    """J3 + E8 over a table: per host and report window, the last value of
+    each gauge id and the poll count."""
+    return report_rows(window_values(samples, every, host), host)
 
 
 def carry_forward(samples: DataFrame, every: str, host: str = "host") -> DataFrame:
     """At every report tick, each id the host has ever sent with its
     latest value (the buffer is never cleared).
 
-    Per (host, id) the ticks from its first window to the last window of
-    the data are generated with `sequence` (no cross join); the value is
-    `last(value, ignorenulls)` over that id's own ticks, so a window holds
-    one (host, id) series of ticks, never the samples.
+    A value holds from its own window up to the one before the id's next
+    value, or to the last window of the data; those ticks are generated
+    from the value's row (no join back, no cross join). A window holds one
+    (host, id) series of values, never the samples.
     """
-    w = F.window("ts", every).alias("w")
-    per = samples.groupBy(host, w, "id").agg(F.max_by("value", "seq").alias("value")) \
+    w = F.window("ts", every)
+    per = samples.groupBy(host, w.alias("w"), "id").agg(F.max_by("value", "seq").alias("value")) \
         .select(host, "id", F.col("w.start").alias("day"), "value")
-    last_day = per.select(F.max("day")).scalar()
+    last_day = samples.select(F.max("ts").alias("ts")).select(F.window("ts", every)["start"]).scalar()
     step = F.expr(f"INTERVAL {every}")
-    ranges = per.groupBy(host, "id").agg(F.min("day").alias("first_day")).select(
-        host, "id", F.explode(F.sequence("first_day", last_day, step)).alias("day"))
-    filled = ranges.join(per, [host, "id", "day"], "left")
-    wv = Window.partitionBy(host, "id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return filled.select(
-        host, "id", (F.col("day") + step).alias("tick"),
-        F.last("value", ignorenulls=True).over(wv).alias("value"))
+    following = F.lead("day").over(Window.partitionBy(host, "id").orderBy("day"))
+    held = per.withColumn("until", F.coalesce(following - step, last_day))
+    return held.select(host, "id", F.explode(F.sequence("day", "until", step)).alias("day"), "value").select(
+        host, "id", (F.col("day") + step).alias("tick"), "value")
 
 
 def report_envelopes(report: DataFrame, keys: list[str]) -> DataFrame:

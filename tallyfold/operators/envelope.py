@@ -4,8 +4,7 @@ Spark's GCM layout is nonce(12) || ciphertext || tag(16); the envelope
 carries the nonce in `n` and ciphertext||tag in `d` (base64), so opening
 is `try_aes_decrypt(unbase64(n) || unbase64(d), key, 'GCM')`. The RSA
 wrap of the data key is replaced by a key table joined by key id (`k`
-holds the base64 key id). The key table is configuration: its row count
-is checked before it is broadcast.
+holds the base64 key id); Spark broadcasts it when its size allows.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators.lookup import bounded_broadcast
-
 # Envelope header value, algorithm name and version.
 HEADER_VALUE = "aes256gcm+rsa-oaep;v=1"
 ALG = "aes256gcm+rsa-oaep"
@@ -46,20 +43,27 @@ def seal(body, data_key, key_id, iv=None) -> Column:
         sealed = F.aes_encrypt(b, _col(data_key), F.lit("GCM"))
     else:
         sealed = F.aes_encrypt(b, _col(data_key), F.lit("GCM"), F.lit("DEFAULT"), _col(iv))
-    n = F.substring(sealed, 1, NONCE_BYTES)
-    d = F.substring(sealed, NONCE_BYTES + 1, 1 << 30)
-    return F.to_json(F.struct(
-        F.lit(ALG).alias("alg"), b64(_col(key_id).cast("binary")).alias("k"),
-        b64(n).alias("n"), b64(d).alias("d"), F.lit(VERSION).alias("v")))
+    # the cipher text is bound once: a second evaluation would draw another nonce
+    parts = F.get(F.transform(F.array(sealed), lambda c: F.struct(
+        b64(F.substring(c, 1, NONCE_BYTES)).alias("n"), b64(F.substr(c, F.lit(NONCE_BYTES + 1))).alias("d"))), 0)
+    key = b64(_col(key_id).cast("binary"))
+    text = F.get(F.transform(F.array(parts), lambda p: F.to_json(F.struct(
+        F.lit(ALG).alias("alg"), key.alias("k"), p["n"].alias("n"), p["d"].alias("d"), F.lit(VERSION).alias("v")))), 0)
+    return F.when(sealed_input(body, data_key), text)
+
+
+def sealed_input(body, data_key) -> Column:
+    """Both a body and a key are there (else the envelope is NULL)."""
+    return _col(body).isNotNull() & _col(data_key).isNotNull()
 
 
 def open_envelopes(requests: DataFrame, keys: DataFrame | None, body_col: str = "body",
                    header_col: str = "x_encrypted") -> DataFrame:
-    """A10: adds `plain` (decrypted body, or the body itself when not
-    encrypted) and `decrypt_status` (NULL ok, 400 bad envelope/auth, 500
+    """A10: adds `plain` (bytes of the decrypted body, or of the body itself
+    when not encrypted) and `decrypt_status` (NULL ok, 400 bad envelope/auth, 500
     encrypted but no key configured)."""
     hdr = F.col(header_col)
-    env = F.from_json(F.col(body_col), _ENV_DDL, {"columnNameOfCorruptRecord": "_c"})
+    env = F.from_json(F.col(body_col).cast("string"), _ENV_DDL, {"columnNameOfCorruptRecord": "_c"})
     df = requests.withColumn("_env", F.when(hdr.isNotNull() & (hdr != ""), env))
     df = df.withColumn("_env", F.col("_env").withField("n", _unwrap(F.col("_env.n")))
                        .withField("d", _unwrap(F.col("_env.d")))
@@ -67,8 +71,7 @@ def open_envelopes(requests: DataFrame, keys: DataFrame | None, body_col: str =
     kid = F.when(F.col("_env.k").rlike(_B64), F.unbase64(F.col("_env.k")).cast("string"))
     df = df.withColumn("_kid", kid)
     if keys is not None:
-        k, _ = bounded_broadcast(keys.select(F.col("key_id").alias("_kid2"),
-                                             F.col("data_key").alias("_dk")))
+        k = keys.select(F.col("key_id").alias("_kid2"), F.col("data_key").alias("_dk"))
         df = df.join(k, df["_kid"] == k["_kid2"], "left").drop("_kid2")
     else:
         df = df.withColumn("_dk", F.lit(None).cast("binary"))
@@ -90,6 +93,6 @@ def open_envelopes(requests: DataFrame, keys: DataFrame | None, body_col: str =
         .when(F.octet_length(nonce) != NONCE_BYTES, F.lit(400))
         .when(F.col("_dk").isNull() | opened.isNull(), F.lit(400))
     ).cast("int")
-    plain = F.when(no_hdr, F.col(body_col)).when(status.isNull(), opened.cast("string"))
+    plain = F.when(no_hdr, F.col(body_col).cast("binary")).when(status.isNull(), opened)
     return df.withColumn("decrypt_status", status).withColumn("plain", plain) \
              .drop("_env", "_kid", "_dk")

@@ -89,19 +89,15 @@ def apply_updates(state: DataFrame, updates: DataFrame, on_overflow: str = "erro
     return fold_state(base.unionByName(updates.select(*cols)), on_overflow=on_overflow)
 
 
-def by_type(state: DataFrame, metric_type: str) -> DataFrame:
-    """All keys of one type."""
-    return state.where(F.col("type") == metric_type)
-
-
 def running_state(updates: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
     """the value of each key right after each (valid) update.
 
     Counters: a prefix sum per key in `seq` order; gauges: the row's value.
     A hot key is cut into `seq` chunks, so no window holds more than one
     chunk of one key: (1) running sum inside (key, chunk); (2) chunk totals
-    by a partial aggregate; (3) offsets = running sum of earlier chunk
-    totals (one row per key and chunk); (4) join back and add.
+    = the last running sum of each chunk, from the same shuffle; (3) offsets
+    = running sum of earlier chunk totals (one row per key and chunk);
+    (4) join back and add.
     """
     u = updates.where(reject_reason().isNull()).select(
         "seq", "type", "id",
@@ -113,7 +109,7 @@ def running_state(updates: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
     w_local = Window.partitionBy("type", "id", "chunk").orderBy("seq").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = c.withColumn("local_sum", F.sum("delta").over(w_local))
-    totals = c.groupBy("type", "id", "chunk").agg(F.sum("delta").alias("chunk_sum"))
+    totals = local.groupBy("type", "id", "chunk").agg(F.max_by("local_sum", "seq").alias("chunk_sum"))
     w_prev = Window.partitionBy("type", "id").orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("chunk_sum").over(w_prev), F.lit(0)))

@@ -8,28 +8,33 @@ to every registered sink; an item is delivered if any sink took it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.render import unix_seconds
 from tallyfold.operators.barrier import late_filter
-from tallyfold.schemas import JOURNAL_SCHEMA
 from tallyfold.operators.routing import R_JSON_BATCH, R_JSON_UPDATE, R_PATH_UPDATE, client_ip
+from tallyfold.session import materialize
 
 
-def journal_items(decided: DataFrame) -> DataFrame:
+def journal_items(decided: DataFrame, early: tuple[str, ...]) -> DataFrame:
     """E5: one item per journaled request.
 
     A single update is journaled once it reaches the handler, even if the
-    save fails (status 500); a batch only when every item applied (200).
+    save fails (status 500); a batch only when every item applied (200). A
+    record without id is journaled with an empty name. `early` names the
+    status columns of the checks before the handler.
     """
-    early_ok = F.coalesce("s_subnet", "s_route", "s_sig", "decrypt_status", "s_parse",
-                          "s_method", "s_handler").isNull()
+    early_ok = F.coalesce(*early).isNull()
     r, st = F.col("route"), F.col("status")
     single = r.isin(R_PATH_UPDATE, R_JSON_UPDATE) & early_ok
     batch = (r == R_JSON_BATCH) & (st == 200)
-    names = (F.when(single, F.array(F.col("id")))
-             .when(batch, F.coalesce(F.transform("applied", lambda x: x["id"]),
+    names = (F.when(single, F.array(F.coalesce("id", F.lit(""))))
+             .when(batch, F.coalesce(F.transform("applied", lambda x: F.coalesce(x["id"], F.lit(""))),
                                      F.array().cast("array<string>"))))
     return late_filter(decided, single | batch).select(
         "request_id",
@@ -39,34 +44,50 @@ def journal_items(decided: DataFrame) -> DataFrame:
     )
 
 
-def write_journal(items: DataFrame, path: str | None) -> bool:
-    """Append items as JSON lines; no path = nothing written (False)."""
+def write_journal(items: DataFrame, path: str | None, delivery: str | None = None) -> bool:
+    """Append items as JSON lines; no path = nothing written (False).
+
+    With a `delivery` name the items are a folder of their own under
+    `path`: delivering it again replaces what a failed attempt left and
+    adds nothing twice."""
     if not path:
         return False
-    items.select("ts", "metrics", "ip_address").write.mode("append").json(path)
+    writer = items.select("ts", "metrics", "ip_address").write
+    if delivery is None:
+        writer.mode("append").json(path)
+    else:
+        writer.mode("overwrite").json(f"{path}/delivery={delivery}")
     return True
 
 
-def fan_out(items: DataFrame, sinks: list[str | None]) -> DataFrame:
-    """B4 + E7: write the items to every sink; `delivered` is the any-of
-    over sink outcomes (False when no sink is registered).
+@dataclass(frozen=True)
+class Delivery:
+    """Outcome of one fan-out: per sink, written or not, and the errors."""
+    written: tuple[bool, ...]
+    errors: tuple[str | None, ...]
+
+    @property
+    def delivered(self) -> bool:
+        """Any sink took the items."""
+        return any(self.written)
+
+
+def fan_out(items: DataFrame, sinks: list[str | None], delivery: str) -> Delivery:
+    """B4 + E7: write the same items to every sink.
 
-    The items are computed once: the first sink that takes them becomes
-    the source for the others (a read of written files, which survives a
-    lost executor, instead of a cache in executor memory)."""
-    spark = items.sparkSession
-    source = items
-    outcomes = []
-    for s in sinks:
+    The items are stored once in the shared folder and every sink is fed
+    from that copy, so no sink sees rows of another delivery. A sink whose
+    write fails does not stop the others; its error is recorded."""
+    source = materialize(items.select("ts", "metrics", "ip_address"), "delivery")
+    written, errors = [], []
+    for sink in sinks:
         try:
-            ok = write_journal(source, s)
-        except Exception:  # a failing sink does not stop the others
-            ok = False
-        if ok and source is items:
-            source = spark.read.schema(JOURNAL_SCHEMA).json(s)
-        outcomes.append(ok)
-    return source.withColumn("delivered", F.lit(any(outcomes))) \
-        .withColumn("n_sinks_ok", F.lit(sum(outcomes)))
+            written.append(write_journal(source, sink, delivery))
+            errors.append(None)
+        except (PySparkException, Py4JJavaError) as e:
+            written.append(False)
+            errors.append(str(e).splitlines()[0] if str(e) else type(e).__name__)
+    return Delivery(tuple(written), tuple(errors))
 
 
 def access_log(decided: DataFrame) -> DataFrame:

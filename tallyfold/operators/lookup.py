@@ -1,11 +1,9 @@
-"""Bulk keyed reads of the state (D1, D2) and size-checked broadcast.
+"""Bulk keyed reads of the state.
 
 The state has one row per key, so a bulk read is an equi-join on
-(type, name). No broadcast hint is given for data-derived sides: Spark
-plans a broadcast only when its size estimate, or at run time AQE's
-measured size, is under the configured threshold, and a shuffle join
-beyond it. `bounded_broadcast` is for configuration tables whose row
-count is checked here.
+(type, name). No broadcast hint is given: Spark plans a broadcast only
+when its size estimate, or at run time AQE's measured size, is under the
+configured threshold, and a shuffle join beyond it.
 """
 
 from __future__ import annotations
@@ -13,21 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest configuration table that is broadcast by row count.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast `df` only if it has at most `max_rows` rows.
-
-    The count reads at most `max_rows + 1` rows. Returns the (possibly
-    hinted) frame and whether it was hinted.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
 
 def read_found(lookups: DataFrame, state: DataFrame) -> DataFrame:
     """Lookups (request_id, type, id) that exist, with their values.
@@ -47,15 +30,3 @@ def read_missing(lookups: DataFrame, state: DataFrame) -> DataFrame:
     j = lookups.join(s, (lookups["type"] == s["s_type"]) & (lookups["id"] == s["s_name"]),
                      "left_anti")
     return j.select("request_id", "type", "id", F.lit(404).alias("status"))
-
-
-def read_all(lookups: DataFrame, state: DataFrame) -> DataFrame:
-    """D1+D2 in one left join: status 200 with values, or 404."""
-    s = state.select(F.col("type").alias("s_type"), F.col("name").alias("s_name"), "delta", "value")
-    j = lookups.join(s, (lookups["type"] == s["s_type"]) & (lookups["id"] == s["s_name"]), "left")
-    return j.select(
-        "request_id", "type", "id",
-        F.when(F.col("type") == "counter", F.col("delta")).alias("delta"),
-        F.when(F.col("type") == "gauge", F.col("value")).alias("value"),
-        F.when(F.col("s_name").isNull(), F.lit(404)).otherwise(F.lit(200)).alias("status"),
-    )

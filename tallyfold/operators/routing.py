@@ -19,7 +19,7 @@ PATH_UPDATE = r"^/update/([^/]+)/([a-zA-Z0-9_-]+)/(-?[a-z0-9.]+)/?$"
 PATH_VALUE = r"^/value/([^/]+)/([a-zA-Z0-9_-]+)/?$"
 UPDATE_ROUTE_OK = r"^/update/[a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+/(-?)[a-zA-Z0-9\\.]+$"
 UPDATE_ROOTS = ("/update", "/update/", "/updates", "/updates/")
-HOST_PORT = r"^\[?(.*?)\]?:[0-9]+$"
+HOST_PORT = r"^(?:\[([^\[\]]*)\]|([^:\[\]]*)):([^:\[\]]*)$"
 
 # Route kinds.
 R_PATH_UPDATE = "path_update"
@@ -114,7 +114,8 @@ def parse_path_update(path) -> Column:
 
 
 def client_ip(remote_addr) -> Column:
-    """Host part of host:port (brackets removed), else the whole text."""
+    """Host part of host:port, else the whole text. A host with colons
+    counts only inside brackets, so a bare IPv6 address stays whole."""
     r = _col(remote_addr)
-    host = F.regexp_extract(r, HOST_PORT, 1)
+    host = F.concat(F.regexp_extract(r, HOST_PORT, 1), F.regexp_extract(r, HOST_PORT, 2))
     return F.when(r.rlike(HOST_PORT), host).otherwise(r)

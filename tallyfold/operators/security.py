@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions import hmac, netaddr
-from tallyfold.operators.lookup import bounded_broadcast
 
 
 def _col(c) -> Column:
@@ -48,42 +47,27 @@ def subnet_table(spark, cidrs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "cidr string, family int, lo string, hi string, bits int")
 
 
-def _buckets(subnets: DataFrame) -> DataFrame:
-    """Expand each subnet over the first-byte buckets it covers (at most
-    256), for the equi-join form of the range join."""
-    first_lo = F.conv(F.substring("lo", 1, 2), 16, 10).cast("int")
-    first_hi = F.conv(F.substring("hi", 1, 2), 16, 10).cast("int")
-    return subnets.withColumn("bucket", F.explode(F.sequence(first_lo, first_hi)))
+def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip") -> DataFrame:
+    """Pairs of addresses and the subnets that contain them.
 
-
-def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip",
-                         how: str = "inner", max_broadcast_rows: int = 100_000) -> DataFrame:
-    """Match addresses to the subnets that contain them.
-
-    A bounded subnet table is broadcast and the range predicate runs as a
-    broadcast nested-loop join. Beyond the bound, both sides are keyed by
-    (family, first address byte) and joined by equality plus the range
-    filter, so nothing is replicated. `how` is 'inner' (pairs) or
-    'left_semi' (addresses inside any subnet).
+    An address is masked to every prefix length that the subnet table holds
+    for its family (at most 33 and 129 lengths), and (family, length,
+    network) meets the subnets by equality. One plan at every size: an
+    address costs as many rows as there are lengths, never a test against
+    each subnet, and Spark picks a broadcast or a shuffle join (whose hot
+    networks AQE splits) from the sizes.
     """
+    lengths = sorted((r["family"], r["bits"]) for r in subnets.select("family", "bits").distinct().collect())
     # the parsed address is generator output: the join's inferred
     # `_a IS NOT NULL` filters then stay above the parse instead of being
     # pushed into the scan with the whole parse inlined (see barrier.py)
     keyed = addresses.withColumn("_a_key", netaddr.ip_key(F.trim(F.col(ip_col))))
-    a = keyed.select("*", F.explode_outer(F.array(netaddr.key_struct("_a_key"))).alias("_a")) \
-        .drop("_a_key")
-    s = subnets.select(F.col("cidr"), F.col("family").alias("_fam"),
-                       F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    cond = netaddr.in_prefix(F.col("_a"), F.col("_fam"), F.col("_lo"), F.col("_hi"))
-    small, hinted = bounded_broadcast(s, max_broadcast_rows)
-    if hinted:
-        j = a.join(small, cond, how)
-    else:
-        sb = _buckets(s.withColumnRenamed("_lo", "lo").withColumnRenamed("_hi", "hi")) \
-            .withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi")
-        ab = a.withColumn("bucket", F.conv(F.substring("_a.hex", 1, 2), 16, 10).cast("int")) \
-              .withColumn("_afam", F.col("_a.family"))
-        j = ab.join(sb, (ab["_afam"] == sb["_fam"]) & (ab["bucket"] == sb["bucket"]) & cond, how) \
-              .drop("bucket", "_afam")
-    drop = [c for c in ("_a", "_fam", "_lo", "_hi") if c in j.columns]
-    return j.drop(*drop)
+    a = keyed.select("*", F.explode_outer(F.array(netaddr.key_struct("_a_key"))).alias("_a")).drop("_a_key")
+    networks = F.filter(F.array(*(F.when(
+        (F.col("_a.family") == fam) & ~F.col("_a.zoned"),
+        F.struct(F.lit(fam).alias("family"), F.lit(bits).alias("bits"), netaddr.network_hex(F.col("_a.hex"), fam, bits).alias("lo")))
+        for fam, bits in lengths)), lambda n: n.isNotNull())
+    masked = a.select(*addresses.columns, F.explode(networks).alias("_n")).select(
+        *addresses.columns, F.col("_n.family").alias("_fam"), F.col("_n.bits").alias("_bits"), F.col("_n.lo").alias("_lo"))
+    s = subnets.select("cidr", F.col("family").alias("_fam"), F.col("bits").alias("_bits"), F.col("lo").alias("_lo"))
+    return masked.join(s, ["_fam", "_bits", "_lo"]).drop("_fam", "_bits", "_lo")

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions import hmac as hmac_fn
-from tallyfold.functions import netaddr
+from tallyfold.functions import netaddr, render
 from tallyfold.operators import (agent, envelope, fold, journal, lookup, retry, routing,
                                  security, validate)
+from tallyfold.operators.barrier import late_filter
 from tallyfold.plans import pipeline
 from tallyfold.plans import sqlparts as S
 from tallyfold.schemas import KEY_TABLE_SCHEMA, UPDATE_SCHEMA
-from tallyfold.session import materialize, path_exists, scratch_path, write_table
+from tallyfold.session import materialize, path_exists, scratch_path
 from tallyfold.sinks import report
 from tallyfold.sinks import snapshot as snapshot_sink
 from tallyfold.sources import snapshot as snapshot_src
@@ -139,23 +140,32 @@ def route_status(spark, sf_dir):
     return reqs.select("request_id", kind.alias("route"), status.alias("status"))
 
 
+# what an odd single (event e) or batch (request b) body is: the first rule that applies
+_J_KIND = """CASE WHEN {e} % 61 = 0 THEN 'bad' WHEN {e} % 67 = 0 OR {e} % 71 = 0 THEN 'ok'
+                   WHEN {e} % 73 = 0 THEN 'bad' WHEN {e} % 79 = 0 THEN 'null' WHEN {e} % 83 = 0 THEN 'none'
+                   ELSE 'ok' END"""
+_B_KIND = """CASE WHEN {b} % 13 = 0 THEN 'bad' WHEN {b} % 11 = 0 OR {b} % 17 = 0 THEN 'empty'
+                   WHEN {b} % 19 = 0 THEN 'none' WHEN {b} % 23 = 0 THEN 'ok' WHEN {b} % 29 = 0 THEN 'bad'
+                   ELSE 'ok' END"""
+
+
 @register("json_updates", f"""
-SELECT request_id, id, type, delta, value, FALSE AS bad
-FROM ({S.event_items_sql('single')})""")
+SELECT request_id, CASE WHEN kind = 'ok' THEN id END AS id, CASE WHEN kind = 'ok' THEN type END AS type,
+       CASE WHEN kind = 'ok' THEN delta END AS delta, CASE WHEN kind = 'ok' THEN value END AS value,
+       kind IN ('bad', 'none') AS bad
+FROM (SELECT *, {_J_KIND.format(e='seq')} AS kind FROM ({S.event_items_sql('single')}))""")
 def json_updates(spark, sf_dir):
-    reqs = requests.event_json_requests(_t(spark, sf_dir, "events"))
+    reqs = requests.with_odd_bodies(requests.event_json_requests(_t(spark, sf_dir, "events")))
     return requests.json_updates(reqs).select("request_id", "id", "type", "delta", "value", "bad")
 
 
 @register("json_batches", f"""
-WITH items AS ({S.event_items_sql('batch')}),
-reqs AS (SELECT DISTINCT request_id FROM items)
-SELECT request_id, pos, id, type, delta, value, FALSE AS bad FROM items
-WHERE request_id % 13 <> 0 AND request_id % 11 <> 0
+WITH items AS (SELECT *, {_B_KIND.format(b='request_id')} AS kind FROM ({S.event_items_sql('batch')}))
+SELECT request_id, pos, id, type, delta, value, FALSE AS bad FROM items WHERE kind = 'ok'
 UNION ALL
-SELECT request_id, CAST(NULL AS INTEGER), NULL, NULL, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE),
-       request_id % 13 = 0
-FROM reqs WHERE request_id % 13 = 0 OR request_id % 11 = 0""")
+SELECT DISTINCT request_id, CAST(NULL AS INTEGER), NULL, NULL, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE),
+       kind <> 'empty'
+FROM items WHERE kind <> 'ok'""")
 def json_batches(spark, sf_dir):
     reqs = requests.event_batch_requests(_t(spark, sf_dir, "events"))
     return requests.json_batches(reqs).select(
@@ -230,9 +240,14 @@ def update_quarantine(spark, sf_dir):
 SPLIT_TS = "2024-01-16 00:00:00"   # snapshot part: events before this time
 
 
+def _before_split(ts):
+    """Rows of the snapshot part; a NULL time belongs to the rest."""
+    return F.coalesce(F.col(ts) < F.lit(SPLIT_TS).cast("timestamp_ntz"), F.lit(False))
+
+
 def _split_items(spark, sf_dir):
     items = tables.event_items(_t(spark, sf_dir, "events"), framing="single")
-    cut = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    cut = _before_split("ts")
     return items.where(cut), items.where(~cut)
 
 
@@ -293,7 +308,7 @@ def apply_updates(spark, sf_dir):
 @register("snapshot_roundtrip", _STATE_SQL)
 def snapshot_roundtrip(spark, sf_dir):
     table = scratch_path(spark, "snapshot")
-    path = snapshot_sink.write_snapshot(state_fold(spark, sf_dir), table, fmt="json")
+    path = snapshot_sink.write_snapshot(state_fold(spark, sf_dir), table, fmt="json", buckets=1)
     return snapshot_src.read_snapshot_json(spark, path)
 
 
@@ -374,7 +389,16 @@ def signature_filter(spark, sf_dir):
 
 # Configured subnets of the registered queries.
 TRUSTED_CIDR = "10.0.0.0/15"
-SUBNETS = ["10.0.0.0/16", "10.1.128.0/17", "10.2.0.0/24", "10.3.7.0/24", "10.0.0.0/8", "fd00::/8"]
+SUBNETS = ["10.0.0.0/16", "10.1.128.0/17", "10.2.0.0/24", "10.3.7.0/24", "10.0.0.0/8", "fd00::/8", "fd00::8000/113",
+           "fe80::/10"]
+IPV6_EVERY = 5   # every 5th address of the range join, and every 61st client, is fd00::xxxx
+
+
+def _ipv6_text(eid):
+    return F.concat(F.lit("fd00::"), F.lower(F.hex((eid * 7919) % 65536)))
+
+
+_V6_SQL = "'fd00::' || lower(to_hex((event_id * 7919) % 65536))"
 
 
 def _client_addresses(events):
@@ -385,6 +409,7 @@ def _client_addresses(events):
           .when((eid % 47) == 0, F.lit("not-an-ip"))
           .when((eid % 53) == 0, F.concat(F.lit("::ffff:"), ip))
           .when((eid % 59) == 0, F.concat(F.lit(" "), ip, F.lit(" ")))
+          .when((eid % 61) == 0, _ipv6_text(eid))
           .otherwise(ip))
     return events.select("event_id", ip.alias("ip"))
 
@@ -417,11 +442,13 @@ WITH a AS (
   SELECT event_id,
          CASE WHEN event_id % 43 = 0 THEN '' WHEN event_id % 47 = 0 THEN 'not-an-ip'
               WHEN event_id % 53 = 0 THEN '::ffff:' || ip
-              WHEN event_id % 59 = 0 THEN ' ' || ip || ' ' ELSE ip END AS ip,
-         ip AS v4
+              WHEN event_id % 59 = 0 THEN ' ' || ip || ' '
+              WHEN event_id % 61 = 0 THEN {_V6_SQL} ELSE ip END AS ip,
+         ip AS v4, event_id % 53 <> 0 AND event_id % 59 <> 0 AND event_id % 61 = 0 AS v6
   FROM ({_ADDR_SQL}))
 SELECT event_id, ip,
        CASE WHEN event_id % 43 = 0 OR event_id % 47 = 0 THEN 400
+            WHEN v6 THEN 403
             WHEN {_v4_num_sql('v4')} BETWEEN {int(_TLO, 16)} AND {int(_THI, 16)} THEN 200
             ELSE 403 END AS status
 FROM a""")
@@ -433,9 +460,17 @@ def trusted_subnet(spark, sf_dir):
 
 @register("subnet_range_join", f"""
 WITH a AS ({_ADDR_SQL}), s(cidr, lo, hi) AS ({_cidr_values_sql(SUBNETS)})
-SELECT a.event_id, a.ip, s.cidr FROM a JOIN s ON {_v4_num_sql('a.ip')} BETWEEN s.lo AND s.hi""")
+SELECT a.event_id, a.ip, s.cidr FROM a JOIN s ON {_v4_num_sql('a.ip')} BETWEEN s.lo AND s.hi
+WHERE a.event_id % {IPV6_EVERY} <> 0
+UNION ALL
+SELECT event_id, {_V6_SQL}, 'fd00::/8' FROM events WHERE event_id % {IPV6_EVERY} = 0
+UNION ALL
+SELECT event_id, {_V6_SQL}, 'fd00::8000/113' FROM events
+WHERE event_id % {IPV6_EVERY} = 0 AND (event_id * 7919) % 65536 >= 32768""")
 def subnet_range_join(spark, sf_dir):
     addrs = tables.event_addresses(_t(spark, sf_dir, "events"))
+    eid = F.col("event_id")
+    addrs = addrs.withColumn("ip", F.when(eid % IPV6_EVERY == 0, _ipv6_text(eid)).otherwise(F.col("ip")))
     subnets = security.subnet_table(spark, SUBNETS)
     return security.addresses_in_subnets(addrs, subnets, "ip").select("event_id", "ip", "cidr")
 
@@ -462,19 +497,17 @@ def encrypted_roundtrip(spark, sf_dir):
     keys = data_keys(spark)
     reqs = requests.event_json_requests(_t(spark, sf_dir, "events"))
     kid = F.concat(F.lit("k"), (F.col("seq") % 2).cast("string"))
-    kb, _ = lookup.bounded_broadcast(keys)
-    sealed = reqs.withColumn("key_id", kid).join(kb, "key_id", "left") \
+    sealed = reqs.withColumn("key_id", kid).join(keys, "key_id", "left") \
         .withColumn("body", envelope.seal("body", "data_key", "key_id")) \
         .withColumn("x_encrypted", F.lit(envelope.HEADER_VALUE)).drop("data_key", "key_id")
-    d = F.get_json_object("body", "$.d")
-    bad_d = F.concat(F.when(F.substring(d, 1, 1) == "A", "B").otherwise("A"), F.substring(d, 2, 1 << 30))
-    tampered = F.when((F.col("seq") % TAMPER_EVERY) == 0, F.to_json(F.struct(
-        F.get_json_object("body", "$.alg").alias("alg"), F.get_json_object("body", "$.k").alias("k"),
-        F.get_json_object("body", "$.n").alias("n"), bad_d.alias("d"),
-        F.get_json_object("body", "$.v").cast("int").alias("v")))).otherwise(F.col("body"))
-    wire = materialize(sealed.withColumn("body", tampered), "wire")   # what was sent, stored once
+    # the envelope's text is one JSON object that ends in its `d` and `v`: damage the first letter of `d`
+    flipped = F.regexp_replace("body", '"d":"A', '"d":"~').cast("string")
+    flipped = F.when(flipped.contains('"d":"~'), F.replace(flipped, F.lit('"d":"~'), F.lit('"d":"B'))) \
+        .otherwise(F.regexp_replace("body", '"d":"[^A]', '"d":"A'))
+    tampered = F.when((F.col("seq") % TAMPER_EVERY) == 0, flipped).otherwise(F.col("body"))
+    wire = materialize(sealed.withColumn("body", tampered.cast("binary")), "wire")   # what was sent, stored once
     opened = envelope.open_envelopes(wire, keys)
-    ok = opened.where(F.col("decrypt_status").isNull()).withColumn("body", F.col("plain"))
+    ok = late_filter(opened, F.col("decrypt_status").isNull()).withColumn("body", F.col("plain"))
     return fold.fold_state(requests.json_updates(ok).where(~F.col("bad")))
 
 
@@ -495,10 +528,10 @@ EDGE_CIDR = TRUSTED_CIDR
 
 
 def _edge(spark) -> pipeline.EdgeConfig:
-    return pipeline.EdgeConfig(trusted_cidr=EDGE_CIDR, sign_key=SIGN_KEY)
+    return pipeline.EdgeConfig(trusted_cidr=EDGE_CIDR, sign_key=SIGN_KEY, keys=data_keys(spark))
 
 
-def _request_log(spark, sf_dir):
+def request_log_path(spark, sf_dir):
     """The derived request log, written once as a table in the shared
     folder: it plays the part of a stored log, and the cut keeps Catalyst
     from merging the log's own JSON/HMAC generation into every decision
@@ -507,52 +540,61 @@ def _request_log(spark, sf_dir):
     path = _STORED.get(key)
     if path is None or not path_exists(spark, path):
         path = scratch_path(spark, "request-log")
-        write_table(requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY), path)
+        requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY, data_keys(spark)).write.parquet(path)
         _STORED[key] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def _request_log(spark, sf_dir):
+    return spark.read.parquet(request_log_path(spark, sf_dir))
 
 
 # Derived inputs stored once per session and input folder (like stored tables).
 _STORED: dict[tuple, str] = {}
 
 
+def _wire_sql(unit: str) -> str:
+    """Signature and transport of a JSON body, by its unit number."""
+    return f"""WHEN {unit} % 9 <> 0 AND {unit} % 10 = 0 THEN 400
+              WHEN kind <> 'none' AND {unit} % 12 = 9 THEN 500
+              WHEN kind <> 'none' AND {unit} % 12 = 11 THEN 400
+              WHEN kind IN ('bad', 'none') THEN 400"""
+
+
 _DECISIONS_SQL = f"""
-WITH p AS ({_PATH_PARSED_SQL}),
-j AS ({S.event_items_sql('single')}),
-ju AS (SELECT event_id, user_id FROM events),
-b AS (SELECT request_id AS bid, min(seq) AS seq0,
-             min(CASE WHEN {S.INVALID} THEN pos END) AS first_bad
+WITH p AS (SELECT x.*, e.ts FROM ({_PATH_PARSED_SQL}) x JOIN events e ON e.event_id = x.request_id),
+j AS (SELECT i.*, e.user_id AS uid, {_J_KIND.format(e='i.seq')} AS kind
+      FROM ({S.event_items_sql('single')}) i JOIN events e ON e.event_id = i.seq),
+b AS (SELECT request_id AS bid, min(seq) AS seq0, min(ts) AS ts0, {_B_KIND.format(b='request_id')} AS kind,
+             min(CASE WHEN {S.INVALID} THEN pos END) AS first_bad, list(id ORDER BY pos) AS names
       FROM ({S.event_items_sql('batch')}) GROUP BY request_id),
-dec AS (
-  SELECT request_id * 3 AS request_id,
+checked AS (
+  SELECT request_id * 3 AS request_id, 'p' AS source,
          CASE WHEN is_path_route THEN 'path_update' ELSE 'json_update' END AS route,
          CASE WHEN uid % 4 NOT IN (0, 1) THEN 403
               WHEN NOT is_path_route AND cut THEN 404
               WHEN NOT is_path_route THEN 400
               WHEN type NOT IN ('counter', 'gauge') OR (type = 'counter' AND delta IS NULL)
                    OR (type = 'gauge' AND value IS NULL) THEN 400
-              WHEN method <> 'POST' THEN 405
-              ELSE 200 END AS status,
-         request_id AS seq, id, type, delta, value, CAST(0 AS INTEGER) AS pos, 'p' AS kind,
+              WHEN method <> 'POST' THEN 405 END AS early,
+         FALSE AS invalid, request_id AS seq, id, type, delta, value, CAST(NULL AS INTEGER) AS first_bad,
          method, CASE WHEN cut THEN '/update/' || type || '/'
-                      ELSE '/update/' || type || '/' || id || '/' || seg_text END AS uri
+                      ELSE '/update/' || type || '/' || id || '/' || seg_text END AS uri,
+         ts, [id] AS names, uid AS client
   FROM p
   UNION ALL
-  SELECT j.request_id * 3 + 1, 'json_update',
-         CASE WHEN ju.user_id % 4 NOT IN (0, 1) THEN 403
-              WHEN j.request_id % 9 <> 0 AND j.request_id % 10 = 0 THEN 400
-              WHEN NOT {S.VALID} THEN 500 ELSE 200 END,
-         j.seq, j.id, j.type, j.delta, j.value, CAST(0 AS INTEGER), 'j', 'POST', '/update'
-  FROM j JOIN ju ON ju.event_id = j.seq
+  SELECT request_id * 3 + 1, 'j', 'json_update',
+         CASE WHEN uid % 4 NOT IN (0, 1) THEN 403 {_wire_sql('request_id')} END,
+         kind = 'null' OR NOT {S.VALID}, seq, id, type, delta, value, NULL, 'POST', '/update',
+         ts, [CASE WHEN kind = 'null' THEN '' ELSE id END], uid
+  FROM j
   UNION ALL
-  SELECT bid * 3 + 2, 'json_batch',
-         CASE WHEN bid % 4 NOT IN (0, 1) THEN 403
-              WHEN bid % 9 <> 0 AND bid % 10 = 0 THEN 400
-              WHEN bid % 13 = 0 THEN 400
-              WHEN bid % 11 = 0 THEN 200
-              WHEN first_bad IS NOT NULL THEN 500 ELSE 200 END,
-         seq0, NULL, NULL, NULL, NULL, first_bad, 'b', 'POST', '/updates'
-  FROM b)"""
+  SELECT bid * 3 + 2, 'b', 'json_batch',
+         CASE WHEN bid % 4 NOT IN (0, 1) THEN 403 {_wire_sql('bid')} END,
+         kind = 'ok' AND first_bad IS NOT NULL, seq0, NULL, NULL, NULL, NULL, first_bad, 'POST', '/updates',
+         ts0, CASE WHEN kind = 'empty' THEN CAST([] AS VARCHAR[]) ELSE names END, bid
+  FROM b),
+dec AS (SELECT *, COALESCE(early, CASE WHEN invalid THEN 500 ELSE 200 END) AS status FROM checked)"""
 
 
 @register("request_decisions", _DECISIONS_SQL + """
@@ -564,13 +606,12 @@ def request_decisions(spark, sf_dir):
 
 @register("ingest_pipeline", _DECISIONS_SQL + f""",
 acc AS (
-  SELECT id, type, delta, value, seq * 1048576 AS k FROM dec
-  WHERE kind IN ('p', 'j') AND status = 200
+  SELECT id, type, delta, value, CAST(seq AS HUGEINT) * 2147483648 AS k FROM dec
+  WHERE source IN ('p', 'j') AND status = 200
   UNION ALL
-  SELECT i.id, i.type, i.delta, i.value, d.seq * 1048576 + i.pos
+  SELECT i.id, i.type, i.delta, i.value, CAST(d.seq AS HUGEINT) * 2147483648 + i.pos
   FROM dec d JOIN ({S.event_items_sql('batch')}) i ON i.request_id * 3 + 2 = d.request_id
-  WHERE d.kind = 'b' AND d.status IN (200, 500) AND i.request_id % 11 <> 0
-    AND (d.pos IS NULL OR i.pos < d.pos))
+  WHERE d.source = 'b' AND d.early IS NULL AND len(d.names) > 0 AND (d.first_bad IS NULL OR i.pos < d.first_bad))
 SELECT id AS name, type,
        CAST(sum(CASE WHEN type = 'counter' THEN delta END) AS BIGINT) AS delta,
        arg_max(CASE WHEN type = 'gauge' THEN value END, CASE WHEN type = 'gauge' THEN k END) AS value
@@ -697,62 +738,72 @@ def report_envelopes(spark, sf_dir):
                     lambda a, x: a + F.coalesce(x["delta"], F.lit(0).cast("bigint"))).alias("polls"))
 
 
+@register("report_single_envelopes", f"""
+SELECT host, window_start, id, type, delta, value FROM ({_REPORT_SQL})""")
+def report_single_envelopes(spark, sf_dir):
+    rep = agent.report_windows(_host_samples(_t(spark, sf_dir, "events")), REPORT_EVERY)
+    parsed = F.from_json("body", "struct<id:string,type:string,delta:bigint,value:double>")
+    return agent.single_envelopes(rep).select("host", "window_start", parsed.alias("m")).select(
+        "host", "window_start", "m.id", "m.type", "m.delta", "m.value")
+
+
+@register("reader_union", """
+SELECT vec_id AS sample_id, 'TotalMemory' AS id, 'gauge' AS type, CAST(NULL AS BIGINT) AS delta,
+       CAST(1024 * len(embedding) AS DOUBLE) AS value FROM embeddings
+UNION ALL
+SELECT vec_id, 'FreeMemory', 'gauge', NULL, CAST(label AS DOUBLE) FROM embeddings
+UNION ALL
+SELECT sample_id, 'CPUutilization' || CAST(i AS VARCHAR), 'gauge', NULL, CAST(u AS DOUBLE) FROM (
+  SELECT vec_id AS sample_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS u FROM embeddings)
+UNION ALL
+SELECT vec_id, 'PollCount', 'counter', 1, NULL FROM embeddings
+UNION ALL
+SELECT vec_id, 'RandomValue', 'gauge', NULL, NULL FROM embeddings""")
+def reader_union(spark, sf_dir):
+    emb = _t(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), (F.lit(1024) * F.size("embedding")).alias("TotalMemory"),
+        F.col("label").alias("FreeMemory"), F.col("embedding").alias("cpu"))
+    rows = agent.all_readers(agent.system_gauges(emb, ["sample_id"]), agent.self_metrics(emb, ["sample_id"]))
+    value = F.when(F.col("id") != agent.RANDOM_VALUE, F.col("value"))   # random by definition: not compared
+    return rows.select("sample_id", "id", "type", "delta", value.alias("value"))
+
+
 # --------------------------------------------------------------------------
 # Step 11: audit journal, fan-out, access log
 # --------------------------------------------------------------------------
 
-_JOURNAL_WITH = f"""
-WITH p AS ({_PATH_PARSED_SQL}),
-e AS (SELECT event_id, user_id, ts FROM events),
-j AS ({S.event_items_sql('single')}),
-bi AS ({S.event_items_sql('batch')}),
-b AS (SELECT request_id AS bid, min(ts) AS ts0,
-             min(CASE WHEN {S.INVALID} THEN pos END) AS first_bad,
-             list(id ORDER BY pos) AS names
-      FROM bi GROUP BY request_id)"""
-
-_JOURNAL_PATH = """
-SELECT p.request_id * 3 AS request_id, CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS ts,
-       [p.id] AS metrics, '192.168.0.' || CAST(e.user_id % 250 AS VARCHAR) AS ip_address
-FROM p JOIN e ON e.event_id = p.request_id
-WHERE p.uid % 4 IN (0, 1) AND p.is_path_route AND p.method = 'POST'
-  AND ((p.type = 'counter' AND p.delta IS NOT NULL) OR (p.type = 'gauge' AND p.value IS NOT NULL))"""
-
-_JOURNAL_JSON = """
-SELECT j.request_id * 3 + 1 AS request_id, CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS ts,
-       [j.id] AS metrics, '192.168.0.' || CAST(e.user_id % 250 AS VARCHAR) AS ip_address
-FROM j JOIN e ON e.event_id = j.seq
-WHERE e.user_id % 4 IN (0, 1) AND NOT (j.request_id % 9 <> 0 AND j.request_id % 10 = 0)"""
-
-_JOURNAL_BATCH = """
-SELECT bid * 3 + 2 AS request_id, CAST(epoch_us(ts0) // 1000000 AS BIGINT) AS ts,
-       CASE WHEN bid % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE names END AS metrics,
-       '192.168.0.' || CAST(bid % 250 AS VARCHAR) AS ip_address
-FROM b
-WHERE bid % 4 IN (0, 1) AND NOT (bid % 9 <> 0 AND bid % 10 = 0) AND bid % 13 <> 0
-  AND (bid % 11 = 0 OR first_bad IS NULL)"""
-
-_JOURNAL_SQL = _JOURNAL_WITH + _JOURNAL_PATH + "\nUNION ALL" + _JOURNAL_JSON + "\nUNION ALL" + _JOURNAL_BATCH
+_JOURNAL_SQL = _DECISIONS_SQL + """
+SELECT request_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts, names AS metrics,
+       '192.168.0.' || CAST(client % 250 AS VARCHAR) AS ip_address
+FROM dec WHERE early IS NULL AND (source <> 'b' OR status = 200)"""
 
 
 def _decided(spark, sf_dir):
     return pipeline.decide_requests(_request_log(spark, sf_dir), _edge(spark))
 
 
+def _journal(spark, sf_dir):
+    return journal.journal_items(_decided(spark, sf_dir), pipeline.EARLY_CHECKS)
+
+
 @register("audit_journal", _JOURNAL_SQL)
 def audit_journal(spark, sf_dir):
-    return journal.journal_items(_decided(spark, sf_dir))
+    return _journal(spark, sf_dir)
 
 
 @register("audit_fanout", f"""
 SELECT s.sink, j.ts, j.metrics, j.ip_address
 FROM ({_JOURNAL_SQL}) j, (VALUES (0), (1)) s(sink)""")
 def audit_fanout(spark, sf_dir):
-    items = journal.journal_items(_decided(spark, sf_dir))
-    sinks = [scratch_path(spark, "journal-a"), scratch_path(spark, "journal-b"), None]
-    out = journal.fan_out(items, sinks)
-    if not out.select("delivered").first()[0]:
-        raise RuntimeError("journal was not delivered to any sink")
+    """Three deliveries (path updates, JSON requests, nothing) into the same
+    sinks, of which one fails and one is not configured."""
+    items = materialize(_journal(spark, sf_dir), "journal-items")
+    sinks = [scratch_path(spark, "journal-a"), scratch_path(spark, "journal-b"), "nosuchfs://sink/journal", None]
+    by_path = F.col("request_id") % 3 == 0
+    for name, part in (("paths", by_path), ("json", ~by_path), ("nothing", F.lit(False))):
+        out = journal.fan_out(items.where(part), sinks, name)
+        if out.written != (True, True, False, False) or out.errors[2] is None:
+            raise RuntimeError(f"delivery {name}: {out}")
     parts = [snapshot_src.read_journal(spark, p).withColumn("sink", F.lit(i))
              for i, p in enumerate(sinks[:2])]
     return parts[0].unionByName(parts[1]).select("sink", "ts", "metrics", "ip_address")
@@ -829,6 +880,43 @@ def render_plain(spark, sf_dir):
     return st.select("name", "type", report.plain_value().alias("text"))
 
 
+@register("render_float_range", """
+WITH v AS (SELECT event_id, rtrim(CAST(event_id % 9999 + 1 AS VARCHAR), '0') AS d,
+                  len(CAST(event_id % 9999 + 1 AS VARCHAR)) - 1 + event_id % 31 - 12 AS x FROM events)
+SELECT event_id,
+       CASE WHEN x < -4 OR x >= 6
+            THEN d[1] || CASE WHEN len(d) > 1 THEN '.' || d[2:] ELSE '' END
+                 || CASE WHEN x < 0 THEN 'e-' ELSE 'e+' END || lpad(CAST(abs(x) AS VARCHAR), 2, '0')
+            WHEN x < 0 THEN '0.' || repeat('0', -x - 1) || d
+            WHEN x + 1 >= len(d) THEN d || repeat('0', x + 1 - len(d))
+            ELSE d[1:x + 1] || '.' || d[x + 2:] END AS text
+FROM v""")
+def render_float_range(spark, sf_dir):
+    """Gauge texts over 34 powers of ten: m * 10^k with m = 1..9999."""
+    eid = F.col("event_id")
+    number = F.concat((eid % 9999 + 1).cast("string"), F.lit("e"), (eid % 31 - 12).cast("string")).cast("double")
+    return _t(spark, sf_dir, "events").select("event_id", render.float_shortest(number).alias("text"))
+
+
+@register("path_records", f"""
+SELECT name, type, '/update/' || type || '/' || name || '/' || CASE WHEN type = 'counter'
+       THEN CAST(delta AS VARCHAR) ELSE printf('%f', value) END AS record
+FROM ({_STATE_SQL})""")
+def path_records(spark, sf_dir):
+    st = state_fold(spark, sf_dir).withColumnRenamed("name", "id")
+    return st.select(F.col("id").alias("name"), "type", report.path_record().alias("record"))
+
+
+@register("outgoing_checks", f"""
+SELECT seq, CASE WHEN type = 'counter' AND delta IS NULL THEN 'missing required field: delta'
+                 WHEN type = 'gauge' AND value IS NULL THEN 'missing required field: value'
+                 WHEN type NOT IN ('counter', 'gauge') THEN 'unsupported metric type: ' || type END AS reason
+FROM ({S.event_items_sql('single')})""")
+def outgoing_checks(spark, sf_dir):
+    items = tables.event_items(_t(spark, sf_dir, "events"), framing="single")
+    return items.select("seq", validate.outgoing_reason().alias("reason"))
+
+
 _JSON_BODY_SQL = """'{"id":"' || name || '","type":"' || type || '",'
     || CASE WHEN type = 'counter' THEN '"delta":' || CAST(delta AS VARCHAR)
             ELSE '"value":' || CAST(value AS VARCHAR) END || '}'"""
@@ -848,15 +936,14 @@ def render_json(spark, sf_dir):
 # Step 13: streaming forms (availableNow, several micro-batches)
 # --------------------------------------------------------------------------
 
-STREAM_FILES = 4
+FILES_PER_TRIGGER = 4   # of at most a million rows: a micro-batch stays bounded at any size
 
 
-def _event_stream(spark, sf_dir, name, where=None, order_by="event_id"):
+def _event_stream(spark, sf_dir, name, where=None):
     ev = _t(spark, sf_dir, "events")
     if where is not None:
         ev = ev.where(where)
-    path = streams.staged_copy(ev, name, STREAM_FILES, order_by)
-    return streams.file_stream(spark, path, ev.schema, max_files=1)
+    return streams.file_stream(spark, streams.staged_copy(ev, name), ev.schema, max_files=FILES_PER_TRIGGER)
 
 
 @register("stream_state_fold", _STATE_SQL)
@@ -873,34 +960,33 @@ def stream_snapshot(spark, sf_dir):
     base_dir = scratch_path(spark, "restored")
     snapshot_sink.write_snapshot(fold.fold_state(first), base_dir)
     base = snapshot_src.read_state_table(spark, base_dir)
-    src = _event_stream(spark, sf_dir, "stream-rest",
-                        where=F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    src = _event_stream(spark, sf_dir, "stream-rest", where=~_before_split("ts"))
     table, ckpt = scratch_path(spark, "stream-snap"), scratch_path(spark, "ckpt")
     q = streams.stream_fold(tables.event_items(src, framing="single"), table, ckpt,
                             base=base, fmt="json", snapshots=True)
     streams.run_to_end(q)
-    return snapshot_src.read_snapshot_json(spark, snapshot_sink.latest_path(spark, table))
+    return snapshot_src.read_state_table(spark, table, "json")
 
 
-STREAM_LATENESS = "2 days"
+STREAM_LATENESS = "400 days"   # beyond the events' span: the files come in no order, nothing is late
 
 
 @register("stream_report_windows", _REPORT_SQL)
 def stream_report_windows(spark, sf_dir):
-    src = _event_stream(spark, sf_dir, "stream-samples", order_by="ts")
+    src = _event_stream(spark, sf_dir, "stream-samples")
     table, ckpt = scratch_path(spark, "stream-reports"), scratch_path(spark, "ckpt")
     q = streams.stream_report_windows(_host_samples(src), REPORT_EVERY, STREAM_LATENESS, table, ckpt)
     streams.run_to_end(q)
-    out = streams.read_change_log(spark, table, ["host", "window_start", "id"])
-    return out.select("host", "window_start", "id", "type", "delta", "value")
+    if streams.rows_dropped_late(q):
+        raise RuntimeError("rows were dropped as late")
+    return agent.report_rows(streams.read_change_log(spark, table, ["host", "window_start", "id"]))
 
 
-@register("stream_journal", _JOURNAL_WITH + """
-SELECT ts, metrics, ip_address FROM (""" + _JOURNAL_PATH + "\nUNION ALL" + _JOURNAL_JSON + ")")
+@register("stream_journal", f"SELECT ts, metrics, ip_address FROM ({_JOURNAL_SQL})")
 def stream_journal(spark, sf_dir):
-    src = _event_stream(spark, sf_dir, "stream-requests")
-    log = requests.event_request_log(src, SIGN_KEY, with_batches=False)
-    items = journal.journal_items(pipeline.decide_requests(log, _edge(spark)))
+    path = request_log_path(spark, sf_dir)
+    log = streams.file_stream(spark, path, spark.read.parquet(path).schema, max_files=FILES_PER_TRIGGER)
+    items = journal.journal_items(pipeline.decide_requests(log, _edge(spark)), pipeline.EARLY_CHECKS)
     out, ckpt = scratch_path(spark, "stream-journal"), scratch_path(spark, "ckpt")
     streams.run_to_end(streams.stream_journal(items, out, ckpt))
     return snapshot_src.read_journal(spark, out)
@@ -921,7 +1007,7 @@ def _read_requests(events):
         F.when(even, F.lit("/value")).otherwise(
             F.concat_ws("/", F.lit("/value"), "type", "id")).alias("path"),
         F.create_map().cast("map<string,string>").alias("headers"),
-        F.when(even, F.to_json(F.struct("id", "type"))).alias("body"),
+        F.when(even, F.to_json(F.struct("id", "type"))).cast("binary").alias("body"),
         F.lit("127.0.0.1:5000").alias("remote_addr"))
 
 
@@ -936,9 +1022,10 @@ SELECT l.request_id,
 FROM l LEFT JOIN st ON st.type = l.type AND st.name = l.id""")
 def read_requests(spark, sf_dir):
     reads = _read_requests(_t(spark, sf_dir, "events"))
-    d = pipeline.decide_requests(reads, pipeline.EdgeConfig(), state=state_fold(spark, sf_dir))
-    text = F.when(F.col("status") == 200, report.plain_value("type", "found_delta", "found_value"))
-    return d.select("request_id", "route", "status", text.alias("text"))
+    # each key is rendered once, before the join with the reads
+    state = state_fold(spark, sf_dir).withColumn("text", report.plain_value())
+    d = pipeline.decide_requests(reads, pipeline.EdgeConfig(), state=state)
+    return d.select("request_id", "route", "status", F.when(F.col("status") == 200, F.col("found_text")).alias("text"))
 
 
 @register("stream_carry_forward", """

@@ -1,10 +1,9 @@
 """Composed flows: request decisions (C7) and bulk ingest (L1).
 
 One pass over the request log computes every check as a status column;
-the first failing check is the request's status (`coalesce`). Batch
-bodies are exploded once; their first invalid position is a partial
-aggregate per request joined back to the (one-row-per-request) log.
-Accepted updates of all routes are unioned and folded in one shuffle.
+the first failing check is the request's status (`coalesce`). A batch body
+is one row, so its first invalid item is found in the row. Accepted
+updates of all routes are folded in one shuffle.
 """
 
 from __future__ import annotations
@@ -14,16 +13,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.functions import jsonwire
+from tallyfold.functions import gzipped, jsonwire
 from tallyfold.operators import envelope, fold, routing, security, validate
 from tallyfold.operators.routing import (R_JSON_BATCH, R_JSON_UPDATE, R_JSON_VALUE, R_LIST,
                                          R_PATH_UPDATE, R_PATH_VALUE, R_PING)
 from tallyfold.schemas import COUNTER, GAUGE
-from tallyfold.sources import requests as request_sources
 
-ITEM_SLOTS = 1 << 20
+ITEM_SLOTS = 1 << 31  # positions are INT
 JSON_ROUTES = (R_JSON_UPDATE, R_JSON_BATCH, R_JSON_VALUE)
 BODY_ROUTES = (R_JSON_UPDATE, R_JSON_BATCH, R_JSON_VALUE, R_PATH_VALUE)
+GZIP_ROUTES = (*BODY_ROUTES, R_LIST)
+# the checks before validation, in order
+EARLY_CHECKS = ("s_subnet", "s_route", "s_sig", "s_gzip", "decrypt_status", "s_parse", "s_nested", "s_method", "s_ping")
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,6 @@ class EdgeConfig:
     trusted_cidr: str | None = None
     sign_key: str | None = None
     keys: DataFrame | None = None      # data-key table for encrypted bodies
-    strict_json: bool = True
     has_db: bool = False
 
 
@@ -42,11 +42,15 @@ def _hdr(name: str) -> F.Column:
 
 def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | None = None) -> DataFrame:
     """Per request `route`, `status` and the decoded single update
-    (`id`, `type`, `delta`, `value`) where the route carries one.
-
-    Order: subnet 400/403 -> route 404 -> signature 400 -> decrypt 400/500
-    -> parse 400 -> method 405 -> handler 404 -> validate 500 -> lookup 404
-    -> 200. Path updates skip signature and decrypt.
+    (`id`, `type`, `delta`, `value`) where the route carries one. With a
+    `state`, reads also get what they found, and its rendered `text` if the
+    state has that column.
+
+    Order: subnet 400/403 -> route 404 -> signature 400 -> gunzip 500/400
+    -> decrypt 400/500 -> parse 400 -> path below a group root 404 ->
+    method 405 -> ping 503 -> validate 500 -> lookup 404 -> 200. Path
+    updates skip signature, gunzip and decrypt. The signature is that of the
+    body as sent (a missing body is empty).
     """
     kind = routing.route_kind("path")
     d = requests.withColumn("route", kind)
@@ -57,19 +61,25 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
                                         "s_subnet").drop("_real_ip")
     r = F.col("route")
     d = d.withColumn("s_route", routing.route_check_status("path", r))
-    sig = security.signature_status(_hdr("HashSHA256"), F.col("body"), cfg.sign_key)
+    sent = F.coalesce(F.col("body"), F.lit(b""))
+    sig = security.signature_status(_hdr("HashSHA256"), sent, cfg.sign_key)
     d = d.withColumn("s_sig", F.when(r.isin(*JSON_ROUTES), sig))
+    is_gzip = r.isin(*GZIP_ROUTES) & F.coalesce(_hdr("Content-Encoding").contains("gzip"), F.lit(False))
+    d = d.withColumn("_gz", gzipped.gunzip(F.when(is_gzip, sent)))
+    reads_body = F.col("route").isin(*JSON_ROUTES)
+    d = d.withColumn("s_gzip", F.when((F.col("_gz.status") == gzipped.NO_HEADER) | reads_body, F.col("_gz.status"))) \
+         .withColumn("_body", F.when(is_gzip, F.col("_gz.data")).otherwise(F.col("body"))).drop("_gz")
     d = d.withColumn("x_encrypted", F.when(r.isin(*BODY_ROUTES), _hdr("X-Encrypted")))
-    d = envelope.open_envelopes(d, cfg.keys, "body", "x_encrypted") \
+    d = envelope.open_envelopes(d, cfg.keys, "_body", "x_encrypted") \
         if cfg.keys is not None else d.withColumn(
             "decrypt_status", F.when(F.col("x_encrypted").isNotNull() & (F.col("x_encrypted") != ""),
                                      F.lit(500)).cast("int")) \
-        .withColumn("plain", F.col("body"))
+        .withColumn("plain", F.col("_body"))
     pathu = routing.parse_path_update("path")
     pv = F.regexp_extract("path", routing.PATH_VALUE, 1)
-    d = jsonwire.with_single(d, "plain", "_single", cfg.strict_json,
+    d = jsonwire.with_single(d, "plain", "_single",
                              only_when=r.isin(R_JSON_UPDATE, R_JSON_VALUE))
-    d = jsonwire.with_batch(d, "plain", "_batch", cfg.strict_json, only_when=r == R_JSON_BATCH)
+    d = jsonwire.with_batch(d, "plain", "_batch", only_when=r == R_JSON_BATCH)
     d = d.withColumn("_batch_bad", F.col("_batch.bad")) \
          .withColumn("_path", F.when(r == R_PATH_UPDATE, pathu))
     s_parse = (F.when(r == R_PATH_UPDATE, F.col("_path.status"))
@@ -78,9 +88,9 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
                .when((r == R_PATH_VALUE) & ~pv.isin(COUNTER, GAUGE), F.lit(400)))
     d = d.withColumn("s_parse", s_parse.cast("int"))
     d = d.withColumn("s_method", routing.method_status("method", r))
-    handler = F.when(r.isin(R_JSON_UPDATE, R_JSON_BATCH) & ~F.col("path").isin(*routing.UPDATE_ROOTS),
-                     F.lit(404)).when((r == R_PING) & F.lit(not cfg.has_db), F.lit(503))
-    d = d.withColumn("s_handler", handler.cast("int"))
+    d = d.withColumn("s_nested", F.when(
+        r.isin(R_JSON_UPDATE, R_JSON_BATCH) & ~F.col("path").isin(*routing.UPDATE_ROOTS), F.lit(404)))
+    d = d.withColumn("s_ping", F.when((r == R_PING) & F.lit(not cfg.has_db), F.lit(503)))
     # the single update carried by the request
     d = d.withColumn("id", F.coalesce(F.col("_path.id"), F.col("_single.id"),
                                       F.when(r == R_PATH_VALUE, F.regexp_extract("path", routing.PATH_VALUE, 2)))) \
@@ -103,8 +113,9 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
     if state is not None:
         # one left join on the key, limited to read routes in the ON clause
         # (the state has one row per key: Spark broadcasts it when small)
+        text = F.col("text") if "text" in state.columns else F.lit(None).cast("string")
         s = state.select(F.col("type").alias("_st"), F.col("name").alias("_sn"),
-                         F.col("delta").alias("_sd"), F.col("value").alias("_sv"))
+                         F.col("delta").alias("_sd"), F.col("value").alias("_sv"), text.alias("found_text"))
         on = r.isin(R_JSON_VALUE, R_PATH_VALUE) & (F.col("type") == F.col("_st")) \
             & (F.col("id") == F.col("_sn"))
         d = d.join(s, on, "left")
@@ -115,8 +126,7 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
              .drop("_st", "_sn", "_sd", "_sv")
     else:
         d = d.withColumn("s_lookup", F.when(r.isin(R_JSON_VALUE, R_PATH_VALUE), F.lit(404)))
-    early = F.coalesce("s_subnet", "s_route", "s_sig", "decrypt_status", "s_parse",
-                       "s_method", "s_handler")
+    early = F.coalesce(*EARLY_CHECKS)
     status = F.coalesce(early, "s_validate", "s_lookup", F.lit(200))
     d = d.withColumn("status", status.cast("int"))
     # the updates this request applies, in order (pos)
@@ -129,14 +139,7 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
         x["delta"].alias("delta"), x["value"].alias("value")))
     applied = (F.when(r.isin(R_PATH_UPDATE, R_JSON_UPDATE) & (F.col("status") == 200), one)
                .when((r == R_JSON_BATCH) & early.isNull() & (n_acc > 0), prefix))
-    return d.withColumn("applied", applied).drop("_single", "_batch", "_batch_bad", "_path", "_items")
-
-
-def batch_items(decided: DataFrame) -> DataFrame:
-    """Items of well-formed batch bodies with their positions (A3)."""
-    b = decided.where(F.col("route") == R_JSON_BATCH)
-    body = b.select("request_id", "seq", "ts", F.col("plain").alias("body"))
-    return request_sources.json_batches(body).where(~F.col("bad"))
+    return d.withColumn("applied", applied).drop("_single", "_batch", "_batch_bad", "_path", "_items", "_body")
 
 
 def accepted_updates(decided: DataFrame) -> DataFrame:
@@ -144,8 +147,8 @@ def accepted_updates(decided: DataFrame) -> DataFrame:
     the valid prefix of batches whose earlier checks passed (the items
     before the first bad one stay even though the request gets 500).
 
-    Arrival order is (request seq, pos), packed into one BIGINT so the
-    fold stays a hash aggregate (at most 2^20 items per batch).
+    Arrival order is (request seq, pos) as one DECIMAL(38,0), which holds
+    every pair of a BIGINT and an INT and keeps the fold a hash aggregate.
     """
     # explode_outer + a filter on the generated column: a plain explode
     # would make Spark infer `applied IS NOT NULL` and push it below the
@@ -154,7 +157,8 @@ def accepted_updates(decided: DataFrame) -> DataFrame:
         .where(F.col("u").isNotNull())
     return x.select(
         "request_id", F.col("u.pos").alias("pos"),
-        (F.col("seq") * ITEM_SLOTS + F.col("u.pos")).alias("seq"),
+        (F.col("seq").cast("decimal(20,0)") * F.lit(ITEM_SLOTS).cast("decimal(10,0)")
+         + F.col("u.pos").cast("decimal(10,0)")).cast("decimal(38,0)").alias("seq"),
         F.col("u.id").alias("id"), F.col("u.type").alias("type"),
         F.col("u.delta").alias("delta"), F.col("u.value").alias("value"))
 

@@ -50,9 +50,3 @@ LINEITEM_COUNTERS = """
            CAST(l_quantity AS BIGINT) AS delta, CAST(NULL AS DOUBLE) AS value,
            CAST(NULL AS BIGINT) AS seq
     FROM lineitem"""
-
-CONVERSATION_ITEMS = """
-    SELECT conv_id AS request_id, CAST(turn AS INTEGER) AS pos,
-           conv_id * 1000 + turn AS seq, role AS id, 'counter' AS type,
-           CAST(length(text) AS BIGINT) AS delta, CAST(NULL AS DOUBLE) AS value
-    FROM conversations"""

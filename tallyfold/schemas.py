@@ -4,7 +4,6 @@ from pyspark.sql import types as T
 
 COUNTER = "counter"
 GAUGE = "gauge"
-METRIC_TYPES = (COUNTER, GAUGE)
 
 # One metric update. `seq` is the total arrival order (unique, increasing);
 # within a batch the order is (request seq, pos).
@@ -41,7 +40,7 @@ REQUEST_SCHEMA = T.StructType(
         T.StructField("method", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("body", T.StringType()),
+        T.StructField("body", T.BinaryType()),  # as sent: may be gzip or an envelope
         T.StructField("remote_addr", T.StringType()),
     ]
 )

@@ -1,20 +1,19 @@
-"""Session and shared-folder helpers.
+"""Session defaults and the shared folder.
 
-On a cluster the checkpoint folder comes from the session
-(`spark.checkpoint.dir`, a shared file system); a local folder is only
-created when the setting is absent, as in tests.
+Sizes that depend on the machine (master, memory, shuffle partitions, scan
+split size) are the caller's: a cluster sets them at submit time, bench.py
+and the tests set their own.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Defaults that hold from local[8] to a large cluster: AQE re-plans joins
-# and coalesces partitions from runtime sizes, and splits skewed join
+# Defaults that hold from one machine to a large cluster: AQE re-plans
+# joins and coalesces partitions from runtime sizes, and splits skewed join
 # partitions. Broadcast thresholds are Spark's own size checks.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,23 +23,15 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "tallyfold", extra: dict | None = None) -> SparkSession:
-    builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "8g")
-    )
+def build_session(app_name: str = "tallyfold", extra: dict | None = None) -> SparkSession:
+    """A session with the scale defaults; `extra` sets or overrides any."""
+    builder = SparkSession.builder.appName(app_name)
     for k, v in {**SCALE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -49,19 +40,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and staged tables.
+    """The shared folder for checkpoints and staged tables, from the
+    session's `spark.checkpoint.dir`.
 
-    Uses `spark.checkpoint.dir` from the session; only when it is unset
-    (local tests) a temporary folder is created and registered.
+    Where it is unset, a temporary folder is made and registered only if
+    driver and executors are one process on this machine (a local master,
+    as in tests); on a cluster the executors would each write to a folder
+    of their own, so the call fails instead.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         root = tempfile.mkdtemp(prefix="tallyfold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -79,10 +73,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def local_or_uri(path: str) -> str:
-    return path if "://" in path else os.path.abspath(path)
-
-
 def materialize(df, name: str):
     """Write `df` once as a Parquet table under the shared folder and read
     it back: cuts the lineage (a lost executor recomputes from the table,
@@ -90,12 +80,5 @@ def materialize(df, name: str):
     inside later projections. Costs one write, unlike an eager
     `checkpoint()`, which computes the plan twice when it is not cached."""
     path = scratch_path(df.sparkSession, name)
-    write_table(df, path)
-    return df.sparkSession.read.parquet(path)
-
-
-def write_table(df, path: str) -> None:
-    """Write a Parquet table, spread over at least all cores."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    out = df.repartition(par) if df.rdd.getNumPartitions() < par else df
-    out.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Report renderings of the state.
+"""Report renderings of the state.
 
 All of them are projections of the state (one row per key), so they
 scale with the number of keys, not with the update volume.
@@ -9,31 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.functions.hmac import sign_response
 from tallyfold.functions.render import float_fixed6, float_shortest, int_text
-from tallyfold.operators.fold import by_type
 from tallyfold.schemas import COUNTER, GAUGE
 
 
-def state_list(state: DataFrame, html: bool = False) -> DataFrame:
-    """Gauges first, then counters: (section, name, value_text).
-
-    Gauges print with `%f`, counters with `%d`. Ordered for determinism
-    (the service iterates a hash map). `html` adds the `<tr>` line.
-    """
-    gauges = by_type(state, GAUGE).select(
-        F.lit(GAUGE).alias("section"), "name", float_fixed6("value").alias("value_text"))
-    counters = by_type(state, COUNTER).select(
-        F.lit(COUNTER).alias("section"), "name", int_text("delta").alias("value_text"))
-    out = gauges.unionByName(counters)
-    if html:
-        out = out.withColumn("html", F.format_string(
-            "<tr><td>%s</td><td>%s</td><tr>", F.col("name"), F.col("value_text")))
-    return out
-
-
-def list_order(df: DataFrame) -> DataFrame:
-    return df.orderBy((F.col("section") == COUNTER).asc(), "name")
+def state_list(state: DataFrame) -> DataFrame:
+    """One (section, name, value_text) row per key, in one pass over
+    the state. Gauges print with `%f`, counters with `%d`."""
+    t = F.col("type")
+    text = F.when(t == GAUGE, float_fixed6(F.when(t == GAUGE, F.col("value")))).when(t == COUNTER, int_text("delta"))
+    return state.select(t.alias("section"), "name", text.alias("value_text"))
 
 
 def plain_value(type_col="type", delta_col="delta", value_col="value") -> Column:
@@ -50,16 +35,6 @@ def json_value(id_col="id", type_col="type", delta_col="delta", value_col="value
         F.col(delta_col).alias("delta"), F.col(value_col).alias("value")))
 
 
-def render_reads(found: DataFrame, key: str | None = None) -> DataFrame:
-    """Rendered responses of looked-up keys: plain text, JSON, and the
-    response signature when a key is configured (I8)."""
-    out = found.withColumn("plain", plain_value()).withColumn("json", json_value())
-    if key:
-        out = out.withColumn("plain_sig", sign_response("plain", key)) \
-                 .withColumn("json_sig", sign_response("json", key))
-    return out
-
-
 def path_record(type_col="type", id_col="id", delta_col="delta", value_col="value") -> Column:
     """Outgoing `/update/{type}/{name}/{value}` with `%d` / `%f`."""
     t = F.col(type_col)

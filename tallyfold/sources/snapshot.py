@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tallyfold.schemas import JOURNAL_SCHEMA, STATE_SCHEMA
 from tallyfold.session import path_exists
-from tallyfold.sinks.snapshot import hydrate, latest_path
+from tallyfold.sinks.snapshot import bucket_paths, hydrate
 
 # Snapshot file record: the wire form (id/type/delta/value).
 SNAPSHOT_RECORD = T.StructType([
@@ -32,25 +32,24 @@ def read_snapshot_json(spark: SparkSession, path: str, multiline: bool = False)
     return df.selectExpr("id AS name", "type", "delta", "value")
 
 
-def read_state_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """One state version (parquet or JSON lines) with the typed hydrate."""
+def read_state_files(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
+    """State files (parquet or JSON lines) with the typed hydrate."""
+    if not paths:
+        return empty_state(spark)
     if fmt == "json":
-        df = spark.read.schema(SNAPSHOT_RECORD).json(path).withColumnRenamed("id", "name")
+        df = spark.read.schema(SNAPSHOT_RECORD).json(paths).withColumnRenamed("id", "name")
     else:
-        df = spark.read.schema(NULLABLE_STATE).parquet(path)
+        df = spark.read.schema(NULLABLE_STATE).parquet(*paths)
     return hydrate(df)
 
 
 def read_state_table(spark: SparkSession, table_dir: str, fmt: str = "parquet") -> DataFrame:
-    """Latest committed version of a snapshot table (empty if none)."""
-    p = latest_path(spark, table_dir)
-    if p is None:
-        return empty_state(spark)
-    return read_state_files(spark, p, fmt)
+    """The current rows of a state table (empty if there is none)."""
+    return read_state_files(spark, sorted(bucket_paths(spark, table_dir).values()), fmt)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Journal lines (JSON) with the journal schema."""
+    """Journal lines (JSON) of all deliveries, with the journal schema."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], JOURNAL_SCHEMA)
-    return spark.read.schema(JOURNAL_SCHEMA).json(path)
+    return spark.read.schema(JOURNAL_SCHEMA).option("recursiveFileLookup", True).json(path)

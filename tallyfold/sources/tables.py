@@ -22,19 +22,8 @@ SQLSTATES = ("08000", "08003", "08006", "40000", "40001", "40P01", "57P03", "235
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one table. A table that comes in fewer splits than the cluster
-    has cores (a small file is one split) is spread over all cores with a
-    round-robin repartition, so per-row work (JSON, HMAC, regex) is not
-    left to one task; large tables already have many splits and are read
-    as they are (no shuffle)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    """Scan one table; Spark's split size decides the parallelism."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def props_k() -> F.Column:
@@ -94,22 +83,6 @@ def lineitem_counters(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def conversation_batches(conversations: DataFrame) -> DataFrame:
-    """Batches from conversations: one request per conversation, one counter
-    item per turn (id = role, delta = text length)."""
-    return conversations.select(
-        F.col("conv_id").alias("request_id"),
-        F.col("turn").cast("int").alias("pos"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
-        F.lit(None).cast("timestamp_ntz").alias("ts"),
-        F.col("role").alias("id"),
-        F.lit(COUNTER).alias("type"),
-        F.length("text").cast("bigint").alias("delta"),
-        F.lit(None).cast("double").alias("value"),
-        F.lit(None).cast("string").alias("hash"),
-    )
-
-
 def event_attempts(events: DataFrame) -> DataFrame:
     """Delivery attempts: 4 consecutive events form one delivery."""
     k = props_k()

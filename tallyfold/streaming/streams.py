@@ -5,24 +5,31 @@
   because the state is one row per key (as the service keeps it), kept in
   the RocksDB state store.
 * J1 sink: every micro-batch appends only its changed keys to a change
-  log (`batch_id=N`); readers take the latest row per key (merge-on-read),
-  so a batch costs O(changed keys), never a rewrite of the state.
+  log; readers take the latest row per key, so a batch costs O(changed
+  keys), never a rewrite of the state.
 * J4/J5 snapshots: with `snapshots=True` each trigger (a long interval)
-  publishes upsert(latest, changed) as a version named by the batch id.
-  A replayed batch finds its folder committed and does nothing, so both
-  sinks are idempotent; `availableNow` is the final flush.
+  upserts the changed keys into a state table, of which only the touched
+  buckets are written; `availableNow` is the final flush.
 * J6 restore: a restored base state enters the batch function: counters
   add the stream totals to the base, gauges take the stream value.
 * J3 report windows: `withWatermark` + `window`, update mode, change log
-  keyed by (host, window, id); rows later than the watermark are dropped.
+  keyed by (host, window, id); rows later than the watermark are dropped
+  and counted (`rows_dropped_late`).
 * J7 bounded work: `maxFilesPerTrigger` on the file source.
 * J8 journal: a stateless projection of the request stream, appended to
   a JSON file sink.
-Checkpoints live under the shared folder (`spark.checkpoint.dir`).
+
+Both table sinks know a batch by its run (the checkpoint) and its number:
+a replayed batch that its run has committed does nothing, another run's
+batch of the same number is another batch, and what a failed attempt left
+is never read. Checkpoints live under the shared folder
+(`spark.checkpoint.dir`).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +37,10 @@ from pyspark.sql import types as T
 from tallyfold.functions.render import ntz_as_utc, utc_as_ntz
 from tallyfold.operators import agent, fold
 from tallyfold.schemas import COUNTER, GAUGE
-from tallyfold.session import path_exists, scratch_path
+from tallyfold.session import scratch_path
 from tallyfold.sinks import snapshot as snap
-from tallyfold.sources.snapshot import read_state_table
+
+MAX_FILE_ROWS = 1_000_000
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -50,8 +58,9 @@ def _trigger(w, trigger: str | None):
     return w.trigger(processingTime=trigger)
 
 
-def _read_latest(spark: SparkSession, table_dir: str) -> DataFrame:
-    return spark.read.parquet(snap.latest_path(spark, table_dir))
+def run_name(checkpoint: str) -> str:
+    """The name of a run: one checkpoint is one run, over any restarts."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
 def _combine_with_base(changed: DataFrame, base: DataFrame | None) -> DataFrame:
@@ -67,124 +76,65 @@ def _combine_with_base(changed: DataFrame, base: DataFrame | None) -> DataFrame:
         F.when(F.col("type") == GAUGE, F.col("value")).alias("value"))
 
 
-def upsert_batch_writer(table_dir: str, fmt: str = "parquet", base: DataFrame | None = None):
-    """foreachBatch function: publish `upsert(latest, batch)` as version
-    `batch_id`; a replayed batch id that is already committed is skipped."""
+def upsert_batch_writer(table_dir: str, run: str, fmt: str = "parquet", base: DataFrame | None = None):
+    """foreachBatch function: upsert the changed keys into a state table.
+    A restored base is published first when the table is new."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        versions = snap.committed_versions(spark, table_dir)
-        if batch_id in versions:
-            return
-        changed = _combine_with_base(batch, base)
-        if versions:
-            current = read_state_table(spark, table_dir, fmt)
-        elif base is not None:
-            current = base.select("name", "type", "delta", "value")
-        else:
-            current = None
-        merged = changed if current is None else snap.upsert(current, changed)
-        snap.write_snapshot(merged, table_dir, fmt=fmt, version=batch_id)
+        if base is not None and not snap.committed_versions(batch.sparkSession, table_dir):
+            snap.write_snapshot(base, table_dir, fmt=fmt)
+        snap.upsert_snapshot(_combine_with_base(batch, base), table_dir, fmt, run, batch_id)
     return write
 
 
-CHANGE_PREFIX = "batch_id="
-
+# A change log is a folder of appends, `n=N/run=R/batch=B`, in order of n.
 
 def committed_changes(spark: SparkSession, table_dir: str) -> list[str]:
-    """Committed change folders (`batch_id=N` with `_SUCCESS`)."""
-    fs, p = snap._fs(spark, table_dir)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(CHANGE_PREFIX) \
-                and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(f"{table_dir}/{name}")
-    return sorted(out)
-
-
-def change_log_writer(table_dir: str, base: DataFrame | None = None):
+    done = [p.rsplit("/", 1)[0] for p in snap.glob_paths(spark, f"{table_dir}/n=*/run=*/batch=*/_SUCCESS")]
+    return sorted(done, key=lambda p: int(p.rsplit("/", 3)[1][2:]))
+
+
+def change_log_writer(table_dir: str, run: str, base: DataFrame | None = None):
     """foreachBatch function for update-mode aggregates: append the changed
-    rows of batch N under `batch_id=N` (O(changed keys) per batch, never a
-    rewrite); a replayed batch whose folder is committed is skipped."""
+    rows of a batch (O(changed keys) per batch, never a rewrite)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        path = f"{table_dir}/{CHANGE_PREFIX}{batch_id}"
-        if path in committed_changes(batch.sparkSession, table_dir):
+        spark = batch.sparkSession
+        own = f"/run={run}/batch={batch_id}"
+        if any(p.endswith(own) for p in committed_changes(spark, table_dir)):
             return
-        _combine_with_base(batch, base).write.mode("errorifexists").parquet(path)
+        taken = [int(p.rsplit("=", 1)[1]) for p in snap.glob_paths(spark, f"{table_dir}/n=*")]
+        n = max(taken, default=-1) + 1
+        _combine_with_base(batch, base).write.mode("errorifexists").parquet(f"{table_dir}/n={n}{own}")
     return write
 
 
-COMPACT_PREFIX = "compacted="
-
-
-def _batch_no(path: str) -> int:
-    return int(path.rsplit("=", 1)[1])
-
-
-def committed_compactions(spark: SparkSession, table_dir: str) -> list[int]:
-    fs, p = snap._fs(spark, table_dir)
-    if not fs.exists(p):
-        return []
-    return sorted(int(st.getPath().getName()[len(COMPACT_PREFIX):]) for st in fs.listStatus(p)
-                  if st.isDirectory() and st.getPath().getName().startswith(COMPACT_PREFIX)
-                  and fs.exists(st.getPath().suffix("/_SUCCESS")))
-
-
 def read_change_log(spark: SparkSession, table_dir: str, keys: list[str],
                     base: DataFrame | None = None) -> DataFrame:
-    """Merge-on-read: the latest row of each key over the latest compaction
-    (or the base table) and the committed batches after it. One partial +
-    final aggregate."""
-    done = committed_compactions(spark, table_dir)
-    upto = done[-1] if done else -1
-    paths = [p for p in committed_changes(spark, table_dir) if _batch_no(p) > upto]
-    parts = []
-    if paths:
-        parts.append(spark.read.option("basePath", table_dir).parquet(*paths))
-    if done:
-        parts.append(spark.read.parquet(f"{table_dir}/{COMPACT_PREFIX}{upto}")
-                     .withColumn("batch_id", F.lit(upto)))
-    elif base is not None:
-        parts.append(base.withColumn("batch_id", F.lit(-1)))
-    if not parts:
-        raise ValueError(f"no committed changes under {table_dir}")
-    allrows = parts[0]
-    for p in parts[1:]:
-        allrows = allrows.unionByName(p, allowMissingColumns=True)
-    cols = [c for c in allrows.columns if c not in keys and c != "batch_id"]
-    last = F.max_by(F.struct(*cols), F.col("batch_id").cast("bigint"))
-    return allrows.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in cols])
-
-
-def compact_change_log(spark: SparkSession, table_dir: str, keys: list[str],
-                       base: DataFrame | None = None) -> int | None:
-    """Fold all committed batches into `compacted=N` (N = last batch id), so
-    later reads touch one compacted table plus the newer batches. Folders
-    are never rewritten; returns N (None when there is nothing new)."""
+    """The latest row of each key over the base table and the committed
+    appends: one partial and final aggregate."""
     paths = committed_changes(spark, table_dir)
-    done = committed_compactions(spark, table_dir)
-    if not paths or (done and _batch_no(paths[-1]) <= done[-1]):
-        return None
-    n = max(_batch_no(p) for p in paths)
-    merged = read_change_log(spark, table_dir, keys, base)
-    merged.write.mode("errorifexists").parquet(f"{table_dir}/{COMPACT_PREFIX}{n}")
-    return n
+    if not paths:
+        raise ValueError(f"no committed changes under {table_dir}")
+    rows = spark.read.option("basePath", table_dir).parquet(*paths).drop("run", "batch")
+    if base is not None:
+        rows = rows.unionByName(base.withColumn("n", F.lit(-1)), allowMissingColumns=True)
+    cols = [c for c in rows.columns if c not in keys and c != "n"]
+    last = F.max_by(F.struct(*cols), F.col("n").cast("bigint"))
+    return rows.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in cols])
 
 
 def stream_fold(updates: DataFrame, table_dir: str, checkpoint: str, base: DataFrame | None = None,
                 trigger: str | None = None, fmt: str = "parquet", snapshots: bool = False):
     """J1 (+J4/J6): fold an update stream into a state table.
 
-    Default: a change log (merge-on-read, `read_change_log`); with
-    `snapshots=True` every trigger publishes a full snapshot version (J4:
-    meant for a long `trigger` interval such as '300 seconds').
-    Returns the started query (`availableNow` when `trigger` is None).
+    Default: a change log (`read_change_log`); with `snapshots=True` every
+    trigger upserts into a state table (J4: meant for a long `trigger`
+    interval such as '300 seconds'). Returns the started query
+    (`availableNow` when `trigger` is None).
     """
     state = fold.fold_state(updates)
-    writer = upsert_batch_writer(table_dir, fmt, base) if snapshots \
-        else change_log_writer(table_dir, base)
+    run = run_name(checkpoint)
+    writer = upsert_batch_writer(table_dir, run, fmt, base) if snapshots \
+        else change_log_writer(table_dir, run, base)
     w = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
         .foreachBatch(writer)
     return _trigger(w, trigger).start()
@@ -197,38 +147,37 @@ def stream_report_windows(samples: DataFrame, every: str, lateness: str, table_d
     (host, window_start, id); rows later than the watermark are dropped."""
     # watermarks need TIMESTAMP: the NTZ event time is read as UTC both ways
     s = samples.withColumn("ts", ntz_as_utc("ts")).withWatermark("ts", lateness)
-    rep = agent.report_windows(s, every).withColumn("window_start", utc_as_ntz("window_start"))
+    rep = agent.window_values(s, every).withColumn("window_start", utc_as_ntz("window_start"))
     w = rep.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
-        .foreachBatch(change_log_writer(table_dir))
+        .foreachBatch(change_log_writer(table_dir, run_name(checkpoint)))
     return _trigger(w, trigger).start()
 
 
+def rows_dropped_late(query) -> int:
+    """Rows that came later than the watermark, over the progress
+    reports that the session keeps of the query
+    (`spark.sql.streaming.numRecentProgressUpdates`)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def stream_carry_forward(samples: DataFrame, out_dir: str, checkpoint: str,
                          trigger: str | None = None, host: str = "host"):
     """J3/D5 in streaming: at every trigger (a report tick) every id the
     host has ever sent, with its latest value. A complete-mode aggregate
     is exactly that buffer (state = one row per host and id, never
-    cleared); each tick is written as its own folder `batch_id=N`."""
+    cleared); each tick is an append of its own."""
     buf = samples.groupBy(host, "id").agg(F.max_by("value", "seq").alias("value"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        path = f"{out_dir}/{CHANGE_PREFIX}{batch_id}"
-        if path in committed_changes(batch.sparkSession, out_dir):
-            return
-        batch.write.mode("errorifexists").parquet(path)
-
     w = buf.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
-        .foreachBatch(write)
+        .foreachBatch(change_log_writer(out_dir, run_name(checkpoint)))
     return _trigger(w, trigger).start()
 
 
-def read_tick(spark: SparkSession, out_dir: str, tick: int | None = None) -> DataFrame:
-    """One report tick written by `stream_carry_forward` (default: last)."""
+def read_tick(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The last report tick written by `stream_carry_forward`."""
     paths = committed_changes(spark, out_dir)
     if not paths:
         raise ValueError(f"no committed ticks under {out_dir}")
-    by_id = {int(p.rsplit("=", 1)[1]): p for p in paths}
-    return spark.read.parquet(by_id[max(by_id) if tick is None else tick])
+    return spark.read.parquet(paths[-1])
 
 
 def stream_journal(items: DataFrame, out_dir: str, checkpoint: str, trigger: str | None = None):
@@ -248,35 +197,12 @@ def run_to_end(query, timeout_s: int = 600) -> None:
         raise RuntimeError(str(query.exception()))
 
 
-def staged_copy(df: DataFrame, name: str, files: int, order_by: str | None = None) -> str:
-    """Write a multi-file copy of a table under the shared folder, to feed
-    a file stream in several micro-batches.
-
-    With `order_by`, the copy is cut at approximate quantiles of that
-    column and the ranges are written one after another, so the file
-    source (which takes files in modification order) sees them in order.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    if not order_by:
-        df.repartition(files).write.mode("errorifexists").parquet(path)
-        return path
-    key = F.col(order_by).cast("double") if df.schema[order_by].dataType.typeName() in (
-        "long", "integer", "double") else F.unix_micros(F.col(order_by).cast("timestamp")).cast("double")
-    qs = [i / files for i in range(1, files)]
-    cuts = df.select(F.percentile_approx(key, qs).alias("q")).first()["q"]
-    lo = None
-    for i in range(files):
-        hi = cuts[i] if i < len(cuts) else None
-        part = df
-        if lo is not None:
-            part = part.where(key > F.lit(lo))
-        if hi is not None:
-            part = part.where(key <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(path)
-        lo = hi
+def staged_copy(df: DataFrame, name: str) -> str:
+    """A copy of a table under the shared folder to feed a file stream, in
+    files of at most a million rows (fewer when the table is small, so that
+    there are several micro-batches). Written where the rows are read, in
+    no particular order."""
+    path = scratch_path(df.sparkSession, name)
+    per_file = max(1000, min(MAX_FILE_ROWS, -(-df.count() // 16)))
+    df.write.mode("errorifexists").option("maxRecordsPerFile", per_file).parquet(path)
     return path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, path)

@@ -14,8 +14,10 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(master="local[*]", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tf-test-ckpt-")})
+    s = build_session(extra={
+        "spark.master": "local[*]", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "8",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tf-test-ckpt-")})
     yield s
     s.stop()
 

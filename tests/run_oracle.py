@@ -22,7 +22,7 @@ from tallyfold.session import build_session  # noqa: E402
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
-    spark = build_session()
+    spark = build_session(extra={"spark.master": "local[8]", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.sql.files.maxPartitionBytes": "1m"})
     con = duck_connection(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0

@@ -44,10 +44,11 @@ def test_agent_buffer_last_record_any_type(spark):
     assert got == {"x": ("gauge", None, 2.0), "y": ("counter", 7, None)}
 
 
-def test_journal_golden_text(spark):
-    df = spark.createDataFrame([(12345678, ["Alloc", "Frees"], "192.168.0.42")], JOURNAL_SCHEMA)
-    text = df.select(F.to_json(F.struct("ts", "metrics", "ip_address"))).first()[0]
-    assert text == '{"ts":12345678,"metrics":["Alloc","Frees"],"ip_address":"192.168.0.42"}'
+def test_journal_line(spark):
+    df = spark.createDataFrame([(1700000123, ["queue_depth", "jobs"], "10.20.30.40")], JOURNAL_SCHEMA)
+    path = scratch_path(spark, "journal-line")
+    journal.write_journal(df, path)
+    assert spark.read.text(path).first()[0] == '{"ts":1700000123,"metrics":["queue_depth","jobs"],"ip_address":"10.20.30.40"}'
 
 
 def test_journal_append_and_empty_path(spark):
@@ -60,18 +61,28 @@ def test_journal_append_and_empty_path(spark):
     assert got == [(1, ["A"], "127.0.0.1"), (2, ["B"], "127.0.0.2")]
 
 
-def test_fanout_any_success(spark):
-    items = spark.createDataFrame([(1, ["A"], "h")], JOURNAL_SCHEMA)
-    out = journal.fan_out(items, [None, scratch_path(spark, "j")])
-    r = out.first()
-    assert r.delivered and r.n_sinks_ok == 1
-    assert not journal.fan_out(items, []).first().delivered
+def test_fanout_rounds_add_nothing_twice(spark):
+    a, b = scratch_path(spark, "j-a"), scratch_path(spark, "j-b")
+    one = spark.createDataFrame([(1, ["A"], "h")], JOURNAL_SCHEMA)
+    two = spark.createDataFrame([(2, ["B"], "h")], JOURNAL_SCHEMA)
+    first = journal.fan_out(one, [a, None, "nosuchfs://x/y", b], "d1")
+    assert first.delivered and first.written == (True, False, False, True)
+    assert first.errors[2] and [first.errors[i] for i in (0, 1, 3)] == [None] * 3
+    journal.fan_out(two, [a, b], "d2")
+    journal.fan_out(two, [a, b], "d2")              # delivered again after a lost answer
+    journal.fan_out(one.limit(0), [a, b], "d3")     # nothing to deliver
+    for sink in (a, b):
+        assert sorted(r.ts for r in read_journal(spark, sink).collect()) == [1, 2]
+    assert not journal.fan_out(one, [], "d4").delivered
+    assert not journal.fan_out(one, ["nosuchfs://x/y"], "d5").delivered
 
 
 def test_client_ip(spark):
     from tallyfold.operators.routing import client_ip
-    df = spark.createDataFrame([("192.168.0.42:1234",), ("[::1]:80",), ("nohost",)], "r string")
-    assert [x[0] for x in df.select(client_ip("r")).collect()] == ["192.168.0.42", "::1", "nohost"]
+    cases = {"192.168.7.42:1234": "192.168.7.42", "[::1]:80": "::1", "nohost": "nohost", "fe80::1": "fe80::1",
+             "::1:80": "::1:80", "[fe80::2%eth0]:443": "fe80::2%eth0", ":80": "", "host:": "host", "[::1]": "[::1]"}
+    df = spark.createDataFrame([(c,) for c in cases], "r string")
+    assert dict(df.select("r", client_ip("r")).collect()) == cases
 
 
 def _keys(spark):
@@ -98,7 +109,7 @@ def test_envelope_roundtrip_and_errors(spark):
         (7, "not json", envelope.HEADER_VALUE),
     ]
     reqs = spark.createDataFrame(rows, "request_id long, body string, x_encrypted string")
-    got = {r.request_id: (r.decrypt_status, r.plain) for r in envelope.open_envelopes(reqs, keys).collect()}
+    got = {r.request_id: (r.decrypt_status, r.plain and bytes(r.plain).decode()) for r in envelope.open_envelopes(reqs, keys).collect()}
     assert got[1] == (None, body) and got[2] == (None, body)
     assert all(got[i][0] == 400 for i in (3, 4, 5, 6, 7))
     nokey = {r.request_id: r.decrypt_status for r in envelope.open_envelopes(reqs, None).collect()}

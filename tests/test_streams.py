@@ -1,51 +1,107 @@
-"""Stream sink idempotency and merge-on-read."""
+"""Stream sinks: runs, replays, half-written batches, late rows, complete input."""
+
+import os
+
+from pyspark.sql import functions as F
 
 from tallyfold.schemas import STATE_SCHEMA
 from tallyfold.session import scratch_path
 from tallyfold.sinks import snapshot as snap
+from tallyfold.sources.snapshot import read_state_table
 from tallyfold.streaming import streams
 
+KEYS = ["name", "type"]
+
+
+def state(spark, *rows):
+    return spark.createDataFrame(list(rows), STATE_SCHEMA)
+
 
-def test_change_log_replay_and_merge(spark):
+def as_dict(df):
+    return {(r.name, r.type): (r.delta, r.value) for r in df.collect()}
+
+
+def test_change_log_replay_and_latest(spark):
     table = scratch_path(spark, "changes")
-    w = streams.change_log_writer(table)
-    b0 = spark.createDataFrame([("c", "counter", 1, None), ("g", "gauge", None, 1.0)], STATE_SCHEMA)
-    b1 = spark.createDataFrame([("c", "counter", 5, None)], STATE_SCHEMA)
-    w(b0, 0)
-    w(b1, 1)
-    w(b1.limit(0), 1)      # a replayed batch id is skipped, not rewritten
-    got = {(r.name, r.type): (r.delta, r.value)
-           for r in streams.read_change_log(spark, table, ["name", "type"]).collect()}
-    assert got == {("c", "counter"): (5, None), ("g", "gauge"): (None, 1.0)}
+    w = streams.change_log_writer(table, "run1")
+    w(state(spark, ("c", "counter", 1, None), ("g", "gauge", None, 1.0)), 0)
+    w(state(spark, ("c", "counter", 5, None)), 1)
+    w(state(spark, ("c", "counter", 99, None)), 1)      # a replayed batch is skipped
+    assert as_dict(streams.read_change_log(spark, table, KEYS)) == {("c", "counter"): (5, None), ("g", "gauge"): (None, 1.0)}
+
+
+def test_change_log_order_beyond_ten_batches(spark):
+    table = scratch_path(spark, "changes-many")
+    w = streams.change_log_writer(table, "run1")
+    for i in range(12):
+        w(state(spark, ("c", "counter", i, None)), i)
+    assert as_dict(streams.read_change_log(spark, table, KEYS)) == {("c", "counter"): (11, None)}
+
+
+def test_second_run_with_a_fresh_checkpoint(spark):
+    changes, table = scratch_path(spark, "changes-two"), scratch_path(spark, "snaps-two")
+    for run, name in (("run1", "a"), ("run2", "b")):
+        streams.change_log_writer(changes, run)(state(spark, (name, "counter", 1, None)), 0)
+        streams.upsert_batch_writer(table, run)(state(spark, (name, "counter", 1, None)), 0)
+    want = {("a", "counter"): (1, None), ("b", "counter"): (1, None)}
+    assert as_dict(streams.read_change_log(spark, changes, KEYS)) == want
+    assert as_dict(read_state_table(spark, table)) == want
+    assert streams.run_name("/x/ckpt-1") != streams.run_name("/x/ckpt-2")
 
 
 def test_change_log_with_base(spark):
     table = scratch_path(spark, "changes-base")
-    base = spark.createDataFrame([("c", "counter", 10, None), ("old", "gauge", None, 2.0)], STATE_SCHEMA)
-    w = streams.change_log_writer(table, base)
-    w(spark.createDataFrame([("c", "counter", 3, None)], STATE_SCHEMA), 0)
-    got = {(r.name, r.type): (r.delta, r.value)
-           for r in streams.read_change_log(spark, table, ["name", "type"], base=base).collect()}
+    base = state(spark, ("c", "counter", 10, None), ("old", "gauge", None, 2.0))
+    streams.change_log_writer(table, "r", base)(state(spark, ("c", "counter", 3, None)), 0)
+    got = as_dict(streams.read_change_log(spark, table, KEYS, base=base))
     assert got == {("c", "counter"): (13, None), ("old", "gauge"): (None, 2.0)}
 
 
 def test_snapshot_writer_replay(spark):
     table = scratch_path(spark, "snaps")
-    w = streams.upsert_batch_writer(table)
-    b = spark.createDataFrame([("c", "counter", 1, None)], STATE_SCHEMA)
-    w(b, 0)
-    w(b, 0)                # replay: committed version 0 is kept
+    w = streams.upsert_batch_writer(table, "r")
+    w(state(spark, ("c", "counter", 1, None)), 0)
+    w(state(spark, ("c", "counter", 7, None)), 0)
     assert snap.committed_versions(spark, table) == [0]
+    assert as_dict(read_state_table(spark, table)) == {("c", "counter"): (1, None)}
+
+
+def test_stream_on_a_table_written_in_batch(spark):
+    table = scratch_path(spark, "snaps-batch")
+    snap.write_snapshot(state(spark, ("c", "counter", 1, None), ("k", "gauge", None, 4.0)), table)   # version = time in ms
+    streams.upsert_batch_writer(table, "r")(state(spark, ("c", "counter", 8, None)), 0)
+    assert as_dict(read_state_table(spark, table)) == {("c", "counter"): (8, None), ("k", "gauge"): (None, 4.0)}
+
+
+def test_half_written_batches_do_not_stop_the_stream(spark):
+    changes, table = scratch_path(spark, "changes-half"), scratch_path(spark, "snaps-half")
+    streams.change_log_writer(changes, "r")(state(spark, ("c", "counter", 1, None)), 0)
+    streams.upsert_batch_writer(table, "r")(state(spark, ("c", "counter", 1, None)), 0)
+    done = streams.committed_changes(spark, changes)[0].removeprefix("file:")
+    os.remove(f"{done}/_SUCCESS")       # what a driver lost in the middle leaves
+    part = snap.versions(spark, table)[0].path.removeprefix("file:")
+    os.remove(f"{part}/_SUCCESS")
+    streams.change_log_writer(changes, "r")(state(spark, ("c", "counter", 2, None)), 0)
+    streams.upsert_batch_writer(table, "r")(state(spark, ("c", "counter", 2, None)), 0)
+    assert as_dict(streams.read_change_log(spark, changes, KEYS)) == {("c", "counter"): (2, None)}
+    assert as_dict(read_state_table(spark, table)) == {("c", "counter"): (2, None)}
+
+
+def test_staged_copy_keeps_null_keys(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("event_id"))
+    path = streams.staged_copy(df, "staged")
+    assert spark.read.parquet(path).count() == 5000
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) >= 5
 
 
-def test_change_log_compaction(spark):
-    table = scratch_path(spark, "changes-compact")
-    w = streams.change_log_writer(table)
-    w(spark.createDataFrame([("c", "counter", 1, None), ("g", "gauge", None, 1.0)], STATE_SCHEMA), 0)
-    w(spark.createDataFrame([("c", "counter", 4, None)], STATE_SCHEMA), 1)
-    assert streams.compact_change_log(spark, table, ["name", "type"]) == 1
-    assert streams.compact_change_log(spark, table, ["name", "type"]) is None   # nothing new
-    w(spark.createDataFrame([("g", "gauge", None, 9.0)], STATE_SCHEMA), 2)
-    got = {(r.name, r.type): (r.delta, r.value)
-           for r in streams.read_change_log(spark, table, ["name", "type"]).collect()}
-    assert got == {("c", "counter"): (4, None), ("g", "gauge"): (None, 9.0)}
+def test_late_rows_are_counted(spark):
+    src = scratch_path(spark, "late")
+    schema = "host long, ts timestamp_ntz, seq long, id string, value double"
+    # a batch is held against the watermark of the batch before it: the last file is late
+    for i, day in enumerate(("2024-01-01", "2024-03-01", "2024-03-02", "2024-01-02")):
+        one = spark.sql(f"SELECT 1L AS host, TIMESTAMP_NTZ '{day} 05:00:00' AS ts, {i}L AS seq, 'g' AS id, 1.5D AS value")
+        one.coalesce(1).write.mode("append").parquet(src)
+    stream = streams.file_stream(spark, src, spark.read.schema(schema).parquet(src).schema, max_files=1)
+    q = streams.stream_report_windows(stream, "1 day", "1 day", scratch_path(spark, "late-out"), scratch_path(spark, "ckpt"))
+    streams.run_to_end(q)
+    assert streams.rows_dropped_late(q) == 1
