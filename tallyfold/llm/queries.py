@@ -99,7 +99,7 @@ m AS (
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words AND 100 * n_symbols <= 30 * n_words
-       AND 100 * n_stop_words >= 2 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND 100 * n_ellipsis <= 30 * n_lines
+       AND 100 * n_stop_words >= 2 * n_words AND 100 * n_dup_lines <= 50 * n_lines AND 100 * n_ellipsis <= 30 * n_lines
        AND 100 * n_bullet <= 90 * n_lines AS kept, n_stop_words, n_lines
 FROM v
 """,

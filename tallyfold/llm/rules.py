@@ -45,7 +45,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 200, 1500),
     Rule("symbols", "n_symbols", "n_words", None, 30),
     Rule("stop_words", "n_stop_words", "n_words", 2, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
 )

@@ -52,7 +52,7 @@ def test_measures_of_random_texts(spark, texts):
 
 @pytest.mark.parametrize("name,text", [("symbols", "the # of $ * "), ("stop_words", "zzz qqq www "), ("duplicate_lines", None)])
 def test_each_rule_rejects(spark, name, text):
-    body = " ".join(f"{text}{i}" for i in range(60)) if text else "the same line here\n" * 3 + "\n".join(f"the line {i} of {i * 7}" for i in range(4)) * 4
+    body = " ".join(f"{text}{i}" for i in range(60)) if text else "the same line here\n" * 40 + "\n".join(f"the line {i} of {i * 7}" for i in range(4)) * 4
     r = judged(spark, [body])[0]
     rule = next(x for x in rules.RULES if x.name == name)
     share = 100 * getattr(r, rule.count) / getattr(r, rule.of)
