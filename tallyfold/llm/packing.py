@@ -2,8 +2,8 @@
 
 Every document becomes its token ids plus an end id. Documents longer than
 a sequence are cut into full-length pieces, with the shorter piece first.
-Pieces are packed in arrival order into a fixed number of open sequences:
-a piece goes to the open sequence with the least free space that still
+Pieces are packed batch by batch as they arrive (the longest of a batch
+first) into a fixed number of open sequences: a piece goes to the open sequence with the least free space that still
 holds it, else to a new one; when too many are open, the fullest closes.
 The open sequences are keyed by free space in one integer used as a bitset,
 so the best fit is its lowest set bit at or above the piece's length.
@@ -95,15 +95,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         end = struct.pack("<I", end_id)
 
         def step(doc_ids, texts):
-            out = {f.name: [] for f in PIECES}
+            pieces = []
             for doc_id, text in zip(doc_ids, texts):
                 ids = np.array(encode(text), dtype="<u4").tobytes() + end if text else end
-                for number, (first, length) in enumerate(cut(len(ids) // 4, size)):
-                    sequence, offset = bins.place(length)
-                    for name, value in zip(out, (doc_id, number, first, length, ids[4 * first:4 * (first + length)],
-                                                 sequence, offset)):
-                        out[name].append(value)
-            return out
+                pieces += [(doc_id, number, first, length, ids[4 * first:4 * (first + length)])
+                           for number, (first, length) in enumerate(cut(len(ids) // 4, size))]
+            pieces.sort(key=lambda p: -p[3])
+            rows = [(*p, *bins.place(p[3])) for p in pieces]
+            return {f.name: [r[i] for r in rows] for i, f in enumerate(PIECES)}
         return step
 
     return map_lists(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")), start, PIECES)
