@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,6 +59,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, rows: int, *columns: str, total: int | None = None) -> DataFrame:
+    """At most `rows` rows of a uniform sample: the lowest hashes of the
+    columns. Rows are first thinned by another part of the hash to about
+    four times as many, so that all tasks together return a bounded number
+    of candidates to the driver, however many tasks there are."""
+    n = df.count() if total is None else total
+    share = min(1.0, 4 * rows / max(1, n))
+    key = F.xxhash64(*columns)
+    thinned = df.where(F.pmod(key, F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))
+    return thinned.orderBy(key, *columns).limit(rows)
+
+
 def connected_components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     """(node, component) of an undirected edge list (a, b); component is the
     smallest node reachable. Nodes without an edge to another node do not

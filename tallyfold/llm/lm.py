@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import map_lists, stored, utf8, words_of
+from tallyfold.llm.common import hashed_sample, map_lists, stored, utf8, words_of
 from tallyfold.llm.tokens import load_encoder
 
 WINDOW, STRIDE, WIDTH, INNER = 32, 24, 24, 24
@@ -322,8 +322,8 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     spread = id_counts(counts, vocabulary)
     spread[end_id] = ends
     encode = load_encoder(vocabulary)
-    sample = (training.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-              .orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample_rows).select(utf8("text").alias("t")).collect())
+    short = training.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    sample = hashed_sample(short, sample_rows, "doc_id", "text").select(utf8("text").alias("t")).collect()
     words = Vocabulary(spread, end_id)
     model = Attention().train(*training_windows([subwords(encode, words_of(r.t)) for r in sample], words))
     often = counts.where(F.col("c") * FREQUENT >= n).collect()  # at most FREQUENT rows: their counts add up to n at most

@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.common import hashed_sample
+
 KINDS = ("email", "ip", "card", "phone", "secret")  # in the order in which ties are listed
 BASE_KINDS = 4
 OUTSIDE = len(KINDS)
@@ -335,12 +337,13 @@ def corpus_examples(texts: list[str], count: int = 240) -> list:
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = 200, longest: int = 20_000) -> SemiMarkov:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 200,
+        longest: int = 20_000) -> SemiMarkov:
     """Train on written examples and on at most `sample_rows` texts of at
     most `longest` characters that hold a digit or at sign (lowest hashes)."""
-    text = F.col(text_col).cast("string")
-    rows = (docs.select(text.alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= longest))
-            .orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect())
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(
+        F.col("t").rlike("[0-9@]") & (F.length("t") <= longest))
+    rows = hashed_sample(held, sample_rows, "id", "t").collect()
     return SemiMarkov().train(written_examples() + corpus_examples([r.t for r in rows]))
 
 

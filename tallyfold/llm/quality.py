@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import utf8
+from tallyfold.llm.common import hashed_sample, utf8
 
 WORD_BUCKETS = 1 << 15
 # Lower bin edges of each structure statistic.
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Constant(float(next(iter(counts))) if counts else 0.5)
     sample = None
     for y in (0, 1):
-        part = marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label)
+        part = hashed_sample(marked.where(F.col("y") == y), per_label, "id", total=counts[y])
         sample = part if sample is None else sample.unionByName(part)
     chars = F.col(chars_col).cast("bigint") if chars_col in docs.columns else F.lit(None).cast("bigint")
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import connected_components, map_lists, stored, utf8, words_of
+from tallyfold.llm.common import connected_components, hashed_sample, map_lists, stored, utf8, words_of
 
 SEED = 42
 BITS_AT_ONCE = 1 << 16
@@ -165,9 +165,9 @@ def leaf_forest(prints: np.ndarray, radius: int, cells: int = 1 << 20) -> tuple[
 def near_links(distinct: DataFrame, radius: int = 3, capacity: int | None = None, sample_rows: int = 16384) -> DataFrame:
     """Links (a, b) that span the pairs of distinct fingerprints (column
     `fp`) within `radius` bits. `sample_rows` bounds the sample the tree is
-    built from (a uniform one: the lowest hashes of the fingerprints)."""
+    built from."""
     population = distinct.count()
-    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
+    rows = hashed_sample(distinct.select("fp"), sample_rows, "fp", total=population).collect()
     sample = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
     tree = distinct.sparkSession.sparkContext.broadcast(
         VantageTree(sample, population, radius, capacity or leaf_capacity(population)))

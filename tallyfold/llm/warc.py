@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import map_lists, sql_type, stored
+from tallyfold.llm.common import hashed_sample, map_lists, sql_type, stored
 from tallyfold.session import scratch_path
 
 END = "\r\n"
@@ -216,8 +216,8 @@ def _boundaries(spark: SparkSession, pages: DataFrame, per_range: int, sample_ro
     """Keys that cut the captures into ranges of about `per_range`, from a
     uniform sample of at most `sample_rows` pages."""
     n = pages.count()
-    rows = (pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
-            .orderBy(F.xxhash64("page_id", "url")).limit(sample_rows)
+    named = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
+    rows = (hashed_sample(named, sample_rows, "page_id", "url", total=n)
             .select("page_id", "url", F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.coalesce("page_id", F.lit(0))),
                                                     "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date")).collect())
     keys = sorted(order_key((url_key(r.url or ""), r.date, r.page_id, 0, "", "", None, "", -1)) for r in rows)

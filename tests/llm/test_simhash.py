@@ -109,3 +109,12 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
     assert got == want
+
+
+def test_hashed_sample(spark):
+    from tallyfold.llm.common import hashed_sample
+
+    got = [r.id for r in hashed_sample(spark.range(20_000), 300, "id").collect()]
+    assert len(set(got)) == 300 and got == [r.id for r in hashed_sample(spark.range(20_000).repartition(9), 300, "id").collect()]
+    assert 7_000 < sum(got) / 300 < 13_000
+    assert hashed_sample(spark.range(50), 300, "id").count() == 50 and hashed_sample(spark.range(0), 5, "id").count() == 0
