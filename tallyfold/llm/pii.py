@@ -67,7 +67,8 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def _is_ip(s: str) -> bool:
+def _is_byte_list(s: str) -> bool:
+    """Every dot-separated number is at most 255."""
     parts = [p.lstrip("0") for p in s.split(".")]
     return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
@@ -89,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = match.end()
             found.append((0, first, done))
         at = text.find("@", max(at + 1, done))
-    found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if _is_ip(m.group())]
+    found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if _is_byte_list(m.group())]
     found += [(2, m.start(), m.end()) for m in _CARD.finditer(text) if _is_card(m.group())]
     found += [(3, m.start(), m.end()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m.group())) <= 15]
     return found
@@ -114,6 +115,7 @@ _CHECKS = (
     ("date", re.compile(r"\d{1,4}([/.-])\d{1,2}\1\d{1,4}")),
     ("money", re.compile(r"[$€£]?\d{1,3}([.,]\d{3})*([.,]\d{1,2})?[%$€£]?")),
 )
+_DOTTED = re.compile(r"[0-9]+(\.[0-9]+)*")
 _CUE = re.compile(r"(?i)(password|passwd|pwd|secret|token|key)\W*$")
 _DIGIT_STEPS = (0, 3, 6, 9, 13, 15, 16, 19)
 FEATURES = (len(_CHECKS) + len(_DIGIT_STEPS) + 1 + MAX_TOKENS + 8)
@@ -129,10 +131,8 @@ def features(span: str, before: str, tokens: int) -> list[int]:
     at += len(_DIGIT_STEPS) + 1
     out.append(at + tokens - 1)
     at += MAX_TOKENS
-    letters = any(c.isalpha() for c in core)
     flags = (14 <= len(digits) <= 19 and luhn(digits), core.startswith("+"), bool(_CUE.search(before)),
-             letters and bool(digits), bool(digits) and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in core.split("."))
-             if re.fullmatch(r"[0-9.]*[0-9]", core) and ".." not in core and not core.startswith(".") else False,
+             bool(digits) and any(c.isalpha() for c in core), bool(_DOTTED.fullmatch(core)) and _is_byte_list(core),
              "@" in core, len(core) >= 16, True)
     return out + [at + i for i, hold in enumerate(flags) if hold]
 
