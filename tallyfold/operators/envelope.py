@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.schemas import ENVELOPE_DDL
+
 # Envelope header value, algorithm name and version.
 HEADER_VALUE = "aes256gcm+rsa-oaep;v=1"
 ALG = "aes256gcm+rsa-oaep"
 VERSION = 1
 NONCE_BYTES = 12
-_ENV_DDL = "alg STRING, k STRING, n STRING, d STRING, v INT, _c STRING"
+_ENV_DDL = f"{ENVELOPE_DDL}, _c STRING"
 _B64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
 
@@ -57,6 +59,12 @@ def sealed_input(body, data_key) -> Column:
     return _col(body).isNotNull() & _col(data_key).isNotNull()
 
 
+def damaged(envelope_text) -> Column:
+    """An envelope whose cipher text has another first letter (fixtures)."""
+    return F.get(F.transform(F.array(F.from_json(_col(envelope_text), ENVELOPE_DDL)), lambda e: F.to_json(e.withField(
+        "d", F.concat(F.when(F.substr(e["d"], F.lit(1), F.lit(1)) == "A", "B").otherwise("A"), F.substr(e["d"], F.lit(2)))))), 0)
+
+
 def open_envelopes(requests: DataFrame, keys: DataFrame | None, body_col: str = "body",
                    header_col: str = "x_encrypted") -> DataFrame:
     """A10: adds `plain` (bytes of the decrypted body, or of the body itself

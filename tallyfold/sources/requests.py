@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import gzipped, jsonwire
 from tallyfold.operators import envelope, routing
-from tallyfold.schemas import COUNTER, ENVELOPE_DDL, GAUGE
+from tallyfold.schemas import COUNTER, GAUGE
 from tallyfold.sources.tables import event_items
 
 # Injection rules of the derived request logs.
@@ -239,11 +239,7 @@ def _on_the_wire(df: DataFrame, unit: F.Column, keys: DataFrame) -> DataFrame:
     sealed = F.when(F.col("_way").isin(WIRE_SEALED, WIRE_SEALED_GZIP, WIRE_TAMPERED),
                     envelope.seal("body", "_dk", "_kid", nonce))
     d = d.withColumn("_sealed", sealed)
-    parts = F.from_json("_sealed", ENVELOPE_DDL)
-    d = d.withColumn("_env", F.when(F.col("_way") == WIRE_TAMPERED, parts))
-    damaged = F.to_json(F.col("_env").withField("d", F.concat(
-        F.when(F.substr("_env.d", F.lit(1), F.lit(1)) == "A", "B").otherwise("A"), F.substr("_env.d", F.lit(2)))))
-    text = F.when(F.col("_way") == WIRE_TAMPERED, damaged).otherwise(F.col("_sealed")).cast("binary")
+    text = F.when(F.col("_way") == WIRE_TAMPERED, envelope.damaged("_sealed")).otherwise(F.col("_sealed")).cast("binary")
     d = d.withColumn("body", F.coalesce(text, F.col("body")))
     packed = gzipped.gzipped(F.when(F.col("_way").isin(WIRE_GZIP, WIRE_SEALED_GZIP), F.col("body")))
     d = d.withColumn("body", F.coalesce(packed, F.col("body")))
@@ -252,7 +248,7 @@ def _on_the_wire(df: DataFrame, unit: F.Column, keys: DataFrame) -> DataFrame:
                F.struct(F.lit("Content-Encoding"), F.lit("gzip"))),
         F.when(F.col("_way").isin(WIRE_SEALED, WIRE_SEALED_GZIP, WIRE_TAMPERED),
                F.struct(F.lit("X-Encrypted"), F.lit(envelope.HEADER_VALUE)))), lambda x: x.isNotNull()))
-    return d.withColumn("headers", F.map_concat("headers", extra)).drop("_way", "_kid", "_dk", "_sealed", "_env")
+    return d.withColumn("headers", F.map_concat("headers", extra)).drop("_way", "_kid", "_dk", "_sealed")
 
 
 def _signed(df: DataFrame, key: str, unit: F.Column) -> DataFrame:
