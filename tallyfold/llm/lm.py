@@ -2,10 +2,11 @@
 
 Base: add-one smoothed word counts over all training documents. Model: one
 layer of causal self-attention with a feed-forward layer, trained here in
-numpy on subword ids of a public vocabulary. Long texts are cut into
-overlapping windows; every token is scored once, with the earlier tokens of
-its window as context (at least `WINDOW - STRIDE` of them beyond the start
-of a text), in batches of windows under one causal mask.
+numpy on subword ids of a public vocabulary. A text is cut into windows
+that overlap by `CONTEXT` places; the last `STRIDE` places of a window are
+scored, with the earlier ones of the window as context, so every token is
+scored once. A text begins with `CONTEXT` start marks. Windows are scored
+in batches under one causal mask.
 
 The output is a proper distribution over all ids in two steps: a class,
 then a member of the class. The `HEAD` most frequent ids fill the learned
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import hashed_sample, map_lists, stored, utf8, words_of
 from tallyfold.llm.tokens import load_encoder
 
-WINDOW, STRIDE, WIDTH, INNER = 32, 24, 24, 24
+WINDOW, STRIDE, WIDTH, INNER = 32, 24, 16, 32
+CONTEXT = WINDOW - STRIDE
 CLASSES, MEMBERS = 31, 32
 HEAD = CLASSES * MEMBERS
 START = HEAD + 1  # input number of the start of a text; HEAD stands for all rarer ids
@@ -79,24 +81,27 @@ class Attention:
             return rng.normal(0, 1 / math.sqrt(shape[-2]), shape).astype(np.float32)
 
         self.p = {"embed": rng.normal(0, 0.3, (HEAD + 2, WIDTH)).astype(np.float32),
-                  "place": np.zeros((WINDOW, WIDTH), np.float32), "qkv": normal(WIDTH, 3 * WIDTH), "out": normal(WIDTH, WIDTH),
+                  "place": np.zeros((WINDOW, WIDTH), np.float32), "q": normal(WIDTH, WIDTH), "kv": normal(WIDTH, 2 * WIDTH), "out": normal(WIDTH, WIDTH),
                   "up": normal(WIDTH, INNER), "up_b": np.zeros(INNER, np.float32), "down": normal(INNER, WIDTH) * np.float32(0.3),
                   "cls": normal(WIDTH, CLASSES + 1), "cls_b": np.zeros(CLASSES + 1, np.float32),
                   "mem": normal(CLASSES, WIDTH, MEMBERS), "mem_b": np.zeros((CLASSES, MEMBERS), np.float32)}
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        # scored places (rows) see the places up to their own
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
+        self.mask = np.where(self.seen > 0, np.float32(0), np.float32(-1e9))
 
     def hidden(self, numbers: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """The last layer at the scored places of windows (count, WINDOW)."""
         p = self.p
         x = p["embed"][numbers] + p["place"]
-        qkv = x @ p["qkv"]
-        q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH:2 * WIDTH], qkv[..., 2 * WIDTH:]
+        own = x[:, CONTEXT:]
+        q, kv = own @ p["q"], x @ p["kv"]
+        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
         a = _softmax(q @ k.transpose(0, 2, 1) * np.float32(1 / math.sqrt(WIDTH)) + self.mask)
         mixed = a @ v
-        h = x + mixed @ p["out"]
+        h = own + mixed @ p["out"]
         u = np.maximum(h @ p["up"] + p["up_b"], 0)
         if keep is not None:
-            keep.update(x=x, q=q, k=k, v=v, a=a, mixed=mixed, h=h, u=u)
+            keep.update(x=x, own=own, q=q, k=k, v=v, a=a, mixed=mixed, h=h, u=u)
         return h + u @ p["down"]
 
     def _log_share(self, z: np.ndarray, picked: np.ndarray) -> np.ndarray:
@@ -109,34 +114,34 @@ class Attention:
         return out - top - np.log(z @ np.ones(z.shape[1], z.dtype))
 
     def last_layer(self, numbers: np.ndarray) -> np.ndarray:
-        """`hidden` for scoring: the weights of attention are normalised after mixing."""
+        """`hidden` for scoring, as rows: the weights of attention are normalised after mixing."""
         p = self.p
         x = p["embed"][numbers]
         x += p["place"]
         count = len(numbers)
-        qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(count, WINDOW, 3 * WIDTH)
-        q = qkv[..., :WIDTH] * np.float32(1 / math.sqrt(WIDTH))
-        a = q @ qkv[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
+        kv = (x.reshape(-1, WIDTH) @ p["kv"]).reshape(count, WINDOW, 2 * WIDTH)
+        h = x[:, CONTEXT:].reshape(-1, WIDTH)
+        q = h @ (p["q"] * np.float32(1 / math.sqrt(WIDTH)))
+        a = q.reshape(count, STRIDE, WIDTH) @ kv[..., :WIDTH].transpose(0, 2, 1)
         if float(a.max(initial=0.0)) > 60:
             a -= a.max(axis=-1, keepdims=True)
         np.exp(a, out=a)
         a *= self.seen
-        v = np.concatenate([qkv[..., 2 * WIDTH:], np.ones((count, WINDOW, 1), np.float32)], axis=-1)
-        mixed = a @ v
-        mixed = mixed[..., :WIDTH] / mixed[..., WIDTH:]
-        h = x.reshape(-1, WIDTH)
-        h += mixed.reshape(-1, WIDTH) @ p["out"]
+        mixed = (a @ kv[..., WIDTH:]).reshape(-1, WIDTH)
+        mixed /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))[:, None]
+        h = h + mixed @ p["out"]
         u = h @ p["up"]
         u += p["up_b"]
         np.maximum(u, 0, out=u)
         h += u @ p["down"]
-        return h.reshape(x.shape)
+        return h
 
     def log10_scores(self, numbers: np.ndarray, scored: np.ndarray, targets: np.ndarray, ids: np.ndarray, words: Vocabulary) -> np.ndarray:
-        """log10 probability of the targets (numbers; `ids` for the rare ones) at the scored places."""
+        """log10 probability of the targets (numbers; `ids` for the rare ones)
+        at those scored places of the windows that hold a token."""
         group = np.minimum(targets // MEMBERS, CLASSES)
         order = np.argsort(group.astype(np.int8), kind="stable")
-        h = self.last_layer(numbers)[scored][order]
+        h = self.last_layer(numbers).take(np.flatnonzero(scored)[order], axis=0)
         targets, group = targets[order], group[order]
         z = h @ self.p["cls"]
         z += self.p["cls_b"]
@@ -175,7 +180,7 @@ class Attention:
             dh[rows] += dm @ p["mem"][c].T
         dy = np.zeros_like(y)
         dy[at] = dh
-        dy = dy.reshape(s["x"].shape)
+        dy = dy.reshape(s["own"].shape)
 
         def flat(m):
             return m.reshape(-1, m.shape[-1])
@@ -189,9 +194,11 @@ class Attention:
         da = dmixed @ s["v"].transpose(0, 2, 1)
         dv = s["a"].transpose(0, 2, 1) @ dmixed
         ds = s["a"] * (da - (da * s["a"]).sum(axis=-1, keepdims=True)) * np.float32(1 / math.sqrt(WIDTH))
-        dqkv = np.concatenate([ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"], dv], axis=-1)
-        g["qkv"] = flat(s["x"]).T @ flat(dqkv)
-        dx = dh + dqkv @ p["qkv"].T
+        dq = ds @ s["k"]
+        dkv = np.concatenate([ds.transpose(0, 2, 1) @ s["q"], dv], axis=-1)
+        g["q"], g["kv"] = flat(s["own"]).T @ flat(dq), flat(s["x"]).T @ flat(dkv)
+        dx = dkv @ p["kv"].T
+        dx[:, CONTEXT:] += dh + dq @ p["q"].T
         g["place"] = dx.sum(axis=0)
         np.add.at(g["embed"], numbers.reshape(-1), flat(dx))
         return g
@@ -212,55 +219,56 @@ class Attention:
         return self
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (in the joined texts) of every window, which of them are
-    scored there, and the text of each window. Each place is scored once."""
-    counts = 1 + -(-np.maximum(lengths - WINDOW, 0) // STRIDE)
-    text = np.repeat(np.arange(len(lengths)), counts)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+def windows(texts: list[np.ndarray], words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts (ids): the inputs of every window (count, WINDOW), the
+    places in the joined targets that a window scores (count, STRIDE; -1
+    past a text's end), the text of each window, and the target ids (each
+    text's ids and the end). Each target is scored once."""
+    end = np.array([words.end])
+    ids = np.concatenate([part for t in texts for part in (t, end)]).astype(np.int64)
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
-    within = number[:, None] * STRIDE + np.arange(WINDOW)
-    scored = (within < lengths[text][:, None]) & ((number[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    place = np.minimum(starts[text][:, None] + within, max(0, int(lengths.sum()) - 1))
-    return place, scored, text
+    counts = -(-lengths // STRIDE)
+    text = np.repeat(np.arange(len(texts)), counts)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
+    scored = first[:, None] + np.arange(STRIDE)
+    place = np.where(scored < lengths[text][:, None], scored + starts[text][:, None], -1)
+    # the input at a place is the target before it, or a start mark
+    before = first[:, None] + np.arange(-CONTEXT - 1, STRIDE - 1)
+    number = words.number[ids]
+    joined = np.clip(before + starts[text][:, None], 0, len(ids) - 1)
+    inputs = np.where(before < 0, START, number[joined])
+    return inputs, place, text, ids
 
 
 class Scorer:
     def __init__(self, model: Attention, words: Vocabulary):
         self.model, self.words = model, words
 
-    def __call__(self, texts: list[list[int]], at_once: int = 256) -> np.ndarray:
+    def __call__(self, texts: list[np.ndarray], at_once: int = 512) -> np.ndarray:
         """log10 probability of each text with its end token."""
-        lengths = np.array([len(t) + 1 for t in texts], np.int64)
-        ids = np.concatenate([np.array([*t, self.words.end], np.int64) for t in texts])
+        inputs, place, text, ids = windows(texts, self.words)
         targets = self.words.number[ids]
-        inputs = np.empty_like(targets)
-        inputs[1:] = targets[:-1]
-        inputs[np.cumsum(lengths) - lengths] = START
-        place, scored, text = windows(lengths)
         total = np.zeros(len(texts))
         for i in range(0, len(place), at_once):
-            where, mark = place[i:i + at_once], scored[i:i + at_once]
+            where = place[i:i + at_once].ravel()
+            mark = where >= 0
             hit = where[mark]
-            got = self.model.log10_scores(inputs[where], mark, targets[hit], ids[hit], self.words)
-            total += np.bincount(np.broadcast_to(text[i:i + at_once, None], mark.shape)[mark], got, len(texts))
+            got = self.model.log10_scores(inputs[i:i + at_once], mark, targets[hit], ids[hit], self.words)
+            total += np.bincount(np.repeat(text[i:i + at_once], STRIDE)[mark], got, len(texts))
         return total
 
 
-def training_windows(texts: list[list[int]], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[np.ndarray], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of all windows; targets are -1 past a text's end."""
     if not texts:
-        return np.zeros((0, WINDOW), np.int32), np.zeros((0, WINDOW), np.int32)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    targets = words.number[np.concatenate([np.array([*t, words.end], np.int64) for t in texts])]
-    inputs = np.empty_like(targets)
-    inputs[1:] = targets[:-1]
-    inputs[np.cumsum(lengths) - lengths] = START
-    place, scored, _ = windows(lengths)
-    return inputs[place], np.where(scored, targets[place], -1)
+        return np.zeros((0, WINDOW), np.int32), np.zeros((0, STRIDE), np.int32)
+    inputs, place, _, ids = windows(texts, words)
+    return inputs, np.where(place >= 0, words.number[ids][place], -1)
 
 
-def subwords(encode, words: list[bytes]) -> list[int]:
-    return encode(" " + b" ".join(words).decode("utf-8")) if words else []
+def subwords(encode, words: list[bytes]) -> np.ndarray:
+    return encode(" " + b" ".join(words).decode("utf-8")) if words else np.zeros(0, np.uint32)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
@@ -343,16 +351,11 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
             pending, size = [], 0
             for i, t in enumerate(raw):
                 split = words_of(t)
-                known, base, rare, times = 0, end_part, [], []
-                for w, c in Counter(split).items():
-                    part = frequent.get(w)
-                    if part is None:
-                        rare.append(w)
-                        times.append(c)
-                    else:
-                        known += c
-                        base += c * part
-                for name, value in (("n_tokens", len(split) + 1), ("known", known + (ends > 0)), ("base", base), ("rare", rare), ("times", times)):
+                parts = [frequent.get(w) for w in split]
+                known = [p for p in parts if p is not None]
+                rare = Counter([w for w, p in zip(split, parts) if p is None]) if len(known) < len(split) else {}
+                for name, value in (("n_tokens", len(split) + 1), ("known", len(known) + (ends > 0)), ("base", end_part + math.fsum(known)),
+                                    ("rare", list(rare)), ("times", list(rare.values()))):
                     out[name].append(value)
                 pending.append(subwords(encoder, split))
                 size += len(pending[-1]) + 1

@@ -26,7 +26,6 @@ from __future__ import annotations
 import struct
 from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -97,7 +96,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         def step(doc_ids, texts):
             pieces = []
             for doc_id, text in zip(doc_ids, texts):
-                ids = np.array(encode(text), dtype="<u4").tobytes() + end if text else end
+                ids = encode(text).astype("<u4").tobytes() + end if text else end
                 pieces += [(doc_id, number, first, length, ids[4 * first:4 * (first + length)])
                            for number, (first, length) in enumerate(cut(len(ids) // 4, size))]
             pieces.sort(key=lambda p: -p[3])

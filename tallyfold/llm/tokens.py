@@ -35,9 +35,9 @@ def _byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def load_encoder(path: str):
-    """text -> list of ids. Special tokens' strings in a text are ordinary text."""
+    """text -> array of ids. Special tokens' strings in a text are ordinary text."""
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
     special = {t["content"] for t in spec.get("added_tokens", ())}
     alphabet = _byte_alphabet()
     ranks = {bytes(alphabet[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy

@@ -21,7 +21,7 @@ def words():
 
 
 def plain_log(model, words, numbers, at, target_id):
-    """log10 p of one id at one place, from the model's plain pass."""
+    """log10 p of one id at one scored place of a window, from the model's plain pass."""
     h = model.hidden(numbers[None])[0, at].astype(np.float64)
     z = h @ model.p["cls"] + model.p["cls_b"]
     number = int(words.number[target_id])
@@ -37,7 +37,7 @@ def test_gradients():
     m = lm.Attention()
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     rng = np.random.default_rng(0)
-    numbers, targets = rng.integers(0, lm.HEAD + 2, (2, lm.WINDOW)), rng.integers(-1, lm.HEAD + 1, (2, lm.WINDOW))
+    numbers, targets = rng.integers(0, lm.HEAD + 2, (2, lm.WINDOW)), rng.integers(-1, lm.HEAD + 1, (2, lm.STRIDE))
 
     def loss():
         h = m.hidden(numbers).reshape(-1, lm.WIDTH)
@@ -70,41 +70,47 @@ def test_distribution_sums_to_one_and_is_causal(words):
     m = lm.Attention(seed=2)
     rng = np.random.default_rng(1)
     numbers = rng.integers(0, lm.HEAD + 1, (1, lm.WINDOW)).astype(np.int32)
-    mark = np.zeros((1, lm.WINDOW), bool)
+    mark = np.zeros((1, lm.STRIDE), bool)
     mark[0, 9] = True
-    ids = np.arange(lm.IDS)
-    many = np.repeat(numbers, 1, axis=0)
-    logs = np.concatenate([m.log10_scores(np.repeat(many, len(part), axis=0), np.repeat(mark, len(part), axis=0), words.number[part], part, words)
-                           for part in np.array_split(ids, 64)])
+    logs = np.concatenate([m.log10_scores(np.repeat(numbers, len(part), axis=0), np.repeat(mark, len(part), axis=0).ravel(),
+                                          words.number[part], part, words) for part in np.array_split(np.arange(lm.IDS), 64)])
     assert (10.0 ** logs.astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
     later = numbers.copy()
-    later[0, 10:] = 5
+    later[0, lm.CONTEXT + 10:] = 5
     np.testing.assert_allclose(m.hidden(numbers)[0, :10], m.hidden(later)[0, :10], atol=1e-6)
-    np.testing.assert_allclose(m.hidden(numbers), m.last_layer(numbers), atol=1e-5)
-
-
-@pytest.mark.parametrize("lengths", [[1], [32], [33], [56, 57, 1, 200], [5, 1000, 31]])
-def test_every_place_is_scored_once(lengths):
-    lengths = np.array(lengths)
-    place, scored, text = lm.windows(lengths)
-    assert sorted(place[scored].tolist()) == list(range(lengths.sum()))
-    own = np.repeat(np.arange(len(lengths)), lengths)
-    assert (own[place[scored]] == np.broadcast_to(text[:, None], scored.shape)[scored]).all()
+    np.testing.assert_allclose(m.hidden(numbers).reshape(-1, lm.WIDTH), m.last_layer(numbers), atol=1e-5)
+
+
+@pytest.mark.parametrize("lengths", [[0], [23], [24], [47, 48, 0, 200], [5, 1000, 31]])
+def test_every_place_is_scored_once(words, lengths):
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 5000, n).astype(np.uint32) for n in lengths]
+    inputs, place, text, ids = lm.windows(texts, words)
+    assert sorted(place[place >= 0].tolist()) == list(range(sum(lengths) + len(lengths)))
+    assert ids.tolist() == [x for t in texts for x in (*t.tolist(), words.end)]
+    starts = np.cumsum([0] + [n + 1 for n in lengths])
+    for window, places, t in zip(inputs, place, text):
+        full = [lm.START] * lm.CONTEXT + [lm.START] + words.number[texts[t]].tolist()  # the input of each place, context before it
+        first = int(places[0] - starts[t])
+        n = min(lm.WINDOW, len(full) - first)
+        assert window[:n].tolist() == full[first:first + n]
+        held = places[places >= 0]
+        assert (np.diff(held) == 1).all() and held[-1] < starts[t + 1]
 
 
 def test_scorer_matches_plain_windows(words):
     m = lm.Attention(seed=4)
     rng = np.random.default_rng(6)
-    texts = [rng.integers(0, 5000, n).tolist() for n in (0, 3, 31, 32, 80)]
+    texts = [rng.integers(0, 5000, n).astype(np.uint32) for n in (0, 3, 23, 24, 80)]
     got = lm.Scorer(m, words)(texts, at_once=2)
     for t, score in zip(texts, got):
-        ids = [*t, words.end]
-        inputs = [lm.START, *words.number[t].tolist()] if t else [lm.START]
+        ids = [*t.tolist(), words.end]
+        inputs = [lm.START] * (lm.CONTEXT + 1) + words.number[t].tolist()
         total = 0.0
         for at, target in enumerate(ids):
-            start = 0 if at < lm.WINDOW else -(-(at + 1 - lm.WINDOW) // lm.STRIDE) * lm.STRIDE
-            window = np.array((inputs[start:start + lm.WINDOW] + [0] * lm.WINDOW)[:lm.WINDOW], np.int32)
-            total += plain_log(m, words, window, at - start, target)
+            first = at // lm.STRIDE * lm.STRIDE
+            window = np.array((inputs[first:first + lm.WINDOW] + [0] * lm.WINDOW)[:lm.WINDOW], np.int32)
+            total += plain_log(m, words, window, at - first, target)
         assert score == pytest.approx(total, abs=1e-2)
 
 
