@@ -36,16 +36,17 @@ def sql_type(kind: pa.DataType) -> str:
     return _SQL_TYPES[kind]
 
 
-def map_lists(df: DataFrame, start: Callable[[], Callable[..., Iterator[dict] | dict]], schema: pa.Schema) -> DataFrame:
+def map_lists(df: DataFrame, start: Callable[[], Callable[..., dict]], schema: pa.Schema, rows: int = 2048) -> DataFrame:
     """mapInArrow over Python lists: `start()` is called once per task and
-    gives a function from one batch's columns (lists) to a dict of output
-    columns, so a task can keep state between its batches."""
+    gives a function from one batch's columns (lists of at most `rows`) to a
+    dict of output columns, so a task can keep state between its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            out = step(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            for i in range(0, batch.num_rows, rows):
+                out = step(*(c.to_pylist() for c in batch.slice(i, rows).columns))
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {sql_type(f.type)}" for f in schema))
 

@@ -287,7 +287,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return {"word": list(counts), "c": list(counts.values())}
         return step
 
-    parts = map_lists(docs.select(utf8(text_col)), start, pa.schema([("word", pa.binary()), ("c", pa.int64())]))
+    parts = map_lists(docs.select(utf8(text_col)), start, pa.schema([("word", pa.binary()), ("c", pa.int64())]), rows=8192)
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -309,8 +309,8 @@ def id_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
             return {"id": seen, "n": total[seen]}
         return step
 
-    rows = map_lists(counts.select("word", "c"), start, pa.schema([("id", pa.int64()), ("n", pa.int64())])).groupBy("id").agg(
-        F.sum("n").alias("n")).collect()
+    parts = map_lists(counts.select("word", "c"), start, pa.schema([("id", pa.int64()), ("n", pa.int64())]), rows=65_536)
+    rows = parts.groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(IDS)
     for r in rows:
         out[r.id] = r.n

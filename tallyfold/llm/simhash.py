@@ -179,7 +179,7 @@ def near_links(distinct: DataFrame, radius: int = 3, capacity: int | None = None
             return {"leaf": leaf, "fp": prints[row]}
         return step
 
-    shards = map_lists(distinct.select("fp"), start, pa.schema([("leaf", pa.int64()), ("fp", pa.int64())]))
+    shards = map_lists(distinct.select("fp"), start, pa.schema([("leaf", pa.int64()), ("fp", pa.int64())]), rows=65_536)
 
     def compare(shard: pa.Table) -> pa.Table:
         a, b = leaf_forest(shard.column("fp").to_numpy().view(np.uint64), radius)

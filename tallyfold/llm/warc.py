@@ -251,7 +251,7 @@ def capture_history(spark: SparkSession, path: str, boundaries: list[tuple]) ->
         return step
 
     out = pa.schema([("key_range", pa.int64()), ("run", pa.list_(CAPTURE))])
-    cut = map_lists(files, start, out)
+    cut = map_lists(files, start, out, rows=8)
 
     def merge(key: tuple, pieces: pa.Table) -> pa.Table:
         runs = [[tuple(c.values()) for c in run] for run in pieces.column("run").to_pylist()]
