@@ -287,7 +287,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return {"word": list(counts), "c": list(counts.values())}
         return step
 
-    parts = map_lists(docs.select(utf8(text_col)), start, pa.schema([("word", pa.binary()), ("c", pa.int64())]), rows=8192)
+    parts = map_lists(docs.select(utf8(text_col)), start, pa.schema([("word", pa.binary()), ("c", pa.int64())]), rows=65_536)
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -365,7 +365,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
             return out
         return step
 
-    passed = stored(map_lists(texts.select(F.col("doc_id").cast("bigint"), "held_out", utf8("text")), start, schema)
+    passed = stored(map_lists(texts.select(F.col("doc_id").cast("bigint"), "held_out", utf8("text")), start, schema, rows=65_536)
                     .withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times")
     seldom = counts.where(F.col("c") * FREQUENT < n)
