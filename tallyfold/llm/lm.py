@@ -16,9 +16,11 @@ Scale: word counts come from all training documents, combined per batch,
 per task and then by word. Words that make up at least 2^-18 of all tokens
 (at most 2^18 of them, by arithmetic) are broadcast; occurrences of the
 rarer ones meet their counts in one join. Ids are counted from the word
-counts (at most one row per id). Texts are scored in one pass. The model is
-trained on at most `sample_rows` training texts of at most `longest`
-characters (lowest hashes).
+counts (at most one row per id). Texts are scored in one pass. The model
+learns from every window of every training text, of any length, as Spark
+work (`train_on_all`); a driver pass over at most `sample_rows` of these
+texts of at most `longest` characters (lowest hashes) only gives the
+parameters that the tasks start from.
 
 Defined cases: a null or empty text is its end token alone; repeated rows
 are scored (and learned from) one by one; a null doc_id counts as the empty
@@ -33,6 +35,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,7 @@ HEAD = CLASSES * MEMBERS
 START = HEAD + 1  # input number of the start of a text; HEAD stands for all rarer ids
 FREQUENT = 1 << 18
 IDS = 50_257
+ROUNDS, AT_ONCE, FAN = 4, 512, 64  # of `train_on_all`: averagings, windows a step, rows added up by one task
 
 
 class Vocabulary:
@@ -66,9 +70,16 @@ class Vocabulary:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    z /= z.sum(axis=-1, keepdims=True)
-    return z
+    def shares(z):
+        z = np.exp(z)
+        return z, (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(*z.shape[:-1], 1)
+
+    # the maximum of each row only where float32 could overflow or vanish
+    out, total = shares(z) if float(z.max(initial=0.0)) < 60 else (None, None)
+    if out is None or float(total.min(initial=1.0)) < 1e-25:
+        out, total = shares(z - z.max(axis=-1, keepdims=True))
+    out /= total
+    return out
 
 
 class Attention:
@@ -163,7 +174,10 @@ class Attention:
         y = self.hidden(numbers, s).reshape(-1, WIDTH)
         at = np.flatnonzero(targets.reshape(-1) >= 0)
         t = targets.reshape(-1)[at]
-        h, group = y[at], np.minimum(t // MEMBERS, CLASSES)
+        group = np.minimum(t // MEMBERS, CLASSES)
+        order = np.argsort(group.astype(np.int8), kind="stable")
+        at, t, group = at[order], t[order], group[order]
+        h = y.take(at, axis=0)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         share = np.float32(1 / max(1, len(at)))
         dz = _softmax(h @ p["cls"] + p["cls_b"])
@@ -171,10 +185,11 @@ class Attention:
         dz *= share
         g["cls"], g["cls_b"] = h.T @ dz, dz.sum(axis=0)
         dh = dz @ p["cls"].T
-        for c in np.unique(group[group < CLASSES]):
-            rows = np.flatnonzero(group == c)
+        bounds = np.searchsorted(group, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(bounds)):
+            rows = slice(bounds[c], bounds[c + 1])
             dm = _softmax(h[rows] @ p["mem"][c] + p["mem_b"][c])
-            dm[np.arange(len(rows)), t[rows] % MEMBERS] -= 1
+            dm[np.arange(len(dm)), t[rows] % MEMBERS] -= 1
             dm *= share
             g["mem"][c], g["mem_b"][c] = h[rows].T @ dm, dm.sum(axis=0)
             dh[rows] += dm @ p["mem"][c].T
@@ -200,25 +215,38 @@ class Attention:
         dx = dkv @ p["kv"].T
         dx[:, CONTEXT:] += dh + dq @ p["q"].T
         g["place"] = dx.sum(axis=0)
-        np.add.at(g["embed"], numbers.reshape(-1), flat(dx))
+        order = np.argsort(numbers.reshape(-1).astype(np.int16), kind="stable")
+        number = numbers.reshape(-1)[order]
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        g["embed"][number[first]] = np.add.reduceat(flat(dx).take(order, axis=0), first, axis=0)
         return g
 
     def train(self, numbers: np.ndarray, targets: np.ndarray, rounds: int = 2, batch: int = 32, rate: float = 0.015, seed: int = 23) -> Attention:
         rng = np.random.default_rng(seed)
-        mean = {k: np.zeros_like(v) for k, v in self.p.items()}
-        spread = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps, step = max(1, rounds * -(-len(numbers) // batch)), 0
+        steps, planned = Steps(self), max(1, rounds * -(-len(numbers) // batch))
         for _ in range(rounds if len(numbers) else 0):
             for part in np.array_split(rng.permutation(len(numbers)), -(-len(numbers) // batch)):
-                step += 1
-                now = np.float32(rate * (1 - step / (steps + 1)))
-                for k, g in self.gradients(numbers[part], targets[part]).items():
-                    mean[k] += np.float32(0.1) * (g - mean[k])
-                    spread[k] += np.float32(0.01) * (g * g - spread[k])
-                    self.p[k] -= now * (mean[k] / np.float32(1 - 0.9 ** step)) / (np.sqrt(spread[k] / np.float32(1 - 0.99 ** step)) + np.float32(1e-7))
+                steps(numbers[part], targets[part], rate * (1 - (steps.taken + 1) / (planned + 1)))
         return self
 
 
+class Steps:
+    """Adam steps on a model."""
+
+    def __init__(self, model: Attention):
+        self.model, self.taken = model, 0
+        self.mean = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.spread = {k: np.zeros_like(v) for k, v in model.p.items()}
+
+    def __call__(self, numbers: np.ndarray, targets: np.ndarray, rate: float) -> None:
+        self.taken += 1
+        now, p, mean, spread = np.float32(rate), self.model.p, self.mean, self.spread
+        for k, g in self.model.gradients(numbers, targets).items():
+            mean[k] += np.float32(0.1) * (g - mean[k])
+            spread[k] += np.float32(0.01) * (g * g - spread[k])
+            p[k] -= now * (mean[k] / np.float32(1 - 0.9 ** self.taken)) / (np.sqrt(spread[k] / np.float32(1 - 0.99 ** self.taken)) + np.float32(1e-7))
+
+
 def windows(texts: list[np.ndarray], words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts (ids): the inputs of every window (count, WINDOW), the
     places in the joined targets that a window scores (count, STRIDE; -1
@@ -317,6 +345,71 @@ def id_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
     return out
 
 
+def train_on_all(model: Attention, training: DataFrame, words: Vocabulary, vocabulary: str, rate: float = 0.004) -> int:
+    """Goes on from the model's parameters over every window of every row of
+    `training` (doc_id, text), once; returns the number of targets learned from.
+
+    A hash deals the texts into `ROUNDS` parts. In a round every task steps
+    through the windows of its texts of that part, all tasks from the same
+    parameters; the new parameters are the tasks' mean, weighted by targets.
+    A task holds a buffer of windows; sums are added up by `FAN` rows at a
+    time and in the order of the tasks, so the driver gets one row for
+    FAN * FAN tasks and the result is the same again."""
+    spark = training.sparkSession.sparkContext
+    shared, learned = spark.broadcast(words), 0
+    schema = "task int, weight bigint, total binary"
+    columns = pa.schema([("task", pa.int32()), ("weight", pa.int64()), ("total", pa.binary())])
+
+    def row(task: int, weight: int, total: np.ndarray) -> list:
+        return [pa.array([task], pa.int32()), pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())]
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(c.to_pylist() for c in table.columns)))
+        total = np.sum([np.frombuffer(t) for _, _, t in rows], axis=0)
+        return pa.Table.from_arrays(row(rows[0][0] // FAN, sum(w for _, w, _ in rows), total), schema=columns)
+
+    for number in range(ROUNDS):
+        given = spark.broadcast(model.p)
+        now = rate * (1 - number / ROUNDS)
+
+        def learn(batches, given=given, now=now, number=number):
+            encode, own, rng = load_encoder(vocabulary), Attention(), np.random.default_rng(number)
+            own.p = {k: v.copy() for k, v in given.value.items()}
+            steps, pending, size, weight = Steps(own), [], 0, 0
+
+            def through():
+                inputs, targets = training_windows(pending, shared.value)
+                for part in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // AT_ONCE)):
+                    steps(inputs[part], targets[part], now)
+                return int((targets >= 0).sum())
+
+            for batch in batches:
+                for text in batch.column(0):
+                    pending.append(subwords(encode, words_of(text.as_py())))
+                    size += len(pending[-1]) + 1
+                    if size > 200_000:
+                        weight += through()
+                        pending, size = [], 0
+            if pending:
+                weight += through()
+            if weight:
+                total = np.concatenate([v.ravel() for v in own.p.values()]).astype(np.float64) * weight
+                yield pa.RecordBatch.from_arrays(row(TaskContext.get().partitionId(), weight, total), schema=columns)
+
+        sums = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == number).select(utf8("text")).mapInArrow(learn, schema)
+        for _ in range(2):
+            sums = sums.groupBy(F.floor(F.col("task") / FAN)).applyInArrow(added, schema)
+        rows = sorted((r.task, r.weight, bytes(r.total)) for r in sums.collect())
+        given.unpersist()
+        if rows:
+            weight = sum(w for _, w, _ in rows)
+            mean = np.sum([np.frombuffer(t) for _, _, t in rows], axis=0) / weight
+            cuts = np.cumsum([v.size for v in model.p.values()])[:-1]
+            model.p = {k: part.reshape(v.shape).astype(v.dtype) for (k, v), part in zip(model.p.items(), np.split(mean, cuts))}
+            learned += weight
+    return learned
+
+
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50_256,
                     sample_rows: int = 480, longest: int = 20_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per document."""
@@ -334,6 +427,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     sample = hashed_sample(short, sample_rows, "doc_id", "text").select(utf8("text").alias("t")).collect()
     words = Vocabulary(spread, end_id)
     model = Attention().train(*training_windows([subwords(encode, words_of(r.t)) for r in sample], words))
+    train_on_all(model, training.select("doc_id", "text"), words, vocabulary)
     often = counts.where(F.col("c") * FREQUENT >= n).collect()  # at most FREQUENT rows: their counts add up to n at most
     shared = spark.sparkContext.broadcast((Scorer(model, words), {bytes(r.word): math.log10(r.c + 1) for r in often}))
     end_part = math.log10(ends + 1)

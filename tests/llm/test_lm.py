@@ -159,3 +159,35 @@ def test_odd_tables(spark):
     assert lm.score_documents(documents(spark, []), VOCABULARY).count() == 0
     rows = lm.score_documents(documents(spark, [(None, "alone"), (None, None), (7, "alone"), (7, "alone")]), VOCABULARY).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 2, 2, 2]
+
+
+def test_learns_from_every_window(spark):
+    """Texts beyond a first sample and texts of any length are learned from."""
+    texts = [f"the house of stone {i} and the river" for i in range(40)] + [None, "", "word and word " * 5000]
+    encode = tokens.load_encoder(VOCABULARY)
+    ids = [lm.subwords(encode, lm.words_of((t or "").encode())) for t in texts]
+    counts = np.bincount(np.concatenate(ids).astype(int), minlength=lm.IDS).astype(float)
+    counts[50_256] = len(texts)
+    own = lm.Vocabulary(counts, 50_256)
+    docs = documents(spark, texts).select("doc_id", "text").repartition(3)
+    made = [lm.Attention() for _ in range(2)]
+    before = lm.Scorer(lm.Attention(), own)(ids)
+    assert [lm.train_on_all(m, docs, own, VOCABULARY) for m in made] == [sum(len(i) + 1 for i in ids)] * 2
+    assert all((made[0].p[k] == made[1].p[k]).all() for k in made[0].p)
+    assert (lm.Scorer(made[0], own)(ids)[[0, -1]] > before[[0, -1]]).all()
+
+
+def test_score_uses_texts_outside_the_sample(spark, monkeypatch):
+    """A passage held only by long texts, which the first sample leaves out, makes the same held-out passage likelier."""
+    odd = "seven copper kettles sang under quiet willow bridges " * 3
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    plain = [(i, f"the house of stone {i % 7} and the river ran by the house") for i in range(60)]
+    long = [(i, odd * 300) for i in range(100, 120) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = documents(spark, [*plain, *long, (held, odd)])
+
+    def score():
+        return {r.doc_id: r.score for r in lm.score_documents(docs, VOCABULARY).collect()}[held]
+
+    learned = score()
+    monkeypatch.setattr(lm, "train_on_all", lambda *given: 0)
+    assert learned > score() + 5
