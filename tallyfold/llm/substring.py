@@ -1,10 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (at closing marks before white space, and at
-line ends; long sentences also at commas, semicolons and colons, so that a
-passage that starts inside a sentence is aligned again soon). Every run of
-consecutive sentences, the shortest from each sentence on with at least
-`sentences` sentences and `least_words` words, is hashed over its words.
+line ends). Any `GAP` words in a row without such an end are cut at the one
+with the lowest hash, clause marks first. So a cut depends on the nearest
+words alone, no piece has more than 2 * GAP words, and a passage of 50 words
+holds a run in every place it occurs, wherever it starts. Below, a sentence
+is such a piece. Every run of consecutive sentences, the shortest from each
+sentence on with at least `sentences` sentences and `least_words` words, is
+hashed over its words; a text of fewer sentences but `least_words` words is
+one run.
 The hashes are joined over the whole corpus, and every sentence covered by
 a run that also occurs earlier (by doc_id, then place) is removed. The
 first occurrence stays.
@@ -16,8 +20,8 @@ that occur twice or more join back, and AQE can split a hot hash, as both
 join sides are plain shuffles. What is collected per document is at most
 its own runs.
 
-Defined cases: null texts stay null, texts with fewer sentences or words
-than a run stay as they are; a null doc_id orders after all others; rows
+Defined cases: null texts stay null, texts of fewer than
+`least_words` words stay as they are; a null doc_id orders after all others; rows
 that repeat both doc_id and text are one document and kept alike; an empty
 table gives an empty result.
 """
@@ -35,8 +39,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import map_lists, stored
 
 _END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
-_CLAUSE = re.compile(r"[,;:]\s+")
-LONG = 16  # words from which a sentence is also cut at clause marks
+_WORD = re.compile(r"\S+")
+GAP = 8  # of any so many words in a row, a sentence is cut after one at least
 
 RUNS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("high", pa.list_(pa.int64())),
                   ("low", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("end", pa.list_(pa.int32()))])
@@ -52,20 +56,48 @@ def _cut(text: str, first: int, end: int, marks: re.Pattern) -> list[tuple[int,
     return out
 
 
+def _inner(words: list[str]) -> list[int]:
+    """After which words a sentence is cut: the lowest in each `GAP` words
+    before the last one. A word's rank is its hash with the word before it;
+    ends of clauses come first. Of equal ones the cut made already stays."""
+    ranks, before = [], ""
+    for w in words[:-1]:
+        ranks.append(xxhash.xxh32_intdigest(f"{before} {w}") + (0 if w[-1] in ",;:" else 1 << 32))
+        before = w
+    out: list[int] = []
+    at = -1
+    for first in range(len(ranks) - GAP + 1):
+        last = first + GAP - 1
+        if at < first:
+            low = min(ranks[first:last + 1])
+            at = last
+            while ranks[at] != low:
+                at -= 1
+        elif ranks[last] < ranks[at]:
+            at = last
+        else:
+            continue
+        out.append(at)
+    return out
+
+
 def sentences_of(text: str) -> list[tuple[int, int, list[str]]]:
     """(first, end, lower-cased words) of every sentence; together they are
     the whole text. Pieces without a word belong to the one before."""
     out: list[tuple[int, int, list[str]]] = []
     for first, end in _cut(text, 0, len(text), _END):
         words = text[first:end].lower().split()
-        parts = [(first, end, words)]
-        if len(words) > LONG:
-            parts = [(a, b, text[a:b].lower().split()) for a, b in _cut(text, first, end, _CLAUSE)]
-        for a, b, w in parts:
-            if w or not out:
-                out.append((a, b, w))
-            else:
-                out[-1] = (out[-1][0], b, out[-1][2])
+        if len(words) > GAP:
+            starts = [m.start() for m in _WORD.finditer(text, first, end)]
+            done = 0
+            for i in _inner(words):
+                out.append((first, starts[i + 1], words[done:i + 1]))
+                first, done = starts[i + 1], i + 1
+            out.append((first, end, words[done:]))
+        elif words or not out:
+            out.append((first, end, words))
+        else:
+            out[-1] = (out[-1][0], end, out[-1][2])
     return out
 
 
@@ -82,6 +114,8 @@ def runs_of(text: str, sentences: int, least_words: int) -> list[tuple[int, int,
             break
         out.append((first, end, xxhash.xxh3_128_digest(" ".join(joined[first:end]))))
         words -= len(cut[first])
+    if not out and words >= least_words:
+        out.append((0, len(cut), xxhash.xxh3_128_digest(" ".join(joined))))
     return out
 
 

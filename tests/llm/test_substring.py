@@ -1,5 +1,7 @@
 """Substring dedup: cutting, runs and removal against a plain version."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,3 +72,31 @@ def test_repeats_inside_one_text(spark):
 def test_nothing_to_do(spark, texts):
     rows = substring.remove_repeats(documents(spark, texts)).collect()
     assert [(r.n_sentences, r.n_removed, r.text) for r in rows] == [(0, 0, t) for t in texts]
+
+
+def windows_of(text, n=50):
+    w = text.lower().split()
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_no_50_words_of_an_earlier_text_stay(spark):
+    """Passages of 50 words, with few or no marks, placed anywhere inside sentences of any length."""
+    rng = random.Random(5)
+
+    def fresh(n):
+        return [f"{''.join(rng.choices('abcdefgh', k=5))}{rng.choice(['', '', '', '', '', '', ',', '.'] if n % 2 else [''])}" for _ in range(n)]
+
+    passages = [fresh(n) for n in (50, 51, 60, 75, 101) * 8] + [["again"] * 70]
+    texts = [" ".join(fresh(rng.randint(0, 30)) + p + fresh(rng.randint(0, 30))) for _ in range(3) for p in passages]
+    left = {r.doc_id: r.text for r in substring.remove_repeats(documents(spark, texts)).collect()}
+    seen = set()
+    for i, text in enumerate(texts):
+        assert i >= len(passages) or i == len(passages) - 1 or left[i] == text
+        assert not windows_of(left[i]) & seen, i
+        seen |= windows_of(text)
+
+
+def test_copies_of_short_texts_are_removed(spark):
+    texts = ["One sentence of more than a dozen words that stands alone in its text", "Two sentences make this short text here. The other one ends it."]
+    rows = substring.remove_repeats(documents(spark, texts + texts)).collect()
+    assert {r.doc_id: r.text for r in rows} == {0: texts[0], 1: texts[1], 2: "", 3: ""}
