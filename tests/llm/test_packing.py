@@ -18,7 +18,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -29,10 +28,25 @@ def test_ids_equal_the_vocabulary_files(reference, text):
 
 
 def test_ids_of_special_strings(reference):
-    for text in ("<|endoftext|>", "a<|endoftext|>b", "it's  we'll\n\n  x"):
+    for text in ("<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|>\n<|endoftext|><|endoftext|> b<|endoftext", "it's  we'll\n\n  x"):
         assert tokens.load_encoder(VOCABULARY)(text).tolist() == reference(text)
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u3000", "\x85", " \n"])
+def test_ids_of_long_white_space(reference, space):
+    run = space * 9_999
+    for text in (run, run + "a", run + " a", "a" + run + "\nb" + run, run + "<|endoftext|>" + run + " x"):
+        assert tokens.load_encoder(VOCABULARY)(text).tolist() == reference(text)
+        double = text.replace(run, run + run)
+        assert tokens.load_encoder(VOCABULARY)(double).tolist() == reference(double)
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u3000"])
+def test_ids_of_two_million_white_space(reference, space):
+    text = "a" + space * 2_000_000 + "b"
+    assert tokens.load_encoder(VOCABULARY)(text).tolist() == reference(text)
+
+
 class PlainBins:
     """Best fit over a plain list, the fullest closing first."""
 
