@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, lm, packing, pii, quality, rules, sharding, simhash, substring, warc
+from tallyfold.llm import decontam, harmonic, lm, packing, pii, quality, rules, sharding, simhash, substring, warc
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -74,7 +74,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op8_lm, op9_decontamination, op10_warc)}
+def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = harmonic.pack_harmonic(read(spark, sf_dir, "documents"), vocabulary_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_substring, op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op8_lm, op9_decontamination,
+    op10_warc, op11_harmonic)}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
