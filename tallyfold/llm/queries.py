@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, harmonic, lm, packing, pii, quality, rules, sharding, simhash, substring, warc
+from tallyfold.llm import decontam, harmonic, lm, packing, pii, quality, ranked, rules, sharding, simhash, substring, warc
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -79,9 +79,13 @@ def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring, op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op8_lm, op9_decontamination,
-    op10_warc, op11_harmonic)}
+    op10_warc, op11_harmonic, op13_ranked)}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
@@ -118,6 +122,26 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id > lowest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id > lowest THEN lowest END AS refers_to
 FROM f
+""",
+    "op13_ranked": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT CAST(count(*) AS BIGINT) AS a, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, term, count(*) AS tf FROM d, unnest(w) AS u(term) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+s AS (
+  SELECT item_id, r, doc_id,
+         sum(CAST(floor(1000 * ln((2 * a + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * a) // l)))) AS score
+  FROM q JOIN f USING (term) JOIN t USING (term), g GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, CAST(score AS BIGINT) AS score
+FROM s WHERE score > 0 QUALIFY rank <= 50
 """,
     "op9_decontamination": r"""
 WITH d AS (
