@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, harmonic, lm, packing, pii, quality, ranked, rules, sharding, simhash, substring, warc
+from tallyfold.llm import decontam, harmonic, lm, packing, pii, quality, ranked, rules, sharding, simhash, substring, warc, whitening
 from tallyfold.llm.tokens import vocabulary_path
 
 
@@ -79,13 +79,17 @@ def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_substring, op2_simhash, op3_pii, op4_packing, op5_rules, op6_quality, op7_sharding, op8_lm, op9_decontamination,
-    op10_warc, op11_harmonic, op13_ranked)}
+    op10_warc, op11_harmonic, op12_whitening, op13_ranked)}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words}))
 
