@@ -22,7 +22,7 @@ from tallyfold.session import materialize, path_exists, scratch_path
 from tallyfold.sinks import report
 from tallyfold.sinks import snapshot as snapshot_sink
 from tallyfold.sources import snapshot as snapshot_src
-from tallyfold.streaming import streams
+from tallyfold.streaming import streams, ticks
 from tallyfold.sources import requests, tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -702,7 +702,7 @@ def report_windows(spark, sf_dir):
     return agent.report_windows(_host_samples(_t(spark, sf_dir, "events")), REPORT_EVERY)
 
 
-@register("report_carry_forward", """
+_CARRY_SQL = """
 WITH d AS (SELECT user_id AS host, event_type AS id, date_trunc('day', ts) AS day,
                   arg_max(value, event_id) AS value FROM events GROUP BY ALL),
 f AS (SELECT host, id, min(day) AS first_day FROM d GROUP BY ALL),
@@ -712,7 +712,10 @@ g AS (SELECT f.host, f.id, unnest(generate_series(f.first_day, m.last_day, INTER
 SELECT g.host, g.id, g.day + INTERVAL 1 DAY AS tick,
        last_value(d.value IGNORE NULLS) OVER (PARTITION BY g.host, g.id ORDER BY g.day
                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
-FROM g LEFT JOIN d ON d.host = g.host AND d.id = g.id AND d.day = g.day""")
+FROM g LEFT JOIN d ON d.host = g.host AND d.id = g.id AND d.day = g.day"""
+
+
+@register("report_carry_forward", _CARRY_SQL)
 def report_carry_forward(spark, sf_dir):
     return agent.carry_forward(_host_samples(_t(spark, sf_dir, "events")), REPORT_EVERY)
 
@@ -964,20 +967,64 @@ def stream_snapshot(spark, sf_dir):
     return snapshot_src.read_state_table(spark, table, "json")
 
 
-STREAM_LATENESS = "400 days"   # beyond the events' span: the files come in no order, nothing is late
-
-
 @register("stream_report_windows", _REPORT_SQL)
 def stream_report_windows(spark, sf_dir):
+    # the files come in no order, so a row can be as late as the table's span; nothing is dropped then
+    lateness = streams.lateness_of(streams.time_span(_t(spark, sf_dir, "events"), "ts"))
     src = _event_stream(spark, sf_dir, "stream-samples")
     table, ckpt = scratch_path(spark, "stream-reports"), scratch_path(spark, "ckpt")
-    q = streams.stream_report_windows(_host_samples(src), REPORT_EVERY, STREAM_LATENESS, table, ckpt)
-    streams.run_to_end(q)
-    if streams.rows_dropped_late(q):
+    with ticks.LateRows(spark) as late:
+        streams.run_to_end(streams.stream_report_windows(_host_samples(src), REPORT_EVERY, lateness, table, ckpt))
+    if late.rows:
         raise RuntimeError("rows were dropped as late")
     return agent.report_rows(streams.read_change_log(spark, table, ["host", "window_start", "id"]))
 
 
+STREAM_SLICES = 4   # time slices that arrive one after the other; a run takes two, so the second run restarts
+
+
+def _run_ticks(spark, sf_dir, start, every, name):
+    """Events as time slices through `start(samples, every, lateness, out,
+    checkpoint)` in two runs over one checkpoint, then a heartbeat that
+    finishes the last tick; the written rows."""
+    ev = _t(spark, sf_dir, "events")
+    span = streams.time_span(ev, "ts")
+    lateness = streams.lateness_of(span, STREAM_SLICES)
+    path, out, ckpt = (scratch_path(spark, n) for n in (f"{name}-events", name, "ckpt"))
+    with ticks.LateRows(spark) as late:
+        for number, _ in enumerate(streams.staged_slices(ev, path, "ts", span, STREAM_SLICES), 1):
+            if number == STREAM_SLICES and span:
+                end = ticks.last_tick(span[1], ticks.interval_of(spark, every))
+                ticks.heartbeat(spark, path, ev.schema, "ts", end + ticks.interval_of(spark, lateness))
+            if number % 2 == 0:
+                stream = streams.file_stream(spark, path, ev.schema, max_files=FILES_PER_TRIGGER)
+                streams.run_to_end(start(_host_samples(stream), every, lateness, out, ckpt))
+    if late.rows:
+        raise RuntimeError("rows were dropped as late")
+    return spark.read.parquet(out)
+
+
+@register("stream_poll_sampling", """
+SELECT user_id AS host, date_trunc('hour', ts) AS window_start, event_type AS id,
+       arg_max(value, event_id) AS value
+FROM events GROUP BY ALL""")
+def stream_poll_sampling(spark, sf_dir):
+    return _run_ticks(spark, sf_dir, ticks.stream_poll_sampling, POLL_EVERY, "stream-polls")
+
+
+@register("stream_reports", f"""
+WITH n AS (SELECT user_id AS host, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL),
+h AS (SELECT host, min(day) AS first_day FROM n GROUP BY host),
+t AS (SELECT h.host, unnest(generate_series(h.first_day, m.last_day, INTERVAL 1 DAY)) AS day
+      FROM h, (SELECT max(day) AS last_day FROM n) m)
+SELECT host, tick, id, 'gauge' AS type, CAST(NULL AS BIGINT) AS delta, value FROM ({_CARRY_SQL})
+UNION ALL
+SELECT t.host, t.day + INTERVAL 1 DAY, 'PollCount', 'counter', CAST(COALESCE(n.n, 0) AS BIGINT), CAST(NULL AS DOUBLE)
+FROM t LEFT JOIN n ON n.host = t.host AND n.day = t.day""")
+def stream_reports(spark, sf_dir):
+    return _run_ticks(spark, sf_dir, ticks.stream_reports, REPORT_EVERY, "stream-ticks")
+
+
 @register("stream_journal", f"SELECT ts, metrics, ip_address FROM ({_JOURNAL_SQL})")
 def stream_journal(spark, sf_dir):
     path = request_log_path(spark, sf_dir)

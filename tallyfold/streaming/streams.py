@@ -14,7 +14,8 @@
   add the stream totals to the base, gauges take the stream value.
 * J3 report windows: `withWatermark` + `window`, update mode, change log
   keyed by (host, window, id); rows later than the watermark are dropped
-  and counted (`rows_dropped_late`).
+  and counted (`ticks.LateRows`). Reports at every tick and poll ticks that
+  are written once are in `ticks`.
 * J7 bounded work: `maxFilesPerTrigger` on the file source.
 * J8 journal: a stateless projection of the request stream, appended to
   a JSON file sink.
@@ -28,7 +29,9 @@ is never read. Checkpoints live under the shared folder
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,13 +156,6 @@ def stream_report_windows(samples: DataFrame, every: str, lateness: str, table_d
     return _trigger(w, trigger).start()
 
 
-def rows_dropped_late(query) -> int:
-    """Rows that came later than the watermark, over the progress
-    reports that the session keeps of the query
-    (`spark.sql.streaming.numRecentProgressUpdates`)."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-
-
 def stream_carry_forward(samples: DataFrame, out_dir: str, checkpoint: str,
                          trigger: str | None = None, host: str = "host"):
     """J3/D5 in streaming: at every trigger (a report tick) every id the
@@ -197,6 +193,34 @@ def run_to_end(query, timeout_s: int = 600) -> None:
         raise RuntimeError(str(query.exception()))
 
 
+def time_span(df: DataFrame, time_col: str) -> tuple[dt.datetime, dt.datetime] | None:
+    """First and last time of a table; None if it has none."""
+    r = df.agg(F.min(time_col).alias("first"), F.max(time_col).alias("last")).first()
+    return None if r.first is None else (r["first"], r["last"])
+
+
+def lateness_of(span: tuple[dt.datetime, dt.datetime] | None, parts: int = 1) -> str:
+    """How late a row can be that comes in no order within one of `parts` equal slices of the span."""
+    whole = (span[1] - span[0]) / parts if span else dt.timedelta()
+    return f"{int(whole.total_seconds()) + 1} seconds"
+
+
+def staged_slices(df: DataFrame, path: str, time_col: str, span: tuple[dt.datetime, dt.datetime] | None,
+                  slices: int = 4) -> Iterator[str]:
+    """The rows of `df` as files under `path`, one slice of the time span
+    after the other (rows without a time come first). Yields the path when
+    a slice is there, so that a stream can run in between."""
+    t = F.col(time_col)
+    first, last = span or (dt.datetime(1970, 1, 1), dt.datetime(1970, 1, 1))
+    bounds = [first + (last - first) * i / slices for i in range(1, slices)]
+    per_file = max(1000, min(MAX_FILE_ROWS, -(-df.count() // 12)))
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = df if high is None else df.where(t.isNull() | (t < F.lit(high)) if low is None else t < F.lit(high))
+        part = part if low is None else part.where(t >= F.lit(low))
+        part.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
+        yield path
+
+
 def staged_copy(df: DataFrame, name: str) -> str:
     """A copy of a table under the shared folder to feed a file stream, in
     files of at most a million rows (fewer when the table is small, so that

@@ -92,16 +92,3 @@ def test_staged_copy_keeps_null_keys(spark):
     path = streams.staged_copy(df, "staged")
     assert spark.read.parquet(path).count() == 5000
     assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) >= 5
-
-
-def test_late_rows_are_counted(spark):
-    src = scratch_path(spark, "late")
-    schema = "host long, ts timestamp_ntz, seq long, id string, value double"
-    # a batch is held against the watermark of the batch before it: the last file is late
-    for i, day in enumerate(("2024-01-01", "2024-03-01", "2024-03-02", "2024-01-02")):
-        one = spark.sql(f"SELECT 1L AS host, TIMESTAMP_NTZ '{day} 05:00:00' AS ts, {i}L AS seq, 'g' AS id, 1.5D AS value")
-        one.coalesce(1).write.mode("append").parquet(src)
-    stream = streams.file_stream(spark, src, spark.read.schema(schema).parquet(src).schema, max_files=1)
-    q = streams.stream_report_windows(stream, "1 day", "1 day", scratch_path(spark, "late-out"), scratch_path(spark, "ckpt"))
-    streams.run_to_end(q)
-    assert streams.rows_dropped_late(q) == 1
