@@ -21,7 +21,8 @@ join sides are plain shuffles. What is collected per document is at most
 its own runs.
 
 Defined cases: null texts stay null, texts of fewer than
-`least_words` words stay as they are; a null doc_id orders after all others; rows
+`least_words` words stay as they are; a very long text is cut in time
+proportional to its length, whatever it repeats; a null doc_id orders after all others; rows
 that repeat both doc_id and text are one document and kept alike; an empty
 table gives an empty result.
 """
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import map_lists, stored
 
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
+# possessive and not after another mark: a run of marks is tried once, not once from each of them
+_END = re.compile(r"(?<![.!?])[.!?]++[\"')\]]*+\s++|\n\s*+")
 _WORD = re.compile(r"\S+")
 GAP = 8  # of any so many words in a row, a sentence is cut after one at least
 

@@ -18,4 +18,5 @@ def clashing(df):
     return df.withColumns({n: F.lit("x") for n in names if n not in df.columns})
 
 
-ODD_TEXTS = [None, "", " ", "\n\n", "a", "A a\ta", "x" * 200_000, "word " * 30_000, "é ü 漢字     z", "a\x00b c", "same text here", "same text here"]
+ODD_TEXTS = [None, "", " ", "\n\n", "a", "A a\ta", "x" * 200_000, "word " * 30_000, "é ü 漢字     z", "a\x00b c", "same text here", "same text here",
+             "." * 300_000, " " * 1_200_000 + "b", "\u3000" * 1_200_000]

@@ -1,6 +1,8 @@
 """Substring dedup: cutting, runs and removal against a plain version."""
 
 import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -44,6 +46,21 @@ def test_sentences_are_the_whole_text(text):
     assert [w for _, _, ws in cut for w in ws] == text.lower().split()
 
 
+@pytest.mark.parametrize("text", ["." * 1_000_000, "!\"" * 500_000, ".)" * 500_000, ". " * 200_000, "\n" * 1_000_000, " " * 2_000_000,
+                                  "a" + "." * 999_999 + "b", "\n \t" * 300_000, "x" * 2_000_000])
+def test_long_runs_of_marks_take_linear_time(text):
+    before = time.perf_counter()
+    substring.runs_of(text, 3, 12)
+    assert time.perf_counter() - before < 5
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a.!?\"')] \n", max_size=40))
+def test_sentence_ends_are_those_of_the_plain_pattern(text):
+    plain = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
+    assert [m.span()[1] for m in substring._END.finditer(text)] == [m.span()[1] for m in plain.finditer(text)]
+
+
 def test_passage_inside_a_sentence_is_removed(spark):
     texts = [sentence("a") + PASSAGE + sentence("b"), "quite another start " + PASSAGE + sentence("c"), sentence("d") + sentence("e") + sentence("f")]
     got = {r.doc_id: r for r in substring.remove_repeats(clashing(documents(spark, texts))).collect()}
