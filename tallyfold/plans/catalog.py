@@ -22,7 +22,7 @@ from tallyfold.session import materialize, path_exists, scratch_path
 from tallyfold.sinks import report
 from tallyfold.sinks import snapshot as snapshot_sink
 from tallyfold.sources import snapshot as snapshot_src
-from tallyfold.streaming import streams, ticks
+from tallyfold.streaming import fanout, streams, ticks
 from tallyfold.sources import requests, tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -1035,6 +1035,28 @@ def stream_journal(spark, sf_dir):
     return snapshot_src.read_journal(spark, out)
 
 
+@register("stream_fanout", f"""
+SELECT 'item' AS kind, request_id, CAST(NULL AS VARCHAR) AS sink, ts, metrics, ip_address, CAST(2 AS BIGINT) AS taken,
+       TRUE AS delivered FROM ({_JOURNAL_SQL})
+UNION ALL
+SELECT 'line', CAST(NULL AS BIGINT), s.sink, j.ts, j.metrics, j.ip_address, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
+FROM ({_JOURNAL_SQL}) j, (VALUES ('a'), ('b')) s(sink)""")
+def stream_fanout(spark, sf_dir):
+    """The live journal into two sinks beside one that fails and one that is
+    not configured: the lines of each sink, and every item's outcome."""
+    path = request_log_path(spark, sf_dir)
+    log = streams.file_stream(spark, path, spark.read.parquet(path).schema, max_files=FILES_PER_TRIGGER)
+    items = journal.journal_items(pipeline.decide_requests(log, _edge(spark)), pipeline.EARLY_CHECKS)
+    sinks = {"a": scratch_path(spark, "live-a"), "b": scratch_path(spark, "live-b"), "down": "nosuchfs://sink/journal", "off": None}
+    ledger, ckpt = scratch_path(spark, "ledger"), scratch_path(spark, "ckpt")
+    streams.run_to_end(fanout.stream_fan_out(items, sinks, ledger, ckpt))
+    out = fanout.item_outcomes(spark, ledger, items.schema).drop("run", "batch").withColumn("kind", F.lit("item"))
+    for name in ("a", "b"):
+        lines = snapshot_src.read_journal(spark, sinks[name]).withColumns({"kind": F.lit("line"), "sink": F.lit(name)})
+        out = out.unionByName(lines, allowMissingColumns=True)
+    return out
+
+
 # --------------------------------------------------------------------------
 # L2: reads through the decision chain (JSON and path routes)
 # --------------------------------------------------------------------------
