@@ -47,9 +47,61 @@ def subnet_table(spark, cidrs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "cidr string, family int, lo string, hi string, bits int")
 
 
-def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip") -> DataFrame:
+def address_segments(rows) -> list[tuple[str, list[str]]]:
+    """Disjoint segments of the address space, by a sweep over the bounds of
+    (cidr, family, lo, hi) rows: (first key, the subnets that hold all of
+    it), in order. A segment ends where the next one starts; keys are those
+    of `netaddr.ip_key`, whose order is that of family and number."""
+    points: dict[str, tuple[list[str], list[str]]] = {"": ([], [])}
+    for r in rows:
+        width = len(r["lo"])
+        after = int(r["hi"], 16) + 1
+        # beyond the last address of a family comes the next family's mark
+        end = f"{r['family']}{after:0{width}x}" if after < 16**width else str(r["family"] + 1)
+        points.setdefault(f"{r['family']}{r['lo']}", ([], []))[0].append(r["cidr"])
+        points.setdefault(end, ([], []))[1].append(r["cidr"])
+    inside: list[str] = []
+    out = []
+    for key in sorted(points):
+        starting, ending = points[key]
+        inside = [*inside, *starting]
+        for cidr in ending:
+            inside.remove(cidr)
+        out.append((key, list(inside)))
+    return out
+
+
+def _segment_of(key: Column, starts: list[str], first: int, end: int) -> Column:
+    """The number of the segment that holds a key: a balanced tree of comparisons."""
+    if end - first == 1:
+        return F.lit(first)
+    middle = (first + end) // 2
+    return F.when(key < starts[middle], _segment_of(key, starts, first, middle)).otherwise(_segment_of(key, starts, middle, end))
+
+
+def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip", tree_subnets: int = 64) -> DataFrame:
     """Pairs of addresses and the subnets that contain them.
 
+    Up to `tree_subnets` subnets (a checked size) are flattened into
+    disjoint segments; an address is one row that finds its segment by a
+    few comparisons in generated code, and the segment lists its subnets:
+    no join and no shuffle. A larger table of subnets is joined: see
+    `join_subnets`.
+    """
+    some = subnets.select("cidr", "family", "lo", "hi").limit(tree_subnets + 1).collect()
+    if len(some) > tree_subnets:
+        return join_subnets(addresses, subnets, ip_col)
+    segments = address_segments(some)
+    key = F.explode_outer(F.array(netaddr.ip_key(F.trim(F.col(ip_col)))))   # parsed once, see barrier.py
+    number = _segment_of(F.col("_key"), [k for k, _ in segments], 0, len(segments))
+    cidrs = F.array(*(F.array(*map(F.lit, c)).cast("array<string>") for _, c in segments))
+    held = F.when(F.col("_key").isNotNull(), F.element_at(cidrs, number + 1))
+    return addresses.select("*", key.alias("_key")).select(*addresses.columns, F.explode(held).alias("cidr"))
+
+
+def join_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip") -> DataFrame:
+    """D4 for any number of subnets.
+
     An address is masked to every prefix length that the subnet table holds
     for its family (at most 33 and 129 lengths), and (family, length,
     network) meets the subnets by equality. One plan at every size: an

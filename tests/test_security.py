@@ -92,7 +92,10 @@ def test_range_join_matches_ipaddress(spark):
     texts += ["fe80::1%eth0", "not-an-ip", "", None, "::ffff:10.1.200.1", " 10.0.0.7 ", "0.0.0.0", "255.255.255.255"]
     cidrs = ["10.0.0.0/16", "10.1.128.0/17", "10.0.0.0/8", "0.0.0.0/0", "10.0.0.7/32", "fd00::/8", "fd00::8000/113", "::/0", "10.0.0.0/13"]
     addrs = spark.createDataFrame(list(enumerate(texts)), "event_id long, ip string")
-    got = sorted((r.event_id, r.cidr) for r in security.addresses_in_subnets(addrs, security.subnet_table(spark, cidrs)).collect())
+    table = security.subnet_table(spark, cidrs)
+    by_tree, by_join = (sorted((r.event_id, r.cidr) for r in security.addresses_in_subnets(addrs, table, tree_subnets=n).collect()) for n in (64, 3))
+    assert by_tree == by_join
+    got = by_tree
     want = []
     for i, t in enumerate(texts):
         a = netaddr.parse_ip_text(t.strip()) if t else None
@@ -103,6 +106,27 @@ def test_range_join_matches_ipaddress(spark):
     assert got == sorted(want) and got
 
 
+@settings(max_examples=60, deadline=None)
+@given(nets=st.lists(st.tuples(st.sampled_from([4, 6]), st.integers(0, 2**128 - 1), st.integers(0, 128)), max_size=12), data=st.data())
+def test_segments_are_disjoint_and_list_their_subnets(nets, data):
+    nets = [ipaddress.ip_network((n % 2**(32 if f == 4 else 128), min(b, 32 if f == 4 else 128)), strict=False) for f, n, b in nets]
+    rows = [dict(zip(("cidr", "family", "lo", "hi"), (str(n), *netaddr.cidr_bounds(str(n))[:3]))) for n in nets]
+    segments = security.address_segments(rows)
+    starts = [k for k, _ in segments]
+    assert starts == sorted(set(starts)) and segments[-1][1] == []
+    inside = [int(n.network_address) + data.draw(st.integers(0, n.num_addresses - 1)) for n in nets]
+    for net, number in zip(nets, inside):
+        key = f"{net.version}{number:0{8 if net.version == 4 else 32}x}"
+        held = [c for k, c in segments if k <= key][-1]
+        address = (ipaddress.IPv4Address if net.version == 4 else ipaddress.IPv6Address)(number)
+        assert sorted(held) == sorted(str(n) for n in nets if n.version == address.version and address in n)
+
+
+def test_no_subnets(spark):
+    addrs = spark.createDataFrame([(1, "10.0.0.1"), (2, None)], "event_id long, ip string")
+    assert security.addresses_in_subnets(addrs, security.subnet_table(spark, ["1.1.1.1/32"]).limit(0)).count() == 0
+
+
 def test_with_cidr_matches_python(spark):
     cidrs = ["127.0.0.0/8", "10.1.128.0/17", "10.1.130.7/17", "0.0.0.0/0", "1.2.3.4/32",
              "fd00::/8", "2001:db8::/33", "::/0", "::1/128", "fe80::1/10",
