@@ -7,10 +7,13 @@ Decoding keeps three outcomes apart, as the wire contract needs:
     (validation decides, status 500); JSON `null` is an empty record;
   * JSON `null` or an empty array as a batch -> no items (status 200).
 
-Every body is parsed once, to a variant. Only the four known top-level
-fields and `hash` are looked at: their names match in any letter case (the
-exact name wins), their JSON types must be those of the wire, numbers must
-be finite, and whatever else a record holds is ignored.
+Every body is parsed once. A single record written the plain way (the known
+fields in wire order, no escapes, numbers that surely fit) is told by one
+pattern and decoded by `from_json`; any other body, and every batch, is
+parsed to a variant. Only the four known top-level fields and `hash` are
+looked at: their names match in any letter case (the exact name wins), the
+last of repeated names counts, their JSON types must be those of the wire,
+numbers must be finite, and whatever else a record holds is ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,12 @@ FIELD_TYPES = {"id": "^STRING$", "type": "^STRING$", "delta": "^BIGINT$",
                "value": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$", "hash": "^STRING$"}
 SQL_TYPES = {"id": "string", "type": "string", "delta": "bigint", "value": "double", "hash": "string"}
 
+# A record as the agent's encoder writes it; no group repeats, so the length of a text does not matter.
+PLAIN_RECORD = (r'^\{"id":"[^"\\\x00-\x1f]*+","type":"[^"\\\x00-\x1f]*+"(?:,"delta":-?(?:0|[1-9][0-9]{0,17}))?'
+                r'(?:,"value":-?(?:0|[1-9][0-9]{0,99})(?:\.[0-9]{1,99})?(?:[eE][+-]?[0-9]{1,2})?)?\}$')
+# Repeated names: the last one counts. Read when a plan is optimized, so it stays set in the session.
+ALLOW_REPEATED = "spark.sql.variant.allowDuplicateKeys"
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -85,6 +94,7 @@ def _with_value(df: DataFrame, body_col: str, value: str, cond: Column) -> DataF
     text is one JSON value. The body is parsed as the first element of an
     array whose second is a digest of the body, which no body can hold, so
     bytes after the value are noticed."""
+    df.sparkSession.conf.set(ALLOW_REPEATED, "true")
     body = F.col(body_col).cast("string")
     digest = F.md5(F.col(body_col).cast("binary"))
     parsed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), digest, F.lit('"]')))
@@ -104,12 +114,17 @@ def with_single(df: DataFrame, body_col: str, out: str, only_when: Column | None
     object per body; NULL where `only_when` is false. Fields are NULL when
     the body is bad."""
     cond = only_when if only_when is not None else F.lit(True)
-    v, r = f"_{out}_v", f"_{out}_r"
-    d = _with_value(df, body_col, v, cond)
+    v, r, plain = (f"_{out}_{x}" for x in "vrp")
+    text = F.col(body_col).cast("string")
+    d = df.withColumn(plain, F.coalesce(cond & text.rlike(PLAIN_RECORD), F.lit(False)))
+    d = _with_value(d, body_col, v, cond & ~F.col(plain))
     d = d.withColumn(r, F.get(_decoded(F.when(F.col(v).isNotNull(), F.array(F.col(v)))), 0))
     bad = F.col(v).isNull() | F.coalesce(F.col(r)["wrong"], F.lit(True))
     fields = [F.when(~bad, F.col(r)[n]).alias(n) for n in FIELD_TYPES]
-    return d.withColumn(out, F.when(cond, F.struct(*fields, bad.alias("bad")))).drop(v, r)
+    decoded = F.from_json(F.when(F.col(plain), text), ", ".join(f"{n} {t}" for n, t in SQL_TYPES.items()))
+    simple = F.struct(*(decoded[n].alias(n) for n in FIELD_TYPES), F.lit(False).alias("bad"))
+    other = F.when(cond, F.struct(*fields, bad.alias("bad")))
+    return d.withColumn(out, F.when(F.col(plain), simple).otherwise(other)).drop(v, r, plain)
 
 
 def with_batch(df: DataFrame, body_col: str, out: str, only_when: Column | None = None) -> DataFrame:

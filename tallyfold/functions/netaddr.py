@@ -25,64 +25,55 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _octet(t: Column, i: int) -> Column:
-    """i-th (1-based) dot-separated field, by plain string splitting."""
-    return F.substring_index(F.substring_index(t, ".", i), ".", -1)
-
-
-def ipv4_hex(text) -> Column:
-    """Dotted IPv4 -> 8 hex digits, NULL if not a valid address: one
-    validating regex, then plain string splitting."""
-    t = _col(text)
-    hexed = F.concat(*[F.lpad(F.lower(F.hex(_octet(t, i).try_cast("int"))), 2, "0")
-                       for i in (1, 2, 3, 4)])
-    return F.when(t.rlike(IPV4_TEXT), hexed)
-
-
-def ipv6_hex(text) -> Column:
-    """IPv6 text (lower-case, no zone; optional dotted IPv4 tail) -> 32 hex
-    digits, NULL if invalid. One flat expression of regex functions (no
-    lambdas), so it stays in generated code and stays small when inlined.
-    """
-    a = _col(text)
-    tail_re = rf":{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
-    has_dot = a.contains(".")
-    tail_hex = ipv4_hex(F.substring_index(a, ":", -1))
-    b = F.when(has_dot, F.concat(
-        F.regexp_replace(a, r"[0-9.]+$", ""),
-        F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4))).otherwise(a)
-    n = F.size(F.regexp_extract_all(b, F.lit("[0-9a-f]+"), 0))
-    gap = a.contains("::")
-    ok = (
-        a.rlike(r"^[0-9a-f:.]+$") & ~a.rlike("::.*::") & ~a.rlike(":::")
-        & ~a.rlike(r"^:[^:]") & ~a.rlike(r"[^:]:$") & ~b.rlike("[0-9a-f]{5}")
-        & (~has_dot | a.rlike(tail_re))
-        & F.when(gap, n <= 7).otherwise(n == 8)
-    )
-    expanded = F.regexp_replace(
-        F.regexp_replace(b, "::", F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - n))), "^:|:$", "")
-    padded = F.regexp_replace(F.concat(F.lit(":"), expanded), ":", ":000")
-    return F.when(ok, F.regexp_replace(padded, r":0*([0-9a-f]{4})", "$1"))
-
-
-def ip_key(text, unmap: bool = True) -> Column:
-    """Address text -> one key string: '4' + 8 hex digits, '6' + 32 hex
-    digits, 'z' + 32 hex digits for a zoned IPv6 address; NULL if it does
-    not parse. Each parser appears once in the expression.
-    """
-    t = _col(text)
-    has_zone = t.contains("%")
-    zone_ok = ~has_zone | (F.substring_index(t, "%", -1) != "")
-    v6 = F.concat(F.when(has_zone, F.lit("z")).otherwise(F.lit("6")),
-                  ipv6_hex(F.lower(F.substring_index(t, "%", 1))))
+def _ipv4_hex(t: str) -> str:
+    """SQL: dotted IPv4 -> 8 hex digits, NULL if not a valid address: one
+    validating regex, then plain string splitting into one number."""
+    octets = (f"try_cast(substring_index(substring_index({t}, '.', {i}), '.', -1) AS BIGINT) * {256 ** (4 - i)}" for i in (1, 2, 3, 4))
+    return f"CASE WHEN {t} RLIKE r'{IPV4_TEXT}' THEN lpad(lower(hex({' + '.join(octets)})), 8, '0') END"
+
+
+# groups of up to four digits between colons; one `::` at most, no single colon at an end
+IPV6_SHAPE = r"^(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)(?:[0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}$"
+
+
+def _ipv6_hex(a: str) -> str:
+    """SQL: IPv6 text (lower-case, no zone, no dotted tail) -> 32 hex
+    digits, NULL if invalid."""
+    n = f"size(regexp_extract_all({a}, r'[0-9a-f]+', 0))"
+    filled = f"trim(BOTH ':' FROM replace({a}, '::', concat(':', repeat('0:', 8 - {n}))))"
+    padded = f"replace(concat(':', {filled}), ':', ':000')"
+    return (f"CASE WHEN {a} RLIKE r'{IPV6_SHAPE}' AND CASE WHEN contains({a}, '::') THEN {n} <= 7 ELSE {n} = 8 END "
+            f"THEN regexp_replace({padded}, r':0*([0-9a-f]{{4}})', '$1') END")
+
+
+def with_key(df: DataFrame, text: str, out: str, unmap: bool = True) -> DataFrame:
+    """Adds `out`: the address in a text (a column name or SQL text) as one
+    key string: '4' + 8 hex digits, '6' + 32 hex digits, 'z' + 32 hex digits
+    for a zoned IPv6 address; NULL if it does not parse.
+
+    The parts are columns of their own in few steps of SQL text: each is
+    computed once and only where it can apply."""
+    t, tail = f"_{out}_t", f"_{out}_tail"
+    df = df.withColumn(t, F.expr(text if "(" in text else f"`{text}`"))
+    # an IPv6 text without its zone, and the dotted tail of one that has it as two groups
+    v6 = f"CASE WHEN contains(`{t}`, ':') AND substring_index(`{t}`, '%', -1) <> '' THEN lower(substring_index(`{t}`, '%', 1)) END"
+    df = df.withColumn(f"{t}6", F.expr(v6))
+    dotted = f"CASE WHEN contains(`{t}6`, '.') THEN {_ipv4_hex(f"substring_index(`{t}6`, ':', -1)")} END"
+    df = df.withColumn(tail, F.expr(dotted))
+    head = f"substr(`{t}6`, 1, length(`{t}6`) - length(substring_index(`{t}6`, ':', -1)))"
+    plain = f"CASE WHEN contains(`{t}6`, '.') THEN concat({head}, substr(`{tail}`, 1, 4), ':', substr(`{tail}`, 5, 4)) ELSE `{t}6` END"
+    df = df.withColumn(f"{t}6", F.expr(plain))
+    key6 = f"concat(CASE WHEN contains(`{t}`, '%') THEN 'z' ELSE '6' END, {_ipv6_hex(f'`{t}6`')})"
+    key = f"CASE WHEN contains(`{t}`, ':') THEN {key6} WHEN NOT contains(`{t}`, '%') THEN concat('4', {_ipv4_hex(f'`{t}`')}) END"
+    df = df.withColumn(out, F.expr(key)).drop(t, f"{t}6", tail)
     if unmap:
-        v6 = F.regexp_replace(v6, f"^6{MAPPED_PREFIX}", "4")
-    return (F.when(~t.contains(":"), F.when(~has_zone, F.concat(F.lit("4"), ipv4_hex(t))))
-            .when(zone_ok, v6))
+        mapped = f"`{out}` LIKE '6{MAPPED_PREFIX}%'"
+        df = df.withColumn(out, F.expr(f"CASE WHEN {mapped} THEN concat('4', substr(`{out}`, {len(MAPPED_PREFIX) + 2})) ELSE `{out}` END"))
+    return df
 
 
 def key_struct(key) -> Column:
-    """struct(family, hex, zoned) from an `ip_key`."""
+    """struct(family, hex, zoned) from a key of `with_key`."""
     k = _col(key)
     return F.when(k.isNotNull(), F.struct(
         F.when(k.startswith("4"), F.lit(4)).otherwise(F.lit(6)).alias("family"),
@@ -90,22 +81,15 @@ def key_struct(key) -> Column:
         k.startswith("z").alias("zoned")))
 
 
-def parse_ip(text, unmap: bool = True) -> Column:
-    """Address text -> struct(family, hex, zoned), NULL if it does not parse.
+def with_ip(df: DataFrame, text: str, out: str, unmap: bool = True) -> DataFrame:
+    """Adds `out` = struct(family, hex, zoned), NULL if the text (a column
+    name or SQL text) does not parse.
 
     IPv4: dotted decimal, no leading zeros. IPv6: with optional zone
     (`%name`, parses but is never inside a prefix); IPv4-mapped IPv6 is
-    unmapped to IPv4 when `unmap`. Prefer `with_ip` on DataFrames: it
-    computes the key once and the struct from it.
-    """
-    return key_struct(ip_key(text, unmap))
-
-
-def with_ip(df: DataFrame, text_col: str, out: str, unmap: bool = True) -> DataFrame:
-    """Adds `out` = parse_ip(text_col), computing the parse once."""
+    unmapped to IPv4 when `unmap`."""
     tmp = f"_{out}_key"
-    return df.withColumn(tmp, ip_key(F.col(text_col), unmap)) \
-        .withColumn(out, key_struct(tmp)).drop(tmp)
+    return with_key(df, text, tmp, unmap).withColumn(out, key_struct(tmp)).drop(tmp)
 
 
 def parse_ip_text(x: str | None) -> tuple | None:

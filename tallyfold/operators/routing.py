@@ -84,13 +84,11 @@ def method_status(method, kind) -> Column:
 
 
 def path_parts(path) -> Column:
-    """Segments of a path update: struct(type, id, text)."""
+    """Segments of a path that matches PATH_UPDATE: struct(type, id, text).
+    No segment holds a slash, so they are cut without the pattern."""
     p = _col(path)
-    return F.struct(
-        F.regexp_extract(p, PATH_UPDATE, 1).alias("type"),
-        F.regexp_extract(p, PATH_UPDATE, 2).alias("id"),
-        F.regexp_extract(p, PATH_UPDATE, 3).alias("text"),
-    )
+    segments = (F.substring_index(F.substring_index(p, "/", n), "/", -1) for n in (3, 4, 5))
+    return F.struct(*(s.alias(name) for s, name in zip(segments, ("type", "id", "text"))))
 
 
 def parse_path_update(path) -> Column:

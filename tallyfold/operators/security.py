@@ -31,27 +31,26 @@ def with_subnet_status(df: DataFrame, real_ip: str, cidr: str | None,
     if not cidr:
         return df.withColumn(out, F.lit(None).cast("int"))
     fam, lo, hi, _ = netaddr.cidr_bounds(cidr)  # a bad CIDR fails here, at build time
-    d = df.withColumn("_sn_t", F.trim(F.col(real_ip)))
-    d = netaddr.with_ip(d, "_sn_t", "_sn_a")
-    t, a = F.col("_sn_t"), F.col("_sn_a")
-    st = (F.when(t.isNull() | (t == ""), F.lit(400))
-          .when(a.isNull(), F.lit(400))
-          .when(netaddr.in_prefix(a, F.lit(fam), F.lit(lo), F.lit(hi)), F.lit(None))
-          .otherwise(F.lit(403))).cast("int")
-    return d.withColumn(out, st).drop("_sn_t", "_sn_a")
+    d = netaddr.with_key(df, f"trim(`{real_ip}`)", "_sn_key")
+    # keys order by family, then number; those of zoned addresses are beyond any prefix
+    st = f"CASE WHEN _sn_key IS NULL THEN 400 WHEN _sn_key BETWEEN '{fam}{lo}' AND '{fam}{hi}' THEN NULL ELSE 403 END"
+    return d.withColumn(out, F.expr(f"CAST({st} AS INT)")).drop("_sn_key")
+
+
+def _subnet_rows(cidrs: list[str]) -> list[dict]:
+    return [dict(zip(("cidr", "family", "lo", "hi", "bits"), (c, *netaddr.cidr_bounds(c)))) for c in cidrs]
 
 
 def subnet_table(spark, cidrs: list[str]) -> DataFrame:
     """Configured subnets -> (cidr, family, lo, hi, bits); parsed on the driver."""
-    rows = [(c, *netaddr.cidr_bounds(c)) for c in cidrs]
-    return spark.createDataFrame(rows, "cidr string, family int, lo string, hi string, bits int")
+    return spark.createDataFrame(_subnet_rows(cidrs), "cidr string, family int, lo string, hi string, bits int")
 
 
 def address_segments(rows) -> list[tuple[str, list[str]]]:
     """Disjoint segments of the address space, by a sweep over the bounds of
     (cidr, family, lo, hi) rows: (first key, the subnets that hold all of
     it), in order. A segment ends where the next one starts; keys are those
-    of `netaddr.ip_key`, whose order is that of family and number."""
+    of `netaddr.with_key`, whose order is that of family and number."""
     points: dict[str, tuple[list[str], list[str]]] = {"": ([], [])}
     for r in rows:
         width = len(r["lo"])
@@ -71,16 +70,18 @@ def address_segments(rows) -> list[tuple[str, list[str]]]:
     return out
 
 
-def _segment_of(key: Column, starts: list[str], first: int, end: int) -> Column:
-    """The number of the segment that holds a key: a balanced tree of comparisons."""
+def _segment_of(key: str, starts: list[str], first: int, end: int) -> str:
+    """SQL: the number of the segment that holds a key, by a balanced tree of comparisons."""
     if end - first == 1:
-        return F.lit(first)
+        return str(first)
     middle = (first + end) // 2
-    return F.when(key < starts[middle], _segment_of(key, starts, first, middle)).otherwise(_segment_of(key, starts, middle, end))
+    below, above = _segment_of(key, starts, first, middle), _segment_of(key, starts, middle, end)
+    return f"CASE WHEN {key} < '{starts[middle]}' THEN {below} ELSE {above} END"
 
 
-def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip", tree_subnets: int = 64) -> DataFrame:
-    """Pairs of addresses and the subnets that contain them.
+def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame | list[str], ip_col: str = "ip",
+                         tree_subnets: int = 64) -> DataFrame:
+    """Pairs of addresses and the subnets (a table, or CIDR texts) that contain them.
 
     Up to `tree_subnets` subnets (a checked size) are flattened into
     disjoint segments; an address is one row that finds its segment by a
@@ -88,15 +89,21 @@ def addresses_in_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str =
     no join and no shuffle. A larger table of subnets is joined: see
     `join_subnets`.
     """
-    some = subnets.select("cidr", "family", "lo", "hi").limit(tree_subnets + 1).collect()
+    if isinstance(subnets, DataFrame):
+        some = subnets.select("cidr", "family", "lo", "hi").limit(tree_subnets + 1).collect()
+    else:
+        some = _subnet_rows(subnets)
     if len(some) > tree_subnets:
-        return join_subnets(addresses, subnets, ip_col)
+        table = subnets if isinstance(subnets, DataFrame) else subnet_table(addresses.sparkSession, subnets)
+        return join_subnets(addresses, table, ip_col)
     segments = address_segments(some)
-    key = F.explode_outer(F.array(netaddr.ip_key(F.trim(F.col(ip_col)))))   # parsed once, see barrier.py
-    number = _segment_of(F.col("_key"), [k for k, _ in segments], 0, len(segments))
+    keyed = netaddr.with_key(addresses, f"trim(`{ip_col}`)", "_key")
+    # generator output: filters inferred from the last explode stay above the parse (see barrier.py)
+    keyed = keyed.select(*addresses.columns, F.explode_outer(F.array("_key")).alias("_key"))
+    number = F.expr(_segment_of("_key", [k for k, _ in segments], 0, len(segments)))
     cidrs = F.array(*(F.array(*map(F.lit, c)).cast("array<string>") for _, c in segments))
     held = F.when(F.col("_key").isNotNull(), F.element_at(cidrs, number + 1))
-    return addresses.select("*", key.alias("_key")).select(*addresses.columns, F.explode(held).alias("cidr"))
+    return keyed.select(*addresses.columns, F.explode(held).alias("cidr"))
 
 
 def join_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip") -> DataFrame:
@@ -113,7 +120,7 @@ def join_subnets(addresses: DataFrame, subnets: DataFrame, ip_col: str = "ip") -
     # the parsed address is generator output: the join's inferred
     # `_a IS NOT NULL` filters then stay above the parse instead of being
     # pushed into the scan with the whole parse inlined (see barrier.py)
-    keyed = addresses.withColumn("_a_key", netaddr.ip_key(F.trim(F.col(ip_col))))
+    keyed = netaddr.with_key(addresses, f"trim(`{ip_col}`)", "_a_key")
     a = keyed.select("*", F.explode_outer(F.array(netaddr.key_struct("_a_key"))).alias("_a")).drop("_a_key")
     networks = F.filter(F.array(*(F.when(
         (F.col("_a.family") == fam) & ~F.col("_a.zoned"),

@@ -471,8 +471,7 @@ def subnet_range_join(spark, sf_dir):
     addrs = tables.event_addresses(_t(spark, sf_dir, "events"))
     eid = F.col("event_id")
     addrs = addrs.withColumn("ip", F.when(eid % IPV6_EVERY == 0, _ipv6_text(eid)).otherwise(F.col("ip")))
-    subnets = security.subnet_table(spark, SUBNETS)
-    return security.addresses_in_subnets(addrs, subnets, "ip").select("event_id", "ip", "cidr")
+    return security.addresses_in_subnets(addrs, SUBNETS, "ip").select("event_id", "ip", "cidr")
 
 
 # --------------------------------------------------------------------------

@@ -31,6 +31,7 @@ ODD_CASE = 71                # field names in another letter case
 ODD_HUGE = 73                # a number beyond the double range -> 400
 ODD_NULL = 79                # JSON null: a record without fields -> 500
 ODD_MISSING = 83             # no body                 -> 400
+ODD_REPEATED = 89            # repeated names, also in an ignored field: the last one counts
 # Odd batch bodies, after the two above (request_id % n = 0).
 BATCH_NULL_EVERY = 17        # JSON null               -> 200, no items
 BATCH_MISSING_EVERY = 19     # no body                 -> 400
@@ -96,12 +97,15 @@ def with_odd_bodies(requests: DataFrame) -> DataFrame:
     for name in ("id", "type", "delta", "value"):
         renamed = F.replace(renamed, F.lit(f'"{name}":'), F.lit(f'"{name.capitalize()}":'))
     nested = F.concat(F.lit('{"meta":{"id":5,"value":"x"},'), F.substr(text, F.lit(2)))
+    # the first id, and a whole nested record, are overruled by what comes after them
+    repeated = F.concat(F.lit('{"id":"first","meta":{"a":1,"a":{"a":2,"a":3}},"type":"other",'), F.substr(text, F.lit(2)))
     odd = (F.when(e % ODD_TRAILING == 0, F.concat(text, F.lit(" x")))
            .when(e % ODD_NESTED == 0, nested)
            .when(e % ODD_CASE == 0, renamed)
            .when(e % ODD_HUGE == 0, F.lit('{"id":"huge","type":"gauge","value":1e400}'))
            .when(e % ODD_NULL == 0, F.lit("null"))
            .when(e % ODD_MISSING == 0, F.lit(None).cast("string"))
+           .when(e % ODD_REPEATED == 0, repeated)
            .otherwise(text))
     return requests.withColumn("body", odd.cast("binary"))
 

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfold.functions import jsonwire
 from tallyfold.functions.hmac import hmac_sha256_hex
 from tallyfold.operators import envelope, fold, journal
 from tallyfold.plans import pipeline
@@ -50,12 +51,40 @@ def test_path_statuses(spark):
     assert got == [s for _, _, s in PATHS]
 
 
+# bodies that the pattern of plain records takes, and near ones that it must not
+NEAR_PLAIN = [
+    OK_BODY, '{"id":"jobs","type":"gauge","value":-0.5e-7}', '{"id":"","type":""}', '{"id":"a b/é漢","type":"gauge","value":1E+20}',
+    '{"id":"j","type":"counter","delta":999999999999999999}', '{"id":"j","type":"counter","delta":9999999999999999999}', '{"id":"j","type":"counter","delta":-0}',
+    '{"id":"j","type":"counter","delta":01}', '{"id":"j","type":"gauge","value":1e999}', '{"id":"j","type":"gauge","value":1.}',
+    '{"id":"j","type":"gauge","value":.5}', '{"id":"a\\u0041\\n","type":"gauge","value":1}', '{"id":"a\tb","type":"gauge","value":1}',
+    '{"id":"j","type":"gauge","delta":1,"value":2}', '{"type":"gauge","id":"j","value":2}', '{"id":"j","type":"gauge","value":' + "9" * 400 + "}",
+    '{"id":"' + "x" * 300_000 + '","type":"gauge","value":1}', '{"id":"a"b","type":"gauge","value":1}', '{"id":"j","type":"gauge","value":1}}',
+    '{"id":"j","type":"gauge","value":1}\n',
+]
+
+
+def test_plain_records_decode_like_any_other(spark):
+    df = spark.createDataFrame([(i, b, f" {b}") for i, b in enumerate(NEAR_PLAIN)], "i int, a string, b string")
+    d = jsonwire.with_single(jsonwire.with_single(df, "a", "x"), "b", "y")
+    assert df.where(F.col("b").rlike(jsonwire.PLAIN_RECORD)).count() == 0 and df.where(F.col("a").rlike(jsonwire.PLAIN_RECORD)).count() >= 7
+    rows = d.select("i", "x", "y").orderBy("i").collect()
+    assert [r.x for r in rows] == [r.y for r in rows]
+
+
+def test_repeated_names_in_a_batch(spark):
+    body = '[{"id":"a","id":"jobs","type":"counter","delta":1,"delta":3},{"id":"jobs","type":"counter","delta":2,"x":{"y":1,"y":2}}]'
+    assert _state(spark, [("POST", "/updates", body, None)]) == {("jobs", "counter"): (5, None)}
+
+
 def test_unhandled_path_comes_before_the_method(spark):
     assert _status(spark, [(m, "/update/gauge/load/INF", OK_BODY, None) for m in ("POST", "PUT", "GET")]) == [404, 404, 404]
     assert _status(spark, [("GET", "/updates", "[]", None), ("PUT", "/update", OK_BODY, None), ("GET", "/updates", "?", None)]) == [405, 405, 400]
 
 
 SINGLES = [
+    ('{"id":"first","id":"jobs","type":"gauge","type":"counter","delta":1,"delta":3}', 200),
+    ('{"meta":{"a":1,"a":{"b":1,"b":2}},"id":"jobs","type":"counter","delta":3}', 200), ('{"id":"jobs","type":"counter","delta":3,"delta":null}', 500),
+    ('{"id":"jobs","type":"counter","delta":3,"delta":"3"}', 400),
     (OK_BODY, 200), ("  " + OK_BODY + "\n", 200), (OK_BODY + " x", 400), (OK_BODY + OK_BODY, 400), (OK_BODY + "]", 400), (OK_BODY + ', 5', 400),
     ('{"meta":{"id":5,"value":"x"},"id":"jobs","type":"counter","delta":3}', 200), ('{"ID":"jobs","TYPE":"counter","Delta":3}', 200),
     ('{"id":"load","type":"gauge","value":1e400}', 400), ('{"id":"load","type":"gauge","value":1e300}', 200),
