@@ -100,7 +100,7 @@ def _with_value(df: DataFrame, body_col: str, value: str, cond: Column) -> DataF
     parsed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), digest, F.lit('"]')))
     d = df.withColumn(f"{value}_p", F.when(cond, parsed))
     whole = F.try_variant_get(f"{value}_p", "$[1]", "string") == digest
-    return d.withColumn(value, F.when(whole, F.try_variant_get(f"{value}_p", "$[0]", "variant"))).drop(f"{value}_p")
+    return d.withColumn(value, F.when(F.col(f"{value}_p").isNotNull() & whole, F.try_variant_get(f"{value}_p", "$[0]", "variant"))).drop(f"{value}_p")
 
 
 def _decoded(items: Column) -> Column:
@@ -114,17 +114,17 @@ def with_single(df: DataFrame, body_col: str, out: str, only_when: Column | None
     object per body; NULL where `only_when` is false. Fields are NULL when
     the body is bad."""
     cond = only_when if only_when is not None else F.lit(True)
-    v, r, plain = (f"_{out}_{x}" for x in "vrp")
+    v, r, plain, simple = (f"_{out}_{x}" for x in "vrps")
     text = F.col(body_col).cast("string")
     d = df.withColumn(plain, F.coalesce(cond & text.rlike(PLAIN_RECORD), F.lit(False)))
     d = _with_value(d, body_col, v, cond & ~F.col(plain))
     d = d.withColumn(r, F.get(_decoded(F.when(F.col(v).isNotNull(), F.array(F.col(v)))), 0))
     bad = F.col(v).isNull() | F.coalesce(F.col(r)["wrong"], F.lit(True))
     fields = [F.when(~bad, F.col(r)[n]).alias(n) for n in FIELD_TYPES]
-    decoded = F.from_json(F.when(F.col(plain), text), ", ".join(f"{n} {t}" for n, t in SQL_TYPES.items()))
-    simple = F.struct(*(decoded[n].alias(n) for n in FIELD_TYPES), F.lit(False).alias("bad"))
+    d = d.withColumn(simple, F.from_json(F.when(F.col(plain), text), ", ".join(f"{n} {t}" for n, t in SQL_TYPES.items())))
+    decoded = F.struct(*(F.col(simple)[n].alias(n) for n in FIELD_TYPES), F.lit(False).alias("bad"))
     other = F.when(cond, F.struct(*fields, bad.alias("bad")))
-    return d.withColumn(out, F.when(F.col(plain), simple).otherwise(other)).drop(v, r, plain)
+    return d.withColumn(out, F.when(F.col(plain), decoded).otherwise(other)).drop(v, r, plain, simple)
 
 
 def with_batch(df: DataFrame, body_col: str, out: str, only_when: Column | None = None) -> DataFrame:

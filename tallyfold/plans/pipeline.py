@@ -60,70 +60,68 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
         d = security.with_subnet_status(d.drop("s_subnet"), "_real_ip", cfg.trusted_cidr,
                                         "s_subnet").drop("_real_ip")
     r = F.col("route")
-    d = d.withColumn("s_route", routing.route_check_status("path", r))
     sent = F.coalesce(F.col("body"), F.lit(b""))
     sig = security.signature_status(_hdr("HashSHA256"), sent, cfg.sign_key)
-    d = d.withColumn("s_sig", F.when(r.isin(*JSON_ROUTES), sig))
     is_gzip = r.isin(*GZIP_ROUTES) & F.coalesce(_hdr("Content-Encoding").contains("gzip"), F.lit(False))
-    d = d.withColumn("_gz", gzipped.gunzip(F.when(is_gzip, sent)))
+    # columns go in by groups: every step of its own is an analysis of the whole plan
+    d = d.withColumns({
+        "s_route": routing.route_check_status("path", r),
+        "s_sig": F.when(r.isin(*JSON_ROUTES), sig),
+        "s_method": routing.method_status("method", r),
+        "s_nested": F.when(r.isin(R_JSON_UPDATE, R_JSON_BATCH) & ~F.col("path").isin(*routing.UPDATE_ROOTS), F.lit(404)),
+        "s_ping": F.when((r == R_PING) & F.lit(not cfg.has_db), F.lit(503)),
+        "x_encrypted": F.when(r.isin(*BODY_ROUTES), _hdr("X-Encrypted")),
+        "_path": F.when(r == R_PATH_UPDATE, routing.parse_path_update("path")),
+        "_gz": gzipped.gunzip(F.when(is_gzip, sent))})
     reads_body = F.col("route").isin(*JSON_ROUTES)
-    d = d.withColumn("s_gzip", F.when((F.col("_gz.status") == gzipped.NO_HEADER) | reads_body, F.col("_gz.status"))) \
-         .withColumn("_body", F.when(is_gzip, F.col("_gz.data")).otherwise(F.col("body"))).drop("_gz")
-    d = d.withColumn("x_encrypted", F.when(r.isin(*BODY_ROUTES), _hdr("X-Encrypted")))
+    d = d.withColumns({
+        "s_gzip": F.when((F.col("_gz.status") == gzipped.NO_HEADER) | reads_body, F.col("_gz.status")),
+        "_body": F.when(is_gzip, F.col("_gz.data")).otherwise(F.col("body"))}).drop("_gz")
     d = envelope.open_envelopes(d, cfg.keys, "_body", "x_encrypted") \
-        if cfg.keys is not None else d.withColumn(
-            "decrypt_status", F.when(F.col("x_encrypted").isNotNull() & (F.col("x_encrypted") != ""),
-                                     F.lit(500)).cast("int")) \
-        .withColumn("plain", F.col("_body"))
-    pathu = routing.parse_path_update("path")
+        if cfg.keys is not None else d.withColumns({
+            "decrypt_status": F.when(F.col("x_encrypted").isNotNull() & (F.col("x_encrypted") != ""), F.lit(500)).cast("int"),
+            "plain": F.col("_body")})
     pv = F.regexp_extract("path", routing.PATH_VALUE, 1)
     d = jsonwire.with_single(d, "plain", "_single",
                              only_when=r.isin(R_JSON_UPDATE, R_JSON_VALUE))
     d = jsonwire.with_batch(d, "plain", "_batch", only_when=r == R_JSON_BATCH)
-    d = d.withColumn("_batch_bad", F.col("_batch.bad")) \
-         .withColumn("_path", F.when(r == R_PATH_UPDATE, pathu))
     s_parse = (F.when(r == R_PATH_UPDATE, F.col("_path.status"))
                .when(r.isin(R_JSON_UPDATE, R_JSON_VALUE) & F.col("_single.bad"), F.lit(400))
-               .when((r == R_JSON_BATCH) & F.col("_batch_bad"), F.lit(400))
+               .when((r == R_JSON_BATCH) & F.col("_batch.bad"), F.lit(400))
                .when((r == R_PATH_VALUE) & ~pv.isin(COUNTER, GAUGE), F.lit(400)))
-    d = d.withColumn("s_parse", s_parse.cast("int"))
-    d = d.withColumn("s_method", routing.method_status("method", r))
-    d = d.withColumn("s_nested", F.when(
-        r.isin(R_JSON_UPDATE, R_JSON_BATCH) & ~F.col("path").isin(*routing.UPDATE_ROOTS), F.lit(404)))
-    d = d.withColumn("s_ping", F.when((r == R_PING) & F.lit(not cfg.has_db), F.lit(503)))
-    # the single update carried by the request
-    d = d.withColumn("id", F.coalesce(F.col("_path.id"), F.col("_single.id"),
-                                      F.when(r == R_PATH_VALUE, F.regexp_extract("path", routing.PATH_VALUE, 2)))) \
-         .withColumn("type", F.coalesce(F.col("_path.type"), F.col("_single.type"),
-                                        F.when(r == R_PATH_VALUE, pv))) \
-         .withColumn("delta", F.coalesce(F.col("_path.delta"), F.col("_single.delta"))) \
-         .withColumn("value", F.coalesce(F.col("_path.value"), F.col("_single.value")))
+    d = d.withColumns({
+        "s_parse": s_parse.cast("int"),
+        # the single update carried by the request
+        "id": F.coalesce(F.col("_path.id"), F.col("_single.id"), F.when(r == R_PATH_VALUE, F.regexp_extract("path", routing.PATH_VALUE, 2))),
+        "type": F.coalesce(F.col("_path.type"), F.col("_single.type"), F.when(r == R_PATH_VALUE, pv)),
+        "delta": F.coalesce(F.col("_path.delta"), F.col("_single.delta")),
+        "value": F.coalesce(F.col("_path.value"), F.col("_single.value")),
+        "_items": F.when((r == R_JSON_BATCH) & ~F.col("_batch.bad"), F.col("_batch.items"))})
     invalid = validate.reject_reason().isNotNull()
-    d = d.withColumn("s_validate", F.when(r.isin(R_PATH_UPDATE, R_JSON_UPDATE) & invalid, F.lit(500)))
     # batches: the body is one row, so its first invalid item is found in
     # the row (no explode, no shuffle, no join back)
-    d = d.withColumn("_items", F.when((r == R_JSON_BATCH) & ~F.col("_batch.bad"), F.col("_batch.items")))
     bad_flags = F.transform("_items", lambda x: F.coalesce(
         validate.reject_reason(x["id"], x["type"], x["delta"], x["value"]).isNotNull(), F.lit(True)))
-    d = d.withColumn("_first", F.array_position(bad_flags, True))   # 1-based, 0 = none
-    first = F.col("_first")
-    d = d.withColumn("first_bad", F.when(first > 0, (first - 1).cast("int"))).drop("_first")
-    d = d.withColumn("s_validate", F.coalesce(
-        F.col("s_validate"), F.when((r == R_JSON_BATCH) & F.col("first_bad").isNotNull(), F.lit(500))))
+    first = F.array_position(bad_flags, True)   # 1-based, 0 = none
+    d = d.withColumns({
+        "_single_bad": r.isin(R_PATH_UPDATE, R_JSON_UPDATE) & invalid,
+        "first_bad": F.nullif(first, F.lit(0)).cast("int") - 1})
+    d = d.withColumn("s_validate", F.when(
+        F.col("_single_bad") | ((r == R_JSON_BATCH) & F.col("first_bad").isNotNull()), F.lit(500))).drop("_single_bad")
     if state is not None:
         # one left join on the key, limited to read routes in the ON clause
         # (the state has one row per key: Spark broadcasts it when small)
         text = F.col("text") if "text" in state.columns else F.lit(None).cast("string")
         s = state.select(F.col("type").alias("_st"), F.col("name").alias("_sn"),
                          F.col("delta").alias("_sd"), F.col("value").alias("_sv"), text.alias("found_text"))
-        on = r.isin(R_JSON_VALUE, R_PATH_VALUE) & (F.col("type") == F.col("_st")) \
-            & (F.col("id") == F.col("_sn"))
+        # only reads have a join key: the hot keys of updates stay out of it
+        is_read = r.isin(R_JSON_VALUE, R_PATH_VALUE)
+        on = (F.when(is_read, F.col("type")) == F.col("_st")) & (F.when(is_read, F.col("id")) == F.col("_sn"))
         d = d.join(s, on, "left")
-        d = d.withColumn("s_lookup", F.when(r.isin(R_JSON_VALUE, R_PATH_VALUE)
-                                            & F.col("_sn").isNull(), F.lit(404))) \
-             .withColumn("found_delta", F.when(F.col("_st") == COUNTER, F.col("_sd"))) \
-             .withColumn("found_value", F.when(F.col("_st") == GAUGE, F.col("_sv"))) \
-             .drop("_st", "_sn", "_sd", "_sv")
+        d = d.withColumns({
+            "s_lookup": F.when(r.isin(R_JSON_VALUE, R_PATH_VALUE) & F.col("_sn").isNull(), F.lit(404)),
+            "found_delta": F.when(F.col("_st") == COUNTER, F.col("_sd")),
+            "found_value": F.when(F.col("_st") == GAUGE, F.col("_sv"))}).drop("_st", "_sn", "_sd", "_sv")
     else:
         d = d.withColumn("s_lookup", F.when(r.isin(R_JSON_VALUE, R_PATH_VALUE), F.lit(404)))
     early = F.coalesce(*EARLY_CHECKS)
@@ -139,7 +137,7 @@ def decide_requests(requests: DataFrame, cfg: EdgeConfig, state: DataFrame | Non
         x["delta"].alias("delta"), x["value"].alias("value")))
     applied = (F.when(r.isin(R_PATH_UPDATE, R_JSON_UPDATE) & (F.col("status") == 200), one)
                .when((r == R_JSON_BATCH) & early.isNull() & (n_acc > 0), prefix))
-    return d.withColumn("applied", applied).drop("_single", "_batch", "_batch_bad", "_path", "_items", "_body")
+    return d.withColumn("applied", applied).drop("_single", "_batch", "_path", "_items", "_body")
 
 
 def accepted_updates(decided: DataFrame) -> DataFrame:
