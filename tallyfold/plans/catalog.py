@@ -325,6 +325,37 @@ def upsert_snapshot(spark, sf_dir):
     return snapshot_src.read_state_table(spark, table)
 
 
+_BROKEN = "user_5"   # records of these names are broken in the stored snapshot
+
+
+@register("restore_stops", f"""
+{S.FOLD_SELECT} FROM ({S.event_items_sql('single')})
+WHERE {S.VALID} AND (ts >= TIMESTAMP '{SPLIT_TS}' OR ts IS NULL OR id < '{_BROKEN}') GROUP BY id, type""")
+def restore_stops(spark, sf_dir):
+    """A snapshot with broken records in the middle: what comes before the
+    first of them is restored, then the later updates are applied."""
+    first, rest = _split_items(spark, sf_dir)
+    state = fold.fold_state(first).withColumn("type", F.when(F.col("name").startswith(_BROKEN), F.lit("broken")).otherwise(F.col("type")))
+    path = scratch_path(spark, "broken-snapshot")
+    state.withColumnRenamed("name", "id").orderBy("id", "type").write.json(path)
+    restored = snapshot_src.read_snapshot_json(spark, path, stop_at_invalid=True)
+    return fold.apply_updates(restored, rest.where(validate.reject_reason().isNull()))
+
+
+@register("reads_as_of", f"""
+WITH l AS ({_LOOKUPS_SQL}), v AS (SELECT * FROM ({S.event_items_sql('single')}) WHERE {S.VALID}),
+r AS (SELECT seq, type, id, value, CAST(sum(delta) OVER (PARTITION BY type, id ORDER BY seq
+                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total
+      FROM v)
+SELECT l.request_id, l.type, l.id, CASE WHEN l.type = 'counter' THEN r.total END AS delta,
+       CASE WHEN l.type = 'gauge' THEN r.value END AS value, CASE WHEN r.seq IS NULL THEN 404 ELSE 200 END AS status
+FROM l ASOF LEFT JOIN r ON l.type = r.type AND l.id = r.id AND l.request_id >= r.seq""")
+def reads_as_of(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    reads = _lookups(events).withColumn("seq", F.col("request_id"))
+    return lookup.read_as_of(reads, tables.event_items(events, framing="single"))
+
+
 @register("restore_state", _STATE_SQL)
 def restore_state(spark, sf_dir):
     first, rest = _split_items(spark, sf_dir)
@@ -1092,6 +1123,31 @@ def read_requests(spark, sf_dir):
     return d.select("request_id", "route", "status", F.when(F.col("status") == 200, F.col("found_text")).alias("text"))
 
 
+@register("stream_reads", f"""
+WITH l AS ({_LOOKUPS_SQL}), a AS ({_half_state_sql(True)}), b AS ({_STATE_SQL}),
+e AS (SELECT event_id, ts < TIMESTAMP '{SPLIT_TS}' AS early FROM events)
+SELECT l.request_id, l.type, l.id, CASE WHEN early THEN a.delta ELSE b.delta END AS delta,
+       CASE WHEN early THEN a.value ELSE b.value END AS value,
+       CASE WHEN CASE WHEN early THEN a.name ELSE b.name END IS NULL THEN 404 ELSE 200 END AS status
+FROM l JOIN e ON e.event_id = l.request_id
+LEFT JOIN a ON a.type = l.type AND a.name = l.id LEFT JOIN b ON b.type = l.type AND b.name = l.id""")
+def stream_reads(spark, sf_dir):
+    """Updates and reads as two streams in turn: the first reads see what
+    the first updates left, the later reads all of them."""
+    ev = _t(spark, sf_dir, "events")
+    updates, reads, table, out, ckpt, read_ckpt = (
+        scratch_path(spark, n) for n in ("live-updates", "live-reads", "live-state", "live-answers", "ckpt", "ckpt"))
+    cut = _before_split("ts")
+    for part in (ev.where(cut), ev.where(~cut)):
+        for path in (updates, reads):
+            part.write.mode("append").option("maxRecordsPerFile", streams.MAX_FILE_ROWS).parquet(path)
+        src = streams.file_stream(spark, updates, ev.schema, max_files=FILES_PER_TRIGGER)
+        streams.run_to_end(streams.stream_fold(tables.event_items(src, framing="single"), table, ckpt))
+        asked = _lookups(streams.file_stream(spark, reads, ev.schema, max_files=FILES_PER_TRIGGER))
+        streams.run_to_end(streams.stream_reads(asked, table, out, read_ckpt))
+    return streams.read_answers(spark, out).drop("version")
+
+
 @register("stream_carry_forward", """
 SELECT user_id AS host, event_type AS id, arg_max(value, event_id) AS value
 FROM events GROUP BY ALL""")

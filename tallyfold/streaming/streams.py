@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from tallyfold.functions.render import ntz_as_utc, utc_as_ntz
 from tallyfold.operators import agent, fold
-from tallyfold.schemas import COUNTER, GAUGE
+from tallyfold.schemas import COUNTER, GAUGE, STATE_SCHEMA
 from tallyfold.session import scratch_path
 from tallyfold.sinks import snapshot as snap
 
@@ -110,11 +110,17 @@ def change_log_writer(table_dir: str, run: str, base: DataFrame | None = None):
     return write
 
 
+def last_change(spark: SparkSession, table_dir: str) -> int | None:
+    """The number of the last committed append: the name of a version of the table."""
+    paths = committed_changes(spark, table_dir)
+    return int(paths[-1].rsplit("/", 3)[1][2:]) if paths else None
+
+
 def read_change_log(spark: SparkSession, table_dir: str, keys: list[str],
-                    base: DataFrame | None = None) -> DataFrame:
+                    base: DataFrame | None = None, version: int | None = None) -> DataFrame:
     """The latest row of each key over the base table and the committed
-    appends: one partial and final aggregate."""
-    paths = committed_changes(spark, table_dir)
+    appends (up to `version`): one partial and final aggregate."""
+    paths = [p for p in committed_changes(spark, table_dir) if version is None or int(p.rsplit("/", 3)[1][2:]) <= version]
     if not paths:
         raise ValueError(f"no committed changes under {table_dir}")
     rows = spark.read.option("basePath", table_dir).parquet(*paths).drop("run", "batch")
@@ -143,6 +149,43 @@ def stream_fold(updates: DataFrame, table_dir: str, checkpoint: str, base: DataF
     return _trigger(w, trigger).start()
 
 
+def live_read_writer(table_dir: str, out_dir: str, run: str):
+    """foreachBatch function: answer a batch of reads (request_id, type, id)
+    from the last version of a folded table that is committed when the
+    batch starts, and name that version in every answer."""
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        out = f"{out_dir}/run={run}/batch={batch_id}"
+        if snap.glob_paths(spark, f"{out}/_SUCCESS"):
+            return   # a replayed batch keeps its answers
+        version = last_change(spark, table_dir)
+        state = spark.createDataFrame([], STATE_SCHEMA) if version is None \
+            else read_change_log(spark, table_dir, ["name", "type"], version=version)
+        s = state.select(F.col("type").alias("s_type"), F.col("name").alias("s_name"), "delta", "value")
+        on = (F.col("type") == F.col("s_type")) & (F.col("id") == F.col("s_name"))
+        answers = batch.join(s, on, "left").select(
+            "request_id", "type", "id", "delta", "value", F.when(F.col("s_name").isNull(), 404).otherwise(200).alias("status"),
+            F.lit(version).cast("bigint").alias("version"))
+        answers.write.mode("overwrite").parquet(out)
+    return answer
+
+
+def stream_reads(reads: DataFrame, table_dir: str, out_dir: str, checkpoint: str, trigger: str | None = None):
+    """J1 + L2: a stream of reads against the table that `stream_fold`
+    writes, as it stands at each micro-batch."""
+    w = reads.writeStream.outputMode("append").option("checkpointLocation", checkpoint) \
+        .foreachBatch(live_read_writer(table_dir, out_dir, run_name(checkpoint)))
+    return _trigger(w, trigger).start()
+
+
+def read_answers(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The answers of all committed batches."""
+    done = [p.rsplit("/", 1)[0] for p in snap.glob_paths(spark, f"{out_dir}/run=*/batch=*/_SUCCESS")]
+    if not done:
+        raise ValueError(f"no answers under {out_dir}")
+    return spark.read.parquet(*done)
+
+
 def stream_report_windows(samples: DataFrame, every: str, lateness: str, table_dir: str,
                           checkpoint: str, trigger: str | None = None):
     """Report windows per host over a sample stream with a watermark;
