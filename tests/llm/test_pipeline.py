@@ -69,7 +69,7 @@ def test_oracle(spark, name):
     assert found["hash_match"], found
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE) - {"op12_whitening"}))   # that one reads vectors
 def test_queries_return_every_document(spark, name):
     out = queries.QUERIES[name](spark, SMALL)
     ids = {r.doc_id for r in out.select("doc_id").collect()}
