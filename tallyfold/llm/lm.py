@@ -16,11 +16,15 @@ Scale: word counts come from all training documents, combined per batch,
 per task and then by word. Words that make up at least 2^-18 of all tokens
 (at most 2^18 of them, by arithmetic) are broadcast; occurrences of the
 rarer ones meet their counts in one join. Ids are counted from the word
-counts (at most one row per id). Texts are scored in one pass. The model
-learns from every window of every training text, of any length, as Spark
-work (`train_on_all`); a driver pass over at most `sample_rows` of these
-texts of at most `longest` characters (lowest hashes) only gives the
-parameters that the tasks start from.
+counts (at most one row per id). Every text is made into ids once (each
+distinct word of a task once, as ids of a word do not depend on its
+neighbours); the ids are stored, two bytes each, and learning and scoring
+read them from there. The model learns from every training text, of any
+length, as Spark work (`train_on_all`): from one in `share` of its windows,
+and from one at least. A driver pass over `sample_rows` slices of at most
+`SLICE` ids at hashed places of these texts only gives the parameters that
+the tasks start from. Windows are built for one step or batch at a time,
+whatever the length of a text.
 
 Defined cases: a null or empty text is its end token alone; repeated rows
 are scored (and learned from) one by one; a null doc_id counts as the empty
@@ -31,7 +35,10 @@ model stays as initialised; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import hashed_sample, map_lists, stored, utf8, words_of
+from tallyfold.llm.common import hashed_sample, map_lists, sql_type, stored, utf8, words_of
 from tallyfold.llm.tokens import load_encoder
 
 WINDOW, STRIDE, WIDTH, INNER = 32, 24, 16, 32
@@ -50,6 +57,11 @@ START = HEAD + 1  # input number of the start of a text; HEAD stands for all rar
 FREQUENT = 1 << 18
 IDS = 50_257
 ROUNDS, AT_ONCE, FAN = 4, 512, 64  # of `train_on_all`: averagings, windows a step, rows added up by one task
+SLICE, BYTES, CACHE = 768, 1 << 20, 1 << 17  # ids of a starting slice, bytes of text made into ids together, words that a task remembers
+STORED = np.dtype("<u2")
+
+# white space that does not end a word: ids of such words depend on their neighbours
+_INNER_SPACE = re.compile(r"\s")
 
 
 class Vocabulary:
@@ -247,26 +259,48 @@ class Steps:
             p[k] -= now * (mean[k] / np.float32(1 - 0.9 ** self.taken)) / (np.sqrt(spread[k] / np.float32(1 - 0.99 ** self.taken)) + np.float32(1e-7))
 
 
+class Laid:
+    """Texts (ids) laid end to end, each with its end token: `ids` and their
+    numbers; `text` and `first` are the text and the first scored place in it
+    of every window. Each target is scored by one window."""
+
+    def __init__(self, texts: list[np.ndarray], words: Vocabulary):
+        end = np.array([words.end])
+        self.ids = np.concatenate([part for t in texts for part in (t, end)]).astype(np.int32)
+        self.number = words.number[self.ids]
+        self.lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.counts = -(-self.lengths // STRIDE)
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+        self.first = (np.arange(len(self.text)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)) * STRIDE
+
+    def windows(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows numbered `which`: the inputs (count, WINDOW) and the
+        places in `ids` that they score (count, STRIDE; -1 past a text's end)."""
+        first, text = self.first[which][:, None], self.text[which]
+        starts = self.starts[text][:, None]
+        scored = first + np.arange(STRIDE)
+        place = np.where(scored < self.lengths[text][:, None], scored + starts, -1)
+        # the input at a place is the target before it, or a start mark
+        before = first + np.arange(-CONTEXT - 1, STRIDE - 1)
+        return np.where(before < 0, START, self.number[np.clip(before + starts, 0, len(self.ids) - 1)]), place
+
+    def training(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, targets) of windows; targets are -1 past a text's end."""
+        inputs, place = self.windows(which)
+        return inputs, np.where(place >= 0, self.number[place], -1)
+
+    def shared(self, share: int, marks: np.ndarray) -> np.ndarray:
+        """The numbers of one in `share` windows of every text, one at least,
+        from the window on that the text's mark names."""
+        number = self.first // STRIDE
+        return np.flatnonzero(number % share == (marks % np.minimum(share, self.counts))[self.text])
+
+
 def windows(texts: list[np.ndarray], words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts (ids): the inputs of every window (count, WINDOW), the
-    places in the joined targets that a window scores (count, STRIDE; -1
-    past a text's end), the text of each window, and the target ids (each
-    text's ids and the end). Each target is scored once."""
-    end = np.array([words.end])
-    ids = np.concatenate([part for t in texts for part in (t, end)]).astype(np.int64)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    counts = -(-lengths // STRIDE)
-    text = np.repeat(np.arange(len(texts)), counts)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
-    scored = first[:, None] + np.arange(STRIDE)
-    place = np.where(scored < lengths[text][:, None], scored + starts[text][:, None], -1)
-    # the input at a place is the target before it, or a start mark
-    before = first[:, None] + np.arange(-CONTEXT - 1, STRIDE - 1)
-    number = words.number[ids]
-    joined = np.clip(before + starts[text][:, None], 0, len(ids) - 1)
-    inputs = np.where(before < 0, START, number[joined])
-    return inputs, place, text, ids
+    """Inputs and scored places of all windows, the text of each, and the target ids."""
+    laid = Laid(texts, words)
+    return (*laid.windows(slice(None)), laid.text, laid.ids)
 
 
 class Scorer:
@@ -275,24 +309,23 @@ class Scorer:
 
     def __call__(self, texts: list[np.ndarray], at_once: int = 512) -> np.ndarray:
         """log10 probability of each text with its end token."""
-        inputs, place, text, ids = windows(texts, self.words)
-        targets = self.words.number[ids]
+        laid = Laid(texts, self.words)
         total = np.zeros(len(texts))
-        for i in range(0, len(place), at_once):
-            where = place[i:i + at_once].ravel()
+        for i in range(0, len(laid.text), at_once):
+            inputs, place = laid.windows(slice(i, i + at_once))
+            where = place.ravel()
             mark = where >= 0
             hit = where[mark]
-            got = self.model.log10_scores(inputs[i:i + at_once], mark, targets[hit], ids[hit], self.words)
-            total += np.bincount(np.repeat(text[i:i + at_once], STRIDE)[mark], got, len(texts))
+            got = self.model.log10_scores(inputs, mark, laid.number[hit], laid.ids[hit], self.words)
+            total += np.bincount(np.repeat(laid.text[i:i + at_once], STRIDE)[mark], got, len(texts))
         return total
 
 
 def training_windows(texts: list[np.ndarray], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) of all windows; targets are -1 past a text's end."""
+    """(inputs, targets) of all windows."""
     if not texts:
         return np.zeros((0, WINDOW), np.int32), np.zeros((0, STRIDE), np.int32)
-    inputs, place, _, ids = windows(texts, words)
-    return inputs, np.where(place >= 0, words.number[ids][place], -1)
+    return Laid(texts, words).training(slice(None))
 
 
 def subwords(encode, words: list[bytes]) -> np.ndarray:
@@ -345,9 +378,10 @@ def id_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
     return out
 
 
-def train_on_all(model: Attention, training: DataFrame, words: Vocabulary, vocabulary: str, rate: float = 0.004) -> int:
-    """Goes on from the model's parameters over every window of every row of
-    `training` (doc_id, text), once; returns the number of targets learned from.
+def train_on_all(model: Attention, training: DataFrame, words: Vocabulary, rate: float = 0.004, share: int = 1) -> int:
+    """Goes on from the model's parameters over one in `share` windows of
+    every row of `training` (doc_id, ids), once; returns the number of
+    targets learned from.
 
     A hash deals the texts into `ROUNDS` parts. In a round every task steps
     through the windows of its texts of that part, all tasks from the same
@@ -373,21 +407,24 @@ def train_on_all(model: Attention, training: DataFrame, words: Vocabulary, vocab
         now = rate * (1 - number / ROUNDS)
 
         def learn(batches, given=given, now=now, number=number):
-            encode, own, rng = load_encoder(vocabulary), Attention(), np.random.default_rng(number)
+            own, rng = Attention(), np.random.default_rng(number)
             own.p = {k: v.copy() for k, v in given.value.items()}
             steps, pending, size, weight = Steps(own), [], 0, 0
 
             def through():
-                inputs, targets = training_windows(pending, shared.value)
-                for part in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // AT_ONCE)):
-                    steps(inputs[part], targets[part], now)
-                return int((targets >= 0).sum())
+                laid, seen = Laid([np.frombuffer(t, STORED) for t in pending], shared.value), 0
+                picked = rng.permutation(laid.shared(share, np.array([zlib.crc32(t) for t in pending])))
+                for part in np.array_split(picked, -(-len(picked) // AT_ONCE)):
+                    inputs, targets = laid.training(part)
+                    steps(inputs, targets, now)
+                    seen += int((targets >= 0).sum())
+                return seen
 
             for batch in batches:
-                for text in batch.column(0):
-                    pending.append(subwords(encode, words_of(text.as_py())))
-                    size += len(pending[-1]) + 1
-                    if size > 200_000:
+                for ids in batch.column(0):
+                    pending.append(ids.as_py())
+                    size += len(pending[-1]) + 2
+                    if size > 400_000 * share:
                         weight += through()
                         pending, size = [], 0
             if pending:
@@ -396,7 +433,7 @@ def train_on_all(model: Attention, training: DataFrame, words: Vocabulary, vocab
                 total = np.concatenate([v.ravel() for v in own.p.values()]).astype(np.float64) * weight
                 yield pa.RecordBatch.from_arrays(row(TaskContext.get().partitionId(), weight, total), schema=columns)
 
-        sums = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == number).select(utf8("text")).mapInArrow(learn, schema)
+        sums = training.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(ROUNDS)) == number).select("ids").mapInArrow(learn, schema)
         for _ in range(2):
             sums = sums.groupBy(F.floor(F.col("task") / FAN)).applyInArrow(added, schema)
         rows = sorted((r.task, r.weight, bytes(r.total)) for r in sums.collect())
@@ -410,61 +447,122 @@ def train_on_all(model: Attention, training: DataFrame, words: Vocabulary, vocab
     return learned
 
 
+ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
+                     ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("ids", pa.binary())])
+
+
+class Memory(dict):
+    """Numbers of the words met so far; of each its ids, and the logarithm of
+    its count plus one where it is frequent (else nan)."""
+
+    def __init__(self, encode, frequent: dict[bytes, float]):
+        self.encode, self.frequent = encode, frequent
+        self.ids, self.logs, self.odd = [], [], []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        text = word.decode("utf-8")
+        self.odd.append(not text.isascii() and _INNER_SPACE.search(text) is not None)
+        self.ids.append(self.encode(" " + text))
+        self.logs.append(self.frequent.get(word, math.nan))
+        return number
+
+
+def encoded(memory: Memory, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The ids of texts, given as words, and their words' logarithms."""
+    numbers = [np.fromiter(map(memory.__getitem__, t), np.int64, len(t)) for t in texts]
+    lengths = np.array([len(i) for i in memory.ids] or [0])
+    flat = np.concatenate(memory.ids or [np.zeros(0)]).astype(STORED)
+    begins, odd, logs = np.cumsum(lengths) - lengths, np.array(memory.odd, bool), np.array(memory.logs)
+    ids = []
+    for split, n in zip(texts, numbers):
+        if odd[n].any():
+            ids.append(subwords(memory.encode, split).astype(STORED))
+            continue
+        size = lengths[n]
+        ids.append(flat[np.repeat(begins[n] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+    return ids, [logs[n] for n in numbers]
+
+
+def encode_documents(texts: DataFrame, vocabulary: str, frequent: dict[bytes, float]) -> DataFrame:
+    """Rows (doc_id, held_out, text) with their ids, and the parts of the base
+    score: of frequent words the sum, of rarer ones the words."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load_encoder(vocabulary)
+        memory = Memory(encode, shared.value)
+        for batch in batches:
+            at = size = 0
+            for i, text in enumerate(batch.column(2)):
+                size += len(text.as_buffer() or b"") if text.is_valid else 0
+                if size > BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(at, i + 1 - at)
+                    split = [words_of(t) for t in part.column(2).to_pylist()]
+                    ids, logs = encoded(memory, split)
+                    rare = [Counter([words[k] for k in np.flatnonzero(np.isnan(log))]) for words, log in zip(split, logs)]
+                    known = [log[~np.isnan(log)].tolist() for log in logs]
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0), part.column(1), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array([len(k) for k in known], pa.int64()),
+                        pa.array([math.fsum(k) for k in known], pa.float64()), pa.array([list(r) for r in rare], pa.list_(pa.binary())),
+                        pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())), pa.array([x.tobytes() for x in ids], pa.binary())], schema=ENCODED)
+                    at, size = i + 1, 0
+                    if len(memory) > CACHE:
+                        memory = Memory(encode, shared.value)
+
+    return texts.select(F.col("doc_id").cast("bigint"), "held_out", utf8("text")).mapInArrow(
+        run, ", ".join(f"`{f.name}` {sql_type(f.type)}" for f in ENCODED))
+
+
+def add_scores(table: DataFrame, model: Attention, words: Vocabulary) -> DataFrame:
+    """`table` with the column `score` in place of `ids`, its last column."""
+    shared = table.sparkSession.sparkContext.broadcast(Scorer(model, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, pending, size = [], [], 0
+            for i, ids in enumerate(batch.column(batch.num_columns - 1)):
+                pending.append(np.frombuffer(ids.as_py(), STORED))
+                size += len(pending[-1]) + 1
+                if size > 100_000 or i + 1 == batch.num_rows:
+                    scores += shared.value(pending).tolist()
+                    pending, size = [], 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+
+    kept = table.schema.fields[:-1]
+    return table.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double")
+
+
+def starting_slices(training: DataFrame, rows: int) -> list[np.ndarray]:
+    """At most `SLICE` ids from a hashed place of each of `rows` texts (lowest hashes)."""
+    size = F.length("ids") / 2
+    place = F.pmod(F.xxhash64("ids", "doc_id"), F.greatest(size - SLICE, F.lit(0)).cast("bigint") + 1)
+    cut = training.select("doc_id", F.substring("ids", (2 * place + 1).cast("int"), F.lit(2 * SLICE)).alias("ids"))
+    return [np.frombuffer(bytes(r.ids), STORED) for r in hashed_sample(cut, rows, "doc_id", "ids").select("ids").collect()]
+
+
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50_256,
-                    sample_rows: int = 480, longest: int = 20_000) -> DataFrame:
+                    sample_rows: int = 480, share: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per document."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    training = texts.where("not held_out")
-    counts = stored(word_counts(training), "words")
+    counts = stored(word_counts(texts.where("not held_out")), "words")
     found = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    ends = training.count()
+    ends = texts.where("not held_out").count()
     n, v = (found.n or 0) + ends, found.v + (ends > 0)
     spread = id_counts(counts, vocabulary)
     spread[end_id] = ends
-    encode = load_encoder(vocabulary)
-    short = training.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    sample = hashed_sample(short, sample_rows, "doc_id", "text").select(utf8("text").alias("t")).collect()
-    words = Vocabulary(spread, end_id)
-    model = Attention().train(*training_windows([subwords(encode, words_of(r.t)) for r in sample], words))
-    train_on_all(model, training.select("doc_id", "text"), words, vocabulary)
     often = counts.where(F.col("c") * FREQUENT >= n).collect()  # at most FREQUENT rows: their counts add up to n at most
-    shared = spark.sparkContext.broadcast((Scorer(model, words), {bytes(r.word): math.log10(r.c + 1) for r in often}))
-    end_part = math.log10(ends + 1)
-    norm = math.log10(n + v + 1)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-                        ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
-
-    def start():
-        scorer, frequent = shared.value
-        encoder = load_encoder(vocabulary)
-
-        def step(ids, marks, raw):
-            out = {f.name: [] for f in schema}
-            out["doc_id"], out["held_out"] = ids, marks
-            pending, size = [], 0
-            for i, t in enumerate(raw):
-                split = words_of(t)
-                parts = [frequent.get(w) for w in split]
-                known = [p for p in parts if p is not None]
-                rare = Counter([w for w, p in zip(split, parts) if p is None]) if len(known) < len(split) else {}
-                for name, value in (("n_tokens", len(split) + 1), ("known", len(known) + (ends > 0)), ("base", end_part + math.fsum(known)),
-                                    ("rare", list(rare)), ("times", list(rare.values()))):
-                    out[name].append(value)
-                pending.append(subwords(encoder, split))
-                size += len(pending[-1]) + 1
-                if size > 100_000 or i + 1 == len(raw):
-                    out["score"] += scorer(pending).tolist()
-                    pending, size = [], 0
-            return out
-        return step
-
-    passed = stored(map_lists(texts.select(F.col("doc_id").cast("bigint"), "held_out", utf8("text")), start, schema, rows=65_536)
-                    .withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times")
+    table = stored(encode_documents(texts, vocabulary, {bytes(r.word): math.log10(r.c + 1) for r in often})
+                   .withColumn("row", F.monotonically_increasing_id()), "ids")
+    words, training = Vocabulary(spread, end_id), table.where("not held_out").select("doc_id", "ids")
+    model = Attention().train(*training_windows(starting_slices(training, sample_rows), words))
+    train_on_all(model, training, words, share=share)
+    passed = add_scores(table.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "ids"), model, words)
+    rare = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times")
     seldom = counts.where(F.col("c") * FREQUENT < n)
     added = rare.join(seldom, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("part"))
-    return passed.drop("rare", "times").join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+    return passed.join(added, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.lit(int(ends > 0)) + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("part", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
+        (F.col("base") + F.lit(math.log10(ends + 1)) + F.coalesce("part", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
+        "score")

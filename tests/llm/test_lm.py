@@ -1,6 +1,7 @@
 """Language-model scoring: gradients, normalisation, windows, base scores."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -169,16 +170,38 @@ def test_learns_from_every_window(spark):
     counts = np.bincount(np.concatenate(ids).astype(int), minlength=lm.IDS).astype(float)
     counts[50_256] = len(texts)
     own = lm.Vocabulary(counts, 50_256)
-    docs = documents(spark, texts).select("doc_id", "text").repartition(3)
+    docs = spark.createDataFrame([(k, x.astype(lm.STORED).tobytes()) for k, x in enumerate(ids)], "doc_id bigint, ids binary").repartition(3)
     made = [lm.Attention() for _ in range(2)]
     before = lm.Scorer(lm.Attention(), own)(ids)
-    assert [lm.train_on_all(m, docs, own, VOCABULARY) for m in made] == [sum(len(i) + 1 for i in ids)] * 2
+    assert [lm.train_on_all(m, docs, own) for m in made] == [sum(len(i) + 1 for i in ids)] * 2
     assert all((made[0].p[k] == made[1].p[k]).all() for k in made[0].p)
     assert (lm.Scorer(made[0], own)(ids)[[0, -1]] > before[[0, -1]]).all()
 
 
+@pytest.mark.parametrize("share", [1, 2, 3, 5])
+def test_share_of_the_windows_of_every_text(words, share):
+    laid = lm.Laid([np.arange(n, dtype=lm.STORED) for n in (0, 5, 23, 24, 47, 48, 200, 3000)], words)
+    seen = [laid.shared(share, np.full(8, mark)) for mark in range(lm.STRIDE * share)]
+    for picked in seen:
+        got = np.bincount(laid.text[picked], minlength=8)
+        assert (got >= 1).all() and (got >= laid.counts // share).all() and (got <= -(-laid.counts // share)).all()
+    assert sorted(set(np.concatenate(seen).tolist())) == list(range(len(laid.text)))  # no place of a text is left out for all marks
+
+
+def test_ids_of_words_are_those_of_texts():
+    encode = tokens.load_encoder(VOCABULARY)
+    rng = random.Random(3)
+    texts = [lm.words_of("".join(rng.choices("aB's1.,-<é漢\u3000\xa0\x85\x1c \n ", k=rng.randint(0, 60))).encode()) for _ in range(3000)]
+    texts += [lm.words_of(t.encode()) for t in ("a<|endoftext|>b <|endoftext|> c", "it's don't 's '", "x" * 5000)]
+    memory = lm.Memory(encode, {b"a": 0.5})
+    ids, logs = lm.encoded(memory, texts)
+    for t, x, log in zip(texts, ids, logs):
+        assert x.tolist() == lm.subwords(encode, t).tolist()
+        assert (~np.isnan(log)).tolist() == [w == b"a" for w in t]
+
+
 def test_score_uses_texts_outside_the_sample(spark, monkeypatch):
-    """A passage held only by long texts, which the first sample leaves out, makes the same held-out passage likelier."""
+    """A passage of long texts that the first sample (one text) leaves out makes the same held-out passage likelier."""
     odd = "seven copper kettles sang under quiet willow bridges " * 3
     held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
     plain = [(i, f"the house of stone {i % 7} and the river ran by the house") for i in range(60)]
@@ -186,8 +209,8 @@ def test_score_uses_texts_outside_the_sample(spark, monkeypatch):
     docs = documents(spark, [*plain, *long, (held, odd)])
 
     def score():
-        return {r.doc_id: r.score for r in lm.score_documents(docs, VOCABULARY).collect()}[held]
+        return {r.doc_id: r.score for r in lm.score_documents(docs, VOCABULARY, sample_rows=1).collect()}[held]
 
     learned = score()
-    monkeypatch.setattr(lm, "train_on_all", lambda *given: 0)
+    monkeypatch.setattr(lm, "train_on_all", lambda *given, **more: 0)
     assert learned > score() + 5
