@@ -20,8 +20,8 @@ counts (at most one row per id). Every text is made into ids once (each
 distinct word of a task once, as ids of a word do not depend on its
 neighbours); the ids are stored, two bytes each, and learning and scoring
 read them from there. The model learns from every training text, of any
-length, as Spark work (`train_on_all`): from one in `share` of its windows,
-and from one at least. A driver pass over `sample_rows` slices of at most
+length, as Spark work (`train_on_all`): from all of its windows, or, where
+`share` is set above 1, from one in `share` and one at least. A driver pass over `sample_rows` slices of at most
 `SLICE` ids at hashed places of these texts only gives the parameters that
 the tasks start from. Windows are built for one step or batch at a time,
 whatever the length of a text.
@@ -542,7 +542,7 @@ def starting_slices(training: DataFrame, rows: int) -> list[np.ndarray]:
 
 
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50_256,
-                    sample_rows: int = 480, share: int = 2) -> DataFrame:
+                    sample_rows: int = 480, share: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per document."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     counts = stored(word_counts(texts.where("not held_out")), "words")
