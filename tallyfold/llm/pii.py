@@ -382,6 +382,12 @@ def span_column(model: SemiMarkov, text_col: str = "text") -> Column:
     return spans.asNondeterministic()(F.col(text_col).cast("string"))
 
 
+def base_count(spans: Column, kind: int) -> Column:
+    """How many base spans are of a kind. The function has one argument: a
+    second one, even with a default, would be given the span's position."""
+    return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     kinds = F.array(*(F.lit(k) for k in KINDS))

@@ -26,8 +26,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = docs.select("doc_id", pii.span_column(pii.fit(docs)).alias("s"))
     base = F.filter("s", lambda s: s["base"])
-    counts = (F.size(F.filter("s", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{name}")
-              for k, name in enumerate(pii.KINDS[:pii.BASE_KINDS]))
+    counts = (pii.base_count(F.col("s"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:pii.BASE_KINDS]))
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
                         pii.listed(F.col("s")).alias("spans"))
 

@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import ODD_TEXTS, clashing, documents
 
-from tallyfold.llm import pii
+from tallyfold.llm import pii, queries
+from tallyfold.session import scratch_path
 
 # The contract's patterns as they stand.
 PLAIN = {
@@ -119,3 +120,17 @@ def test_spans_of_a_table(spark, model):
 
 def test_fit_on_empty_table(spark):
     assert pii.fit(documents(spark, [])).best("ann@example.org", pii.runs("ann@example.org")[0]) == [(0, 0, 1)]
+
+
+def test_query_counts_by_kind(spark):
+    """Equal kinds or none would also satisfy a count by position."""
+    texts = [None, "ann@example.org", "10.0.0.1 and 10.0.0.2", "4111111111111111, x", "call +1 (988) 555-2485!", "a@b.cd c@d.ef 1.2.3.4"]
+    folder = scratch_path(spark, "pii-query")
+    documents(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op3_pii(spark, folder).collect()}
+    for i, text in enumerate(texts):
+        base = sorted(plain_base(text or ""), key=lambda s: (s[1], s[0]))
+        counts = [sum(s[0] == k for s in base) for k in range(pii.BASE_KINDS)]
+        assert [found[i].n_email, found[i].n_ip, found[i].n_card, found[i].n_phone] == counts
+        listed = ",".join(f"{pii.KINDS[k]}:{first}:{end}" for k, first, end in base)
+        assert found[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
