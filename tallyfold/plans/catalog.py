@@ -527,7 +527,7 @@ def encrypted_roundtrip(spark, sf_dir):
     keys = data_keys(spark)
     reqs = requests.event_json_requests(_t(spark, sf_dir, "events"))
     kid = F.concat(F.lit("k"), (F.col("seq") % 2).cast("string"))
-    sealed = reqs.withColumn("key_id", kid).join(keys, "key_id", "left") \
+    sealed = reqs.withColumn("key_id", kid).join(F.broadcast(keys), "key_id", "left") \
         .withColumn("body", envelope.seal("body", "data_key", "key_id")) \
         .withColumn("x_encrypted", F.lit(envelope.HEADER_VALUE)).drop("data_key", "key_id")
     tampered = F.when((F.col("seq") % TAMPER_EVERY) == 0, envelope.damaged("body")).otherwise(F.col("body"))
