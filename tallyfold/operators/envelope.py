@@ -4,7 +4,9 @@ Spark's GCM layout is nonce(12) || ciphertext || tag(16); the envelope
 carries the nonce in `n` and ciphertext||tag in `d` (base64), so opening
 is `try_aes_decrypt(unbase64(n) || unbase64(d), key, 'GCM')`. The RSA
 wrap of the data key is replaced by a key table joined by key id (`k`
-holds the base64 key id); Spark broadcasts it when its size allows.
+holds the base64 key id). The key table is configuration, one row per data
+key, so it is broadcast: most requests have no key id and the others share
+a few, and a shuffle by key id would send them all to a few tasks.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def open_envelopes(requests: DataFrame, keys: DataFrame | None, body_col: str =
     df = df.withColumn("_kid", kid)
     if keys is not None:
         k = keys.select(F.col("key_id").alias("_kid2"), F.col("data_key").alias("_dk"))
-        df = df.join(k, df["_kid"] == k["_kid2"], "left").drop("_kid2")
+        df = df.join(F.broadcast(k), df["_kid"] == k["_kid2"], "left").drop("_kid2")
     else:
         df = df.withColumn("_dk", F.lit(None).cast("binary"))
     e = F.col("_env")

@@ -237,7 +237,7 @@ def _on_the_wire(df: DataFrame, unit: F.Column, keys: DataFrame) -> DataFrame:
     """Bodies as sent: plain, gzip, encrypted or damaged (missing ones stay)."""
     way = F.when(F.col("body").isNotNull(), unit % WIRE_CYCLE)
     d = df.withColumn("_way", way).join(
-        keys.select(F.col("key_id").alias("_kid"), F.col("data_key").alias("_dk")),
+        F.broadcast(keys.select(F.col("key_id").alias("_kid"), F.col("data_key").alias("_dk"))),
         F.concat(F.lit("k"), (unit % 2).cast("string")) == F.col("_kid"), "left")
     nonce = F.substr(F.unhex(F.md5(unit.cast("string").cast("binary"))), F.lit(1), F.lit(envelope.NONCE_BYTES))
     sealed = F.when(F.col("_way").isin(WIRE_SEALED, WIRE_SEALED_GZIP, WIRE_TAMPERED),

@@ -139,3 +139,26 @@ def test_with_cidr_matches_python(spark):
     for c in cidrs:
         want = None if c in invalid else netaddr.cidr_bounds(c)
         assert got[c] == want, c
+
+
+def test_key_tables_are_broadcast(spark):
+    """Requests without a key id, and those that share one, stay where they are read: a key table of a size
+    that Spark does not know (rows from Python) must not deal the requests out by key id."""
+    from tallyfold.operators import envelope
+    from tallyfold.plans import catalog
+    from tallyfold.sources import requests, tables
+
+    from conftest import SMALL
+
+    def joins(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return "BroadcastHashJoin" in plan, "SortMergeJoin" in plan
+
+    keys = catalog.data_keys(spark)
+    reqs = requests.event_json_requests(tables.read_table(spark, SMALL, "events"))
+    sent = reqs.withColumn("x_encrypted", F.when(F.col("seq") % 2 == 0, F.lit(envelope.HEADER_VALUE)))
+    opened = envelope.open_envelopes(sent, keys)
+    assert joins(opened) == (True, False)
+    statuses = {(r.seq % 2, r.decrypt_status) for r in opened.select("seq", "decrypt_status").collect()}
+    assert statuses == {(0, 400), (1, None)}   # the bodies are no envelopes
+    assert joins(requests._on_the_wire(reqs, F.col("request_id"), keys)) == (True, False)
