@@ -8,7 +8,8 @@
   interval come from a windowed aggregate in append mode (native, one row
   per host, interval and id); what a host has sent so far is arbitrary
   state with event-time timers, so an interval without samples is a report
-  too. The state of a host is bounded by its ids.
+  too. The state of a host is bounded by its ids; hosts share state by
+  hash buckets, so calls and timers of a batch grow with the buckets.
 * `LateRows`: rows later than the watermark, added up over all batches of a
   query by a listener (`recentProgress` keeps only the last ones).
 
@@ -34,7 +35,12 @@ from tallyfold.schemas import COUNTER, GAUGE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-BUFFER = "ids array<string>, held array<double>, next long, pending array<struct<tick:long,id:string,value:double,polls:long>>"
+BUFFERS = ("hosts array<struct<host:long,ids:array<string>,held:array<double>,next:long,"
+           "pending:array<struct<tick:long,id:string,value:double,polls:long>>>>")
+# Hosts are kept in as many buckets, so that a batch calls Python
+# once for a bucket and not once for every host; fixed for a checkpoint's life.
+BUCKETS = 2048
+FRAME_ROWS = 20_000   # rows of one output frame
 
 
 class LateRows(StreamingQueryListener):
@@ -92,53 +98,81 @@ def interval_of(spark: SparkSession, every: str) -> dt.timedelta:
 
 
 class ReportTicks(StatefulProcessor):
-    """The buffer of one host: ids with their latest values, the tick to
-    come, and the finished intervals that it has not reported yet."""
+    """The buffers of the hosts of one bucket. Of each host: ids with their
+    latest values, the tick to come, and the finished intervals that it has
+    not reported yet. The bucket has one timer, at its earliest tick."""
 
     def __init__(self, every_ms: int):
         self.every = every_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.buffer = handle.getValueState("buffer", BUFFER)
+        self.buffers = handle.getValueState("buffers", BUFFERS)
+
+    def _read(self) -> dict:
+        if not self.buffers.exists():
+            return {}
+        return {host: (dict(zip(ids, held)), tick, [tuple(p) for p in pending])
+                for host, ids, held, tick, pending in self.buffers.get()[0]}
+
+    def _write(self, hosts: dict) -> None:
+        self.buffers.update(([(host, list(now), list(now.values()), tick, pending)
+                              for host, (now, tick, pending) in hosts.items()],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ids, held, tick, pending = self.buffer.get() if self.buffer.exists() else ([], [], None, [])
-        pending = [tuple(p) for p in pending]
+        hosts = self._read()
+        timer = min((tick for _, tick, _ in hosts.values()), default=None)
         for frame in rows:
-            pending += zip(frame["tick"].tolist(), frame["id"].tolist(), frame["value"].tolist(), frame["polls"].tolist())
-        first = min(p[0] for p in pending)
-        if tick is None or first < tick and not ids:  # nothing reported so far
-            if tick is not None:
-                self.handle.deleteTimer(tick)
-            tick = first
-            self.handle.registerTimer(tick)
-        self.buffer.update((ids, held, tick, pending))
+            own = zip(frame["known"].tolist(), frame["host"].tolist(), frame["tick"].tolist(), frame["id"].tolist(),
+                      frame["value"].tolist(), frame["polls"].tolist())
+            for known, host, *row in own:
+                now, tick, pending = hosts.setdefault(host if known else None, ({}, row[0], []))
+                pending.append(tuple(row))
+                if row[0] < tick and not now:  # nothing reported so far
+                    hosts[host if known else None] = (now, row[0], pending)
+        first = min(tick for _, tick, _ in hosts.values())
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self._write(hosts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ids, held, tick, pending = self.buffer.get()
-        now = dict(zip(ids, held))
-        waiting: dict[int, list] = {}
-        for p in pending:
-            waiting.setdefault(p[0], []).append(p)
-        out = []
-        while tick <= timerValues.getCurrentWatermarkInMs():
-            polls = 0
-            for _, name, value, n in waiting.pop(tick, ()):
-                now[name], polls = value, polls + n
-            out += [(key[0], tick, name, GAUGE, None, value) for name, value in now.items()]
-            out.append((key[0], tick, agent.POLL_COUNT, COUNTER, polls, None))
-            tick += self.every
-        self.buffer.update((list(now), list(now.values()), tick, [p for ps in waiting.values() for p in ps]))
-        self.handle.registerTimer(tick)
-        frame = pd.DataFrame(out, columns=["host", "tick", "id", "type", "delta", "value"])
-        yield frame.astype({"host": "Int64", "tick": "int64", "delta": "Int64", "value": "float64"})
+        hosts, mark, out = self._read(), timerValues.getCurrentWatermarkInMs(), []
+        for host, (now, tick, pending) in hosts.items():
+            if tick > mark:
+                continue
+            waiting: dict[int, list] = {}
+            for p in pending:
+                waiting.setdefault(p[0], []).append(p)
+            while tick <= mark:
+                polls = 0
+                for _, name, value, n in waiting.pop(tick, ()):
+                    now[name], polls = value, polls + n
+                out += [(host, tick, name, GAUGE, None, value) for name, value in now.items()]
+                out.append((host, tick, agent.POLL_COUNT, COUNTER, polls, None))
+                tick += self.every
+                if len(out) >= FRAME_ROWS:
+                    yield _frame(out)
+                    out = []
+            hosts[host] = (now, tick, [p for ps in waiting.values() for p in ps])
+        self._write(hosts)
+        self.handle.registerTimer(min(tick for _, tick, _ in hosts.values()))
+        if out:
+            yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
+def _frame(reports: list[tuple]) -> pd.DataFrame:
+    host, tick, name, kind, delta, value = zip(*reports)
+    # whole numbers beside nulls stay whole numbers
+    return pd.DataFrame({"host": pd.array(host, "Int64"), "tick": pd.array(tick, "int64"), "id": name, "type": kind,
+                         "delta": pd.array(delta, "Int64"), "value": pd.array(value, "float64")})
+
+
 def _append(rows: DataFrame, out_dir: str, checkpoint: str, trigger: str | None):
     w = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", out_dir)
     return (w.trigger(processingTime=trigger) if trigger else w.trigger(availableNow=True)).start()
@@ -158,16 +192,21 @@ def stream_poll_sampling(samples: DataFrame, every: str, lateness: str, out_dir:
 
 
 def stream_reports(samples: DataFrame, every: str, lateness: str, out_dir: str, checkpoint: str,
-                   trigger: str | None = None):
-    """J3 + D5: host, tick, id, type, delta, value of every report."""
+                   trigger: str | None = None, buckets: int = BUCKETS):
+    """J3 + D5: host, tick, id, type, delta, value of every report. More
+    hosts need more `buckets`: the buffers of a bucket are read and written
+    together."""
     spark = samples.sparkSession
     w = F.window("ts", every)
     values = _late(samples, lateness).groupBy("host", w.alias("w"), "id").agg(
         F.max_by("value", "seq").alias("value"), F.count(F.lit(1)).alias("polls"))
-    finished = values.select("host", F.unix_millis(F.col("w.end")).alias("tick"), "id", "value", "polls",
-                             F.window_time("w").alias("at"))
+    # the host goes through pandas as a number without nulls
+    finished = values.select(
+        F.pmod(F.xxhash64("host"), F.lit(buckets)).alias("bucket"), F.coalesce(F.col("host").cast("bigint"), F.lit(0)).alias("host"),
+        F.col("host").isNotNull().alias("known"), F.unix_millis(F.col("w.end")).alias("tick"), "id", "value", "polls",
+        F.window_time("w").alias("at"))
     with rocksdb(spark):
-        reports = finished.groupBy("host").transformWithStateInPandas(
+        reports = finished.groupBy("bucket").transformWithStateInPandas(
             ReportTicks(interval_of(spark, every) // dt.timedelta(milliseconds=1)),
             "host bigint, tick bigint, id string, type string, delta bigint, value double", "append", "EventTime")
         reports = reports.withColumn("tick", utc_as_ntz(F.timestamp_millis("tick")))

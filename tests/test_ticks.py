@@ -83,6 +83,24 @@ def test_reports_over_batches_and_a_restart(spark):
     assert spark.read.parquet(out).count() == want.count()
 
 
+def test_hosts_share_buckets(spark):
+    src, out, checkpoint = folder(spark, "buckets-in", "buckets-out", "ckpt")
+    hosts = [None, 0, 1, 2, 3, -4, 2**53 + 1]
+    parts = [[(h, at(1 + i % 3, 5, i), i, "ab"[i % 2], float(i)) for i, h in enumerate(hosts)],
+             [(h, at(4, 5, i), 10 + i, "a", 9.0 + i) for i, h in enumerate(hosts) if i % 3]]
+    for part in parts:
+        write(spark, src, *part)
+    ticks.heartbeat(spark, src, spark.createDataFrame([], SAMPLES).schema, "ts", at(5, 6))
+
+    def start(*args):
+        return ticks.stream_reports(*args, buckets=2)
+
+    late, _ = run(spark, start, src, "1 day", "6 hours", out, checkpoint)
+    want = reports_of(spark.createDataFrame([r for part in parts for r in part], SAMPLES))
+    written = as_set(spark.read.parquet(out))
+    assert late == 0 and written == as_set(want) and any("host=None" in r for r in written)
+
+
 def test_poll_ticks_are_written_once_and_late_rows_counted(spark):
     src, out, checkpoint = folder(spark, "polls-in", "polls-out", "ckpt")
     on_time = [[(1, at(1, 5, 1), 1, "a", 1.0), (1, at(1, 5, 50), 2, "a", 2.0)], [(1, at(1, 5, 55), 3, "a", 3.0), (2, at(1, 8), 4, "a", 4.0)],
