@@ -38,7 +38,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ FREQUENT = 1 << 18
 IDS = 50_257
 ROUNDS, AT_ONCE, FAN = 4, 512, 64  # of `train_on_all`: averagings, windows a step, rows added up by one task
 SLICE, BYTES, CACHE = 768, 1 << 20, 1 << 17  # ids of a starting slice, bytes of text made into ids together, words that a task remembers
+BLOCK, ROWS = 128, 1536  # windows whose arrays are made together (they fit the processor's cache); rows of a product that need no packing
 STORED = np.dtype("<u2")
 
 # white space that does not end a word: ids of such words depend on their neighbours
@@ -81,19 +83,55 @@ class Vocabulary:
         self.end = end
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    def shares(z):
-        z = np.exp(z)
-        return z, (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(*z.shape[:-1], 1)
+class Room(dict):
+    """Work arrays by name, used again from step to step."""
 
-    # the maximum of each row only where float32 could overflow or vanish
-    out, total = shares(z) if float(z.max(initial=0.0)) < 60 else (None, None)
-    if out is None or float(total.min(initial=1.0)) < 1e-25:
-        out, total = shares(z - z.max(axis=-1, keepdims=True))
-    out /= total
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or self[name].size < size or self[name].dtype != kind:
+            self[name] = np.empty(size, kind)
+        return self[name][:size].reshape(shape)
+
+
+def _times(rows: np.ndarray, matrix: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """rows @ matrix, `ROWS` at a time."""
+    for i in range(0, len(rows), ROWS):
+        np.matmul(rows[i:i + ROWS], matrix, out=out[i:i + ROWS])
     return out
 
 
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, `ROWS` at a time."""
+    total = a[:ROWS].T @ b[:ROWS]
+    for i in range(ROWS, len(a), ROWS):
+        total += a[i:i + ROWS].T @ b[i:i + ROWS]
+    return total
+
+
+def _turned(matrix: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(matrix.T)
+
+
+def _exp(make: Callable[[], np.ndarray], seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """e to the rows that `make` gives, in place (0 where `seen` is 0), and their sums.
+    Rows are made again, less their maximum, only where float32 overflows or vanishes."""
+    z = make()
+    ones = np.ones(z.shape[-1], z.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(z, out=z)
+        if seen is not None:
+            z *= seen
+        total = z.reshape(-1, z.shape[-1]) @ ones
+        if not (total.min(initial=1) > 1e-25 and total.max(initial=1) < 1e30):
+            z = make()
+            if seen is not None:
+                z[..., seen == 0] = -np.inf
+            z -= z.max(axis=-1, keepdims=True)
+            np.exp(z, out=z)
+            total = z.reshape(-1, z.shape[-1]) @ ones
+    return z, total
+
+
 class Attention:
     """The model and its gradients."""
 
@@ -110,128 +148,181 @@ class Attention:
                   "mem": normal(CLASSES, WIDTH, MEMBERS), "mem_b": np.zeros((CLASSES, MEMBERS), np.float32)}
         # scored places (rows) see the places up to their own
         self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
-        self.mask = np.where(self.seen > 0, np.float32(0), np.float32(-1e9))
-
-    def hidden(self, numbers: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """The last layer at the scored places of windows (count, WINDOW)."""
-        p = self.p
-        x = p["embed"][numbers] + p["place"]
-        own = x[:, CONTEXT:]
-        q, kv = own @ p["q"], x @ p["kv"]
-        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
-        a = _softmax(q @ k.transpose(0, 2, 1) * np.float32(1 / math.sqrt(WIDTH)) + self.mask)
-        mixed = a @ v
-        h = own + mixed @ p["out"]
-        u = np.maximum(h @ p["up"] + p["up_b"], 0)
-        if keep is not None:
-            keep.update(x=x, own=own, q=q, k=k, v=v, a=a, mixed=mixed, h=h, u=u)
-        return h + u @ p["down"]
+        self.room = Room()
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "room": Room()}
+
+    def _with_ones(self, name: str, kind: np.dtype, rows: int) -> np.ndarray:
+        """A work array of rows that end in 1, which the last row of a matrix (its bias) meets."""
+        out = self.room(name, kind, rows, WIDTH + 1)
+        out[:, WIDTH] = 1
+        return out
+
+    def _attend(self, numbers: np.ndarray) -> None:
+        """Leaves the arrays of the attention layer in `room`: h and what it is made of."""
+        p, count, kind = self.p, len(numbers), self.p["q"].dtype
+        rows = count * STRIDE
+        x = np.take(p["embed"], numbers, axis=0, out=self.room("x", kind, count, WINDOW, WIDTH), mode="clip")
+        x += p["place"]
+        kv = _times(x.reshape(-1, WIDTH), p["kv"], self.room("kv", kind, count * WINDOW, 2 * WIDTH)).reshape(count, WINDOW, 2 * WIDTH)
+        own = self.room("own", kind, rows, WIDTH)
+        own.reshape(count, STRIDE, WIDTH)[...] = x[:, CONTEXT:]
+        q = _times(own, p["q"] * kind.type(1 / math.sqrt(WIDTH)), self.room("q", kind, rows, WIDTH))
+        scores = self.room("a", kind, count, STRIDE, WINDOW)
+        a, total = _exp(lambda: np.matmul(q.reshape(count, STRIDE, WIDTH), kv[..., :WIDTH].transpose(0, 2, 1), out=scores), self.seen)
+        # the weights are normalised after mixing
+        mixed = np.matmul(a, kv[..., WIDTH:], out=self.room("mixed", kind, count, STRIDE, WIDTH)).reshape(-1, WIDTH)
+        mixed /= total[:, None]
+        h = self._with_ones("h", kind, rows)
+        np.add(own, _times(mixed, p["out"], self.room("spare", kind, rows, WIDTH)), out=h[:, :WIDTH])
+        u = _times(h, np.vstack([p["up"], p["up_b"]]), self.room("u", kind, rows, INNER))
+        np.maximum(u, 0, out=u)
+        y = self._with_ones("y", kind, rows)
+        np.add(h[:, :WIDTH], _times(u, p["down"], self.room("spare", kind, rows, WIDTH)), out=y[:, :WIDTH])
+        self.room["total"] = total
+
+    def last_layer(self, numbers: np.ndarray) -> np.ndarray:
+        """The last layer at the scored places of windows (count, WINDOW), as rows."""
+        self._attend(numbers)
+        return self.room("y", self.p["q"].dtype, len(numbers) * STRIDE, WIDTH + 1)[:, :WIDTH].copy()
+
+    def hidden(self, numbers: np.ndarray) -> np.ndarray:
+        """`last_layer` by windows."""
+        return self.last_layer(numbers).reshape(len(numbers), STRIDE, WIDTH)
+
+    def _bounds(self, group: np.ndarray) -> list[tuple[int, slice]]:
+        """The classes that occur, and where they lie among sorted ones."""
+        bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+        return [(c, slice(*cut)) for c, cut in enumerate(zip(bounds, bounds[1:])) if cut[1] > cut[0]]
+
+    def _members(self) -> np.ndarray:
+        """The matrices of the classes, each with its bias as the last row."""
+        return np.concatenate([self.p["mem"], self.p["mem_b"][:, None]], axis=1)
 
     def _log_share(self, z: np.ndarray, picked: np.ndarray) -> np.ndarray:
         """log softmax of the picked column of each row (z is overwritten)."""
-        out = z[np.arange(len(z)), picked]
+        out = z.reshape(-1)[np.arange(len(z)) * z.shape[1] + picked]
         top = max(0.0, float(z.max(initial=0.0)) - 60)  # far from float32 overflow; 0 in practice
         if top:
             z -= top
         np.exp(z, out=z)
         return out - top - np.log(z @ np.ones(z.shape[1], z.dtype))
 
-    def last_layer(self, numbers: np.ndarray) -> np.ndarray:
-        """`hidden` for scoring, as rows: the weights of attention are normalised after mixing."""
-        p = self.p
-        x = p["embed"][numbers]
-        x += p["place"]
-        count = len(numbers)
-        kv = (x.reshape(-1, WIDTH) @ p["kv"]).reshape(count, WINDOW, 2 * WIDTH)
-        h = x[:, CONTEXT:].reshape(-1, WIDTH)
-        q = h @ (p["q"] * np.float32(1 / math.sqrt(WIDTH)))
-        a = q.reshape(count, STRIDE, WIDTH) @ kv[..., :WIDTH].transpose(0, 2, 1)
-        if float(a.max(initial=0.0)) > 60:
-            a -= a.max(axis=-1, keepdims=True)
-        np.exp(a, out=a)
-        a *= self.seen
-        mixed = (a @ kv[..., WIDTH:]).reshape(-1, WIDTH)
-        mixed /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))[:, None]
-        h = h + mixed @ p["out"]
-        u = h @ p["up"]
-        u += p["up_b"]
-        np.maximum(u, 0, out=u)
-        h += u @ p["down"]
-        return h
-
     def log10_scores(self, numbers: np.ndarray, scored: np.ndarray, targets: np.ndarray, ids: np.ndarray, words: Vocabulary) -> np.ndarray:
         """log10 probability of the targets (numbers; `ids` for the rare ones)
         at those scored places of the windows that hold a token."""
+        self._attend(numbers)
+        kind = self.p["q"].dtype
         group = np.minimum(targets // MEMBERS, CLASSES)
         order = np.argsort(group.astype(np.int8), kind="stable")
-        h = self.last_layer(numbers).take(np.flatnonzero(scored)[order], axis=0)
         targets, group = targets[order], group[order]
-        z = h @ self.p["cls"]
-        z += self.p["cls_b"]
-        got = self._log_share(z, group)
-        bounds = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = slice(bounds[c], bounds[c + 1])
-            if at.stop > at.start:
-                z = h[at] @ self.p["mem"][c]
-                z += self.p["mem_b"][c]
-                got[at] += self._log_share(z, targets[at] % MEMBERS)
+        h = np.take(self.room("y", kind, len(numbers) * STRIDE, WIDTH + 1), np.flatnonzero(scored)[order], axis=0,
+                    out=self.room("picked", kind, len(order), WIDTH + 1), mode="clip")
+        z = self.room("z", kind, len(h), CLASSES + 1)
+        got = self._log_share(_times(h, np.vstack([self.p["cls"], self.p["cls_b"]]), z), group)
+        in_head, members = int(np.count_nonzero(group < CLASSES)), self._members()
+        z = self.room("z", kind, in_head, MEMBERS)
+        for c, part in self._bounds(group):
+            np.matmul(h[part], members[c], out=z[part])
+        got[:in_head] += self._log_share(z, targets[:in_head] % MEMBERS)
         out = np.empty_like(got)
         out[order] = got * np.float32(1 / math.log(10))
         return out + words.tail[ids]
 
     def gradients(self, numbers: np.ndarray, targets: np.ndarray) -> dict:
-        """Of the mean negative log-likelihood; targets < 0 are not scored."""
-        p, s = self.p, {}
-        y = self.hidden(numbers, s).reshape(-1, WIDTH)
+        """Of the mean negative log-likelihood; targets < 0 are not scored.
+        They are added up over `BLOCK` windows at a time, whose arrays stay in the processor's cache."""
+        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        share = self.p["q"].dtype.type(1 / max(1, np.count_nonzero(targets >= 0)))
+        for i in range(0, len(numbers), BLOCK):
+            self._add_gradients(numbers[i:i + BLOCK], targets[i:i + BLOCK], share, g)
+        return g
+
+    def _add_gradients(self, numbers: np.ndarray, targets: np.ndarray, share: np.float32, g: dict) -> None:
+        self._attend(numbers)
+        p, room, count, kind = self.p, self.room, len(numbers), self.p["q"].dtype
+        rows, scale = count * STRIDE, kind.type(1 / math.sqrt(WIDTH))
+        h, y = (room(name, kind, rows, WIDTH + 1) for name in ("h", "y"))
+        x, own, q, mixed, spare = (room(name, kind, n, WIDTH) for name, n in
+                                   (("x", count * WINDOW), ("own", rows), ("q", rows), ("mixed", rows), ("spare", rows)))
+        u, kv = room("u", kind, rows, INNER), room("kv", kind, count, WINDOW, 2 * WIDTH)
+        a = room("a", kind, count, STRIDE, WINDOW)
+        a.reshape(-1, WINDOW)[...] /= room["total"][:, None]
         at = np.flatnonzero(targets.reshape(-1) >= 0)
         t = targets.reshape(-1)[at]
         group = np.minimum(t // MEMBERS, CLASSES)
         order = np.argsort(group.astype(np.int8), kind="stable")
         at, t, group = at[order], t[order], group[order]
-        h = y.take(at, axis=0)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        share = np.float32(1 / max(1, len(at)))
-        dz = _softmax(h @ p["cls"] + p["cls_b"])
-        dz[np.arange(len(at)), group] -= 1
-        dz *= share
-        g["cls"], g["cls_b"] = h.T @ dz, dz.sum(axis=0)
-        dh = dz @ p["cls"].T
-        bounds = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            rows = slice(bounds[c], bounds[c + 1])
-            dm = _softmax(h[rows] @ p["mem"][c] + p["mem_b"][c])
-            dm[np.arange(len(dm)), t[rows] % MEMBERS] -= 1
-            dm *= share
-            g["mem"][c], g["mem_b"][c] = h[rows].T @ dm, dm.sum(axis=0)
-            dh[rows] += dm @ p["mem"][c].T
-        dy = np.zeros_like(y)
+        picked = np.take(y, at, axis=0, out=room("picked", kind, len(at), WIDTH + 1), mode="clip")
+
+        def loss(make, targets):
+            z, total = _exp(make)
+            z *= (share / total)[:, None]
+            z.reshape(-1)[np.arange(len(z)) * z.shape[1] + targets] -= share
+            return z
+
+        z = room("z", kind, len(at), CLASSES + 1)
+        dz = loss(lambda: _times(picked, np.vstack([p["cls"], p["cls_b"]]), z), group)
+        both = _gram(picked, dz)
+        g["cls"] += both[:WIDTH]
+        g["cls_b"] += both[WIDTH]
+        dh = _times(dz, _turned(p["cls"]), room("dp", kind, len(at), WIDTH))
+        bounds, members, in_head = self._bounds(group), self._members(), int(np.count_nonzero(group < CLASSES))
+        turned = np.ascontiguousarray(p["mem"].transpose(0, 2, 1))
+        z, more, both = room("z", kind, in_head, MEMBERS), room("more", kind, in_head, WIDTH), np.zeros_like(members)
+
+        def logits():
+            for c, part in bounds:
+                np.matmul(picked[part], members[c], out=z[part])
+            return z
+
+        dm = loss(logits, t[:in_head] % MEMBERS)
+        for c, part in bounds:
+            np.matmul(picked[part].T, dm[part], out=both[c])
+            np.matmul(dm[part], turned[c], out=more[part])
+        g["mem"] += both[:, :WIDTH]
+        g["mem_b"] += both[:, WIDTH]
+        dh[:in_head] += more
+        dy = room("dy", kind, rows, WIDTH)
+        dy[...] = 0
         dy[at] = dh
-        dy = dy.reshape(s["own"].shape)
-
-        def flat(m):
-            return m.reshape(-1, m.shape[-1])
-
-        g["down"] = flat(s["u"]).T @ flat(dy)
-        du = (dy @ p["down"].T) * (s["u"] > 0)
-        g["up"], g["up_b"] = flat(s["h"]).T @ flat(du), flat(du).sum(axis=0)
-        dh = dy + du @ p["up"].T
-        g["out"] = flat(s["mixed"]).T @ flat(dh)
-        dmixed = dh @ p["out"].T
-        da = dmixed @ s["v"].transpose(0, 2, 1)
-        dv = s["a"].transpose(0, 2, 1) @ dmixed
-        ds = s["a"] * (da - (da * s["a"]).sum(axis=-1, keepdims=True)) * np.float32(1 / math.sqrt(WIDTH))
-        dq = ds @ s["k"]
-        dkv = np.concatenate([ds.transpose(0, 2, 1) @ s["q"], dv], axis=-1)
-        g["q"], g["kv"] = flat(s["own"]).T @ flat(dq), flat(s["x"]).T @ flat(dkv)
-        dx = dkv @ p["kv"].T
-        dx[:, CONTEXT:] += dh + dq @ p["q"].T
-        g["place"] = dx.sum(axis=0)
+        g["down"] += _gram(u, dy)
+        du = _times(dy, _turned(p["down"]), room("du", kind, rows, INNER))
+        du *= u > 0
+        both = _gram(h, du)
+        g["up"] += both[:WIDTH]
+        g["up_b"] += both[WIDTH]
+        dh = _times(du, _turned(p["up"]), room("dh", kind, rows, WIDTH))
+        dh += dy
+        g["out"] += _gram(mixed, dh)
+        dmixed = _times(dh, _turned(p["out"]), room("dmixed", kind, rows, WIDTH))
+        # the mean of a row's gradients under its weights, from what was mixed
+        mean = np.multiply(dmixed, mixed, out=spare) @ np.ones(WIDTH, kind)
+
+        def wide(m):
+            return m.reshape(count, STRIDE, WIDTH)
+
+        ds = np.matmul(wide(dmixed), kv[..., WIDTH:].transpose(0, 2, 1), out=room("ds", kind, count, STRIDE, WINDOW))
+        ds -= mean.reshape(count, STRIDE, 1)
+        ds *= a
+        dkv = room("dkv", kind, count, WINDOW, 2 * WIDTH)
+        np.matmul(ds.transpose(0, 2, 1), wide(q), out=dkv[..., :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), wide(dmixed), out=dkv[..., WIDTH:])
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        dq = np.matmul(ds, kv[..., :WIDTH], out=wide(spare)).reshape(-1, WIDTH)
+        dq *= scale
+        g["q"] += _gram(own, dq)
+        g["kv"] += _gram(x, dkv)
+        dx = _times(dkv, _turned(p["kv"]), room("dx", kind, count * WINDOW, WIDTH))
+        dh += _times(dq, _turned(p["q"]), room("dmixed", kind, rows, WIDTH))
+        dx.reshape(count, WINDOW, WIDTH)[:, CONTEXT:] += wide(dh)
+        g["place"] += dx.reshape(count, WINDOW, WIDTH).sum(axis=0)
         order = np.argsort(numbers.reshape(-1).astype(np.int16), kind="stable")
         number = numbers.reshape(-1)[order]
-        first = np.flatnonzero(np.diff(number, prepend=-1))
-        g["embed"][number[first]] = np.add.reduceat(flat(dx).take(order, axis=0), first, axis=0)
-        return g
+        first = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1])
+        sorted_rows = np.take(dx, order, axis=0, out=room("x", kind, count * WINDOW, WIDTH), mode="clip")
+        g["embed"][number[first]] += np.add.reduceat(sorted_rows, first, axis=0)
 
     def train(self, numbers: np.ndarray, targets: np.ndarray, rounds: int = 2, batch: int = 32, rate: float = 0.015, seed: int = 23) -> Attention:
         rng = np.random.default_rng(seed)
@@ -307,7 +398,7 @@ class Scorer:
     def __init__(self, model: Attention, words: Vocabulary):
         self.model, self.words = model, words
 
-    def __call__(self, texts: list[np.ndarray], at_once: int = 512) -> np.ndarray:
+    def __call__(self, texts: list[np.ndarray], at_once: int = 2 * BLOCK) -> np.ndarray:
         """log10 probability of each text with its end token."""
         laid = Laid(texts, self.words)
         total = np.zeros(len(texts))
@@ -343,8 +434,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def start():
         def step(texts):
             counts: Counter = Counter()
-            for t in texts:
-                counts.update(words_of(t))
+            counts.update(chain.from_iterable(map(words_of, texts)))
             return {"word": list(counts), "c": list(counts.values())}
         return step
 
@@ -452,36 +542,52 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 
 
 class Memory(dict):
-    """Numbers of the words met so far; of each its ids, and the logarithm of
-    its count plus one where it is frequent (else nan)."""
+    """Numbers of the words met so far; of each its ids (`lengths` of them in
+    `flat`, from `begins` on), and the logarithm of its count plus one where
+    it is frequent (else nan). The ids of new words are made together."""
 
     def __init__(self, encode, frequent: dict[bytes, float]):
-        self.encode, self.frequent = encode, frequent
-        self.ids, self.logs, self.odd = [], [], []
+        self.encode, self.frequent, self.new = encode, frequent, []
+        self.flat, self.begins, self.lengths = np.zeros(0, STORED), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.odd, self.logs = np.zeros(0, bool), np.zeros(0)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
-        text = word.decode("utf-8")
-        self.odd.append(not text.isascii() and _INNER_SPACE.search(text) is not None)
-        self.ids.append(self.encode(" " + text))
-        self.logs.append(self.frequent.get(word, math.nan))
+        self.new.append(word)
         return number
 
+    def learn(self) -> None:
+        """Ids of the new words: those of a word end where its bytes end."""
+        if not self.new:
+            return
+        odd = np.array([not w.isascii() and _INNER_SPACE.search(w.decode("utf-8")) is not None for w in self.new], bool)
+        plain = [w for w, o in zip(self.new, odd) if not o]
+        ids = subwords(self.encode, plain)
+        last = np.searchsorted(np.cumsum(self.encode.sizes[ids]), np.cumsum([len(w) + 1 for w in plain] or [0]), "right")
+        lengths = np.zeros(len(odd), np.int64)
+        lengths[~odd] = np.diff(last[:len(plain)], prepend=0)
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths, self.odd = np.concatenate([self.lengths, lengths]), np.concatenate([self.odd, odd])
+        self.flat = np.concatenate([self.flat, ids.astype(STORED)])
+        self.logs = np.concatenate([self.logs, [self.frequent.get(w, math.nan) for w in self.new]])
+        self.new = []
+
 
 def encoded(memory: Memory, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The ids of texts, given as words, and their words' logarithms."""
-    numbers = [np.fromiter(map(memory.__getitem__, t), np.int64, len(t)) for t in texts]
-    lengths = np.array([len(i) for i in memory.ids] or [0])
-    flat = np.concatenate(memory.ids or [np.zeros(0)]).astype(STORED)
-    begins, odd, logs = np.cumsum(lengths) - lengths, np.array(memory.odd, bool), np.array(memory.logs)
-    ids = []
-    for split, n in zip(texts, numbers):
-        if odd[n].any():
-            ids.append(subwords(memory.encode, split).astype(STORED))
-            continue
-        size = lengths[n]
-        ids.append(flat[np.repeat(begins[n] - np.cumsum(size) + size, size) + np.arange(size.sum())])
-    return ids, [logs[n] for n in numbers]
+    counts = np.array([len(t) for t in texts], np.int64)
+    n = np.fromiter(map(memory.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+    memory.learn()
+    size = memory.lengths[n]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    found = memory.flat[np.repeat(memory.begins[n] - ends[:-1], size) + np.arange(ends[-1])]
+    cuts = np.cumsum(counts)[:-1]
+    ids, logs = np.split(found, ends[cuts]), np.split(memory.logs[n], cuts)
+    if memory.odd.any():
+        for i, odd in enumerate(np.split(memory.odd[n], cuts)):
+            if odd.any():
+                ids[i] = subwords(memory.encode, texts[i]).astype(STORED)
+    return ids, logs
 
 
 def encode_documents(texts: DataFrame, vocabulary: str, frequent: dict[bytes, float]) -> DataFrame:

@@ -41,7 +41,8 @@ def _byte_alphabet() -> dict[str, int]:
 @lru_cache(maxsize=4)
 def load_encoder(path: str):
     """text -> array of ids, as `tokenizers` gives them at its defaults: the
-    strings of the file's added tokens stand for those tokens.
+    strings of the file's added tokens stand for those tokens. The function's
+    `sizes` are the bytes that each id stands for.
 
     The cutting pattern looks ahead after white space, step by step, which
     overflows the stack on a run of about a million. So such a run is dealt
@@ -72,4 +73,7 @@ def load_encoder(path: str):
                      for a in ([np.array([added[part]], np.uint32)] if k % 2 else section(part))]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
+    encode.sizes = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)  # bytes of each id
+    for token, i in [*ranks.items(), *((t.encode("utf-8"), i) for t, i in added.items())]:
+        encode.sizes[i] = len(token)
     return encode

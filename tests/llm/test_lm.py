@@ -1,6 +1,7 @@
 """Language-model scoring: gradients, normalisation, windows, base scores."""
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -214,3 +215,69 @@ def test_score_uses_texts_outside_the_sample(spark, monkeypatch):
     learned = score()
     monkeypatch.setattr(lm, "train_on_all", lambda *given, **more: 0)
     assert learned > score() + 5
+
+
+def plain_layer(p, numbers):
+    """The last layer of one window, place by place in double precision."""
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    x = p["embed"][numbers] + p["place"]
+    out = []
+    for at in range(lm.CONTEXT, lm.WINDOW):
+        kv = x[:at + 1] @ p["kv"]
+        z = kv[:, :lm.WIDTH] @ (x[at] @ p["q"]) / math.sqrt(lm.WIDTH)
+        a = np.exp(z - z.max())
+        h = x[at] + a / a.sum() @ kv[:, lm.WIDTH:] @ p["out"]
+        out.append(h + np.maximum(h @ p["up"] + p["up_b"], 0) @ p["down"])
+    return np.array(out)
+
+
+@pytest.mark.parametrize("factor", [1, 30, -2000])
+def test_layer_is_that_of_single_places(factor):
+    """Attention scores from small ones to such as overflow or vanish in float32."""
+    m, rng = lm.Attention(seed=5), np.random.default_rng(3)
+    m.p["q"] *= np.float32(factor)
+    numbers = rng.integers(0, lm.HEAD + 2, (5, lm.WINDOW)).astype(np.int32)
+    for got, window in zip(m.hidden(numbers), numbers):
+        np.testing.assert_allclose(got, plain_layer(m.p, window), atol=1e-4 * max(1, abs(factor) ** 0.5))
+
+
+def test_gradients_add_up_over_blocks(monkeypatch):
+    """Also where a block has no scored place, or rare ids alone."""
+    m, rng = lm.Attention(seed=6), np.random.default_rng(4)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    numbers, targets = rng.integers(0, lm.HEAD + 2, (11, lm.WINDOW)), rng.integers(-1, lm.HEAD + 1, (11, lm.STRIDE))
+    targets[3:6], targets[6:9] = -1, lm.HEAD
+    whole = m.gradients(numbers, targets)
+    monkeypatch.setattr(lm, "BLOCK", 3)
+    monkeypatch.setattr(lm, "ROWS", 17)
+    parts = m.gradients(numbers, targets)
+    for k, g in whole.items():
+        np.testing.assert_allclose(parts[k], g, atol=1e-12)
+
+
+def test_new_words_are_made_into_ids_together():
+    """One call for all new words of a part of the texts, and none for those met before."""
+    encode, calls = tokens.load_encoder(VOCABULARY), []
+
+    def counted(text):
+        calls.append(text)
+        return encode(text)
+    counted.sizes = encode.sizes
+    texts = [[f"{w}{i % 500}".encode() for i in range(1000)] for w in ("stone", "caf\u00e9", "<|endoftext|>x", "it's")]
+    memory = lm.Memory(counted, {})
+    for _ in range(2):
+        ids, _ = lm.encoded(memory, texts)
+        assert [x.tolist() for x in ids] == [lm.subwords(encode, t).tolist() for t in texts]
+    assert len(calls) == 1
+
+
+def test_sizes_of_ids():
+    encode = tokens.load_encoder(VOCABULARY)
+    for text in ("a<|endoftext|>b", "it's caf\u00e9 \u6f22\u5b57 \U0001f600", " " * 30_000 + "x", ""):
+        assert encode.sizes[encode(text)].sum() == len(text.encode())
+
+
+def test_work_arrays_are_not_sent():
+    m = lm.Attention()
+    m.hidden(np.zeros((64, lm.WINDOW), np.int32))
+    assert m.room and not pickle.loads(pickle.dumps(lm.Scorer(m, None))).model.room
