@@ -15,11 +15,10 @@ classes; all other ids form one more class and follow their counts there.
 Scale: word counts come from all training documents, combined per batch,
 per task and then by word. Words that make up at least 2^-18 of all tokens
 (at most 2^18 of them, by arithmetic) are broadcast; occurrences of the
-rarer ones meet their counts in one join. Ids are counted from the word
-counts (at most one row per id). Every text is made into ids once (each
-distinct word of a task once, as ids of a word do not depend on its
-neighbours); the ids are stored, two bytes each, and learning and scoring
-read them from there. The model learns from every training text, of any
+rarer ones meet their counts in one join. Every text is made into ids once (each
+distinct word of some 8 MB of text once, as ids of a word do not depend on its
+neighbours); the ids are stored, two bytes each, and counting them (at most
+one row per id), learning and scoring read them from there. The model learns from every training text, of any
 length, as Spark work (`train_on_all`): from all of its windows, or, where
 `share` is set above 1, from one in `share` and one at least. A driver pass over `sample_rows` slices of at most
 `SLICE` ids at hashed places of these texts only gives the parameters that
@@ -35,19 +34,18 @@ model stays as initialised; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import hashed_sample, map_lists, sql_type, stored, utf8, words_of
+from tallyfold.llm.common import hashed_sample, sql_type, stored, utf8, words_of  # noqa: F401 (words_of: what split_words is held to)
 from tallyfold.llm.tokens import load_encoder
 
 WINDOW, STRIDE, WIDTH, INNER = 32, 24, 16, 32
@@ -58,12 +56,12 @@ START = HEAD + 1  # input number of the start of a text; HEAD stands for all rar
 FREQUENT = 1 << 18
 IDS = 50_257
 ROUNDS, AT_ONCE, FAN = 4, 512, 64  # of `train_on_all`: averagings, windows a step, rows added up by one task
-SLICE, BYTES, CACHE = 768, 1 << 20, 1 << 17  # ids of a starting slice, bytes of text made into ids together, words that a task remembers
+SLICE, BYTES, AT_A_TIME = 768, 1 << 23, 1 << 18  # ids of a starting slice, bytes of text whose words are told apart together, words looked up together
 BLOCK, ROWS = 128, 1536  # windows whose arrays are made together (they fit the processor's cache); rows of a product that need no packing
 STORED = np.dtype("<u2")
 
 # white space that does not end a word: ids of such words depend on their neighbours
-_INNER_SPACE = re.compile(r"\s")
+_INNER_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Vocabulary:
@@ -428,42 +426,55 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive rows, in all of at most `most` or a single row."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + most, "right")))
+        yield i, j
+        i = j
+
+
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of about `BYTES` of texts (UTF-8 bytes; null: empty), and where they begin."""
+    texts = texts.fill_null(b"")
+    for i, j in pieces(pc.binary_length(texts).to_numpy().astype(np.int64), BYTES):
+        yield i, texts.slice(i, j - i)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased (A-Z only) words of texts end to end, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, of = lists.flatten(), pc.list_parent_indices(lists)
+    held = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word there
+    return words.filter(held).view(pa.binary()), np.bincount(of.filter(held).to_numpy(), minlength=len(texts))
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over all texts; words are UTF-8 bytes."""
+    columns = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays(pc.value_counts(split_words(texts)[0]).flatten(), schema=columns)
+
+    return docs.select(utf8(text_col)).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def id_counts(training: DataFrame) -> np.ndarray:
+    """How often each subword id occurs in rows with `ids`; one row per id at most reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(IDS, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                total += np.bincount(np.frombuffer(ids.as_buffer(), STORED), minlength=IDS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    def start():
-        def step(texts):
-            counts: Counter = Counter()
-            counts.update(chain.from_iterable(map(words_of, texts)))
-            return {"word": list(counts), "c": list(counts.values())}
-        return step
-
-    parts = map_lists(docs.select(utf8(text_col)), start, pa.schema([("word", pa.binary()), ("c", pa.int64())]), rows=65_536)
-    return parts.groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def id_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
-    """How often each subword id occurs, from word counts; one row per id at most."""
-
-    def start():
-        encode = load_encoder(vocabulary)
-
-        def step(words, c):
-            by_count: dict[int, list[bytes]] = {}
-            for w, n in zip(words, c):
-                by_count.setdefault(n, []).append(w)
-            total = np.zeros(IDS, np.int64)
-            for n, group in by_count.items():
-                for i in range(0, len(group), 4096):
-                    total += n * np.bincount(subwords(encode, group[i:i + 4096]), minlength=IDS)
-            seen = np.flatnonzero(total)
-            return {"id": seen, "n": total[seen]}
-        return step
-
-    parts = map_lists(counts.select("word", "c"), start, pa.schema([("id", pa.int64()), ("n", pa.int64())]), rows=65_536)
-    rows = parts.groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(IDS)
-    for r in rows:
+    for r in training.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r.id] = r.n
     return out
 
@@ -541,53 +552,49 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
                      ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
-class Memory(dict):
-    """Numbers of the words met so far; of each its ids (`lengths` of them in
-    `flat`, from `begins` on), and the logarithm of its count plus one where
-    it is frequent (else nan). The ids of new words are made together."""
+class Memory:
+    """The distinct words of a part of the texts: of each its ids (`lengths`
+    of them in `flat`, from `begins` on; all made together), and the logarithm
+    of its count plus one where it is frequent (else nan)."""
 
     def __init__(self, encode, frequent: dict[bytes, float]):
-        self.encode, self.frequent, self.new = encode, frequent, []
-        self.flat, self.begins, self.lengths = np.zeros(0, STORED), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.odd, self.logs = np.zeros(0, bool), np.zeros(0)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-    def learn(self) -> None:
-        """Ids of the new words: those of a word end where its bytes end."""
-        if not self.new:
-            return
-        odd = np.array([not w.isascii() and _INNER_SPACE.search(w.decode("utf-8")) is not None for w in self.new], bool)
-        plain = [w for w, o in zip(self.new, odd) if not o]
-        ids = subwords(self.encode, plain)
-        last = np.searchsorted(np.cumsum(self.encode.sizes[ids]), np.cumsum([len(w) + 1 for w in plain] or [0]), "right")
-        lengths = np.zeros(len(odd), np.int64)
-        lengths[~odd] = np.diff(last[:len(plain)], prepend=0)
-        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths, self.odd = np.concatenate([self.lengths, lengths]), np.concatenate([self.odd, odd])
-        self.flat = np.concatenate([self.flat, ids.astype(STORED)])
-        self.logs = np.concatenate([self.logs, [self.frequent.get(w, math.nan) for w in self.new]])
-        self.new = []
+        self.encode, self.frequent = encode, pa.array(list(frequent), pa.binary())
+        self.known = np.array([*frequent.values(), math.nan])
+
+    def learn(self, distinct: pa.Array) -> None:
+        self.words = distinct
+        text = distinct.view(pa.string())
+        odd = pc.match_substring_regex(text, _INNER_SPACE)
+        plain = text.filter(pc.invert(odd))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), " ")[0].as_py()
+        ids = self.encode(" " + joined) if len(plain) else np.zeros(0, np.uint32)
+        # the ids of a word end where its bytes end
+        ends = np.cumsum(pc.binary_length(plain).to_numpy().astype(np.int64) + 1)
+        self.odd = odd.to_numpy(zero_copy_only=False)
+        self.lengths = np.zeros(len(distinct), np.int64)
+        self.lengths[~self.odd] = np.diff(np.searchsorted(np.cumsum(self.encode.sizes[ids]), ends, "right"), prepend=0)
+        self.begins, self.flat = np.cumsum(self.lengths) - self.lengths, ids.astype(STORED)
+        self.logs = self.known[pc.fill_null(pc.index_in(distinct, self.frequent), -1).to_numpy()]
+
+    def ids(self, numbers: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Of texts of so many words, given end to end as numbers of the words."""
+        size, cuts = self.lengths[numbers], np.cumsum(counts)[:-1]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        found = self.flat[np.repeat(self.begins[numbers] - ends[:-1], size) + np.arange(ends[-1])]
+        out = np.split(found, ends[cuts])
+        if self.odd.any():
+            for i, of in enumerate(np.split(numbers, cuts)):
+                if self.odd[of].any():
+                    out[i] = subwords(self.encode, self.words.take(pa.array(of)).to_pylist()).astype(STORED)
+        return out
 
 
 def encoded(memory: Memory, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The ids of texts, given as words, and their words' logarithms."""
-    counts = np.array([len(t) for t in texts], np.int64)
-    n = np.fromiter(map(memory.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
-    memory.learn()
-    size = memory.lengths[n]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    found = memory.flat[np.repeat(memory.begins[n] - ends[:-1], size) + np.arange(ends[-1])]
-    cuts = np.cumsum(counts)[:-1]
-    ids, logs = np.split(found, ends[cuts]), np.split(memory.logs[n], cuts)
-    if memory.odd.any():
-        for i, odd in enumerate(np.split(memory.odd[n], cuts)):
-            if odd.any():
-                ids[i] = subwords(memory.encode, texts[i]).astype(STORED)
-    return ids, logs
+    words, counts = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode(), np.array([len(t) for t in texts], np.int64)
+    memory.learn(words.dictionary)
+    numbers = words.indices.to_numpy()
+    return memory.ids(numbers, counts), np.split(memory.logs[numbers], np.cumsum(counts)[:-1])
 
 
 def encode_documents(texts: DataFrame, vocabulary: str, frequent: dict[bytes, float]) -> DataFrame:
@@ -596,25 +603,28 @@ def encode_documents(texts: DataFrame, vocabulary: str, frequent: dict[bytes, fl
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(vocabulary)
-        memory = Memory(encode, shared.value)
+        memory = Memory(load_encoder(vocabulary), shared.value)
         for batch in batches:
-            at = size = 0
-            for i, text in enumerate(batch.column(2)):
-                size += len(text.as_buffer() or b"") if text.is_valid else 0
-                if size > BYTES or i + 1 == batch.num_rows:
-                    part = batch.slice(at, i + 1 - at)
-                    split = [words_of(t) for t in part.column(2).to_pylist()]
-                    ids, logs = encoded(memory, split)
-                    rare = [Counter([words[k] for k in np.flatnonzero(np.isnan(log))]) for words, log in zip(split, logs)]
-                    known = [log[~np.isnan(log)].tolist() for log in logs]
+            for at, text in text_slices(batch.column(2)):
+                words, counts = split_words(text)
+                words = words.dictionary_encode()
+                memory.learn(words.dictionary)
+                numbers, ends = words.indices.to_numpy(), np.concatenate([[0], np.cumsum(counts)])
+                for i, j in pieces(counts, AT_A_TIME):
+                    of, n = numbers[ends[i]:ends[j]], counts[i:j]
+                    logs = memory.logs[of]
+                    seldom = np.isnan(logs)
+                    row = np.repeat(np.arange(j - i), n)
+                    pairs, times = np.unique(row[seldom] * len(memory.words) + of[seldom], return_counts=True)
+                    cuts = pa.array(np.searchsorted(pairs, np.arange(j - i + 1) * len(memory.words)), pa.int32())
+                    known = np.bincount(row[~seldom], minlength=j - i)
+                    base = [math.fsum(log.tolist()) for log in np.split(logs[~seldom], np.cumsum(known)[:-1])]
                     yield pa.RecordBatch.from_arrays([
-                        part.column(0), part.column(1), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array([len(k) for k in known], pa.int64()),
-                        pa.array([math.fsum(k) for k in known], pa.float64()), pa.array([list(r) for r in rare], pa.list_(pa.binary())),
-                        pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())), pa.array([x.tobytes() for x in ids], pa.binary())], schema=ENCODED)
-                    at, size = i + 1, 0
-                    if len(memory) > CACHE:
-                        memory = Memory(encode, shared.value)
+                        batch.column(0).slice(at + i, j - i), batch.column(1).slice(at + i, j - i), pa.array(n + 1, pa.int64()),
+                        pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                        pa.ListArray.from_arrays(cuts, memory.words.take(pa.array(pairs % max(1, len(memory.words))))),
+                        pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+                        pa.array([x.tobytes() for x in memory.ids(of, n)], pa.binary())], schema=ENCODED)
 
     return texts.select(F.col("doc_id").cast("bigint"), "held_out", utf8("text")).mapInArrow(
         run, ", ".join(f"`{f.name}` {sql_type(f.type)}" for f in ENCODED))
@@ -655,12 +665,13 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     found = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     ends = texts.where("not held_out").count()
     n, v = (found.n or 0) + ends, found.v + (ends > 0)
-    spread = id_counts(counts, vocabulary)
-    spread[end_id] = ends
     often = counts.where(F.col("c") * FREQUENT >= n).collect()  # at most FREQUENT rows: their counts add up to n at most
     table = stored(encode_documents(texts, vocabulary, {bytes(r.word): math.log10(r.c + 1) for r in often})
                    .withColumn("row", F.monotonically_increasing_id()), "ids")
-    words, training = Vocabulary(spread, end_id), table.where("not held_out").select("doc_id", "ids")
+    training = table.where("not held_out").select("doc_id", "ids")
+    spread = id_counts(training)
+    spread[end_id] = ends
+    words = Vocabulary(spread, end_id)
     model = Attention().train(*training_windows(starting_slices(training, sample_rows), words))
     train_on_all(model, training, words, share=share)
     passed = add_scores(table.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "ids"), model, words)

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import ODD_TEXTS, clashing, documents
 
 from tallyfold.llm import lm, tokens
+from tallyfold.llm.common import words_of
 
 VOCABULARY = tokens.vocabulary_path()
 
@@ -256,7 +258,7 @@ def test_gradients_add_up_over_blocks(monkeypatch):
 
 
 def test_new_words_are_made_into_ids_together():
-    """One call for all new words of a part of the texts, and none for those met before."""
+    """One call for all words of a part of the texts."""
     encode, calls = tokens.load_encoder(VOCABULARY), []
 
     def counted(text):
@@ -265,12 +267,46 @@ def test_new_words_are_made_into_ids_together():
     counted.sizes = encode.sizes
     texts = [[f"{w}{i % 500}".encode() for i in range(1000)] for w in ("stone", "caf\u00e9", "<|endoftext|>x", "it's")]
     memory = lm.Memory(counted, {})
-    for _ in range(2):
-        ids, _ = lm.encoded(memory, texts)
-        assert [x.tolist() for x in ids] == [lm.subwords(encode, t).tolist() for t in texts]
+    ids, _ = lm.encoded(memory, texts)
+    assert [x.tolist() for x in ids] == [lm.subwords(encode, t).tolist() for t in texts]
     assert len(calls) == 1
 
 
+def test_words_are_split_alike(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("aB\u00c9\u6f22\u3000\xa0\x85\x1c\x00 \t\n\x0b\x0c\r", k=rng.randint(0, 40))).encode() for _ in range(2000)] + [None, b"", b" "]
+    array = pa.array([b"cut off", *texts], pa.binary()).slice(1)
+    for size in (1 << 24, 50):
+        monkeypatch.setattr(lm, "BYTES", size)
+        got = [(at + i, w) for at, part in lm.text_slices(array) for w, i in zip(*flat(part))]
+        assert got == [(i, w) for i, t in enumerate(texts) for w in words_of(t)]
+    assert list(lm.pieces(np.array([3, 9, 1, 1, 0, 5, 2]), 5)) == [(0, 1), (1, 2), (2, 5), (5, 6), (6, 7)]
+    assert list(lm.pieces(np.zeros(0, int), 5)) == []
+
+
+def flat(part):
+    words, counts = lm.split_words(part)
+    return words.to_pylist(), np.repeat(np.arange(len(counts)), counts).tolist()
+
+
+def test_few_words_at_a_time_give_the_same_rows(spark, monkeypatch):
+    texts = [t for t in ODD_TEXTS if t is None or len(t) < 200_000] + [f"Stone {i} House {i % 3} stone" for i in range(50)]
+    frame = documents(spark, texts).selectExpr("doc_id", "doc_id % 2 = 0 held_out", "text").coalesce(1)
+
+    def rows():
+        out = lm.encode_documents(frame, VOCABULARY, {b"stone": 0.5, b"a": 0.25}).collect()
+        return sorted((r.doc_id, r.held_out, r.n_tokens, r.known, r.base, sorted(zip(map(bytes, r.rare), r.times)), bytes(r.ids)) for r in out)
+    whole, encode = rows(), tokens.load_encoder(VOCABULARY)
+    for (i, held, n, known, base, rare, ids), t in zip(whole, texts, strict=True):
+        w = words_of((t or "").encode())
+        assert ids == lm.subwords(encode, w).astype(lm.STORED).tobytes()
+        c = Counter(x for x in w if x not in (b"stone", b"a"))
+        assert (held, n, known, rare) == (i % 2 == 0, len(w) + 1, len(w) - c.total(), sorted(c.items()))
+        assert base == pytest.approx(0.5 * w.count(b"stone") + 0.25 * w.count(b"a"))
+    monkeypatch.setattr(lm, "AT_A_TIME", 3)
+    assert rows() == whole
+
+
 def test_sizes_of_ids():
     encode = tokens.load_encoder(VOCABULARY)
     for text in ("a<|endoftext|>b", "it's caf\u00e9 \u6f22\u5b57 \U0001f600", " " * 30_000 + "x", ""):
