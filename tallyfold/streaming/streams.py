@@ -226,8 +226,10 @@ def stream_journal(items: DataFrame, out_dir: str, checkpoint: str, trigger: str
     return _trigger(w, trigger).start()
 
 
-def run_to_end(query, timeout_s: int = 600) -> None:
-    """Wait for an `availableNow` query; re-raise its failure."""
+def run_to_end(query, timeout_s: int | None = None) -> None:
+    """Wait for an `availableNow` query; re-raise its failure. Such a query
+    ends by itself, after a time that grows with its input, so it is stopped
+    as unfinished only where a caller sets a limit."""
     query.awaitTermination(timeout_s)
     if query.isActive:
         query.stop()

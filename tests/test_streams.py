@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.schemas import STATE_SCHEMA
@@ -92,3 +93,30 @@ def test_staged_copy_keeps_null_keys(spark):
     path = streams.staged_copy(df, "staged")
     assert spark.read.parquet(path).count() == 5000
     assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) >= 5
+
+
+class LongRun:
+    """A stream that ends by itself after `needs` seconds, of which none pass here."""
+
+    def __init__(self, needs):
+        self.needs, self.isActive, self.stopped = needs, True, False
+
+    def awaitTermination(self, timeout=None):
+        self.isActive = timeout is not None and timeout < self.needs
+        return not self.isActive
+
+    def stop(self):
+        self.isActive, self.stopped = False, True
+
+    def exception(self):
+        return None
+
+
+def test_a_long_stream_runs_to_its_end():
+    query = LongRun(needs=86_400)
+    streams.run_to_end(query)
+    assert not query.isActive and not query.stopped
+    limited = LongRun(needs=86_400)
+    with pytest.raises(TimeoutError):
+        streams.run_to_end(limited, timeout_s=5)
+    assert limited.stopped
