@@ -551,6 +551,7 @@ def gzip_roundtrip(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 EDGE_CIDR = TRUSTED_CIDR
+LOG_FILE_ROWS = 250_000   # of a stored request log: the share of one task when it is streamed
 
 
 def _edge(spark) -> pipeline.EdgeConfig:
@@ -566,7 +567,8 @@ def request_log_path(spark, sf_dir):
     path = _STORED.get(key)
     if path is None or not path_exists(spark, path):
         path = scratch_path(spark, "request-log")
-        requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY, data_keys(spark)).write.parquet(path)
+        requests.event_request_log(_t(spark, sf_dir, "events"), SIGN_KEY, data_keys(spark)).write \
+            .option("maxRecordsPerFile", LOG_FILE_ROWS).parquet(path)
         _STORED[key] = path
     return path
 
@@ -975,6 +977,16 @@ def _event_stream(spark, sf_dir, name, where=None):
     return streams.file_stream(spark, streams.staged_copy(ev, name), ev.schema, max_files=FILES_PER_TRIGGER)
 
 
+def _log_stream(spark, sf_dir):
+    """The stored request log as a stream. A micro-batch is bounded by files
+    for each core, so that all cores have work, and takes at most a quarter
+    of a log that has more than a few files."""
+    log = _request_log(spark, sf_dir)
+    per_core = FILES_PER_TRIGGER * spark.sparkContext.defaultParallelism
+    files = max(FILES_PER_TRIGGER, min(per_core, len(log.inputFiles()) // 4))
+    return streams.file_stream(spark, request_log_path(spark, sf_dir), log.schema, max_files=files)
+
+
 @register("stream_state_fold", _STATE_SQL)
 def stream_state_fold(spark, sf_dir):
     src = _event_stream(spark, sf_dir, "stream-events")
@@ -1057,9 +1069,7 @@ def stream_reports(spark, sf_dir):
 
 @register("stream_journal", f"SELECT ts, metrics, ip_address FROM ({_JOURNAL_SQL})")
 def stream_journal(spark, sf_dir):
-    path = request_log_path(spark, sf_dir)
-    log = streams.file_stream(spark, path, spark.read.parquet(path).schema, max_files=FILES_PER_TRIGGER)
-    items = journal.journal_items(pipeline.decide_requests(log, _edge(spark)), pipeline.EARLY_CHECKS)
+    items = journal.journal_items(pipeline.decide_requests(_log_stream(spark, sf_dir), _edge(spark)), pipeline.EARLY_CHECKS)
     out, ckpt = scratch_path(spark, "stream-journal"), scratch_path(spark, "ckpt")
     streams.run_to_end(streams.stream_journal(items, out, ckpt))
     return snapshot_src.read_journal(spark, out)
@@ -1074,9 +1084,7 @@ FROM ({_JOURNAL_SQL}) j, (VALUES ('a'), ('b')) s(sink)""")
 def stream_fanout(spark, sf_dir):
     """The live journal into two sinks beside one that fails and one that is
     not configured: the lines of each sink, and every item's outcome."""
-    path = request_log_path(spark, sf_dir)
-    log = streams.file_stream(spark, path, spark.read.parquet(path).schema, max_files=FILES_PER_TRIGGER)
-    items = journal.journal_items(pipeline.decide_requests(log, _edge(spark)), pipeline.EARLY_CHECKS)
+    items = journal.journal_items(pipeline.decide_requests(_log_stream(spark, sf_dir), _edge(spark)), pipeline.EARLY_CHECKS)
     sinks = {"a": scratch_path(spark, "live-a"), "b": scratch_path(spark, "live-b"), "down": "nosuchfs://sink/journal", "off": None}
     ledger, ckpt = scratch_path(spark, "ledger"), scratch_path(spark, "ckpt")
     streams.run_to_end(fanout.stream_fan_out(items, sinks, ledger, ckpt))

@@ -1,9 +1,13 @@
 """Streaming fan-out: a failing sink, a crash between two sinks, replays, outcomes per item."""
 
+import datetime as dt
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators.journal import write_journal
+from tallyfold.plans import catalog
 from tallyfold.schemas import JOURNAL_SCHEMA
 from tallyfold.session import scratch_path
 from tallyfold.sources.snapshot import read_journal
@@ -107,3 +111,36 @@ def test_no_sinks_and_empty_ledger(spark, folders):
     assert rows(fanout.item_outcomes(spark, ledger, schema).where("run = 's'"), "request_id", "delivered") == [(2, False)]
     assert spark.createDataFrame([], JOURNAL_SCHEMA).columns == read_journal(spark, a).columns
     assert fanout.outcomes(spark, ledger).where(F.col("ok")).count() == 0
+
+
+def write_events(spark, folder, n):
+    """Events of three users, some of whose batches and bodies are odd by the rules of the log."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i % 3, ("view", "click")[i % 4 // 2], i / 4, f'{{"k": {i % 80}}}') for i in range(n)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def test_a_log_is_streamed_in_bounded_files_and_batches(spark, monkeypatch):
+    folder = scratch_path(spark, "log-events")
+    write_events(spark, folder, 120)
+    monkeypatch.setattr(catalog, "LOG_FILE_ROWS", 60, raising=False)
+    log = spark.read.parquet(catalog.request_log_path(spark, folder))
+    per_file = [r["count"] for r in log.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == 120 + 120 + 6 and max(per_file) <= 60 and len(per_file) >= 5
+    want = rows(catalog.QUERIES["audit_journal"](spark, folder), "ts", "metrics", "ip_address")
+    assert rows(catalog.QUERIES["stream_journal"](spark, folder), "ts", "metrics", "ip_address") == want
+    out = catalog.QUERIES["stream_fanout"](spark, folder)
+    assert rows(out.where("kind = 'item' AND taken = 2 AND delivered"), "ts", "metrics", "ip_address") == want
+    for sink in ("a", "b"):
+        assert rows(out.where(F.col("sink") == sink), "ts", "metrics", "ip_address") == want
+
+
+def test_a_micro_batch_of_the_log_has_files_for_every_core(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(catalog.streams, "file_stream", lambda *a, max_files, **k: taken.append(max_files))
+    for files in (0, 3, 16, 40, 100_000):
+        monkeypatch.setattr(catalog, "request_log_path", lambda *_: "log")
+        monkeypatch.setattr(catalog, "_request_log", lambda *_: SimpleNamespace(inputFiles=lambda: range(files), schema=None))
+        catalog._log_stream(spark, "any")
+    few, cores = catalog.FILES_PER_TRIGGER, spark.sparkContext.defaultParallelism
+    assert taken == [few, few, few, max(few, min(10, few * cores)), few * cores]
